@@ -15,6 +15,12 @@ def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents")).drop("tkey")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_components
 
@@ -27,5 +33,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_block_naming, op6_ngram_jaccard_join, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_block_naming, op5_source_mixing, op6_ngram_jaccard_join, op8_best_fit_packing)}
 ORACLES: dict[str, str] = {"op2_block_naming": exact_dedup.ORACLE}
