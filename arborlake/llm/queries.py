@@ -27,11 +27,17 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("tkey")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_block_naming, op5_source_mixing, op6_ngram_jaccard_join, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_block_naming, op5_source_mixing, op6_ngram_jaccard_join, op7_quality_classifier, op8_best_fit_packing)}
 ORACLES: dict[str, str] = {"op2_block_naming": exact_dedup.ORACLE}
