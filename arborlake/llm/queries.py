@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_id
+
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents")).drop("tkey")
 
@@ -39,5 +45,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_block_naming, op5_source_mixing, op6_ngram_jaccard_join, op7_quality_classifier, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_block_naming, op5_source_mixing, op6_ngram_jaccard_join, op7_quality_classifier, op8_best_fit_packing)}
 ORACLES: dict[str, str] = {"op2_block_naming": exact_dedup.ORACLE}
