@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup
+from . import exact_dedup, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents")).drop("tkey")
 
 
+def op3_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -51,5 +55,5 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_block_naming, op5_source_mixing, op6_ngram_jaccard_join, op7_quality_classifier, op8_best_fit_packing, op9_nearest_neighbours)}
-ORACLES: dict[str, str] = {"op2_block_naming": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_block_naming, op3_redirect_equivalence, op5_source_mixing, op6_ngram_jaccard_join, op7_quality_classifier, op8_best_fit_packing, op9_nearest_neighbours)}
+ORACLES: dict[str, str] = {"op2_block_naming": exact_dedup.ORACLE, "op3_redirect_equivalence": urlfilter.ORACLE}
