@@ -25,6 +25,12 @@ def op3_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op4_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).drop("tkey")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -55,5 +61,5 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_block_naming, op3_redirect_equivalence, op5_source_mixing, op6_ngram_jaccard_join, op7_quality_classifier, op8_best_fit_packing, op9_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_block_naming, op3_redirect_equivalence, op4_deletion_neighbourhood, op5_source_mixing, op6_ngram_jaccard_join, op7_quality_classifier, op8_best_fit_packing, op9_nearest_neighbours)}
 ORACLES: dict[str, str] = {"op2_block_naming": exact_dedup.ORACLE, "op3_redirect_equivalence": urlfilter.ORACLE}
