@@ -47,7 +47,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(texts) else data[:0], offsets - offsets[0]
 
 
-def slices(texts: pa.Array, most: int = 4 << 20) -> list[pa.Array]:
+def slices(texts: pa.Array, most: int = 1 << 20) -> list[pa.Array]:
     """The array cut so that each part has about `most` bytes (or one text)."""
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
