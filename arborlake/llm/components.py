@@ -24,6 +24,13 @@ def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node is either a root or has one link, to a root."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """Rows (node, component) for every node that has a link; component is the least node.
 
@@ -32,18 +39,15 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = keep(e.distinct(), "links")
-    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    seen = mark(e)
     for _ in range(rounds):
-        if not seen[0]:
+        if _stars(e):
             break
-        big = keep(_star(e, 2 * seen[0], True), "links")
-        new = keep(_star(big, seen[0], False), "links")
+        total = e.count()
+        big = keep(_star(e, 2 * total, True), "links")
+        new = keep(_star(big, total, False), "links")
         drop(big)
         drop(e)
-        e, before, seen = new, seen, mark(new)
-        if seen == before:
-            break
+        e = new
     else:
         raise RuntimeError(f"components: not settled after {rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()
