@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: A line with its end; `unicode` also ends lines at the other breaks of Unicode.
 STRICT = r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+$"
-UNICODE = "[^\r\n\x0b\x0c\x1c-\x1e\x85  ]*(?:\r\n|[\r\n\x0b\x0c\x1c-\x1e\x85  ])|[^\r\n\x0b\x0c\x1c-\x1e\x85  ]+$"
+UNICODE = "[^\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*(?:\r\n|[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|[^\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+$"
 
 
 def line_array(text: Column, terminators: str = "strict") -> Column:
