@@ -34,11 +34,11 @@ BLOCK_ROWS, BLOCK_QUERIES = 20_000, 4_000
 def neighbours(x: np.ndarray, q: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
     """Exact k nearest rows of x to each q, in blocks; own[i] is left out of q[i]'s."""
     out = []
-    for i in range(0, len(q), 512):
-        s = q[i : i + 512] @ x.T
+    for i in range(0, len(q), 256):
+        s = q[i : i + 256] @ x.T
         if own is not None:
-            s[np.arange(len(s)), own[i : i + 512]] = -np.inf
-        out.append(np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k])
+            s[np.arange(len(s)), own[i : i + 256]] = -np.inf
+        out.append(np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k].copy())  # else the whole block stays in memory
     return np.concatenate(out)
 
 
