@@ -17,9 +17,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .scratch import keep
+
 UNKNOWN = "und"
 #: Most training rows (those whose texts have the smallest hashes) and table entries that a model has.
-FIT_ROWS, FIT_ENTRIES = 20_000, 300_000
+FIT_ROWS, FIT_ENTRIES = 20_000, 100_000
 LENGTHS = (4, 3, 2, 1)
 #: Words in training as often as this are known.
 LEAST_WORDS = 3
@@ -36,21 +38,23 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies per language of words (at 0) and of character n-grams by their length."""
+    """Rows of `logs`, log frequencies per language, of words (at 0) and of character n-grams by their length."""
 
     langs: list[str]
-    tables: dict[int, dict[str, np.ndarray]]
-    floor: np.ndarray
+    tables: dict[int, dict[str, int]]
+    logs: np.ndarray | None
+    floor: np.ndarray | None
     memo: dict[str, np.ndarray] = field(default_factory=dict)
 
     def word(self, w: str) -> np.ndarray:
-        found = self.tables[0].get(w)
-        if found is None:
-            found = self.memo.get(w)
+        at = self.tables[0].get(w)
+        if at is not None:
+            return self.logs[at]
+        found = self.memo.get(w)
         if found is None:
             found = self._unseen(w)
             if len(w) <= PART:
-                if len(self.memo) > 200_000:
+                if len(self.memo) > 50_000:
                     self.memo.clear()
                 self.memo[w] = found
         return found
@@ -59,9 +63,10 @@ class Model:
         if len(w) > PART:
             return sum((self._unseen(w[i : i + PART]) for i in range(0, len(w), PART)), np.zeros(len(self.langs)))
         for n in LENGTHS:
-            hits = [self.tables[n][g] for g in grams(w, n) if g in self.tables[n]]
+            t = self.tables[n]
+            hits = [t[g] for g in grams(w, n) if g in t]
             if hits:
-                return np.mean(hits, axis=0)
+                return self.logs[hits].mean(axis=0)
         return self.floor
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -113,24 +118,35 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", fit_r
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).dropna()
     total = rows.count()
     if not total:
-        return Model([], {n: {} for n in (0, *LENGTHS)}, np.zeros(0))
+        return Model([], {n: {} for n in (0, *LENGTHS)}, None, None)
     share = min(1.0, fit_rows / total)
     rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    counts = rows.repartition(8).mapInArrow(_count, "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    keys = counts.groupBy("kind", "key").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))  # a list is no longer than the languages
-    keys = keys.where(f"kind > 0 or total >= {LEAST_WORDS}").orderBy(F.desc("total"), "kind", "key").limit(entries).toPandas()
-    langs = sorted({x["lang"] for by in keys["by"] for x in by})
-    at, sums = {x: i for i, x in enumerate(langs)}, {n: np.zeros(len(langs)) for n in (0, *LENGTHS)}
-    raw: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *LENGTHS)}
-    for kind, key, by in zip(keys["kind"], keys["key"], keys["by"], strict=True):
-        v = np.zeros(len(langs))
-        for x in by:
-            v[at[x["lang"]]] = x["n"]
-        raw[kind][key] = v
-        sums[kind] += v
-    tables = {n: {k: np.log((v + 0.5) / (sums[n] + 0.5 * (len(raw[n]) + 1))) for k, v in t.items()} for n, t in raw.items()}
-    floor = np.log(0.5 / (sums[1] + 0.5 * (len(raw[1]) + 1)))
-    return Model(langs, tables, floor)
+    counts = keep(rows.mapInArrow(_count, "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "counts")
+    known = counts.groupBy("kind", "key").agg(F.sum("n").alias("total")).where(f"kind > 0 or total >= {LEAST_WORDS}")
+    known = known.orderBy(F.desc("total"), "kind", "key").limit(entries)
+    got = counts.join(F.broadcast(known.select("kind", "key")), ["kind", "key"]).toPandas()  # entries * languages at most
+    langs = sorted(set(got["lang"]))
+    at = {x: i for i, x in enumerate(langs)}
+    tables: dict[int, dict[str, int]] = {n: {} for n in (0, *LENGTHS)}
+    for kind, key in zip(got["kind"], got["key"], strict=True):
+        tables[kind].setdefault(key, 0)
+    kinds, start = [], 0
+    for n, t in tables.items():
+        for i, key in enumerate(t, start):
+            t[key] = i
+        kinds += [n] * len(t)
+        start += len(t)
+    logs = np.zeros((start, len(langs)))
+    for lang, kind, key, n in zip(got["lang"], got["kind"], got["key"], got["n"], strict=True):
+        logs[tables[kind][key], at[lang]] = n
+    kinds_, floor = np.array(kinds), np.zeros(len(langs))
+    for n in tables:
+        some = kinds_ == n
+        sums = logs[some].sum(0) + 0.5 * (some.sum() + 1)
+        logs[some] = np.log((logs[some] + 0.5) / sums)
+        if n == 1:
+            floor = np.log(0.5 / sums)
+    return Model(langs, tables, logs, floor)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

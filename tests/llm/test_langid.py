@@ -32,4 +32,4 @@ def test_odd_rows(spark):
     assert next(r for r in got if r.doc_id is None).held_out is False
     assert language_id(df.limit(0)).count() == 0
     assert {r.lang_pred for r in language_id(df.where("lang is null")).collect()} == {"und"}
-    assert Model([], {}, None).predict("text") == ("und", 0.0)
+    assert Model([], {}, None, None).predict("text") == ("und", 0.0)
