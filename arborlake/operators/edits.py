@@ -99,7 +99,9 @@ def transaction(nodes: DataFrame, edits: DataFrame, versions: DataFrame) -> tupl
         ops = {r.op for r in wave.select("op").distinct().collect()}
         for op, apply in (("delete", delete), ("move", move), ("insert", insert)):
             if op in ops:
-                now = settle(with_paths(apply(now, wave)))
+                now = apply(now, wave)
+        if ops:
+            now = settle(with_paths(now))
     touched = good.select("doc_id").distinct().withColumn("_t", F.lit(1))
     return now, versions.join(touched, "doc_id", "left").select("doc_id", (F.col("version") + F.coalesce("_t", F.lit(0))).alias("version"))
 
