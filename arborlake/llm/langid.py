@@ -11,17 +11,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .scratch import keep
 
 UNKNOWN = "und"
-#: Most training rows (those whose texts have the smallest hashes) and table entries that a model has.
-FIT_ROWS, FIT_ENTRIES = 20_000, 100_000
+#: Most training rows (those whose texts have the smallest hashes); all their words and n-grams are kept.
+FIT_ROWS = 20_000
 LENGTHS = (4, 3, 2, 1)
 #: Words in training as often as this are known.
 LEAST_WORDS = 3
@@ -36,23 +38,49 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+class Table:
+    """Places by key, from `start`: the keys' 64-bit hashes in order, 8 bytes a key, and the keys only as one string."""
+
+    def __init__(self, keys: list[str] = (), start: int = 0):
+        h = np.array([key_hash(k) for k in keys], np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.start = h[order], start
+        self.text = "\n".join(keys[i] for i in order)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.text.split("\n") if len(self) else ())
+
+    def get(self, key: str) -> int | None:
+        h = np.uint64(key_hash(key))
+        i = int(self.hashes.searchsorted(h))
+        return self.start + i if i < len(self.hashes) and self.hashes[i] == h else None
+
+    def __contains__(self, key: str) -> bool:
+        return self.get(key) is not None
+
+
+def key_hash(key: str) -> int:
+    return int.from_bytes(blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
 @dataclass
 class Model:
     """Rows of `logs`, log frequencies per language, of words (at 0) and of character n-grams by their length."""
 
     langs: list[str]
-    tables: dict[int, dict[str, int]]
+    tables: dict[int, Table]
     logs: np.ndarray | None
     floor: np.ndarray | None
     memo: dict[str, np.ndarray] = field(default_factory=dict)
 
     def word(self, w: str) -> np.ndarray:
-        at = self.tables[0].get(w)
-        if at is not None:
-            return self.logs[at]
         found = self.memo.get(w)
         if found is None:
-            found = self._unseen(w)
+            at = self.tables[0].get(w)
+            found = self._unseen(w) if at is None else self.logs[at].astype(float)
             if len(w) <= PART:
                 if len(self.memo) > 50_000:
                     self.memo.clear()
@@ -64,9 +92,9 @@ class Model:
             return sum((self._unseen(w[i : i + PART]) for i in range(0, len(w), PART)), np.zeros(len(self.langs)))
         for n in LENGTHS:
             t = self.tables[n]
-            hits = [t[g] for g in grams(w, n) if g in t]
+            hits = [at for at in map(t.get, grams(w, n)) if at is not None]
             if hits:
-                return self.logs[hits].mean(axis=0)
+                return self.logs[hits].mean(axis=0, dtype=float)
         return self.floor
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -109,40 +137,40 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "kind", "key", "n"])
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", fit_rows: int = FIT_ROWS, entries: int = FIT_ENTRIES) -> Model:
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
     """Learns from rows whose text and language are not null.
 
-    At most about `fit_rows` rows, by the hash of the text, and the `entries`
-    most frequent words and n-grams: so what the driver and each task hold is bounded.
+    At most about `fit_rows` rows, by the hash of the text, which bounds what the
+    driver and each task hold; of these all words of LEAST_WORDS or more and all n-grams.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).dropna()
     total = rows.count()
     if not total:
-        return Model([], {n: {} for n in (0, *LENGTHS)}, None, None)
+        return Model([], {n: Table() for n in (0, *LENGTHS)}, None, None)
     share = min(1.0, fit_rows / total)
     rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40)))
     counts = keep(rows.mapInArrow(_count, "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "counts")
     known = counts.groupBy("kind", "key").agg(F.sum("n").alias("total")).where(f"kind > 0 or total >= {LEAST_WORDS}")
-    known = known.orderBy(F.desc("total"), "kind", "key").limit(entries)
-    got = counts.join(F.broadcast(known.select("kind", "key")), ["kind", "key"]).toPandas()  # entries * languages at most
-    langs = sorted(set(got["lang"]))
+    got = counts.join(known.select("kind", "key"), ["kind", "key"]).toArrow()  # as many as the sample has
+    langs = sorted(set(got["lang"].to_pylist()))
     at = {x: i for i, x in enumerate(langs)}
-    tables: dict[int, dict[str, int]] = {n: {} for n in (0, *LENGTHS)}
-    for kind, key in zip(got["kind"], got["key"], strict=True):
-        tables[kind].setdefault(key, 0)
-    kinds, start = [], 0
-    for n, t in tables.items():
-        for i, key in enumerate(t, start):
-            t[key] = i
-        kinds += [n] * len(t)
-        start += len(t)
-    logs = np.zeros((start, len(langs)))
-    for lang, kind, key, n in zip(got["lang"], got["kind"], got["key"], got["n"], strict=True):
-        logs[tables[kind][key], at[lang]] = n
+    tables: dict[int, Table] = {}
+    kinds, start, parts = [], 0, []
+    for n in (0, *LENGTHS):
+        part = got.filter(pc.equal(got["kind"], n))
+        keys = pc.dictionary_encode(part["key"].combine_chunks())
+        table = tables[n] = Table(keys.dictionary.to_pylist(), start)
+        place = np.array([table.get(k) for k in keys.dictionary.to_pylist()], np.int64)
+        parts.append((place[keys.indices.to_numpy()], [at[x] for x in part["lang"].to_pylist()], part["n"].to_numpy()))
+        kinds += [n] * len(table)
+        start += len(table)
+    logs = np.zeros((start, len(langs)), np.float32)
+    for rows_, langs_, n in parts:
+        np.add.at(logs, (rows_, langs_), n)
     kinds_, floor = np.array(kinds), np.zeros(len(langs))
     for n in tables:
         some = kinds_ == n
-        sums = logs[some].sum(0) + 0.5 * (some.sum() + 1)
+        sums = logs[some].sum(0, dtype=float) + 0.5 * (some.sum() + 1)
         logs[some] = np.log((logs[some] + 0.5) / sums)
         if n == 1:
             floor = np.log(0.5 / sums)
@@ -156,7 +184,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     knows no language. Whole texts are read. Repeated rows stay; an empty table
     gives an empty result; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: FIT_ENTRIES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: FIT_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -1,6 +1,7 @@
+import random
 import zlib
 
-from arborlake.llm.langid import Model, language_id, train
+from arborlake.llm.langid import Model, grams, language_id, train
 
 
 def test_held_out_accuracy_and_flags(spark):
@@ -33,3 +34,14 @@ def test_odd_rows(spark):
     assert language_id(df.limit(0)).count() == 0
     assert {r.lang_pred for r in language_id(df.where("lang is null")).collect()} == {"und"}
     assert Model([], {}, None, None).predict("text") == ("und", 0.0)
+
+
+def test_all_words_and_grams_are_kept(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(9))
+    common, rare = sorted({word() for _ in range(60_000)}), sorted({word() for _ in range(300)})
+    rows = [(" ".join(common[i : i + 500] * 4), "x") for i in range(0, len(common), 500)] + [(" ".join(rare * 3), "y")]
+    m = train(spark.createDataFrame(rows, "text string, lang string"))
+    assert set(m.tables[0]) == {*common, *rare} and all(w in m.tables[0] for w in rare)
+    assert set(m.tables[4]) == {g for w in common + rare for g in grams(w, 4)}
+    assert m.logs.shape == (sum(len(t) for t in m.tables.values()), 2)
