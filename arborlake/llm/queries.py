@@ -40,7 +40,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_components
 
-    return ngram_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return ngram_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_verified_links")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

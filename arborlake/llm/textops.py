@@ -6,6 +6,8 @@ character contains these bytes. Whole texts are always read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -13,9 +15,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POW: dict[str, np.ndarray] = {}
+#: Of a little-endian 64-bit read the first 0 to 8 bytes.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Bytes of a word that are hashed 8 at a time; longer words go through BLAKE2b.
+SHORT = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,16 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POW or len(_POW["p"]) < n:
-        m = 1 << max(16, int(n - 1).bit_length())
-        for name, base in (("p", _P), ("q", _P_INV)):
-            a = np.full(m, base, np.uint64)
-            a[0] = 1
-            _POW[name] = np.cumprod(a, dtype=np.uint64)
-    return _POW["p"], _POW["q"]
-
-
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the offsets (one more than rows) of a string array; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -78,13 +71,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, of its A-Z lower-cased bytes if fold."""
+    """A 64-bit hash of each word, of its A-Z lower-cased bytes if fold; every 8 bytes are mixed in by themselves."""
     if not len(s):
         return np.zeros(0, np.uint64)
-    p, q = _powers(len(data) + 1)
-    c = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((LOWER[data] if fold else data).astype(np.uint64) * p[: len(data)] + p[: len(data)], dtype=np.uint64, out=c[1:])
-    return mix((c[e] - c[s]) * q[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    raw = np.zeros(len(data) + 8, np.uint8)
+    raw[: len(data)] = LOWER[data] if fold else data
+    at = np.ndarray(len(data) + 1, "<u8", raw, 0, (1,))  # the 8 bytes from each place
+    size = e - s
+    h = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h = mix(h ^ (at[s] & _FIRST[np.minimum(size, 8)]))
+    long, done = np.flatnonzero(size > 8), 8
+    while len(long) and done < SHORT:
+        left = size[long] - done
+        h[long] = mix(h[long] ^ (at[s[long] + done] & _FIRST[np.minimum(left, 8)]))
+        long, done = long[left > 8], done + 8
+    for i in long.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[s[i] : e[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def shingle_sets(texts: pa.Array, k: int = 5) -> list[np.ndarray]:
