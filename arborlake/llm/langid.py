@@ -5,21 +5,23 @@ language. An unseen word scores by its character n-grams of the greatest length
 of which any was seen, down to single characters; the mean of their log
 frequencies stands for the word. The language with the greatest sum over all
 words of the whole text is predicted.
+
+Words are a letter and the letters and marks that follow it, lower-cased. Words
+and n-grams are known by 64-bit hashes, and all of a batch are scored together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from hashlib import blake2b
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import keep
+from . import textops
+from .scratch import drop, keep
 
 UNKNOWN = "und"
 #: Most training rows (those whose texts have the smallest hashes); all their words and n-grams are kept.
@@ -27,90 +29,84 @@ FIT_ROWS = 20_000
 LENGTHS = (4, 3, 2, 1)
 #: Words in training as often as this are known.
 LEAST_WORDS = 3
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-#: Characters of a word that backoff reads at a time; longer words are read in such parts.
-PART = 64
-
-
-def grams(word: str, n: int) -> list[str]:
-    """Character n-grams of the word between marks of its ends."""
-    w = f"<{word}>" if n > 1 else word
-    return [w[i : i + n] for i in range(len(w) - n + 1)]
-
-
-class Table:
-    """Places by key, from `start`: the keys' 64-bit hashes in order, 8 bytes a key, and the keys only as one string."""
-
-    def __init__(self, keys: list[str] = (), start: int = 0):
-        h = np.array([key_hash(k) for k in keys], np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.start = h[order], start
-        self.text = "\n".join(keys[i] for i in order)
-
-    def __len__(self) -> int:
-        return len(self.hashes)
-
-    def __iter__(self) -> Iterator[str]:
-        return iter(self.text.split("\n") if len(self) else ())
-
-    def get(self, key: str) -> int | None:
-        h = np.uint64(key_hash(key))
-        i = int(self.hashes.searchsorted(h))
-        return self.start + i if i < len(self.hashes) and self.hashes[i] == h else None
-
-    def __contains__(self, key: str) -> bool:
-        return self.get(key) is not None
-
-
-def key_hash(key: str) -> int:
-    return int.from_bytes(blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+OPEN, CLOSE = ord("<"), ord(">")
+
+
+class Words:
+    """The words of some texts: hashes, the text each is of, and the bytes of each."""
+
+    def __init__(self, texts: pa.Array):
+        plain = pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")), r"[^\p{L}\p{M}]+", " ")
+        self.data, offsets = textops.buffers(pc.replace_substring_regex(plain, r"(^| )\p{M}+", " "))  # no word begins with a mark
+        self.starts, self.ends, first = textops.words(self.data, offsets)
+        self.hashes = textops.word_hashes(self.data, self.starts, self.ends, fold=False)
+        self.text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+    def grams(self, some: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of the words at `some` by length the hashes of their n-grams and the word (its place in `some`) of each; words are marked at both ends, but for single characters."""
+        raw = self.data.tobytes()
+        marked = b"".join(b"<%b>" % raw[a:b] for a, b in zip(self.starts[some].tolist(), self.ends[some].tolist(), strict=True))
+        points = np.frombuffer(marked.decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.uint64)
+        word = np.cumsum(points == OPEN) - 1
+        for n in lengths:
+            here = np.full(max(0, len(points) - n + 1), n, np.uint64)
+            for j in range(n):
+                here = textops.mix(here ^ points[j : j + len(here)])
+            w = word[: len(here)]
+            ok = w == word[n - 1 :] if n > 1 else (points != OPEN) & (points != CLOSE)
+            yield n, here[ok], w[ok]
 
 
 @dataclass
 class Model:
-    """Rows of `logs`, log frequencies per language, of words (at 0) and of character n-grams by their length."""
+    """By kind (0: words; else n-grams by their length) the hashes in order and per language their log frequencies."""
 
     langs: list[str]
-    tables: dict[int, Table]
-    logs: np.ndarray | None
-    floor: np.ndarray | None
-    memo: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word(self, w: str) -> np.ndarray:
-        found = self.memo.get(w)
-        if found is None:
-            at = self.tables[0].get(w)
-            found = self._unseen(w) if at is None else self.logs[at].astype(float)
-            if len(w) <= PART:
-                if len(self.memo) > 50_000:
-                    self.memo.clear()
-                self.memo[w] = found
-        return found
-
-    def _unseen(self, w: str) -> np.ndarray:
-        if len(w) > PART:
-            return sum((self._unseen(w[i : i + PART]) for i in range(0, len(w), PART)), np.zeros(len(self.langs)))
-        for n in LENGTHS:
-            t = self.tables[n]
-            hits = [at for at in map(t.get, grams(w, n)) if at is not None]
-            if hits:
-                return self.logs[hits].mean(axis=0, dtype=float)
-        return self.floor
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its probability; UNKNOWN and 0 without text, letters or languages."""
-        total, any_ = np.zeros(len(self.langs)), False
-        if self.langs and text:
-            counts: dict[str, int] = {}
-            for w in WORD.findall(text.lower()):
-                counts[w] = counts.get(w, 0) + 1
-            for w, c in counts.items():
-                any_ = True
-                total += c * self.word(w)
-        if not any_:
-            return UNKNOWN, 0.0
-        best = int(total.argmax())  # ties: the first by code point
-        return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
+    hashes: dict[int, np.ndarray]
+    logs: dict[int, np.ndarray]
+    floor: np.ndarray
+
+    def find(self, kind: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and the places of those."""
+        table = self.hashes[kind]
+        if not len(table):
+            return np.zeros(len(h), bool), np.zeros(0, np.int64)
+        at = np.minimum(table.searchsorted(h), len(table) - 1)
+        known = table[at] == h
+        return known, at[known]
+
+    def score(self, words: Words) -> np.ndarray:
+        """Per language the log frequency of each distinct word, and each word's place among these."""
+        distinct, first, place = np.unique(words.hashes, return_index=True, return_inverse=True)
+        known, at = self.find(0, distinct)
+        out = np.tile(self.floor, (len(distinct), 1))
+        out[known] = self.logs[0][at]
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            open_ = np.ones(len(rest), bool)
+            for n, h, w in words.grams(first[rest]):
+                h, w = h[open_[w]], w[open_[w]]
+                hit, at = self.find(n, h)
+                w = w[hit]
+                hits = np.bincount(w, minlength=len(rest))
+                some = hits > 0
+                for i in range(len(self.langs)):
+                    out[rest[some], i] = np.bincount(w, self.logs[n][at, i], len(rest))[some] / hits[some]
+                open_ &= ~some
+        return out, place
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Of each text the language and its probability; UNKNOWN and 0 without text, letters or languages."""
+        names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        if self.langs and len(texts):
+            words = Words(texts)
+            each, place = self.score(words)
+            total = np.stack([np.bincount(words.text, each[place, i], len(texts)) for i in range(len(self.langs))], axis=1)
+            some = np.bincount(words.text, minlength=len(texts)) > 0
+            best = total.argmax(1)  # ties: the first by code point
+            names[some] = np.array(self.langs, object)[best[some]]
+            scores[some] = (1 / np.exp(total - total.max(1, keepdims=True)).sum(1))[some]
+        return names.tolist(), scores
 
 
 def held_out(id_col: str = "doc_id"):
@@ -119,22 +115,23 @@ def held_out(id_col: str = "doc_id"):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, kind, key, count) of words (kind 0) and n-grams, summed over a batch."""
+    """(lang, kind, key, n) of words (kind 0) and n-grams, summed over a slice of a batch."""
     for batch in batches:
-        words: dict[tuple[str, str], int] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for w in WORD.findall(text.lower()):
-                words[lang, w] = words.get((lang, w), 0) + 1
-        found: dict[tuple[str, int, str], int] = {}
-        for (lang, w), c in words.items():
-            if len(w) <= PART:
-                found[lang, 0, w] = c
-            for part in (w[i : i + PART] for i in range(0, len(w), PART)):
-                for n in LENGTHS:
-                    for g in grams(part, n):
-                        found[lang, n, g] = found.get((lang, n, g), 0) + c
-        cols = [list(x) for x in zip(*((a, b, c, d) for (a, b, c), d in found.items()), strict=True)] or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "kind", "key", "n"])
+        done = 0
+        for part in textops.slices(batch.column("text")):
+            langs = pc.dictionary_encode(batch.column("lang").slice(done, len(part)))
+            done += len(part)
+            words = Words(part)
+            of = langs.indices.to_numpy()[words.text]
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                mine = np.flatnonzero(of == code)
+                h, first, n = np.unique(words.hashes[mine], return_index=True, return_counts=True)
+                found = [(0, h, n)]
+                for k, g, w in words.grams(mine[first]):
+                    g, back = np.unique(g, return_inverse=True)
+                    found.append((k, g, np.bincount(back, n[w], len(g)).astype(np.int64)))
+                for k, g, n in found:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(np.full(len(g), k, np.int32)), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "kind", "key", "n"])
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
@@ -143,56 +140,51 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", fit_r
     At most about `fit_rows` rows, by the hash of the text, which bounds what the
     driver and each task hold; of these all words of LEAST_WORDS or more and all n-grams.
     """
+    kinds = (0, *LENGTHS)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).dropna()
     total = rows.count()
-    if not total:
-        return Model([], {n: Table() for n in (0, *LENGTHS)}, None, None)
-    share = min(1.0, fit_rows / total)
+    share = min(1.0, fit_rows / max(1, total))
     rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    counts = keep(rows.mapInArrow(_count, "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "counts")
+    counts = keep(rows.mapInArrow(_count, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "counts")
     known = counts.groupBy("kind", "key").agg(F.sum("n").alias("total")).where(f"kind > 0 or total >= {LEAST_WORDS}")
     got = counts.join(known.select("kind", "key"), ["kind", "key"]).toArrow()  # as many as the sample has
-    langs = sorted(set(got["lang"].to_pylist()))
-    at = {x: i for i, x in enumerate(langs)}
-    tables: dict[int, Table] = {}
-    kinds, start, parts = [], 0, []
-    for n in (0, *LENGTHS):
-        part = got.filter(pc.equal(got["kind"], n))
-        keys = pc.dictionary_encode(part["key"].combine_chunks())
-        table = tables[n] = Table(keys.dictionary.to_pylist(), start)
-        place = np.array([table.get(k) for k in keys.dictionary.to_pylist()], np.int64)
-        parts.append((place[keys.indices.to_numpy()], [at[x] for x in part["lang"].to_pylist()], part["n"].to_numpy()))
-        kinds += [n] * len(table)
-        start += len(table)
-    logs = np.zeros((start, len(langs)), np.float32)
-    for rows_, langs_, n in parts:
-        np.add.at(logs, (rows_, langs_), n)
-    kinds_, floor = np.array(kinds), np.zeros(len(langs))
-    for n in tables:
-        some = kinds_ == n
-        sums = logs[some].sum(0, dtype=float) + 0.5 * (some.sum() + 1)
-        logs[some] = np.log((logs[some] + 0.5) / sums)
-        if n == 1:
-            floor = np.log(0.5 / sums)
-    return Model(langs, tables, logs, floor)
+    drop(counts)
+    langs = sorted(set(got["lang"].unique().to_pylist()))
+    model = Model(langs, {}, {}, np.zeros(len(langs)))
+    of = np.array([langs.index(x.as_py()) for x in got["lang"].unique()], np.int64)[pc.dictionary_encode(got["lang"].combine_chunks()).indices.to_numpy()] if langs else np.zeros(0, np.int64)
+    kind, key, n = (got[c].to_numpy() for c in ("kind", "key", "n"))
+    for k in kinds:
+        mine = kind == k
+        hashes, place = np.unique(key[mine].view(np.uint64), return_inverse=True)
+        seen = np.zeros((len(hashes), len(langs)))
+        np.add.at(seen, (place, of[mine]), n[mine])
+        sums = seen.sum(0) + 0.5 * (len(hashes) + 1)
+        model.hashes[k], model.logs[k] = hashes, np.log((seen + 0.5) / sums).astype(np.float32)
+        model.floor = np.log(0.5 / sums)  # in the end of single characters
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score (0 to 1).
 
     UNKNOWN with score 0 where the text is null or has no letter, or the model
-    knows no language. Whole texts are read. Repeated rows stay; an empty table
-    gives an empty result; other columns are ignored.
+    knows no language. Of languages with equal sums the first by code point is
+    predicted. Whole texts are read. Repeated rows stay and get the same; null
+    ids stay null; an empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: FIT_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = [m.predict(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            done = 0
+            for part in textops.slices(batch.column(1)):
+                names, scores = m.predict(part)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+                done += len(part)
 
-    src = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
