@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Most rows that a broadcast of hot keys holds: a key is hot only if it has over 1/HOT_ROWS of all rows.
 HOT_ROWS = 4096
+#: Chunks of a key whose sums one task adds up.
+BLOCK = 4096
 
 
 def attach(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
@@ -27,22 +29,35 @@ def attach(left: DataFrame, right: DataFrame, on: list[str], weight: str, total:
     return a.unionByName(b)
 
 
-def chunked_sums(df: DataFrame, by: list[str], order: list[Column], value: Column, total: int, rows: int = 20_000) -> DataFrame:
+def chunked_sums(df: DataFrame, by: list[str], order: list[Column], value: Column, total: int, rows: int = 500) -> DataFrame:
     """Adds `before`: the sum of `value` over the rows of the same key that come earlier.
 
     Rows of a key are dealt by the hash of `order` into chunks of about `rows`
     rows, so that no task holds a whole group; the order is by (chunk, order).
-    `order` must tell rows apart up to rows that are alike.
+    `order` must tell rows apart up to rows that are alike. Chunks are summed in
+    blocks of BLOCK chunks, and the blocks by themselves, so that their sums are
+    in no one task either.
     """
     chunks = 1
     while chunks * rows < total:
         chunks *= 2
     df = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks))).withColumn("_value", value.cast("long"))
-    each = df.groupBy(*by, "_chunk").agg(F.sum("_value").alias("_sum"))
-    # One row a key and chunk: totals / rows of them, however large a group is.
-    run = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    each = each.withColumn("_base", F.coalesce(F.sum("_sum").over(run), F.lit(0))).drop("_sum")
-    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(each[c]) for c in [*by, "_chunk"]])
-    out = df.join(each, same).drop(*[each[c] for c in [*by, "_chunk"]])
+    each = df.groupBy(*by, "_chunk").agg(F.sum("_value").alias("_sum")).withColumn("_block", F.floor(F.col("_chunk") / BLOCK))
+    blocks = each.groupBy(*by, "_block").agg(F.sum("_sum").alias("_sum"))
+
+    def earlier(rows_: DataFrame, part: list[str], at: str, name: str) -> DataFrame:
+        run = W.partitionBy(*part).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+        return rows_.withColumn(name, F.coalesce(F.sum("_sum").over(run), F.lit(0))).drop("_sum")
+
+    each, blocks = earlier(each, [*by, "_block"], "_chunk", "_inner"), earlier(blocks, by, "_block", "_outer")
+    each = _meet(each, blocks, [*by, "_block"]).withColumn("_base", F.col("_inner") + F.col("_outer")).drop("_inner", "_outer", "_block")
     inside = W.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = _meet(df, each, [*by, "_chunk"])
     return out.withColumn("before", F.col("_base") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).drop("_chunk", "_value", "_base")
+
+
+def _meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join where null meets null."""
+    right = right.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return left.join(right, same).drop(*[f"_on_{c}" for c in on])
