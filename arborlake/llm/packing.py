@@ -2,9 +2,9 @@
 
 Fernandez de la Vega and Lueker, "Bin packing can be solved within 1 + epsilon
 in linear time" (1981): large lengths are rounded up within groups of equal
-cardinality, configurations over these few sizes are optimised, the documents
-themselves take the places of their rounded sizes, and small ones go best-fit
-into what is left.
+cardinality, configurations over these few sizes are optimised by a linear
+program (columns by a knapsack), the documents themselves take the places of
+their rounded sizes, and small ones go best-fit into what is left.
 
 The plan needs nothing but how many pieces have each length: at most `capacity`
 numbers, whatever the size of the corpus. Documents meet their places by rank
@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import bisect
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +29,12 @@ from .skew import chunked_sums
 CAPACITY = 1024
 #: Ends each document; of "<|endoftext|>" where a text spells it out.
 END, SPELLED, SPELLED_ID = 2, "<|endoftext|>", 50256
-#: Group counts to plan with (the last: a group for each length); the plan with fewest sequences is taken.
-GROUPS = (64, 256, 1024, 1 << 62)
-#: Lengths of at most capacity / SMALL are small.
-SMALL = 16
+#: Groups of equal cardinality that large lengths are rounded up in.
+GROUPS = 512
+#: Columns that the linear program takes in at most; it ends before at a gap of GAP.
+COLUMNS, GAP = 300, 1e-4
+#: Lengths of at most capacity / SMALL are small; a sequence with over capacity / REOPEN of room is loose.
+SMALL, REOPEN = 4, 16
 
 
 def tokenizer(path: str, pattern: str | None = None):
@@ -140,65 +142,129 @@ def _configurations(sizes: list[int], counts: list[int], capacity: int) -> list[
         out.append((used, times))
 
 
-def _with_groups(counts: dict[int, int], capacity: int, groups: int) -> list[tuple[list[int], int]]:
-    """Runs of sequences alike: (lengths, how many)."""
-    large = sorted((n for n in counts if n > capacity // SMALL and counts[n]), reverse=True)
-    total = sum(counts[n] for n in large)
-    sizes, members = [], []
-    taken = 0
-    for n in large:  # equal cardinality, cut within a length where need be
-        rest = counts[n]
-        while rest:
-            room = (len(sizes) * total + groups - 1) // groups - taken
-            if room <= 0 or not sizes:
-                sizes.append(n)
-                members.append([])
-                room = (len(sizes) * total + groups - 1) // groups - taken
-            x = rest if groups > total else min(rest, max(1, room))
-            members[-1].append([n, x])
-            rest -= x
-            taken += x
-    merged: dict[int, list] = {}
-    for s, m in zip(sizes, members, strict=True):
-        merged.setdefault(s, []).extend(m)
-    sizes = sorted(merged, reverse=True)
-    queue = [merged[s][::-1] for s in sizes]
-    runs = []
-    for used, times in _configurations(sizes, [sum(x for _, x in merged[s]) for s in sizes], capacity):
+def grouped(counts: dict[int, int], groups: int) -> list[list[tuple[int, int]]]:
+    """Groups of (length, count), lengths going down, of the least cardinality that makes `groups` equal ones; a group's size is its first length."""
+    each, out, taken = -(-sum(counts.values()) // groups), [], 0
+    for n in sorted(counts, reverse=True):
+        if not out or taken >= each:
+            out.append([])
+            taken = 0
+        out[-1].append((n, counts[n]))
+        taken += counts[n]
+    return out
+
+
+def _best_column(sizes: list[int], worth: np.ndarray, capacity: int) -> np.ndarray:
+    """The configuration of greatest worth, as a count of each size: an unbounded knapsack."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for i, (n, v) in enumerate(zip(sizes, worth.tolist(), strict=True)):
+        for _ in range(capacity // n if v > 1e-9 else 0):  # each round one more of it
+            more = best[:-n] + v
+            up = more > best[n:] + 1e-12
+            if not up.any():
+                break
+            best[n:][up], last[n:][up] = more[up], i
+    column, room = np.zeros(len(sizes)), int(best.argmax())
+    while last[room] >= 0:
+        column[last[room]] += 1
+        room -= sizes[last[room]]
+    return column
+
+
+class _Basis:
+    """k configurations, as columns, with the inverse of their matrix, and how often each is taken. It begins with single sizes.
+
+    Products are summed plainly: threaded linear algebra is no safe guest in the driver's process.
+    """
+
+    def __init__(self, counts: list[int]):
+        self.columns, self.inverse, self.times = np.eye(len(counts)), np.eye(len(counts)), np.array(counts, float)
+
+    def change(self, column: np.ndarray) -> np.ndarray:
+        return (self.inverse * column).sum(1)
+
+    def enter(self, column: np.ndarray) -> None:
+        """Takes the column in for the one that is used up first as it is taken more."""
+        d = self.change(column)
+        ratio = np.full(len(d), np.inf)
+        np.divide(self.times, d, out=ratio, where=d > 1e-9)
+        out = int(ratio.argmin())
+        self.times = np.maximum(self.times - ratio[out] * d, 0)
+        self.times[out] = ratio[out]
+        self.columns[:, out] = column
+        self.inverse[out] /= d[out]
+        d[out] = 0
+        some = np.flatnonzero(d)
+        self.inverse[some] -= d[some, None] * self.inverse[out]
+
+
+def optimised(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
+    """(indices of sizes, times) that use all counts, with few sequences; sizes go down.
+
+    A linear program over configurations, those of a greedy plan first, by column
+    generation; what its solution has in whole numbers is taken, and the greedy
+    configurations serve the rest.
+    """
+    greedy, k = _configurations(sizes, counts, capacity), len(sizes)
+    if not k:
+        return []
+    basis = _Basis(counts)
+    for used, _ in greedy:
+        column = np.bincount(used, minlength=k).astype(float)
+        if (column * basis.inverse.sum(0)).sum() > 1 + GAP:
+            basis.enter(column)
+    for _ in range(COLUMNS):
+        worth = basis.inverse.sum(0)
+        column = _best_column(sizes, worth, capacity)
+        if (column * worth).sum() <= 1 + GAP:
+            break
+        basis.enter(column)
+    columns = basis.columns.round().astype(int)
+    whole, rest, taken = np.floor(basis.times + 1e-6).astype(int), np.array(counts), []
+    for j in np.argsort(-whole, kind="stable"):  # no more than there is, whatever rounding errors say
+        some = columns[:, j] > 0
+        times = min(int(whole[j]), int((rest[some] // columns[some, j]).min()))
+        if times:
+            rest -= columns[:, j] * times
+            taken.append(([i for i in np.flatnonzero(some).tolist() for _ in range(columns[i, j])], times))
+    both = taken + _configurations(sizes, rest.tolist(), capacity)
+    return min(both, greedy, key=lambda runs: sum(times for _, times in runs))
+
+
+def _substituted(runs: list[tuple[list[int], int]], members: list[list[tuple[int, int]]]) -> list[tuple[list[int], int]]:
+    """(lengths, times): the members of each group, largest first, in the places of their size."""
+    queue, out = [[list(m) for m in group[::-1]] for group in members], []
+    for used, times in runs:
+        need: dict[int, int] = defaultdict(int)
+        for i in used:
+            need[i] += 1
         while times:  # as long as every place takes a document of one length, sequences are alike
-            need: dict[int, int] = defaultdict(int)
-            for i in used:
-                need[i] += 1
-            x = min(times, *(queue[i][-1][1] // n for i, n in need.items())) if all(queue[i][-1][1] >= n for i, n in need.items()) else 0
-            if x:
-                runs.append([[queue[i][-1][0] for i in used], x])
-                for i, n in need.items():
-                    queue[i][-1][1] -= n * x
-                    if not queue[i][-1][1]:
-                        queue[i].pop()
-                times -= x
-            else:  # a place spans two lengths: one sequence by itself
-                one = []
-                for i in used:
-                    one.append(queue[i][-1][0])
-                    queue[i][-1][1] -= 1
-                    if not queue[i][-1][1]:
-                        queue[i].pop()
-                runs.append([one, 1])
-                times -= 1
+            alike = min(times, *(queue[i][-1][1] // n for i, n in need.items()))
+            lengths = []
+            for i in used:  # if a place spans two lengths, one sequence by itself
+                lengths.append(queue[i][-1][0])
+                queue[i][-1][1] -= max(1, alike)
+                if not queue[i][-1][1]:
+                    queue[i].pop()
+            out.append((lengths, max(1, alike)))
+            times -= max(1, alike)
+    return out
+
+
+def _best_fit(kept: list[tuple[list[int], int]], small: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """The kept runs with the small lengths in the fullest sequences that have room, longest first."""
     free: dict[int, list] = defaultdict(list)
-    for r in runs:
-        free[capacity - sum(r[0])].append(r)
+    for lengths, times in kept:
+        free[capacity - sum(lengths)].append([lengths, times])
     rooms = sorted(free)
-    done = []
 
     def put(room: int, run: list) -> None:
         if room not in free:
             bisect.insort(rooms, room)
         free[room].append(run)
 
-    for n in sorted((n for n in counts if n <= capacity // SMALL), reverse=True):
-        rest = counts[n]
+    for n in sorted(small, reverse=True):
+        rest = small[n]
         while rest:
             at = bisect.bisect_left(rooms, n)
             if at == len(rooms):  # nowhere: new sequences filled with this length
@@ -218,14 +284,26 @@ def _with_groups(counts: dict[int, int], capacity: int, groups: int) -> list[tup
                 put(room, [run[0], run[1] - x])
             put(room - each * n, [run[0] + [n] * each, x])
             rest -= each * x
-    return done + [(r[0], r[1]) for rs in free.values() for r in rs]
+    return [(r[0], r[1]) for rs in free.values() for r in rs]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> list[tuple[list[int], int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[list[int], int]]:
     """Runs (lengths in a sequence, number of such sequences) that use each length as often as counts says."""
     counts = {int(n): int(c) for n, c in counts.items() if c}
-    tried = [_with_groups(counts, capacity, g) for g in groups]
-    return min(tried, key=lambda p: sum(x for _, x in p))
+    full = [([capacity], counts[capacity])] if capacity in counts else []
+    members = grouped({n: c for n, c in counts.items() if capacity // SMALL < n < capacity}, groups)
+    runs = _substituted(optimised([g[0][0] for g in members], [sum(c for _, c in g) for g in members], capacity), members)
+    small = Counter({n: c for n, c in counts.items() if n <= min(capacity // SMALL, capacity - 1)})
+    loose = lambda lengths: capacity - sum(lengths) > capacity // REOPEN
+    tried = []
+    # What is not kept goes best-fit: loose sequences; and those without a document of over half, whose pieces may fit beside such.
+    for reopened in (loose, lambda lengths: loose(lengths) or 2 * max(lengths) <= capacity):
+        rest = small.copy()
+        for lengths, times in runs:
+            if reopened(lengths):
+                rest.update({n: k * times for n, k in Counter(lengths).items()})
+        tried.append(_best_fit([r for r in runs if not reopened(r[0])], rest, capacity))
+    return full + min(tried, key=lambda p: sum(times for _, times in p))
 
 
 def _places(runs: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -247,8 +325,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length (1 to capacity).
 
     Every row, repeated ones too, has one place; sequences have no gap. Which of
-    equally long rows takes which place follows a hash of (doc_id, piece). An
-    empty table gives an empty result. Other columns are kept.
+    equally long rows takes which place follows a hash of (doc_id, piece), then
+    doc_id, piece and start; rows alike in all take places in any order. Null ids
+    are ids like others. An empty table gives an empty result. Other columns are kept.
     """
     spark = parts.sparkSession
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
