@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; a fresh one only where none is set."""
+    """A reliable checkpoint in the folder of spark.checkpoint.dir.
+
+    Where none is set, a fresh local folder, which only a local master can share; elsewhere that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-settle-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a shared folder")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="spark-settle-"))
     return df.checkpoint()

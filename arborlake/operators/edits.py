@@ -2,6 +2,8 @@
 
 edits(batch_id, seq, doc_id, expected_version, op, node_id, position, anchor_id, name):
 op insert, delete, move or set_attribute; position first_child, last_child, before or after (of anchor_id).
+A set_attribute puts `name` at `key` (a column of the edits, if they have it). Node tables may have further
+columns: what an edit does not name stays, and is null in inserted nodes.
 """
 
 from __future__ import annotations
@@ -9,20 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.settle import settle
+from .tree import sibling_runs, with_paths
 
 POSITIONS = ("first_child", "last_child", "before", "after")
-CORE = ["doc_id", "node_id", "parent_id", "child_index", "kind", "role", "name"]
+#: Columns that follow from the others: edits leave them out, tree.with_paths makes them.
+PATHS = ("ord_path", "anc_ids", "depth")
 
 
-def preflight(edits: DataFrame, nodes: DataFrame, versions: DataFrame) -> DataFrame:
+def plain(nodes: DataFrame) -> DataFrame:
+    return nodes.drop(*PATHS)
+
+
+def preflight(edits: DataFrame, nodes: DataFrame, versions: DataFrame | None = None) -> DataFrame:
     """All errors of all edits: (batch_id, seq, code). A batch without any may be applied."""
     ids = nodes.select("doc_id", "node_id", F.lit(True).alias("known"), "anc_ids", "parent_id")
     target = edits.join(ids.select("doc_id", "node_id", F.col("known").alias("has_node")), ["doc_id", "node_id"], "left")
     target = target.join(ids.select("doc_id", F.col("node_id").alias("anchor_id"), F.col("known").alias("has_anchor"), F.col("anc_ids").alias("up"), F.col("parent_id").alias("anchor_parent")), ["doc_id", "anchor_id"], "left")
-    target = target.join(versions, "doc_id", "left")
     places = F.col("op").isin("insert", "move")
     tests = {
-        "STALE_VERSION": ~F.col("expected_version").eqNullSafe(F.col("version")),
         "NODE_ID_CONFLICT": (F.col("op") == "insert") & F.col("has_node").isNotNull(),
         "UNKNOWN_NODE": (F.col("op") != "insert") & F.col("has_node").isNull(),
         "UNKNOWN_ANCHOR": places & F.col("has_anchor").isNull(),
@@ -30,6 +36,9 @@ def preflight(edits: DataFrame, nodes: DataFrame, versions: DataFrame) -> DataFr
         "NO_SIBLINGS_OF_ROOT": places & F.col("position").isin("before", "after") & F.col("has_anchor").isNotNull() & F.col("anchor_parent").isNull(),
         "CYCLE": (F.col("op") == "move") & (F.array_contains("up", F.col("node_id")) | (F.col("anchor_id") == F.col("node_id"))),
     }
+    if versions is not None:
+        target = target.join(versions, "doc_id", "left")
+        tests = {"STALE_VERSION": ~F.col("expected_version").eqNullSafe(F.col("version")), **tests}
     codes = F.array_compact(F.array(*[F.when(t, F.lit(code)) for code, t in tests.items()]))
     return target.select("batch_id", "seq", F.explode(codes).alias("code"))
 
@@ -55,55 +64,142 @@ def _renumber(nodes: DataFrame) -> DataFrame:
 
 def insert(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     new = _placed(edits.where("op = 'insert'"), nodes).select("doc_id", "node_id", F.col("new_parent").alias("parent_id"), F.lit("inserted").alias("kind"), F.lit("node").alias("role"), "name", "sort_key")
-    old = nodes.select(CORE).withColumn("sort_key", _key(F.col("child_index")).cast(new.schema["sort_key"].dataType)).drop("child_index")
-    return _renumber(old.unionByName(new)).select(CORE)
+    old = plain(nodes).withColumn("sort_key", _key(F.col("child_index")).cast(new.schema["sort_key"].dataType))
+    return _renumber(old.unionByName(new, allowMissingColumns=True)).select(plain(nodes).columns)
+
+
+def below(nodes: DataFrame, tops: DataFrame, itself: bool = True) -> DataFrame:
+    """(doc_id, node_id) of the nodes below those of tops(doc_id, node_id); nodes needs anc_ids."""
+    up = F.concat("anc_ids", F.array("node_id")) if itself else F.col("anc_ids")
+    tops = tops.select("doc_id", F.col("node_id").alias("_a"))
+    return nodes.select("doc_id", "node_id", F.explode(up).alias("_a")).join(tops, ["doc_id", "_a"], "left_semi").select("doc_id", "node_id").distinct()
 
 
 def delete(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     """Without the nodes and all below them; nodes needs anc_ids."""
-    gone = edits.where("op = 'delete'").select("doc_id", F.col("node_id").alias("_a"))
-    hit = nodes.select("doc_id", "node_id", F.explode(F.concat("anc_ids", F.array("node_id"))).alias("_a")).join(gone, ["doc_id", "_a"], "left_semi").select("doc_id", "node_id").distinct()
-    left = nodes.join(hit, ["doc_id", "node_id"], "left_anti").select(CORE)
-    return _renumber(left.withColumn("sort_key", F.col("child_index"))).select(CORE)
+    left = plain(nodes).join(below(nodes, edits.where("op = 'delete'")), ["doc_id", "node_id"], "left_anti")
+    return _renumber(left.withColumn("sort_key", F.col("child_index"))).select(plain(nodes).columns)
 
 
 def move(nodes: DataFrame, edits: DataFrame) -> DataFrame:
-    """Ids stay; what is below a node goes with it, as only its own parent changes."""
+    """Ids stay; what is below a node goes with it, as only its own parent changes. Several nodes moved to one place keep the order of seq."""
     to = _placed(edits.where("op = 'move'"), nodes).select("doc_id", "node_id", "new_parent", "sort_key")
     kind = to.schema["sort_key"].dataType
-    j = nodes.select(CORE).join(to, ["doc_id", "node_id"], "left")
+    j = plain(nodes).join(to, ["doc_id", "node_id"], "left")
     j = j.withColumn("parent_id", F.coalesce("new_parent", "parent_id")).withColumn("sort_key", F.coalesce("sort_key", _key(F.col("child_index")).cast(kind)))
-    return _renumber(j.drop("new_parent")).select(CORE)
+    return _renumber(j).select(plain(nodes).columns)
+
+
+def move_block(nodes: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Moves (batch_id, seq, doc_id, node_id, position, anchor_id) of whole runs of siblings; the nodes after it, and the batches that are refused.
+
+    A batch is one run: adjacent siblings in the order of seq, all with one anchor that is none of them nor below them.
+    """
+    e = edits.withColumn("request_id", F.col("batch_id"))
+    bad = sibling_runs(nodes, e).where("not contiguous").select(F.col("request_id").alias("batch_id"), F.lit("NOT_A_RUN").alias("code"))
+    up = nodes.select("doc_id", F.col("node_id").alias("anchor_id"), F.concat("anc_ids", F.array("node_id")).alias("_up"))
+    inside = e.join(up, ["doc_id", "anchor_id"], "left").where(F.col("_up").isNull() | F.array_contains("_up", F.col("node_id")))
+    bad = bad.unionByName(inside.select("batch_id", F.when(F.col("_up").isNull(), "UNKNOWN_ANCHOR").otherwise("CYCLE").alias("code"))).distinct()
+    good = edits.join(bad.select("batch_id"), "batch_id", "left_anti")
+    return move(nodes, good.withColumn("op", F.lit("move"))), bad
 
 
 def set_attribute(nodes: DataFrame, edits: DataFrame, key: str) -> DataFrame:
-    """fields[key] = the edit's name; primitive values only."""
-    e = edits.where("op = 'set_attribute'").select("doc_id", "node_id", F.col("name").alias("_v"))
-    kept = F.map_filter("fields", lambda k, v: k != key)
-    return nodes.join(e, ["doc_id", "node_id"], "left").withColumn("fields", F.when(F.col("_v").isNotNull(), F.map_concat(kept, F.create_map(F.lit(key), "_v"))).otherwise(F.col("fields"))).drop("_v")
+    """fields[key] = the edit's name; primitive values only. An edit's own `key` goes before."""
+    own = F.coalesce("key", F.lit(key)) if "key" in edits.columns else F.lit(key)
+    e = edits.where("op = 'set_attribute'").select("doc_id", "node_id", own.alias("_k"), F.col("name").alias("_v"))
+    old = F.coalesce("fields", F.create_map().cast("map<string, string>"))
+    new = F.map_concat(F.map_filter(old, lambda k, v: k != F.col("_k")), F.create_map("_k", "_v"))
+    return nodes.join(e, ["doc_id", "node_id"], "left").withColumn("fields", F.when(F.col("_k").isNotNull(), new).otherwise(F.col("fields"))).select(nodes.columns)
+
+
+def set_body(nodes: DataFrame, bodies: DataFrame, children: DataFrame | None = None) -> DataFrame:
+    """bodies(doc_id, node_id, content): the nodes keep their ids, get the content and lose all below them.
+
+    children(doc_id, node_id, parent_id, child_index, ...) are then put below them. nodes needs anc_ids.
+    """
+    gone = below(nodes, bodies, itself=False)
+    left = plain(nodes).join(gone, ["doc_id", "node_id"], "left_anti")
+    new = bodies.select("doc_id", "node_id", F.col("content").alias("_c"), F.lit(True).alias("_t"))
+    left = left.join(new, ["doc_id", "node_id"], "left").withColumn("content", F.when(F.col("_t"), F.col("_c")).otherwise(F.col("content"))).select(plain(nodes).columns)
+    return left if children is None else left.unionByName(children, allowMissingColumns=True).select(plain(nodes).columns)
+
+
+def apply_subtrees(nodes: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Puts edited copies of subtrees back over their origins; the nodes after it, and (doc_id, root_id, code) of the copies that are refused.
+
+    copies: rows of nodes with `root_id`, the origin's root, which is in the copy and keeps its place. A copy is
+    refused if its root isn't in the document or in the copy, or if one of its ids is a node's outside of the origin.
+    """
+    tops = copies.select("doc_id", F.col("root_id").alias("node_id")).distinct()
+    at = nodes.join(tops, ["doc_id", "node_id"], "left_semi").select("doc_id", F.col("node_id").alias("root_id"), F.col("parent_id").alias("_p"), F.col("child_index").alias("_i"))
+    known = copies.where("node_id = root_id").select("doc_id", "root_id").join(at, ["doc_id", "root_id"])
+    lost = tops.select("doc_id", F.col("node_id").alias("root_id")).join(known, ["doc_id", "root_id"], "left_anti").withColumn("code", F.lit("UNKNOWN_NODE"))
+    here = nodes.select("doc_id", "node_id", F.concat("anc_ids", F.array("node_id")).alias("_up"))
+    clash = copies.join(here, ["doc_id", "node_id"]).where(~F.array_contains("_up", F.col("root_id"))).select("doc_id", "root_id", F.lit("NODE_ID_CONFLICT").alias("code"))
+    bad = lost.unionByName(clash).distinct()
+    good = known.join(bad, ["doc_id", "root_id"], "left_anti")
+    gone = below(nodes, good.select("doc_id", F.col("root_id").alias("node_id")))
+    new = copies.join(good, ["doc_id", "root_id"])
+    top = F.col("node_id") == F.col("root_id")
+    new = new.withColumn("parent_id", F.when(top, F.col("_p")).otherwise(F.col("parent_id"))).withColumn("child_index", F.when(top, F.col("_i")).otherwise(F.col("child_index")))
+    columns = plain(nodes).columns
+    return plain(nodes).join(gone, ["doc_id", "node_id"], "left_anti").unionByName(new.select([c for c in columns if c in new.columns]), allowMissingColumns=True).select(columns), bad
+
+
+def transaction(nodes: DataFrame, edits: DataFrame, versions: DataFrame, key: str = "status") -> tuple[DataFrame, DataFrame]:
+    """Applies batches of edits; the nodes after it, and versions: one more for each batch that changed a document.
+
+    Batches of a document follow each other by batch_id, and each finds the version that the last one left: a
+    batch whose expected_version is another is refused. Within a batch edits go in the order of seq, each checked
+    against what the ones before have made; a batch with any error leaves no trace. See transaction_report.
+    """
+    now, versions, _ = transaction_report(nodes, edits, versions, key)
+    return now, versions
 
 
-def transaction(nodes: DataFrame, edits: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Applies all batches without errors, op by op in waves of seq; the nodes after it, and versions: one more for each touched document.
+def transaction_report(nodes: DataFrame, edits: DataFrame, versions: DataFrame, key: str = "status") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """transaction() and the errors (batch_id, seq, code), for each refused batch those of the first edits that fail.
 
-    Within a batch later edits see earlier ones. A batch with any error leaves no trace.
+    There are as many rounds as the most batches that wait for each other, and in a round as many waves as its
+    longest batch has edits. Only documents that a round's batches name are in its waves; all others are as they were.
     """
-    from .tree import with_paths
-
-    bad = preflight(edits, nodes, versions).select("batch_id").distinct()
-    good = settle(edits.join(bad, "batch_id", "left_anti"))
-    last = good.agg(F.max("seq").alias("n")).first().n
-    now = nodes
-    for seq in range((last or 0) + 1):  # as many waves as the longest batch has edits
-        wave = good.where(F.col("seq") == seq)
-        ops = {r.op for r in wave.select("op").distinct().collect()}
-        for op, apply in (("delete", delete), ("move", move), ("insert", insert)):
-            if op in ops:
-                now = apply(now, wave)
-        if ops:
-            now = settle(with_paths(now))
-    touched = good.select("doc_id").distinct().withColumn("_t", F.lit(1))
-    return now, versions.join(touched, "doc_id", "left").select("doc_id", (F.col("version") + F.coalesce("_t", F.lit(0))).alias("version"))
+    spark, paths = nodes.sparkSession, [c for c in PATHS if c in nodes.columns]
+    step = F.row_number().over(W.partitionBy("batch_id").orderBy("seq"))
+    open_ = settle(edits.withColumn("_step", step))
+    touched = open_.select("doc_id").distinct()
+    same, work = nodes.join(touched, "doc_id", "left_anti"), settle(nodes.join(touched, "doc_id", "left_semi"))
+    versions = settle(versions.select("doc_id", "version"))
+    errors = spark.createDataFrame([], edits.select("batch_id", "seq").schema.add("code", "string"))
+    while not open_.isEmpty():
+        # Ready: the first batch of all its documents.
+        first = open_.groupBy("doc_id").agg(F.min("batch_id").alias("_first"))
+        each = open_.select("batch_id", "doc_id").distinct().join(first, "doc_id")
+        ready = each.groupBy("batch_id").agg(F.bool_and(F.col("batch_id") == F.col("_first")).alias("_ready")).where("_ready").select("batch_id")
+        now = settle(open_.join(ready, "batch_id", "left_semi"))
+        open_ = settle(open_.join(ready, "batch_id", "left_anti"))
+        stale = now.join(versions, "doc_id", "left").where(~F.col("expected_version").eqNullSafe(F.col("version"))).select("batch_id", "seq", F.lit("STALE_VERSION").alias("code"))
+        bad = settle(stale)
+        docs = now.select("batch_id", "doc_id").distinct()
+        trees = work
+        for wave in range(1, (now.agg(F.max("_step").alias("n")).first().n or 0) + 1):
+            live = now.where(F.col("_step") == wave).join(bad.select("batch_id"), "batch_id", "left_anti").drop("_step")
+            mine = settle(trees.join(live.select("doc_id").distinct(), "doc_id", "left_semi"))  # what this wave can change
+            found = settle(preflight(live, mine))
+            bad = settle(bad.unionByName(found))
+            live = live.join(found.select("batch_id"), "batch_id", "left_anti")
+            new = delete(mine, live)
+            new = insert(move(new, live), live)
+            new = set_attribute(new, live, key) if "fields" in new.columns else new
+            new = with_paths(new).select(nodes.columns) if paths else new
+            trees = settle(trees.join(live.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new.join(live.select("doc_id").distinct(), "doc_id", "left_semi")))
+        # Documents of refused batches are as before the round.
+        back = docs.join(bad.select("batch_id"), "batch_id", "left_semi").select("doc_id").distinct()
+        good = docs.join(back, "doc_id", "left_anti").select("doc_id", F.lit(1).alias("_t"))
+        work = settle(trees.join(back, "doc_id", "left_anti").unionByName(work.join(back, "doc_id", "left_semi")))
+        versions = settle(versions.join(good, "doc_id", "left").select("doc_id", (F.col("version") + F.coalesce("_t", F.lit(0))).alias("version")))
+        errors = errors.unionByName(bad)
+    return same.unionByName(work), versions, errors
 
 
 def copy_subtrees(nodes: DataFrame, roots: DataFrame, copy_id: str) -> DataFrame:

@@ -33,28 +33,42 @@ def asymmetric_edges(children: DataFrame, parents: DataFrame) -> DataFrame:
 def unresolved_references(refs: DataFrame, nodes: DataFrame, loaded: DataFrame) -> DataFrame:
     """refs with status resolved, not_loaded (its document isn't here) or missing (it is, the node is not)."""
     n = nodes.select(F.col("doc").alias("target_doc"), F.col("node").alias("target_node"), F.lit(True).alias("_n"))
-    j = refs.join(n, ["target_doc", "target_node"], "left").join(F.broadcast(loaded.select(F.col("doc").alias("target_doc"), F.lit(True).alias("_d"))), "target_doc", "left")
+    j = refs.join(n, ["target_doc", "target_node"], "left").join(loaded.select(F.col("doc").alias("target_doc"), F.lit(True).alias("_d")), "target_doc", "left")
     return j.withColumn("status", F.when(F.col("_n"), "resolved").when(F.col("_d").isNull(), "not_loaded").otherwise("missing")).drop("_n", "_d")
 
 
-def nodes_in_cycles(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """Of (doc_id, node_id, parent_id) what is left when nodes without a parent or without a child here are taken off, again and again: nodes of and between cycles.
+def nodes_in_cycles(edges: DataFrame) -> DataFrame:
+    """Of (doc_id, node_id, parent_id) the nodes of cycles and, if nodes have several parents, those between cycles.
 
+    With one parent a node, by pointer doubling: what every node comes to after enough steps up is a root or
+    the cycle. Else nodes without a parent or without a child here are taken off until none is left to take.
     Each round is written out, so that plans stay short.
     """
-    left = edges.where("parent_id is not null")
+    up = settle(edges.where("parent_id is not null").select("doc_id", "node_id", "parent_id").distinct())
+    one = up.groupBy("doc_id", "node_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return _rows(_cycles_of_one_parent(up) if one else _peeled(up), "CYCLE")
+
+
+def _cycles_of_one_parent(up: DataFrame) -> DataFrame:
+    n = None
+    while True:
+        ends = up.select("doc_id", F.col("parent_id").alias("node_id")).distinct()
+        before, n = n, ends.count()
+        if n in (before, 0):  # what is come to gets less until it is the cycles alone
+            return ends
+        next_ = up.select("doc_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("_next"))
+        up = settle(up.join(next_, ["doc_id", "parent_id"]).select("doc_id", "node_id", F.col("_next").alias("parent_id")))
+
+
+def _peeled(left: DataFrame) -> DataFrame:
     n = left.count()
-    for _ in range(rounds):
-        if not n:
-            break
+    while n:
         ids, ups = left.select("doc_id", F.col("node_id").alias("parent_id")), left.select("doc_id", F.col("parent_id").alias("node_id"))
-        left = left.join(ids, ["doc_id", "parent_id"], "left_semi").join(ups, ["doc_id", "node_id"], "left_semi")
-        left = settle(left)
-        now = left.count()
-        if now == n:
+        left = settle(left.join(ids, ["doc_id", "parent_id"], "left_semi").join(ups, ["doc_id", "node_id"], "left_semi"))
+        before, n = n, left.count()
+        if n == before:
             break
-        n = now
-    return _rows(left, "CYCLE")
+    return left
 
 
 def stale_generations(refs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -4,26 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.settle import settle
+
+
 def doc_order():
     return W.partitionBy("doc_id").orderBy("ord_path")
 
 
-def with_paths(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """From (doc_id, node_id, parent_id, child_index): adds ord_path, anc_ids and depth, level by level.
+def with_paths(edges: DataFrame) -> DataFrame:
+    """From (doc_id, node_id, parent_id, child_index): adds ord_path, anc_ids and depth; other columns are kept.
 
-    Each level is one join of the nodes whose parent was placed in the last; nodes in cycles are not placed.
+    By pointer doubling: each round joins the paths of nodes with those of the
+    nodes that they begin at, so that a tree of depth d takes log(d) rounds, of
+    which each is written out. Nodes that no root is above, in or below cycles
+    or below a missing parent, are not placed.
     """
-    from functools import reduce
-
-    level = edges.where("parent_id is null").withColumn("ord_path", F.array(F.col("child_index"))).withColumn("anc_ids", F.array().cast("array<string>")).withColumn("depth", F.lit(0))
-    levels = [level]
-    for depth in range(1, rounds):
-        above = level.select("doc_id", F.col("node_id").alias("parent_id"), F.col("ord_path").alias("_p"), F.col("anc_ids").alias("_a"))
-        level = edges.join(above, ["doc_id", "parent_id"]).select(edges.columns + [F.concat("_p", F.array("child_index")).alias("ord_path"), F.concat("_a", F.array("parent_id")).alias("anc_ids"), F.lit(depth).alias("depth")])
-        if level.isEmpty():
+    columns, state = edges.columns, ["_up", "ord_path", "anc_ids"]
+    root = F.col("parent_id").isNull()
+    none = F.array().cast("array<string>")
+    now = edges.withColumn("_up", F.col("parent_id")).withColumn("ord_path", F.array("child_index")).withColumn("anc_ids", F.when(root, none).otherwise(F.array("parent_id")))
+    now = settle(now.select(*columns, *state))
+    done, open_ = now.where("_up is null"), now.where("_up is not null")
+    left = open_.count()
+    while left:
+        above = done.unionByName(open_).select("doc_id", F.col("node_id").alias("_up"), F.col("_up").alias("_next"), F.col("ord_path").alias("_p"), F.col("anc_ids").alias("_a"))
+        longer = open_.join(above, ["doc_id", "_up"])
+        now = settle(longer.select(*columns, F.col("_next").alias("_up"), F.concat("_p", "ord_path").alias("ord_path"), F.concat("_a", "anc_ids").alias("anc_ids")))
+        done, open_ = done.unionByName(now.where("_up is null")), now.where("_up is not null")
+        before, left = left, open_.count()
+        if left == before:  # trees have nodes at each depth: none has come to an end, so none will
             break
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+    return done.withColumn("depth", F.size("anc_ids")).drop("_up")
 
 
 def preorder(nodes: DataFrame) -> DataFrame:

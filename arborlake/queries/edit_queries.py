@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..operators import edits as E, integrity as I
 from ..sources.catalog import SQL, catalog_nodes, table
@@ -13,11 +13,11 @@ CHILDREN = "SELECT doc_id, node_id, parent_id, child_index"
 
 
 def edits(spark, d):
-    """One edit a customer whose key mod 10 is below 4; stale where mod 97 is 0, in a wrong place where mod 89 is 0."""
-    c = table(spark, d, "customer").where("c_custkey % 10 < 4").join(table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("z")), "c_custkey")
+    """One edit a customer with orders, its kind by the key mod 4; stale where mod 97 is 0, in a wrong place where mod 89 is 0."""
+    c = table(spark, d, "customer").join(table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("z")), "c_custkey")
     k = F.col("c_custkey")
     o = lambda x: F.concat(F.lit("o:"), F.col(x).cast("string"))
-    op = F.when(k % 10 == 0, "insert").when(k % 10 == 1, "delete").when(k % 10 == 2, "move").otherwise("set_attribute")
+    op = F.when(k % 4 == 0, "insert").when(k % 4 == 1, "delete").when(k % 4 == 2, "move").otherwise("set_attribute")
     return c.select(
         k.alias("batch_id"), F.lit(0).cast("long").alias("seq"), k.alias("doc_id"), F.when(k % 97 == 0, 7).otherwise(1).alias("expected_version"), op.alias("op"),
         F.when(op == "insert", F.concat(F.lit("new:"), k.cast("string"))).otherwise(o("a")).alias("node_id"), F.when(k % 89 == 0, "inside").when(op == "insert", "first_child").otherwise("after").alias("position"),
@@ -34,8 +34,8 @@ def clean(spark, d):
     return e.join(E.preflight(e, catalog_nodes(spark, d), versions(spark, d)).select("batch_id").distinct(), "batch_id", "left_anti")
 
 
-EDITS = """e_ AS (SELECT c_custkey AS k, min(o_orderkey) AS a, max(o_orderkey) AS z FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 10 < 4 GROUP BY 1),
-bad AS (SELECT k, CASE WHEN k % 97 = 0 THEN 'STALE_VERSION' END AS b1, CASE WHEN k % 89 = 0 AND k % 10 IN (0, 2) THEN 'BAD_POSITION' END AS b2, CASE WHEN k % 10 = 2 AND a = z THEN 'CYCLE' END AS b3 FROM e_),
+EDITS = """e_ AS (SELECT c_custkey AS k, min(o_orderkey) AS a, max(o_orderkey) AS z FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+bad AS (SELECT k, CASE WHEN k % 97 = 0 THEN 'STALE_VERSION' END AS b1, CASE WHEN k % 89 = 0 AND k % 4 IN (0, 2) THEN 'BAD_POSITION' END AS b2, CASE WHEN k % 4 = 2 AND a = z THEN 'CYCLE' END AS b3 FROM e_),
 good AS (SELECT e_.* FROM e_ JOIN bad USING (k) WHERE b1 IS NULL AND b2 IS NULL AND b3 IS NULL)"""
 LEFT = "child_index + 0.0 AS s"
 
@@ -45,51 +45,68 @@ def i12_preflight(spark, d):
     return E.preflight(edits(spark, d), catalog_nodes(spark, d), versions(spark, d))
 
 
-@query(f"""{WITH}, {EDITS}, n AS (SELECT doc_id, node_id, parent_id, {LEFT} FROM nodes UNION ALL SELECT k, 'new:' || k, 'c:' || k, -1 FROM good WHERE k % 10 = 0)
+@query(f"""{WITH}, {EDITS}, n AS (SELECT doc_id, node_id, parent_id, {LEFT} FROM nodes UNION ALL SELECT k, 'new:' || k, 'c:' || k, -1 FROM good WHERE k % 4 = 0)
 SELECT doc_id, node_id, parent_id, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY s, node_id) - 1 AS child_index FROM n""")
 def i1_insert(spark, d):
     return E.insert(catalog_nodes(spark, d), clean(spark, d)).select("doc_id", "node_id", "parent_id", "child_index")
 
 
-@query(f"""{WITH}, {EDITS}, g AS (SELECT k AS doc_id, 'o:' || a AS x FROM good WHERE k % 10 = 1)
-SELECT doc_id, node_id, parent_id, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY child_index) - 1 AS child_index FROM nodes n
-WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = n.doc_id AND (n.node_id = x OR list_contains(n.anc_ids, x)))""")
-def i2_delete(spark, d):
-    return E.delete(catalog_nodes(spark, d), clean(spark, d)).select("doc_id", "node_id", "parent_id", "child_index")
+def batches(spark, d):
+    """Three edits a customer: that of edits(), then a node put last below the root, then an attribute of this new node."""
+    e = edits(spark, d)
+    own = F.concat(F.lit("last:"), F.col("doc_id").cast("string"))
+    second = e.withColumn("seq", F.lit(1).cast("long")).withColumn("op", F.lit("insert")).withColumn("node_id", own).withColumn("position", F.lit("last_child")).withColumn("anchor_id", F.concat(F.lit("c:"), F.col("doc_id").cast("string")))
+    third = second.withColumn("seq", F.lit(2).cast("long")).withColumn("op", F.lit("set_attribute"))
+    return e.unionByName(second).unionByName(third)
 
 
-@query(f"""{WITH}, {EDITS}, m AS (SELECT k AS doc_id, 'o:' || a AS node_id FROM good WHERE k % 10 = 2)
-SELECT n.doc_id, n.node_id, parent_id, row_number() OVER (PARTITION BY n.doc_id, parent_id ORDER BY CASE WHEN m.node_id IS NOT NULL THEN 1000000 ELSE child_index END) - 1 AS child_index FROM nodes n LEFT JOIN m USING (doc_id, node_id)""")
-def i4_move(spark, d):
-    return E.move(catalog_nodes(spark, d), clean(spark, d)).select("doc_id", "node_id", "parent_id", "child_index")
+@query(f"""{WITH}, {EDITS}, g AS (SELECT k AS doc_id, 'o:' || a AS x FROM good WHERE k % 4 = 1), m AS (SELECT k AS doc_id, 'o:' || a AS node_id FROM good WHERE k % 4 = 2), t AS (SELECT k AS doc_id, 'o:' || a AS node_id FROM good WHERE k % 4 = 3),
+n AS (SELECT n.doc_id, n.node_id, n.parent_id, CASE WHEN m.node_id IS NOT NULL THEN 1000000 ELSE child_index END + 0.0 AS s, CASE WHEN t.node_id IS NOT NULL THEN 'edited' ELSE fields['status'] END AS status, content FROM nodes n LEFT JOIN m USING (doc_id, node_id) LEFT JOIN t USING (doc_id, node_id)
+  LEFT JOIN g ON g.doc_id = n.doc_id AND (n.node_id = x OR n.parent_id = x) WHERE x IS NULL UNION ALL SELECT k, 'new:' || k, 'c:' || k, -1, NULL, NULL FROM good WHERE k % 4 = 0 UNION ALL SELECT k, 'last:' || k, 'c:' || k, 2000000, 'edited', NULL FROM good)
+SELECT doc_id, node_id, parent_id, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY s, node_id) - 1 AS child_index, status, content FROM n""")
+def i13_batch_transaction(spark, d):
+    now, _ = E.transaction(catalog_nodes(spark, d), batches(spark, d), versions(spark, d))
+    return now.select("doc_id", "node_id", "parent_id", "child_index", F.element_at("fields", "status").alias("status"), "content")
 
 
-@query(f"""{WITH}, {EDITS}, s AS (SELECT k AS doc_id, 'o:' || a AS node_id FROM good WHERE k % 10 = 3)
-SELECT n.doc_id, n.node_id, CASE WHEN s.node_id IS NOT NULL THEN 'edited' ELSE fields['status'] END AS status, fields['priority'] AS priority FROM nodes n LEFT JOIN s USING (doc_id, node_id) WHERE depth = 1""")
-def i9_set_attribute(spark, d):
-    n = E.set_attribute(catalog_nodes(spark, d), clean(spark, d), "status").where("depth = 1")
-    return n.select("doc_id", "node_id", F.element_at("fields", "status").alias("status"), F.element_at("fields", "priority").alias("priority"))
+@query(f"{WITH}, {EDITS} SELECT c_custkey AS doc_id, CASE WHEN k IS NULL THEN 1 ELSE 2 END AS version FROM customer LEFT JOIN good ON k = c_custkey")
+def i13_versions(spark, d):
+    return E.transaction(catalog_nodes(spark, d), batches(spark, d), versions(spark, d))[1]
 
 
-@query(f"""{WITH}, {EDITS}, g AS (SELECT k AS doc_id, 'o:' || a AS x FROM good WHERE k % 10 = 1), m AS (SELECT k AS doc_id, 'o:' || a AS node_id FROM good WHERE k % 10 = 2),
-n AS (SELECT n.doc_id, n.node_id, n.parent_id, CASE WHEN m.node_id IS NOT NULL THEN 1000000 ELSE child_index END + 0.0 AS s FROM nodes n LEFT JOIN m USING (doc_id, node_id)
-  WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = n.doc_id AND (n.node_id = x OR list_contains(n.anc_ids, x))) UNION ALL SELECT k, 'new:' || k, 'c:' || k, -1 FROM good WHERE k % 10 = 0)
-SELECT doc_id, node_id, parent_id, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY s, node_id) - 1 AS child_index FROM n""")
-def i13_batch_transaction(spark, d):
-    now, _ = E.transaction(catalog_nodes(spark, d), edits(spark, d), versions(spark, d))
-    return now.select("doc_id", "node_id", "parent_id", "child_index")
+@query(f"""{WITH}, m AS (SELECT doc_id, node_id, child_index FROM nodes WHERE depth = 1 AND child_index < 2), z AS (SELECT doc_id, max(child_index) AS z FROM nodes WHERE depth = 1 GROUP BY doc_id HAVING max(child_index) >= 2)
+SELECT n.doc_id, n.node_id, n.parent_id, row_number() OVER (PARTITION BY n.doc_id, n.parent_id ORDER BY CASE WHEN depth = 1 AND n.child_index < 2 AND z IS NOT NULL THEN 1000000 + n.child_index ELSE n.child_index END) - 1 AS child_index FROM nodes n LEFT JOIN z USING (doc_id)""")
+def i5_block_move(spark, d):
+    n = catalog_nodes(spark, d)
+    last = n.where("depth = 1").groupBy("doc_id").agg(F.max_by("node_id", "child_index").alias("anchor_id"))
+    e = n.where("depth = 1 and child_index < 2").join(last, "doc_id").select(F.col("doc_id").alias("batch_id"), F.col("child_index").cast("long").alias("seq"), "doc_id", "node_id", F.lit("after").alias("position"), "anchor_id")
+    return E.move_block(n, e)[0].select("doc_id", "node_id", "parent_id", "child_index")
 
 
-@query(f"{WITH}, {EDITS} SELECT c_custkey AS doc_id, CASE WHEN c_custkey IN (SELECT k FROM good) THEN 2 ELSE 1 END AS version FROM customer")
-def i13_versions(spark, d):
-    bad = E.preflight(edits(spark, d), catalog_nodes(spark, d), versions(spark, d)).select("batch_id").distinct()
-    good = edits(spark, d).join(bad, "batch_id", "left_anti").select("doc_id").distinct().withColumn("t", F.lit(1))
-    return versions(spark, d).join(good, "doc_id", "left").select("doc_id", (F.col("version") + F.coalesce("t", F.lit(0))).alias("version"))
+@query(f"""{WITH} SELECT doc_id, node_id, parent_id, child_index, CASE WHEN depth = 1 AND child_index = 0 THEN 'body of ' || name ELSE content END AS content FROM nodes n
+WHERE NOT (depth = 2 AND ord_path[2] = 0) UNION ALL SELECT doc_id, 'part:' || node_id, node_id, 0, 'a part' FROM nodes WHERE depth = 1 AND child_index = 0""")
+def i10_set_body(spark, d):
+    n = catalog_nodes(spark, d)
+    first = n.where("depth = 1 and child_index = 0")
+    bodies = first.select("doc_id", "node_id", F.concat(F.lit("body of "), "name").alias("content"))
+    parts = first.select("doc_id", F.concat(F.lit("part:"), "node_id").alias("node_id"), F.col("node_id").alias("parent_id"), F.lit(0).alias("child_index"), F.lit("a part").alias("content"))
+    return E.set_body(n, bodies, parts).select("doc_id", "node_id", "parent_id", "child_index", "content")
+
+
+@query(f"""{WITH} SELECT doc_id, CASE WHEN depth = 2 AND ord_path[2] = 0 AND doc_id % 7 <> 0 THEN 'e:' || node_id ELSE node_id END AS node_id, parent_id, child_index, CASE WHEN ord_path[2] = 0 AND depth > 0 AND doc_id % 7 <> 0 THEN upper(name) ELSE name END AS name FROM nodes""")
+def i8_apply_subtree(spark, d):
+    n = catalog_nodes(spark, d)
+    sub = n.where("depth > 0 and ord_path[1] = 0")
+    root = F.when(F.col("depth") == 1, F.col("node_id")).otherwise(F.col("parent_id"))
+    # Where the key mod 7 is 0 a leaf takes the id of the document's root: refused whole.
+    own = F.when(F.col("depth") == 1, F.col("node_id")).when((F.col("doc_id") % 7 == 0) & (F.col("child_index") == 0), F.concat(F.lit("c:"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("e:"), "node_id"))
+    copies = sub.select("doc_id", root.alias("root_id"), own.alias("node_id"), "parent_id", "child_index", F.upper("name").alias("name"))
+    return E.apply_subtrees(n, copies)[0].select("doc_id", "node_id", "parent_id", "child_index", "name")
 
 
-@query(f"{WITH} SELECT doc_id, node_id AS origin_id, name, child_index, depth = 1 AS is_top FROM nodes WHERE depth >= 1 AND doc_id % 4 = 0 AND (node_id IN (SELECT 'o:' || min(o_orderkey) FROM orders GROUP BY o_custkey) OR parent_id IN (SELECT 'o:' || min(o_orderkey) FROM orders GROUP BY o_custkey))")
+@query(f"{WITH} SELECT doc_id, node_id AS origin_id, name, child_index, depth = 1 AS is_top FROM nodes WHERE depth >= 1 AND (node_id IN (SELECT 'o:' || min(o_orderkey) FROM orders GROUP BY o_custkey) OR parent_id IN (SELECT 'o:' || min(o_orderkey) FROM orders GROUP BY o_custkey))")
 def i7_copy_subtree(spark, d):
-    n = catalog_nodes(spark, d).where("doc_id % 4 = 0")
+    n = catalog_nodes(spark, d)
     first = n.where("depth = 1 and child_index = 0").select("doc_id", "node_id")
     c = E.copy_subtrees(n, first, "copy-1")
     known = c.select("doc_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("k"))
@@ -131,7 +148,8 @@ def e16_integrity_report(spark, d):
     return I.report(I.duplicate_ids(n, "node_id"), I.duplicate_ids(n, "short_id"), I.missing_parents(n))
 
 
-@query()
+@query(f"""{WITH}, f AS (SELECT doc_id, min(node_id) AS a, max(node_id) AS b FROM nodes WHERE depth = 1 AND child_index < 2 GROUP BY doc_id HAVING count(*) = 2)
+SELECT 'CYCLE' AS "check", doc_id, unnest([a, b]) AS node_id FROM f""")
 def j13_cycles(spark, d):
     o = catalog_nodes(spark, d).where("depth = 1")
     swapped = o.where("child_index < 2").groupBy("doc_id").agg(F.min("node_id").alias("a"), F.max("node_id").alias("b")).where("a <> b")
@@ -169,9 +187,10 @@ def d9_incoming_references(spark, d):
 @query("""WITH r AS (SELECT 'orders' AS doc, 'o:' || o_orderkey AS node, 'o:' || lead(o_orderkey) OVER (ORDER BY o_orderkey) AS t FROM orders), x AS (SELECT node, t, CAST(substr(node, 3) AS BIGINT) % 5 = 0 AS s, CAST(substr(t, 3) AS BIGINT) % 5 = 0 AS m FROM r WHERE t IS NOT NULL)
 SELECT CASE WHEN s THEN 'archive' ELSE 'orders' END AS doc, node, CASE WHEN s AND NOT m THEN 'orders' WHEN m AND NOT s THEN 'archive' END AS target_doc, t AS target_node FROM x""")
 def i6_reference_rewrite(spark, d):
-    from pyspark.sql import Window as W
-
-    o = table(spark, d, "orders").withColumn("t", F.lead("o_orderkey").over(W.orderBy("o_orderkey"))).where("t is not null")
+    # lead() inside ranges of keys, and from range to range by the ranges' first keys, so that no task has all orders.
+    o = table(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 4096).alias("r"))
+    first = o.groupBy("r").agg(F.min("o_orderkey").alias("f")).withColumn("t", F.lead("f").over(W.orderBy("r"))).select("r", "t")
+    o = o.withColumn("t", F.lead("o_orderkey").over(W.partitionBy("r").orderBy("o_orderkey"))).join(first.withColumnRenamed("t", "n"), "r").withColumn("t", F.coalesce("t", "n")).where("t is not null")
     r = o.select(F.lit("orders").alias("doc"), F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("node"), F.lit(None).cast("string").alias("target_doc"), F.concat(F.lit("o:"), F.col("t").cast("string")).alias("target_node"))
     moved = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("node_id"))
     return E.rewrite_references(r, moved, "orders", "archive")

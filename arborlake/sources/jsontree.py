@@ -6,24 +6,22 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.settle import settle
 from ..functions.text import as_uuid, escape_token
 
 
-def json_nodes(docs: DataFrame, text: str = "json", rounds: int = 16) -> DataFrame:
+def json_nodes(docs: DataFrame, text: str = "json") -> DataFrame:
     """(doc_id, pointer, depth, kind, scalar): one row a value, objects and arrays included.
 
-    Level by level, as deep as texts go (at most `rounds`). Texts that are no JSON give no rows: see rejected().
+    Level by level, as deep as texts go; each level is written out. Texts that are no JSON give no rows: see rejected().
     """
     level = docs.select("doc_id", F.lit("").alias("pointer"), F.lit(0).alias("depth"), F.try_parse_json(text).alias("v")).where("v is not null")
-    levels = []
-    for depth in range(rounds):
-        levels.append(level)
-        level.createOrReplaceTempView("_json_level")
-        down = level.sparkSession.sql("select l.doc_id, l.pointer, e.key, e.pos, e.value as v from _json_level l, lateral variant_explode(l.v) e")
+    levels, depth = [settle(level)], 0
+    while not levels[-1].isEmpty():
+        depth += 1
+        down = docs.sparkSession.sql("select l.doc_id, l.pointer, e.key, e.pos, e.value as v from {l} l, lateral variant_explode(l.v) e", l=levels[-1])
         token = F.coalesce(escape_token(F.col("key")), F.col("pos").cast("string"))
-        level = down.select("doc_id", F.concat("pointer", F.lit("/"), token).alias("pointer"), F.lit(depth + 1).alias("depth"), "v")
-        if level.isEmpty():
-            break
+        levels.append(settle(down.select("doc_id", F.concat("pointer", F.lit("/"), token).alias("pointer"), F.lit(depth).alias("depth"), "v")))
     rows = reduce(DataFrame.unionByName, levels)
     kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
     name = F.when(kind == "OBJECT", "object").when(kind == "ARRAY", "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number")
