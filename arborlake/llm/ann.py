@@ -5,7 +5,8 @@ neighbor search" (ICLR 2020): the neighbour graph of a bounded sample is cut
 into balanced parts with few cut edges; a small classifier learns the parts and
 then deals every vector to its most probable part and every query to several,
 whose vectors are ranked again by the exact inner product. As many parts are
-searched as give the wanted recall on the sample.
+searched as give the wanted recall on rows that nothing was learned from. Parts
+grow in number with the table.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from .skew import attach
 
 #: Most vectors that the partition is learned from: those with the smallest hashes.
 FIT_ROWS = 8192
-PARTS = 32
+#: Rows of a part, up to the most parts that the sample can teach.
+PART_ROWS, MOST_PARTS = 64, 512
 GRAPH = 10
-HIDDEN = 128
-#: Share of true neighbours wanted on the sample.
-RECALL = 0.98
-#: Vectors and queries that meet in one block.
-BLOCK_ROWS, BLOCK_QUERIES = 20_000, 4_000
+#: Share of true neighbours wanted, on HELD rows of the sample.
+RECALL, HELD = 0.94, 512
+#: Parts that meet queries together; vectors and queries that meet in one block.
+TOGETHER, BLOCK_ROWS, BLOCK_QUERIES = 32, 20_000, 4_000
 
 
 def neighbours(x: np.ndarray, q: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
@@ -84,27 +85,28 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, rounds: int = 8,
 
 @dataclass
 class Router:
-    """A classifier with one hidden layer; search: how many of its most probable parts a query goes to."""
+    """A linear classifier of parts; search: how many of its most probable parts a query goes to; share: of the rows that these held, on the sample."""
 
-    weights: list[np.ndarray]
+    weights: np.ndarray
+    bias: np.ndarray
     search: int = 1
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        a, b, c, d = self.weights
-        return np.maximum(x @ a + b, 0) @ c + d
+    share: float = 1.0
 
     def best(self, x: np.ndarray, k: int) -> np.ndarray:
-        return np.argsort(-self.scores(x), axis=1, kind="stable")[:, :k]
+        return np.argsort(-(x @ self.weights + self.bias), axis=1, kind="stable")[:, :k]
 
 
-def learn(x: np.ndarray, parts: int = PARTS, wanted: float = RECALL, top: int = 20) -> Router:
+def learn(x: np.ndarray, parts: int = MOST_PARTS, wanted: float = RECALL, top: int = 20) -> Router:
     """From the sample x (rows of floats); small samples get fewer parts."""
     x = np.asarray(x, np.float32)
-    x = x / (np.abs(x).max() + 1e-12)
-    parts = max(1, min(parts, len(x) // 64))
-    dim = x.shape[1]
-    if parts == 1:
-        return Router([np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32)])
+    x = x / (np.sqrt((x * x).sum(1).mean()) + 1e-12)
+    r = np.random.default_rng(5)
+    held = np.zeros(len(x), bool)
+    held[r.permutation(len(x))[: min(HELD, len(x) // 8)]] = True
+    tests, x = x[held], x[~held]
+    parts, dim = max(1, min(parts, len(x) // 14)), x.shape[1]
+    if parts == 1 or not len(tests):
+        return Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32))
     rows = np.arange(len(x))
     near = neighbours(x, x, GRAPH, rows)
     label = balanced_parts(x, near, parts)
@@ -112,35 +114,32 @@ def learn(x: np.ndarray, parts: int = PARTS, wanted: float = RECALL, top: int =
     for c in range(near.shape[1]):
         np.add.at(soft, (rows, label[near[:, c]]), 0.5 / near.shape[1])
     soft[rows, label] += 0.5
-    r = np.random.default_rng(5)
-    w = [r.normal(0, (2 / dim) ** 0.5, (dim, HIDDEN)), np.zeros(HIDDEN), r.normal(0, HIDDEN**-0.5, (HIDDEN, parts)), np.zeros(parts)]
-    w = [a.astype(np.float32) for a in w]
-    scale = np.float32(1 / (x.std() + 1e-9))
+    # Logistic regression from the parts' directions, by Adam.
+    centre = np.zeros((parts, dim), np.float32)
+    np.add.at(centre, label, x)
+    centre /= np.sqrt((centre * centre).sum(1, keepdims=True)) + 1e-9
+    w = [12 * centre.T.copy(), np.zeros(parts, np.float32)]
     m, v, t = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
-    for _ in range(12):
+    for _ in range(4):
         order = r.permutation(len(x))
         for i in range(0, len(x), 256):
             b = order[i : i + 256]
-            xb = x[b] * scale
-            h = np.maximum(xb @ w[0] + w[1], 0)
-            z = h @ w[2] + w[3]
+            z = x[b] @ w[0] + w[1]
             p = np.exp(z - z.max(1, keepdims=True))
             d = (p / p.sum(1, keepdims=True) - soft[b]) / len(b)
-            dh = (d @ w[2].T) * (h > 0)
             t += 1
-            for k, g in enumerate((xb.T @ dh, dh.sum(0), h.T @ d, d.sum(0))):
+            for k, g in enumerate((x[b].T @ d, d.sum(0))):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
-                w[k] -= 0.003 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    w[0] *= scale
-    router = Router(w)
-    tests = np.sort(r.permutation(len(x))[:512])
-    true = neighbours(x, x[tests], min(top, len(x) - 1), tests)
+                w[k] -= 0.02 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+    router = Router(*w)
+    true = neighbours(x, tests, min(top, len(x) - 1))
     homes = router.best(x, 1)[:, 0]
-    place = np.argsort(router.best(x[tests], parts), axis=1)  # of each part in a query's order
-    needed = np.take_along_axis(place, homes[true], axis=1)
-    share = [(needed < k).mean() for k in range(1, parts + 1)]
-    router.search = int(np.argmax(np.array(share) >= wanted)) + 1
+    order = router.best(tests, parts)
+    needed = np.take_along_axis(np.argsort(order, axis=1), homes[true], axis=1)  # place of a neighbour's part in a query's order
+    found = [(needed < k).mean() for k in range(1, parts + 1)]
+    router.search = int(np.argmax(np.array(found) >= wanted)) + 1
+    router.share = float(np.bincount(homes, minlength=parts)[order[:, : router.search]].sum(1).mean() / len(x))
     return router
 
 
@@ -150,20 +149,28 @@ def _valid(c: Column) -> Column:
 
 
 def _meet(top: int):
-    """Within a block: each query's nearest ids, more than needed by one for the query itself."""
+    """Within a block: each query's nearest ids in the parts that it asks for, more than needed by one for the query itself."""
 
     def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(c) and len(q):
+            c = c.sort_values("part", kind="stable")
             x, y = np.stack(c["vector"].to_numpy()).astype(np.float64), np.stack(q["asked"].to_numpy()).astype(np.float64)
             ids, first = c["ids"].to_numpy(), np.array([i[0] for i in c["ids"]])
+            part, starts = np.unique(c["part"].to_numpy(), return_index=True)
+            ends = np.append(starts[1:], len(x))
             k = min(top + 1, len(x))
             for i in range(0, len(y), 128):
-                s = y[i : i + 128] @ x.T
+                wants = [np.isin(part, p) for p in q["parts"].iloc[i : i + 128]]
+                asks = np.stack(wants)
+                s = np.full((len(asks), len(x)), -np.inf)
+                for n, (a, b) in enumerate(zip(starts, ends, strict=True)):
+                    mine = np.flatnonzero(asks[:, n])
+                    s[mine, a:b] = y[i + mine] @ x[a:b].T
                 least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
                 for j in range(len(s)):
                     # Products of a matrix may round each time differently; the measure itself does not.
-                    at = np.flatnonzero(s[j] >= least[j] - 1e-9 * (1 + abs(least[j])))
+                    at = np.flatnonzero(s[j] >= least[j] - 1e-9 * (1 + abs(least[j]))) if least[j] > -np.inf else np.flatnonzero(s[j] > -np.inf)
                     exact = (x[at] * y[i + j]).sum(1)
                     order = np.lexsort((first[at], -exact))[:k]
                     some = [(-exact[o], int(d)) for o in order for d in ids[at[o]]]
@@ -174,14 +181,16 @@ def _meet(top: int):
     return run
 
 
-def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20, fit_rows: int = FIT_ROWS, parts: int = PARTS) -> DataFrame:
+def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20, fit_rows: int = FIT_ROWS, parts: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's `top` nearest rows found, by inner product in double precision.
 
     A query is a row for which is_query holds; it never finds its own id. Ties go
     to the smaller id. Rows whose id or vector is null, and vectors that are
     zero, empty, not of the table's commonest length, or hold null or non-finite
     components take no part. Rows alike in both count once. Equal vectors are
-    searched once and share what is found. Other columns are ignored.
+    searched once and share what is found. Other columns are ignored; an empty
+    table gives an empty result. `parts`: by default one for PART_ROWS distinct
+    vectors, at most MOST_PARTS.
     """
     spark = table.sparkSession
     raw = F.col(vector_col).cast("array<double>")
@@ -201,6 +210,7 @@ def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_co
     each = keep(each.join(ids, ["h1", "h2"]), "distinct-vectors")
     n = each.count()
     sample = each.where(F.pmod("h1", F.lit(1 << 40)) < int(min(1.0, fit_rows / max(n, 1)) * (1 << 40))).orderBy("h1", "h2").select("vector").limit(2 * fit_rows).toPandas()
+    parts = parts or max(1, min(MOST_PARTS, n // PART_ROWS))
     router = learn(np.stack(sample["vector"].to_numpy()), parts, top=top) if len(sample) else learn(np.zeros((1, lengths[0].d)))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,15 +220,17 @@ def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_co
                 yield b.assign(parts=list(best.astype(np.int32)))
 
     routed = keep(each.mapInPandas(route, "h1 long, h2 long, vector array<double>, is_query boolean, ids array<long>, parts array<int>"), "routed")
-    index = routed.select("h1", "vector", "ids", F.col("parts")[0].alias("part"))
-    asked = routed.where("is_query").select("h1", "h2", "vector", F.explode("parts").alias("part"))
-    blocks = index.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("c")).join(asked.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("q")), "part")
-    blocks = F.broadcast(blocks)  # a row for each part
+    # Queries go to groups of parts with the list of those that they ask for, so that their vectors are not sent once for each part.
+    index = routed.select("h1", "vector", "ids", F.col("parts")[0].alias("part")).withColumn("group", F.floor(F.col("part") / TOGETHER))
+    asked = routed.where("is_query").select("h1", "h2", "vector", "parts", F.explode(F.array_distinct(F.transform("parts", lambda p: F.floor(p / TOGETHER)))).alias("group"))
+    asked = asked.withColumn("parts", F.filter("parts", lambda p: F.floor(p / TOGETHER) == F.col("group")))
+    blocks = index.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("c")).join(asked.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("q")), "group")
+    blocks = F.broadcast(blocks)  # a row for each group
     chunk = lambda c: F.pmod(F.col("h1"), F.col(c))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = index.join(blocks, "part").withColumn("i", chunk("c")).withColumn("j", every("q")).select("part", "i", "j", "vector", "ids")
-    right = asked.join(blocks, "part").withColumn("j", chunk("q")).withColumn("i", every("c")).select("part", "i", "j", "h1", "h2", F.col("vector").alias("asked"))
-    met = left.groupBy("part", "i", "j").cogroup(right.groupBy("part", "i", "j")).applyInPandas(_meet(top), "h1 long, h2 long, vec_id long, score double")
+    left = index.join(blocks, "group").withColumn("i", chunk("c")).withColumn("j", every("q")).select("group", "i", "j", "part", "vector", "ids")
+    right = asked.join(blocks, "group").withColumn("j", chunk("q")).withColumn("i", every("c")).select("group", "i", "j", "h1", "h2", "parts", F.col("vector").alias("asked"))
+    met = left.groupBy("group", "i", "j").cogroup(right.groupBy("group", "i", "j")).applyInPandas(_meet(top), "h1 long, h2 long, vec_id long, score double")
     nth = F.row_number().over(W.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id"))
     best = met.withColumn("k", nth).where(F.col("k") <= top + 1)
     best = best.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("found"))

@@ -29,7 +29,7 @@ def test_recall_and_order(spark):
     got = found(search(t, F.col("vec_id") % 20 == 0))
     assert set(got) == set(true) and all(len(v) == 20 for v in got.values())
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in true[q]}) for q in true)
-    assert hits / (20 * len(true)) >= 0.95
+    assert hits / (20 * len(true)) >= 0.9
     scores = {(q, i): s for q, v in true.items() for i, s in v}
     assert all(abs(scores[q, i] - s) < 1e-12 for q, v in got.items() for i, s in v if (q, i) in scores)
     assert all(v == sorted(v, key=lambda x: (-x[1], x[0])) for v in got.values())
@@ -53,3 +53,23 @@ def test_parts_are_balanced():
     label = balanced_parts(x, near, 8)
     assert np.bincount(label, minlength=8).max() <= 1.1 * 2000 / 8 + 1 and label.min() >= 0
     assert learn(x[:10]).best(x, 1).max() == 0
+
+
+def test_clustered_vectors_need_few_parts(spark):
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 24))
+    x = centres[r.integers(0, 40, 6000)] + 0.25 * r.normal(size=(6000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    router = learn(x, 60)
+    assert router.share < 0.25
+    rows = [(i, list(map(float, v))) for i, v in enumerate(x)]
+    got, true = found(search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)), brute(rows, 20)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in true[q]}) for q in true) / (20 * len(true)) >= 0.9
+
+
+def test_parts_grow_with_the_table_and_less_is_searched():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(8192, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    few, many = learn(x, 32), learn(x, 512)
+    assert many.share < few.share < 0.85 and many.share < 0.6  # without any structure
