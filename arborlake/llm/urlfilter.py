@@ -20,6 +20,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 MOST_RULES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TRACKING = "^utm_[A-Za-z]+="
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
 _QUOTED = r"""["']?([^"'>\s]+)"""
 CANONICAL = [r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical[\"']?[^>]*\bhref\s*=\s*" + _QUOTED, r"(?i)<link\b[^>]*\bhref\s*=\s*" + _QUOTED + r"[^>]*\brel\s*=\s*[\"']?canonical\b"]
 REFRESH = [r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh[\"']?[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*" + _QUOTED]
@@ -55,12 +56,24 @@ def fitting(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): a page's key and that of its canonical link or the page that it refreshes to, absolute or from the host's root."""
+    """(a, b): a page's key and that of each of its canonical links and of the pages that it refreshes to.
+
+    Links may be absolute, from the host's root, or relative to the page's folder (`.` and `..` are not folded) or the page (`?`).
+    """
     text = F.col(html).cast("string")
-    found = F.array(*[F.regexp_extract(text, p, 1) for p in CANONICAL + REFRESH])
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in CANONICAL + REFRESH]))
     at = F.col(url).cast("string")
     rows = pages.select(at.alias("u"), F.explode(found).alias("t")).where("t <> ''")
-    t = F.when(F.col("t").startswith("//"), F.concat(F.lit("http:"), "t")).when(F.col("t").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("u")), "t")).otherwise(F.col("t"))
+    u, t = F.col("u"), F.col("t")
+    root = F.concat(F.lit("http://"), host_of(u))
+    folder = F.when(path_of(u) == "", "/").otherwise(F.regexp_replace(path_of(u), "[^/]*$", ""))
+    t = (
+        F.when(t.startswith("//"), F.concat(F.lit("http:"), t))
+        .when(t.startswith("/"), F.concat(root, t))
+        .when(t.startswith("?"), F.concat(root, path_of(u), t))
+        .when(t.startswith("#") | t.rlike(SCHEME), t)
+        .otherwise(F.concat(root, folder, t))
+    )
     return rows.select(key_of(F.col("u")).alias("a"), key_of(t).alias("b")).where("a <> b")
 
 
@@ -103,8 +116,9 @@ def _sql() -> str:
     return f"""
 WITH RECURSIVE rules(v, h, p) AS (VALUES {values}),
 pg AS (SELECT page_id, url, {host("url")} AS host, {path("url")} AS path, {key("url")} AS key, html FROM pages),
-raw AS (SELECT url, host, key AS a, regexp_extract(html, pat, 1) AS t FROM pg, (SELECT unnest([{patterns}]) AS pat)),
-tgt AS (SELECT a, CASE WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t ELSE t END AS t FROM raw WHERE t <> ''),
+raw AS (SELECT url, host, path, key AS a, unnest(regexp_extract_all(html, pat, 1)) AS t FROM pg, (SELECT unnest([{patterns}]) AS pat)),
+tgt AS (SELECT a, CASE WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t WHEN starts_with(t, '?') THEN 'http://' || host || path || t
+  WHEN starts_with(t, '#') OR regexp_matches(t, '{SCHEME}') THEN t ELSE 'http://' || host || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || t END AS t FROM raw WHERE t <> ''),
 edge AS (SELECT DISTINCT a, {key("t")} AS b FROM tgt), sym AS (SELECT a, b FROM edge WHERE a <> b UNION SELECT b, a FROM edge WHERE a <> b),
 node AS (SELECT DISTINCT a AS node FROM sym),
 own AS (SELECT node, {fit("regexp_extract(node, '^[^/?#]*')", path("('x://' || node)"), "r.v")} AS v FROM node),

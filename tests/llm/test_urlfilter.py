@@ -43,3 +43,13 @@ def test_links_and_odd_rows(spark, tmp_path):
     assert judge_urls(df.limit(0)).count() == 0
     extra = spark.createDataFrame([("http://w.net/u", "http://a.com/de/9"), (None, "x")], "src string, dst string")
     assert {r.page_id: r.verdict for r in judge_urls(df, redirects=extra).collect()}[8] == "block"
+
+
+def test_relative_links_and_all_canonical_ones(spark, tmp_path):
+    canon = lambda *us: "".join(f'<link rel="canonical" href="{u}">' for u in us)
+    rows = [
+        (1, "http://a.com/de/x/", ""), (2, "http://a.com/de/x/p.html", ""), (3, "http://n.net/f/g?x=1", canon("h")), (4, "http://n.net/f/h", canon("http://a.com/de/x/")),
+        (5, "http://m.net/", canon("http://other.net/", "http://a.com/de/x/p.html")), (6, "http://m.net", canon("q")), (7, "http://m.net/q", canon("mailto:x@y.z", "#top", "?y=2")), (8, "http://m.net/q?y=2", canon("http://a.com/de/9")),
+    ]
+    got = both(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), tmp_path, "relative")
+    assert [got[i][4] for i in (3, 4, 5, 6, 7, 8)] == ["block"] * 6
