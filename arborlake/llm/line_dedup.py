@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .scratch import keep
 from .skew import attach
 
-#: Lines of fewer characters are only dropped as exact repeats.
-LEAST_CHARS = 20
+#: One edit is allowed where the longer line has as many characters: lines are then alike by 0.8 or more.
+LEAST_CHARS = 5
 BREAKS = r"\r\n|\n|\r"
 #: Characters of a window; most windows of a line.
 WINDOW, MOST_WINDOWS = 64, 256
@@ -76,13 +76,14 @@ def near_lines(classes: DataFrame, lines: DataFrame, total: int) -> DataFrame:
     halves = keep(classes.where("halves is not null").select("cid", "key", F.explode("halves").alias("half")), "halves")
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
     open_ = keep(attach(halves, shared, ["half"], "n", halves.count()).select("key", "cid").distinct(), "open-halves")
-    texts = lines.where(F.length("line") >= LEAST_CHARS).groupBy("key").agg(F.first("line").alias("line"))
+    texts = lines.where(F.length("line") >= LEAST_CHARS - 1).groupBy("key").agg(F.first("line").alias("line"))
     cand = keep(texts.join(open_, "key").select("cid", "line"), "line-candidates")
     wins = keep(cand.select("cid", F.inline(_windows(F.col("line")))), "windows")
     same_outside = wins.groupBy("outside").agg(F.count("*").alias("n")).where("n > 1")
     wins = attach(wins, same_outside, ["outside"], "n", wins.count()).select("cid", "shorter", "at", "chars", "outside")
     part = F.substring("line", F.col("at") + 1, F.col("chars"))
-    rows = wins.join(cand, "cid").select("cid", F.inline(_variants(part, F.col("shorter"), F.col("outside"))))
+    rows = wins.join(cand, "cid").select("cid", F.length("line").alias("n"), F.inline(_variants(part, F.col("shorter"), F.col("outside"))))
+    rows = rows.where(f"at = 0 or n >= {LEAST_CHARS}").drop("n")  # shorter lines only meet longer ones
     # Lines are different, so that those with one variant are as few as its length and the characters allow.
     v, at = W.partitionBy("v"), W.partitionBy("v", "at")
     rows = rows.withColumn("whole", F.max(F.when(F.col("at") == 0, F.col("cid"))).over(v)).withColumn("cut", F.min(F.when(F.col("at") > 0, F.col("cid"))).over(v)).withColumn("same", F.min("cid").over(at))
@@ -97,7 +98,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of docs: doc_id, tkey, n_lines, n_exact, n_near, dropped (numbers of dropped lines, from 0).
 
     Lines end at \\r\\n, \\n or \\r. A line is dropped if it occurs earlier, or if some
-    occurrence of a line within one edit comes before its own first. Earlier: by id (null last), then
+    occurrence of a line within one edit, the longer of which has LEAST_CHARS characters, comes before its own first. Earlier: by id (null last), then
     row, then place. Blank lines are never dropped. Null text is one blank line. Repeated rows are
     copies like others. An empty table gives an empty result; other columns are ignored.
     """
@@ -107,7 +108,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     real = F.trim(F.translate(line, "\t\x0b\x0c", "   ")) != ""
     key = F.when(real, F.unhex(F.sha2(line, 256)))
     rows = src.select("rid", "doc_id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split("text", BREAKS)).alias("no", "line"))
-    occ = rows.select("rid", "doc_id", "tkey", "no", key.alias("key"), F.when(real & (F.length(line) >= LEAST_CHARS), _halves(line)).alias("halves"))
+    occ = rows.select("rid", "doc_id", "tkey", "no", key.alias("key"), F.when(real & (F.length(line) >= LEAST_CHARS - 1), _halves(line)).alias("halves"))
     occ = keep(occ, "lines")
     pos = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid", "no")
     classes = occ.where("key is not null").groupBy("key").agg(F.min(pos).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))

@@ -24,7 +24,7 @@ def brute(rows):
         for s in lines[i]:
             firsts.setdefault(s, len(firsts))
     names = list(firsts)
-    near = {s for s in names if len(s) >= 20 and s.strip(" \t\x0b\x0c") and any(len(t) >= 20 and abs(len(s) - len(t)) < 2 and within_one(s, t) for t in names[: firsts[s]])}
+    near = {s for s in names if s.strip(" \t\x0b\x0c") and any(max(len(s), len(t)) >= 5 and t.strip(" \t\x0b\x0c") and abs(len(s) - len(t)) < 2 and within_one(s, t) for t in names[: firsts[s]])}
     seen = set()
     for i in order:
         exact = [k for k, s in enumerate(lines[i]) if s.strip(" \t\x0b\x0c") and (s in seen or s in lines[i][:k])]
@@ -63,3 +63,12 @@ def test_real_rows(spark):
 def test_text_without_lines(spark):
     df = spark.createDataFrame([("a\nb\r\nc\rd", [1, 3]), ("x", []), ("x", [0])], "t string, d array<int>")
     assert [r[0] for r in df.select(without_lines(F.col("t"), F.col("d"))).collect()] == ["a\nc\r", "x", ""]
+
+
+def test_short_lines(spark):
+    r = random.Random(12)
+    rows = [(i, "\n".join("".join(r.choices("abc", k=r.randint(1, 8))) for _ in range(6))) for i in range(150)]
+    assert found(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    rows = [(1, "abcd\nabcf"), (2, "abcde"), (3, "abce"), (4, "Home page\nHome pages\nHome Page")]
+    got = {r.doc_id: r.dropped for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0], 3: [0], 4: [1, 2]}
