@@ -3,8 +3,8 @@
 A logistic regression over features of the whole text gives each document's
 evidence. Sums of its probabilities by site and by part of a site, in grouped
 aggregations, give posterior rates; sparse parts shrink toward their site and
-sparse sites toward the corpus, as strongly as the spread between sites says
-(method of moments). A document's score is its own log odds, moved by the log
+sparse sites toward the corpus, as strongly as the spread between sites, and
+between the parts of a site, says (method of moments). A document's score is its own log odds, moved by the log
 odds of its part against those of the corpus.
 """
 
@@ -107,8 +107,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     wanted = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("double").alias("y")).dropna()
     wanted = wanted.orderBy(F.xxhash64("_id"), "_id", "y").limit(fit_rows)
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    rows = src.join(F.broadcast(wanted), "_id").select("y", "text")
-    got = rows.mapInArrow(_by_batch(["y"], {"x": pa.list_(pa.float64())}, lambda x: [list(x)]), "y double, x array<double>").limit(2 * fit_rows).toPandas()
+    rows = src.join(F.broadcast(wanted), "_id").select("_id", F.xxhash64("text").alias("h"), "y", "text")
+    got = rows.mapInArrow(_by_batch(["_id", "h", "y"], {"x": pa.list_(pa.float64())}, lambda x: [list(x)]), "_id long, h long, y double, x array<double>")
+    got = got.orderBy(F.xxhash64("_id"), "_id", "h", "y").limit(2 * fit_rows).toPandas()  # ids may repeat
     if not len(got):
         return Model()
     return fit(np.stack(got["x"].to_numpy()), got["y"].to_numpy(float))
@@ -118,21 +119,22 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, rate: float) -> float:
-    """Of a beta prior over groups' rates (p of n rows), from the spread between groups beyond that within them."""
-    r = groups.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("n") * (F.col("p") / F.col("n") - rate) ** 2).alias("s")).first()
-    within = rate * (1 - rate)
-    if r.k < 2 or within <= 0:
+def _strength(groups: DataFrame, free: int) -> float:
+    """Of a beta prior over groups' rates (p of n rows) about `rate`, a column, from the spread beyond that within them; `free`: rates that were estimated."""
+    n, p, rate = F.col("n"), F.col("p"), F.col("rate")
+    r = groups.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(n * n).alias("n2"), F.sum(n * (p / n - rate) ** 2).alias("s"), (F.sum(n * rate * (1 - rate)) / F.sum("n")).alias("within")).first()
+    if r.k <= free or not r.within or r.within <= 0:
         return MOST_STRENGTH
-    between = (r.s - (r.k - 1) * within) / (r.n - r.n2 / r.n)
-    return min(MOST_STRENGTH, max(LEAST_STRENGTH, within / between - 1)) if between > 0 else MOST_STRENGTH
+    between = (r.s - (r.k - free) * r.within) / (r.n - r.n2 / r.n) if r.n > r.n2 / r.n else 0.0
+    return min(MOST_STRENGTH, max(LEAST_STRENGTH, r.within / between - 1)) if between > 0 else MOST_STRENGTH
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
     """One row per row of docs: doc_id, tkey (xxhash64 of the text), evidence, host_rate, path_rate, score, kept.
 
     Columns `host` and `path` name a row's site and its part of it; nulls are a
-    site or part of their own. Rates are posterior shares of good documents.
+    site or part of their own. Rates are posterior shares of good documents among
+    the others of a row's site and part.
     score is the probability that the row is good; kept: score >= threshold.
     Null and empty texts are judged as texts of no words. Repeated rows each
     count; an empty table gives an empty result; other columns are ignored.
@@ -149,10 +151,16 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         return rows.select("doc_id", "tkey", "evidence", F.lit(0.0).alias("host_rate"), F.lit(0.0).alias("path_rate"), F.lit(0.0).alias("score"), F.lit(True).alias("kept"))
     rate = (whole.p + 0.5) / (whole.n + 1)
     hosts = parts.groupBy("host").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("p").alias("p"))
-    a, b = _strength(hosts, rate), _strength(parts, rate)
-    hosts = hosts.select(F.col("host").alias("_h"), ((F.col("p") + a * rate) / (F.col("n") + a)).alias("host_rate"))
-    rates = parts.join(hosts, parts.host.eqNullSafe(hosts._h)).select("at", "n", "host_rate", ((F.col("p") + b * F.col("host_rate")) / (F.col("n") + b)).alias("path_rate"))
-    out = attach(rows, rates, ["at"], "n", whole.n)
+    hosts = keep(hosts.select(F.col("host").alias("_h"), F.col("n").alias("host_n"), F.col("p").alias("host_p")), "hosts")
+    both = parts.join(hosts, parts.host.eqNullSafe(hosts._h))
+    a = _strength(hosts.select(F.col("host_n").alias("n"), F.col("host_p").alias("p"), F.lit(rate).alias("rate")), 1)
+    b = _strength(both.withColumn("rate", F.col("host_p") / F.col("host_n")), hosts.count())
+    out = attach(rows, both.select("at", "n", F.col("p").alias("part_p"), "host_n", "host_p"), ["at"], "n", whole.n)
+    # Without the row itself, whose evidence counts by itself.
+    out = out.withColumn("_p", p).withColumn("host_rate", (F.col("host_p") - F.col("_p") + a * rate) / (F.col("host_n") - 1 + a))
+    out = out.withColumn("path_rate", (F.col("part_p") - F.col("_p") + b * F.col("host_rate")) / (F.col("n") - 1 + b))
+    inside = lambda c: F.least(F.greatest(F.col(c), F.lit(1e-9)), F.lit(1 - 1e-9))  # noqa: E731  sums round
+    out = out.withColumn("host_rate", inside("host_rate")).withColumn("path_rate", inside("path_rate"))
     moved = F.col("evidence") + logit(F.col("path_rate")) - math.log(rate / (1 - rate))
     out = out.withColumn("score", 1 / (1 + F.exp(-moved)))
     return out.select("doc_id", "tkey", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= threshold).alias("kept"))

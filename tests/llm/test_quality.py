@@ -1,4 +1,5 @@
 import math
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -6,6 +7,33 @@ import pyarrow as pa
 from arborlake.llm import quality as Q
 
 
+def brute(rows):
+    """host_rate, path_rate and score by key, of (key, host, path, evidence), by plain loops."""
+    p = {k: 1 / (1 + math.exp(-e)) for k, _, _, e in rows}
+    rate = (sum(p.values()) + 0.5) / (len(rows) + 1)
+    hosts, parts = defaultdict(list), defaultdict(list)
+    for k, h, x, _ in rows:
+        hosts[h].append(p[k])
+        parts[h, x].append(p[k])
+
+    def strength(groups, free):
+        n = sum(len(g) for g, _ in groups)
+        within = sum(len(g) * r * (1 - r) for g, r in groups) / n
+        spread = sum(len(g) * (sum(g) / len(g) - r) ** 2 for g, r in groups)
+        room = n - sum(len(g) ** 2 for g, _ in groups) / n
+        between = (spread - (len(groups) - free) * within) / room if room > 0 else 0
+        return min(1000.0, max(1.0, within / between - 1)) if len(groups) > free and within > 0 and between > 0 else 1000.0
+
+    a = strength([(g, rate) for g in hosts.values()], 1)
+    b = strength([(g, sum(hosts[h]) / len(hosts[h])) for (h, _), g in parts.items()], len(hosts))
+    out = {}
+    for k, h, x, e in rows:
+        host = (sum(hosts[h]) - p[k] + a * rate) / (len(hosts[h]) - 1 + a)
+        part = (sum(parts[h, x]) - p[k] + b * host) / (len(parts[h, x]) - 1 + b)
+        out[k] = host, part, 1 / (1 + math.exp(-(e + math.log(part / (1 - part)) - math.log(rate / (1 - rate)))))
+    return out
+
+
 def test_features():
     x = Q.features(pa.array(["aa BB! cc|", None, "", "go go go stop go", "É" * 3 + " ABC\tABC abc"]))
     assert np.isfinite(x).all() and x.shape == (5, Q.N_FEATURES)
@@ -28,24 +56,27 @@ def test_shrinking_by_hand(spark):
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, lang string, n long, p long")
     got = {r.doc_id: r for r in Q.classify(df, model).collect()}
     assert len(got) == len(rows)
-    g, b = 1 / (1 + math.exp(-1)), 1 / (1 + math.exp(12))
-    rate = (43 * g + 40 * b + 0.5) / (83 + 1)
-    hosts = {"good": (40, 40 * g), "bad": (41, g + 40 * b), "rare": (1, g), None: (1, g)}
-
-    def strength(groups):
-        n, n2, k = sum(x for x, _ in groups), sum(x * x for x, _ in groups), len(groups)
-        s = sum(x * (p / x - rate) ** 2 for x, p in groups)
-        between = (s - (k - 1) * rate * (1 - rate)) / (n - n2 / n)
-        return min(1000.0, max(1.0, rate * (1 - rate) / between - 1)) if between > 0 else 1000.0
-
-    a = strength(list(hosts.values()))
-    c = strength([(40, 40 * g), (40, 40 * b), (1, g), (1, g), (1, g)])
-    host = {h: (p + a * rate) / (n + a) for h, (n, p) in hosts.items()}
-    path = (g + c * host["bad"]) / (1 + c)
-    lo = lambda p: math.log(p / (1 - p))
-    assert math.isclose(got[200].path_rate, path, rel_tol=1e-9)
-    assert math.isclose(lo(got[200].score), 1 + lo(path) - lo(rate), rel_tol=1e-6)
+    want = brute([(r[0], r[2], r[3], e) for r, e in zip(rows, model.logits(Q.features(pa.array([r[1] for r in rows], pa.string()))), strict=True)])
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        assert all(math.isclose(x, y, rel_tol=1e-6) for x, y in zip((got[i].host_rate, got[i].path_rate, got[i].score), w, strict=True)), i
     assert got[200].score < got[201].score < got[0].score and not got[100].kept
+    assert math.isclose(got[201].score, 1 / (1 + math.exp(-1)), rel_tol=1e-6)  # alone on its site: its own evidence, once
+
+
+def test_real_rows_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    docs = docs.unionByName(docs.where("doc_id < 5"))
+    model = Q.train(docs, labels)
+    rows = docs.collect()
+    logits = model.logits(Q.features(pa.array([r.text for r in rows], pa.string())))
+    want = brute([(i, r.source, r.lang, e) for i, (r, e) in enumerate(zip(rows, logits, strict=True))])
+    want = sorted((rows[i].doc_id, *w) for i, w in want.items())
+    got = sorted((r.doc_id, r.host_rate, r.path_rate, r.score) for r in Q.classify(docs, model).collect())
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[0] == w[0] and all(math.isclose(x, y, rel_tol=1e-5, abs_tol=1e-9) for x, y in zip(g[1:], w[1:], strict=True))
 
 
 def test_odd_tables(spark):
