@@ -28,12 +28,22 @@ def test_stages_follow_their_operators(spark, tmp_path):
 def test_odd_rows(spark):
     d = "/root/testdata/sf0.001"
     t = "some words that are long enough to be a shingle of five"
-    rows = [(1, None, None, None, None), (None, t, "en", "a", 1), (None, t + " x", "en", "a", 1), (2, t, "en", "b", 1), (2, t, "en", "b", 1), (3, "", "", "", 0), (4, "w " * 30_000, "en", "a", 9)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    more = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, None, None, None, None), (None, t, "en", "a", 1), (None, t + " x", "en", "a", 1), (2, t, "en", "b", 1), (2, t, "en", "b", 1), (3, "", "", "", 0), (4, "w " * 30_000, "en", "a", 9), (5, more, "en", "a", 1), (6, more + " x", "en", None, 1), (6, more + " x", "en", None, 1), (7, t.replace(" ", "\n"), "en", "b", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    alone = {name: Counter(r.doc_id for r in stage(spark, docs, d).collect()) for name, stage in P.STAGES}
+    assert alone["quality_classifier"][2] in (0, 2) and alone["quality_classifier"][6] in (0, 2)
+    # Equal without white space: 2, 2, 7 and a null id; nothing and nothing; the two of 6.
+    assert alone["exact_dedup"] == {2: 1, None: 1, 1: 1, 4: 1, 5: 1, 6: 1}
+    # Nothing is a copy of nothing; t's copies and, within 80 %, t + " x"; 5 and 6.
+    assert alone["ngram_jaccard_join"] == {1: 1, 3: 1, 2: 1, 4: 1, 5: 1}
+    assert alone["source_mixing"][1] == alone["source_mixing"][3] == 1 and max(alone["source_mixing"].values()) <= 4
+    assert alone["best_fit_packing"][4] > 1 and alone["best_fit_packing"][6] == 2
     for _, stage in P.STAGES:
         docs = stage(spark, docs, d)
-        docs.collect()
-    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert docs.count() > 0
+    empty = spark.createDataFrame([], schema)
     for _, stage in P.STAGES:
         empty = stage(spark, empty, d)
     assert empty.count() == 0
