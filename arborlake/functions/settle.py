@@ -5,18 +5,23 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is set, a fresh local one, which only a local master can share; elsewhere that is an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a shared folder")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-settle-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
 
-    Where none is set, a fresh local folder, which only a local master can share; elsewhere that is an error.
-    """
+def settle(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir is not set: executors need a shared folder")
-        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="spark-settle-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..functions.settle import settle
 
 
 def terms(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -25,21 +31,87 @@ def bm25(docs: DataFrame, words: list[str], k: int = 20, k1: float = 1.2, b: flo
     return rows.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+#: Vectors and queries that one task compares at a time; vectors that cells are made around.
+BLOCK_VECTORS, BLOCK_QUERIES, PIVOTS = 20_000, 2_000, 64
+
+
+def _unit(c: str) -> Column:
+    v = F.col(c).cast("array<double>")
+    return F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
+
+
+def _dealt(df: DataFrame, key: str, blocks: int, copies: int, own: str, other: str) -> DataFrame:
+    """Rows dealt into blocks by their key, with a copy for each block of the other side."""
+    return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+
 def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, min_score: float = 0.0) -> DataFrame:
     """Per query (query_id, vector) the rows of the least distance of normalised vectors: score 1 / (1 + distance).
 
-    Queries are few and stated by the user (bounded by `limit`'s use); they are broadcast.
+    Blocks of vectors meet blocks of queries, each of which gives its best; what a task holds is bounded.
     """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    wide = lambda df, c: df.withColumn(c, F.transform(F.col(c).cast("array<double>"), lambda x: x / norm(F.col(c).cast("array<double>"))))
-    v, q = wide(vectors, "embedding"), wide(queries, "vector")
-    pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    square = F.aggregate(F.zip_with("embedding", "vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    rows = pairs.select("query_id", "vec_id", (1 / (1 + F.sqrt(square))).alias("score")).where(F.col("score") >= min_score)
+    v, q = vectors.select("vec_id", _unit("embedding").alias("v")), queries.select("query_id", _unit("vector").alias("q"))
+    m, n = -(-vectors.count() // BLOCK_VECTORS) or 1, -(-queries.count() // BLOCK_QUERIES) or 1
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(a) and len(b):
+            ids, x, y = a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), np.stack(b["q"].to_numpy())
+            for k, name in enumerate(b["query_id"].to_numpy()):
+                score = 1 / (1 + np.sqrt(((x - y[k]) ** 2).sum(1)))
+                ok = np.flatnonzero((ids != name) & (score >= min_score))
+                out += [(name, ids[i], score[i]) for i in ok[np.lexsort((ids[ok], -score[ok]))][:limit]]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+    left, right = _dealt(v, "vec_id", m, n, "i", "j"), _dealt(q, "query_id", n, m, "j", "i")
+    rows = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def semantic_duplicates(vectors: DataFrame, min_cosine: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, cosine), a < b, of different vectors of at least that cosine; and (vec_id, class_id) of all vectors.
+
+    Equal vectors are one class, named by its smallest id, so that copies make no pairs. Exact: each vector
+    belongs to the cell of the nearest of PIVOTS sampled vectors, and visits those cells in which, by the
+    triangle inequality, a partner may be. Large cells are compared in blocks.
+    """
+    unit = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"), _unit("embedding").alias("v")).where("vec_id is not null and size(e) > 0 and not exists(v, x -> x is null or isnan(x))")
+    named = unit.groupBy("e").agg(F.min("vec_id").alias("class_id"))
+    members = unit.join(named, "e").select("vec_id", "class_id")
+    one = unit.join(named.select(F.col("class_id").alias("vec_id")), "vec_id", "left_semi").select("vec_id", "v")
+    at = one.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).toPandas()  # bounded
+    pivots = np.stack(at["v"].to_numpy()) if len(at) else np.zeros((1, 1))
+    reach = 2 * float(np.sqrt(max(0.0, 2 - 2 * min_cosine))) + 1e-9
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.stack(b["v"].to_numpy())
+                d = np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], axis=1)
+                home = d.argmin(1)
+                visits = [np.flatnonzero(row <= row[h] + reach).astype(np.int32) for row, h in zip(d, home, strict=True)]
+                yield b.assign(home=home.astype(np.int32), visits=visits)
+
+    placed = settle(one.mapInPandas(cells, "vec_id long, v array<double>, home int, visits array<int>"))
+    most = placed.groupBy("home").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    blocks = -(-most // BLOCK_QUERIES)
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(a) and len(b):
+            left, x, right, y = a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), b["other"].to_numpy(), np.stack(b["w"].to_numpy())
+            for k, name in enumerate(left):  # a pair counts in the cell of its smaller id
+                cosine = (y * x[k]).sum(1)
+                out += [(name, right[i], cosine[i]) for i in np.flatnonzero((cosine >= min_cosine) & (right > name))]
+        return pd.DataFrame(out, columns=["a", "b", "cosine"])
+
+    own = placed.select("vec_id", "v", F.col("home").alias("cell"))
+    guests = placed.select(F.col("vec_id").alias("other"), F.col("v").alias("w"), F.explode("visits").alias("at"))
+    own, guests = _dealt(own, "vec_id", blocks, blocks, "i", "j"), _dealt(guests, "other", blocks, blocks, "l", "k")
+    return own.groupBy("cell", "i", "j").cogroup(guests.groupBy("at", "k", "l")).applyInPandas(meet, "a long, b long, cosine double"), members
+
+
 def structural_duplicates(blocks: DataFrame, min_lines: int = 5) -> DataFrame:
     """Groups of blocks of at least min_lines lines that are equal but for case and spaces."""
     normal = F.regexp_replace(F.lower("text"), r"\s+", " ")

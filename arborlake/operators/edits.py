@@ -188,10 +188,14 @@ def transaction_report(nodes: DataFrame, edits: DataFrame, versions: DataFrame,
             found = settle(preflight(live, mine))
             bad = settle(bad.unionByName(found))
             live = live.join(found.select("batch_id"), "batch_id", "left_anti")
-            new = delete(mine, live)
-            new = insert(move(new, live), live)
-            new = set_attribute(new, live, key) if "fields" in new.columns else new
-            new = with_paths(new).select(nodes.columns) if paths else new
+            live = settle(live)
+            ops, new = {r.op for r in live.select("op").distinct().collect()}, mine
+            for op, apply in (("delete", delete), ("move", move), ("insert", insert)):
+                new = apply(new, live) if op in ops else new
+            if "set_attribute" in ops and "fields" in new.columns:
+                new = set_attribute(new, live, key)
+            if paths and ops - {"set_attribute"}:
+                new = with_paths(new).select(nodes.columns)
             trees = settle(trees.join(live.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new.join(live.select("doc_id").distinct(), "doc_id", "left_semi")))
         # Documents of refused batches are as before the round.
         back = docs.join(bad.select("batch_id"), "batch_id", "left_semi").select("doc_id").distinct()

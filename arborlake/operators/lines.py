@@ -167,3 +167,17 @@ def text_anchor(line: Column, last: bool = False) -> Column:
 
 def with_trailing_newline(text: Column) -> Column:
     return F.when(text == "", "\n").when(text.endswith("\n"), text).otherwise(F.concat(F.regexp_replace(text, "[\r\n]+$", ""), F.lit("\n")))
+
+
+def restore_terminators(texts: DataFrame, terminators: DataFrame) -> DataFrame:
+    """texts(doc_id, text) with all line ends as terminators(doc_id, terminator: LF, CRLF or CR) says; LF where it says nothing."""
+    ends = F.create_map(*[F.lit(x) for kv in {"CRLF": "\r\n", "LF": "\n", "CR": "\r"}.items() for x in kv])
+    j = texts.join(terminators, "doc_id", "left").withColumn("_e", F.coalesce(F.element_at(ends, F.col("terminator")), F.lit("\n")))
+    return j.withColumn("text", F.replace(F.regexp_replace("text", "\r\n|\r", "\n"), F.lit("\n"), F.col("_e"))).select(texts.columns)
+
+
+def prefixed(lines: DataFrame) -> DataFrame:
+    """lines with `prefixed`: `[n] ` filled on the left to the width that the document's last number needs, then the line without its end."""
+    last = lines.groupBy("doc_id").agg(F.length(F.max("line").cast("string")).alias("_w"))
+    mark = F.lpad(F.concat(F.lit("["), F.col("line").cast("string"), F.lit("] ")), F.col("_w") + 3, " ")
+    return lines.join(last, "doc_id").withColumn("prefixed", F.concat(mark, bare(F.col("content")))).drop("_w")

@@ -38,6 +38,10 @@ EDITS = """e_ AS (SELECT c_custkey AS k, min(o_orderkey) AS a, max(o_orderkey) A
 bad AS (SELECT k, CASE WHEN k % 97 = 0 THEN 'STALE_VERSION' END AS b1, CASE WHEN k % 89 = 0 AND k % 4 IN (0, 2) THEN 'BAD_POSITION' END AS b2, CASE WHEN k % 4 = 2 AND a = z THEN 'CYCLE' END AS b3 FROM e_),
 good AS (SELECT e_.* FROM e_ JOIN bad USING (k) WHERE b1 IS NULL AND b2 IS NULL AND b3 IS NULL)"""
 LEFT = "child_index + 0.0 AS s"
+#: Nodes after all good edits, with a sort key s among siblings.
+CHILDREN_OF = """g AS (SELECT k AS doc_id, 'o:' || a AS x FROM good WHERE k % 4 = 1), mv AS (SELECT k AS doc_id, 'o:' || a AS node_id FROM good WHERE k % 4 = 2),
+n AS (SELECT n.doc_id, n.node_id, n.parent_id, CASE WHEN mv.node_id IS NOT NULL THEN 1000000 ELSE child_index END + 0.0 AS s FROM nodes n LEFT JOIN mv USING (doc_id, node_id)
+  LEFT JOIN g ON g.doc_id = n.doc_id AND (n.node_id = x OR n.parent_id = x) WHERE x IS NULL UNION ALL SELECT k, 'new:' || k, 'c:' || k, -1 FROM good WHERE k % 4 = 0)"""
 
 
 @query(f"{WITH}, {EDITS} SELECT k AS batch_id, 0 AS seq, code FROM bad, unnest([b1, b2, b3]) u(code) WHERE code IS NOT NULL")

@@ -46,7 +46,7 @@ def catalog_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 o_ AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS k FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)),
 l_ AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LEAF_ORDER)}) - 1 AS INT) AS j FROM lineitem),
-nodes AS (
+nodes AS MATERIALIZED (
   SELECT c_custkey AS doc_id, 'c:' || c_custkey AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 0 AS child_index, 0 AS depth, 'customer' AS kind, 'module' AS role, c_name AS name,
          MAP {{'segment': c_mktsegment, 'nation': CAST(c_nationkey AS VARCHAR)}} AS fields, '' AS content, [0] AS ord_path, CAST([] AS VARCHAR[]) AS anc_ids FROM customer
   UNION ALL

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.diff import sync_decisions
+from ..operators.edits import transaction_report
 from ..operators.lines import line_nodes
 
 
@@ -32,7 +33,9 @@ def ingest(stream: DataFrame, path: str, checkpoint: str):
 
     def batch(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
-        docs = df.dropDuplicates(["doc_id"])
+        # Of a document's versions in a batch the last: by `seq` if there is one, else the greatest digest, so that it is no chance.
+        last_ = F.struct("seq", F.sha2("text", 256), "text") if "seq" in df.columns else F.struct(F.sha2("text", 256), "text")
+        docs = df.groupBy("doc_id").agg(F.max(last_).getField("text").alias("text"))
         digests = spark.read.schema("doc_id long, digest string, batch long").parquet(f"{path}/digests").where(F.col("batch") < n) if n else spark.createDataFrame([], "doc_id long, digest string, batch long")
         last = digests.groupBy("doc_id").agg(F.max_by("digest", "batch").alias("digest"))
         none = spark.createDataFrame([], "doc_id long")
@@ -41,3 +44,24 @@ def ingest(stream: DataFrame, path: str, checkpoint: str):
         take.select("doc_id", F.sha2("text", 256).alias("digest"), F.lit(n).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{path}/digests/n={n}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def edit_stream(stream: DataFrame, path: str, checkpoint: str):
+    """Starts a stream of edits (see operators.edits) over the node table under `path`, which begin() made.
+
+    Each batch of the stream is a transaction: state=n+1 has the nodes and versions after batch n, and its errors.
+    Batches with stale versions are refused and leave no trace. A batch that is run again replaces itself.
+    """
+
+    def batch(df: DataFrame, n: int) -> None:
+        nodes, versions = (df.sparkSession.read.parquet(f"{path}/{x}/state={n}") for x in ("nodes", "versions"))
+        for x, rows in zip(("nodes", "versions", "errors"), transaction_report(nodes, df, versions), strict=True):
+            rows.write.mode("overwrite").parquet(f"{path}/{x}/state={n + 1}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def begin(nodes: DataFrame, versions: DataFrame, path: str) -> None:
+    """The node table that a stream of edits starts from."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes/state=0")
+    versions.write.mode("overwrite").parquet(f"{path}/versions/state=0")
