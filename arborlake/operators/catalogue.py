@@ -8,6 +8,10 @@ from ..functions.text import basename, glob, suffix
 
 EXCLUDED = ("node_modules", ".git", "__pycache__", "build", "dist")
 VENVS = (".venv", "venv")
+#: The folders, logs and other files that a scan leaves out.
+SKIPPED_FOLDERS = (".git", ".venv", "venv", "site-packages", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", "node_modules", "dist", "build", "logs")
+LOG_FILES = ("*.log", "*.out", "*.err", "*.pid")
+SKIPPED_FILES = ("*.sqlite", "*.sqlite3", "*.db", "*.db-wal", "*.db-shm", "*.pyc", "*.pyo", "*.so", "*.dll", "*.dylib", "*.zip", "*.tar", "*.gz", "*.xz", "*.7z", "*.bin")
 
 
 def derived_paths(docs: DataFrame) -> DataFrame:
@@ -36,12 +40,11 @@ def eligible(path: Column, scan_all: bool = False, include_logs: bool = False) -
     """Whether a path is scanned: none of its folders excluded, no log, no compiled file. include_logs needs scan_all."""
     if include_logs and not scan_all:
         raise ValueError("include_logs without scan_all")
-    binary = glob(basename(path), "*.pyc", "*.so", "*.zip", "*.png")
+    binary, log = glob(basename(path), *SKIPPED_FILES), glob(basename(path), *LOG_FILES)
     if scan_all:
-        logs = F.lit(False) if include_logs else glob(basename(path), "*.log", "*.log.*")
-        return ~logs & ~binary
-    folder = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, EXCLUDED + VENVS)))
-    return ~folder & ~glob(basename(path), "*.log", "*.log.*") & ~binary
+        return ~binary if include_logs else ~log & ~binary
+    folder = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, SKIPPED_FOLDERS)))
+    return ~folder & ~log & ~binary
 
 
 def listed(path: Column, show_hidden: bool = False, include_venv: bool = False) -> Column:

@@ -56,7 +56,10 @@ def b5_next_short_id(spark, d):
     return T.next_short_ids(start, T.allocate_short_ids(n, start))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL}, i AS MATERIALIZED (SELECT doc_id, child_index AS p, node_id, CAST(CASE WHEN child_index % 3 <> 1 THEN child_index * 2 % 11 + 1 END AS BIGINT) AS c FROM nodes WHERE depth = 1),
+f(doc_id, p, used, nxt, node_id, sid) AS (SELECT DISTINCT doc_id, -1, CAST([1, 5] AS BIGINT[]), CAST(6 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM i UNION ALL
+SELECT doc_id, p, list_append(used, g), greatest(nxt, g + 1), node_id, g FROM (SELECT f.doc_id, i.p, f.used, f.nxt, i.node_id, CASE WHEN c IS NOT NULL AND NOT list_contains(f.used, c) THEN c ELSE f.nxt END AS g FROM f JOIN i ON i.doc_id = f.doc_id AND i.p = f.p + 1))
+SELECT doc_id, node_id, sid AS short_id FROM f WHERE p >= 0""")
 def b6_merge_short_ids(spark, d):
     n = T.preorder(catalog_nodes(spark, d).where("depth = 1"))
     incoming = n.select("doc_id", F.col("preorder").alias("seq"), "node_id", F.when(F.col("preorder") % 3 != 1, F.col("preorder") * 2 % 11 + 1).alias("candidate"))

@@ -40,9 +40,10 @@ def k4_semantic_duplicates(spark, d):
     return K.semantic_duplicates(table(spark, d, "embeddings"), 0.4)[0].select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query()
+@query(r"""WITH b AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS h FROM documents WHERE length(rtrim(text, chr(10))) - length(replace(rtrim(text, chr(10)), chr(10), '')) >= 4)
+SELECT h, count(*) AS n, min(doc_id) AS first_doc FROM b GROUP BY h HAVING count(*) > 1""")
 def k3_structural_duplicates(spark, d):
-    return K.structural_duplicates(L.paragraphs(lines(spark, d)), min_lines=2)
+    return K.structural_duplicates(L.paragraphs(lines(spark, d)))  # texts have no blank lines: each is a block
 
 
 @query("SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_partkey = 7 ORDER BY l_orderkey, l_linenumber, l_suppkey LIMIT 10 OFFSET 2")

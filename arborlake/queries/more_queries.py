@@ -71,7 +71,17 @@ def d14_entity_backfill(spark, d):
     return j.select("doc_id", "name", F.coalesce("known", "found", F.lit("generated")).alias("node_id"))
 
 
-@query()
+def _replayed(edits: list[tuple[str, str, int]]) -> str:
+    """The span (100, 20) after edits (start, end, new length) of SQL expressions, one select around the other."""
+    sql = "SELECT doc_id, 100 AS s, 20 AS l, true AS x FROM documents"
+    for a, b, n in edits:
+        before, after, inside, delta = f"{b} <= s", f"{a} >= s + l", f"({a} >= s AND {b} <= s + l)", f"{n} - ({b} - {a})"
+        sql = f"""SELECT doc_id, CASE WHEN {before} THEN s + {delta} WHEN {after} OR {inside} THEN s ELSE least(s, {a}) END AS s,
+CASE WHEN {before} OR {after} THEN l WHEN {inside} THEN l + {delta} ELSE greatest(l + {delta}, 0) END AS l, CASE WHEN {before} OR {after} OR {inside} THEN x ELSE false END AS x FROM ({sql})"""
+    return f"SELECT doc_id, 'a' AS anchor_id, s AS start, l AS length, x AS is_exact FROM ({sql})"
+
+
+@query(_replayed([("0", "doc_id % 30", 5), ("90", "(92 + doc_id % 40)", 1)]))
 def f5_offset_replay(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
     anchors = t.select("doc_id", F.lit("a").alias("anchor_id"), F.lit(100).alias("start"), F.lit(20).alias("length"))
@@ -79,7 +89,9 @@ def f5_offset_replay(spark, d):
     return folds.replay_offsets(anchors, edits)
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE event_type WHEN 'error' THEN 'undo' WHEN 'click' THEN 'redo' ELSE 'record' END AS c FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 0 AS size, 0 AS tip FROM events UNION ALL SELECT f.user_id, e.k, CASE c WHEN 'record' THEN tip + 1 ELSE size END, CASE c WHEN 'record' THEN tip + 1 WHEN 'undo' THEN greatest(tip - 1, 0) ELSE least(tip + 1, size) END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT user_id AS session_id, size AS length, tip AS "at", tip > 0 AS can_undo, tip < size AS can_redo FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""")
 def f6_undo_cursor(spark, d):
     e = table(spark, d, "events")
     command = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "click", "redo").otherwise("record")
@@ -101,9 +113,9 @@ def i17_json_value_edit(spark, d):
     return n.join(to, ["doc_id", "pointer"], "left").where("pointer = '/status'").select("doc_id", "pointer", F.coalesce("_v", "scalar").alias("scalar"))
 
 
-@query(f"{WITH} SELECT doc_id, node_id, CASE WHEN depth < 2 AND EXISTS (SELECT 1 FROM nodes c WHERE c.doc_id = n.doc_id AND c.parent_id = n.node_id) THEN 'NOT_A_LEAF' END AS error, CASE WHEN depth = 2 OR NOT EXISTS (SELECT 1 FROM nodes c WHERE c.doc_id = n.doc_id AND c.parent_id = n.node_id) THEN 'new' ELSE content END AS content FROM nodes n WHERE doc_id % 3 = 0")
+@query(f"{WITH} SELECT doc_id, node_id, CASE WHEN depth < 2 AND k IS NOT NULL THEN 'NOT_A_LEAF' END AS error, CASE WHEN depth = 2 OR k IS NULL THEN 'new' ELSE content END AS content FROM nodes n LEFT JOIN (SELECT DISTINCT doc_id AS d, parent_id AS k FROM nodes) ON d = doc_id AND k = node_id")
 def i21_leaf_content_edit(spark, d):
-    n = catalog_nodes(spark, d).where("doc_id % 3 = 0")
+    n = catalog_nodes(spark, d)
     inner = n.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id"), F.lit(True).alias("_c")).distinct()
     j = n.join(inner, ["doc_id", "node_id"], "left")
     leaf = F.col("_c").isNull()

@@ -115,7 +115,7 @@ def g3_char_page(spark, d):
     return docs(spark, d).select("doc_id", *L.char_page(F.col("text"), 700, 300))
 
 
-@query()
+@query("SELECT doc_id, (SELECT max_by(left(text, k), k) FROM range(102) r(k) WHERE strlen(left(text, k)) <= 101) AS preview, strlen(text) AS n_bytes FROM documents")
 def g5_utf8_preview(spark, d):
     return docs(spark, d).select("doc_id", L.utf8_prefix(F.col("text"), 101).alias("preview"), F.length(F.encode("text", "utf-8")).alias("n_bytes"))
 
@@ -151,11 +151,11 @@ def k14_long_files(spark, d):
     return docs(spark, d).select("doc_id", F.size(L.line_array(F.col("text"))).cast("long").alias("n_lines")).where("n_lines > 20")
 
 
-@query(r"""SELECT doc_id, sha256(text) AS digest, regexp_replace(regexp_replace(lower(substr(text, 1, 30)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, CASE WHEN ends_with(text, chr(10)) THEN length(text) ELSE length(text) + 1 END AS n_with_newline FROM documents WHERE text <> ''""")
+@query(r"""SELECT doc_id, sha256(text) AS digest, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, CASE WHEN ends_with(text, chr(10)) THEN length(text) ELSE length(text) + 1 END AS n_with_newline FROM documents WHERE text <> ''""")
 def y_text_functions(spark, d):
     from ..functions.text import slug
 
-    return docs(spark, d).where("text <> ''").select("doc_id", F.sha2("text", 256).alias("digest"), slug(F.substring("text", 1, 30)).alias("slug"), F.length(L.with_trailing_newline(F.col("text"))).alias("n_with_newline"))
+    return docs(spark, d).where("text <> ''").select("doc_id", F.sha2("text", 256).alias("digest"), slug(F.col("text")).alias("slug"), F.length(L.with_trailing_newline(F.col("text"))).alias("n_with_newline"))
 
 
 @query(f"""WITH {LINES}, t AS (SELECT doc_id, line, regexp_extract(c, '(?:^|[ .,])(anan|thin|eau)(?:[ .,]|$)', 1) AS term FROM lines) SELECT term AS category, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM t WHERE term <> '' GROUP BY term""")
