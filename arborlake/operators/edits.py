@@ -125,6 +125,15 @@ def set_body(nodes: DataFrame, bodies: DataFrame, children: DataFrame | None = N
     return left if children is None else left.unionByName(children, allowMissingColumns=True).select(plain(nodes).columns)
 
 
+def set_leaf_content(nodes: DataFrame, edits: DataFrame) -> DataFrame:
+    """nodes with the content of edits(doc_id, node_id, new_content); a node with children stays and has the error NOT_A_LEAF."""
+    inner = nodes.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id"), F.lit(True).alias("_c")).distinct()
+    j = nodes.join(edits.select("doc_id", "node_id", F.col("new_content").alias("_n"), F.lit(True).alias("_e")), ["doc_id", "node_id"], "left").join(inner, ["doc_id", "node_id"], "left")
+    leaf = F.col("_c").isNull()
+    j = j.withColumn("content", F.when(F.col("_e") & leaf, F.col("_n")).otherwise(F.col("content"))).withColumn("error", F.when(F.col("_e") & ~leaf, "NOT_A_LEAF"))
+    return j.select(*nodes.columns, "error")
+
+
 def apply_subtrees(nodes: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Puts edited copies of subtrees back over their origins; the nodes after it, and (doc_id, root_id, code) of the copies that are refused.
 

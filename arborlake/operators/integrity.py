@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.settle import settle
+from ..functions.text import is_uuid4
 
 
 def _rows(df: DataFrame, check: str, node: str = "node_id") -> DataFrame:
@@ -87,3 +88,26 @@ def scope(nodes: DataFrame, changed: DataFrame) -> DataFrame:
     down = nodes.join(c.select("doc_id", F.col("node_id").alias("parent_id")), ["doc_id", "parent_id"], "left_semi").select("doc_id", "node_id")
     ids = c.select("doc_id", "node_id").union(up).union(down).distinct()
     return nodes.join(ids, ["doc_id", "node_id"], "left_semi")
+
+
+def backlinks(outgoing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Links (source, target) that one side counts and the other does not, or not as often: (source, target, what, n)."""
+    a, b = outgoing.groupBy("source", "target").agg(F.count("*").alias("_a")), incoming.groupBy("source", "target").agg(F.count("*").alias("_b"))
+    j = a.join(b, ["source", "target"], "full").withColumn("_a", F.coalesce("_a", F.lit(0))).withColumn("_b", F.coalesce("_b", F.lit(0))).where("_a <> _b")
+    return j.select("source", "target", F.when(F.col("_a") > F.col("_b"), "missing_incoming").otherwise("missing_outgoing").alias("what"), F.abs(F.col("_a") - F.col("_b")).alias("n"))
+
+
+def envelope_errors(envelopes: DataFrame, fields: dict[str, tuple[str, object]]) -> DataFrame:
+    """(doc_id, code) of rows whose fields are not as they should be: BAD_<FIELD>.
+
+    fields: of each column its kind: ("uuid4", None), ("int", least), ("bool", None), ("sha256", None), ("one_of", values), ("text", most characters).
+    """
+    tests = []
+    for name, (kind, x) in fields.items():
+        c = F.col(name)
+        ok = {
+            "uuid4": lambda: is_uuid4(c), "int": lambda: c.cast("string").rlike("^-?[0-9]+$") & (c.cast("long") >= x), "bool": lambda: c.cast("string").isin("true", "false"),
+            "sha256": lambda: c.rlike("^[0-9a-f]{64}$"), "one_of": lambda: c.isin(*x), "text": lambda: F.length(c) <= x,
+        }[kind]()
+        tests.append(F.when(~F.coalesce(ok, F.lit(False)), F.lit(f"BAD_{name.upper()}")))
+    return envelopes.select("doc_id", F.explode(F.array_compact(F.array(*tests))).alias("code"))

@@ -83,3 +83,10 @@ def bottlenecks(parsed: DataFrame) -> DataFrame:
     g = parsed.groupBy("op").agg(F.count("*").alias("calls"), F.sum("seconds").alias("total"), F.avg("seconds").alias("average"), F.min("seconds").alias("least"), F.max("seconds").alias("most"))
     by = lambda c: F.row_number().over(W.orderBy(F.desc(c), "op"))  # noqa: E731  a row an operation
     return g.withColumn("by_total", by("total")).withColumn("by_average", by("average"))
+
+
+def recent_activity(events: DataFrame, hours: int = 24, at: str = "ts") -> DataFrame:
+    """One row: events, those of the last hours before the last event, and the errors among these."""
+    last = events.agg((F.max(at) - F.expr(f"INTERVAL {int(hours)} HOURS")).alias("_since"))
+    new = F.col(at) > F.col("_since")
+    return events.join(F.broadcast(last)).agg(F.count("*").alias("events"), F.count_if(new).alias("last_day"), F.count_if(new & (F.col("event_type") == "error")).alias("errors"))  # last is one row

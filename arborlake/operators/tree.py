@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.settle import settle
+from ..functions.text import from_hex, is_uuid4
 
 
 def doc_order():
@@ -130,6 +131,29 @@ def rekey(nodes: DataFrame, remap: DataFrame) -> DataFrame:
     return nodes.join(remap.withColumnRenamed("old_id", "node_id"), ["doc_id", "node_id"], "left").withColumn("node_id", F.coalesce("new_id", "node_id")).drop("new_id")
 
 
+def replace_ids(nodes: DataFrame, remap: DataFrame) -> DataFrame:
+    """Node ids replaced by (doc_id, old_id, new_id), also where they are a parent's; all else stays."""
+    up = remap.select("doc_id", F.col("old_id").alias("parent_id"), F.col("new_id").alias("_p"))
+    return rekey(nodes, remap).join(up, ["doc_id", "parent_id"], "left").withColumn("parent_id", F.coalesce("_p", "parent_id")).select(nodes.columns)
+
+
+def resolve_addresses(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """asked(doc_id, address) with node_id: an address is a short id in decimal or as 0x hex, or a node id of UUID4 form; error BAD_ADDRESS or UNKNOWN_NODE."""
+    a = F.col("address")
+    number = F.when(a.rlike("^[0-9]+$"), a.cast("long")).otherwise(from_hex(a))
+    rows = asked.withColumn("_n", number).withColumn("_u", F.when(is_uuid4(a), a))
+    j = rows.join(nodes.select("doc_id", F.col("short_id").alias("_n"), F.col("node_id").alias("_a")), ["doc_id", "_n"], "left")
+    j = j.join(nodes.select("doc_id", F.col("node_id").alias("_u"), F.col("node_id").alias("_b")), ["doc_id", "_u"], "left").withColumn("node_id", F.coalesce("_a", "_b"))
+    error = F.when(F.col("_n").isNull() & F.col("_u").isNull(), "BAD_ADDRESS").when(F.col("node_id").isNull(), "UNKNOWN_NODE")
+    return j.select(*asked.columns, "node_id", error.alias("error"))
+
+
+def backfill_entities(entities: DataFrame, nodes: DataFrame) -> DataFrame:
+    """entities(doc_id, kind, name, node_id or null): a missing node_id is that of the node of the same document, kind and name, else `generated`."""
+    found = nodes.select("doc_id", "kind", "name", F.col("node_id").alias("_found"))
+    return entities.join(found, ["doc_id", "kind", "name"], "left").withColumn("node_id", F.coalesce("node_id", "_found", F.lit("generated"))).select(entities.columns)
+
+
 def subtree_sizes(nodes: DataFrame) -> DataFrame:
     """Per node: nodes, bytes and children of its subtree, itself included in the first two."""
     own = nodes.select("doc_id", "parent_id", F.length(F.col("content").cast("binary")).alias("bytes"), F.explode(F.concat("anc_ids", F.array("node_id"))).alias("node_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import edits as E, folds, tree as T
+from ..operators import edits as E, folds, integrity as I, measures as M, tree as T
 from ..sources import jsontree as J
 from ..sources.catalog import SQL, catalog_nodes, table
 from .corpus_queries import order_json
@@ -36,10 +36,7 @@ def b9_address_normalization(spark, d):
     sid = F.col("short_id")
     asked = n.where("short_id = 2").select("doc_id", sid.cast("string").alias("address"))
     asked = asked.union(n.where("short_id = 3").select("doc_id", X.to_hex(sid))).union(n.where("short_id = 1").select("doc_id", F.explode(F.array(F.lit("99999"), F.lit("0xzz")))))
-    a = F.col("address")
-    number = F.when(a.rlike("^[0-9]+$"), a.cast("long")).otherwise(X.from_hex(a))
-    j = asked.withColumn("short_id", number).join(n, ["doc_id", "short_id"], "left")
-    return j.select("doc_id", "address", "node_id", F.when(F.col("short_id").isNull(), "BAD_ADDRESS").when(F.col("node_id").isNull(), "UNKNOWN_NODE").alias("error"))
+    return T.resolve_addresses(asked, n)
 
 
 @query("SELECT 'part:p:' || l_partkey AS address, 'part' AS document, 'p:' || l_partkey AS node, false AS is_local FROM lineitem UNION ALL SELECT 'o:' || l_orderkey, NULL, 'o:' || l_orderkey, true FROM lineitem")
@@ -66,9 +63,8 @@ def b13_ambiguous_pointers(spark, d):
 SELECT doc_id, name, CASE WHEN child_index % 3 = 0 AND child_index % 2 = 1 THEN 'generated' WHEN node_id IS NULL THEN right_id ELSE node_id END AS node_id FROM e""")
 def d14_entity_backfill(spark, d):
     n = catalog_nodes(spark, d).where("depth = 1")
-    entities = n.select("doc_id", "name", F.lit("order").alias("kind"), F.when(F.col("child_index") % 2 == 0, F.col("node_id")).alias("known"))
-    j = entities.join(n.where("child_index % 3 <> 0").select("doc_id", "kind", "name", F.col("node_id").alias("found")), ["doc_id", "kind", "name"], "left")
-    return j.select("doc_id", "name", F.coalesce("known", "found", F.lit("generated")).alias("node_id"))
+    entities = n.select("doc_id", F.lit("order").alias("kind"), "name", F.when(F.col("child_index") % 2 == 0, F.col("node_id")).alias("node_id"))
+    return T.backfill_entities(entities, n.where("child_index % 3 <> 0")).select("doc_id", "name", "node_id")
 
 
 def _replayed(edits: list[tuple[str, str, int]]) -> str:
@@ -102,40 +98,33 @@ def f6_undo_cursor(spark, d):
 def i11_replace_node_ids(spark, d):
     n = catalog_nodes(spark, d).select("doc_id", "node_id", "parent_id")
     remap = n.where("doc_id % 5 = 0 and node_id like 'o:%'").select("doc_id", F.col("node_id").alias("old_id"), F.concat(F.lit("r-"), "node_id").alias("new_id"))
-    up = remap.select("doc_id", F.col("old_id").alias("parent_id"), F.col("new_id").alias("_p"))
-    return T.rekey(n, remap).join(up, ["doc_id", "parent_id"], "left").select("doc_id", "node_id", F.coalesce("_p", "parent_id").alias("parent_id"))
+    return T.replace_ids(n, remap)
 
 
 @query("SELECT o_orderkey AS doc_id, '/status' AS pointer, CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS scalar FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def i17_json_value_edit(spark, d):
     n = J.json_nodes(order_json(spark, d))
-    to = n.where("pointer = '/status' and doc_id % 2 = 0").select("doc_id", "pointer", F.lit("X").alias("_v"))
-    return n.join(to, ["doc_id", "pointer"], "left").where("pointer = '/status'").select("doc_id", "pointer", F.coalesce("_v", "scalar").alias("scalar"))
+    to = n.where("pointer = '/status' and doc_id % 2 = 0").select("doc_id", "pointer", F.lit("X").alias("value"))
+    return J.set_values(n, to).where("pointer = '/status'").select("doc_id", "pointer", "scalar")
 
 
 @query(f"{WITH} SELECT doc_id, node_id, CASE WHEN depth < 2 AND k IS NOT NULL THEN 'NOT_A_LEAF' END AS error, CASE WHEN depth = 2 OR k IS NULL THEN 'new' ELSE content END AS content FROM nodes n LEFT JOIN (SELECT DISTINCT doc_id AS d, parent_id AS k FROM nodes) ON d = doc_id AND k = node_id")
 def i21_leaf_content_edit(spark, d):
     n = catalog_nodes(spark, d)
-    inner = n.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id"), F.lit(True).alias("_c")).distinct()
-    j = n.join(inner, ["doc_id", "node_id"], "left")
-    leaf = F.col("_c").isNull()
-    return j.select("doc_id", "node_id", F.when(~leaf, "NOT_A_LEAF").alias("error"), F.when(leaf, "new").otherwise(F.col("content")).alias("content"))
+    return E.set_leaf_content(n, n.select("doc_id", "node_id", F.lit("new").alias("new_content"))).select("doc_id", "node_id", "error", "content")
 
 
 @query("SELECT doc_id, code FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'BAD_VERSION' END AS a, CASE WHEN doc_id % 6 = 0 THEN 'BAD_DIGEST' END AS b FROM documents), unnest([a, b]) u(code) WHERE code IS NOT NULL")
 def j8_envelope_validation(spark, d):
     e = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, -1).otherwise(1).alias("version"), F.when(F.col("doc_id") % 6 == 0, "short").otherwise(F.sha2("text", 256)).alias("digest"))
-    tests = {"BAD_VERSION": F.col("version") < 0, "BAD_DIGEST": ~F.col("digest").rlike("^[0-9a-f]{64}$")}
-    return e.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in tests.items()]))).alias("code"))
+    return I.envelope_errors(e, {"version": ("int", 0), "digest": ("sha256", None)})
 
 
 @query("SELECT 'p:' || l_partkey AS target, 'missing_incoming' AS what, count(*) AS n FROM lineitem WHERE l_orderkey % 11 = 0 GROUP BY ALL")
 def j11_backlink_symmetry(spark, d):
     i = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("target"), F.col("l_linenumber").alias("line"))
-    out = i.groupBy("source", "target").agg(F.count("*").alias("a"))
-    back = i.where("source % 11 <> 0").groupBy("source", "target").agg(F.count("*").alias("b"))
-    j = out.join(back, ["source", "target"], "full").where("not (a <=> b)")
-    return j.groupBy("target", F.when(F.col("b").isNull(), "missing_incoming").otherwise("missing_outgoing").alias("what")).agg(F.sum("a").alias("n"))
+    found = I.backlinks(i.select("source", "target"), i.where("source % 11 <> 0").select("source", "target"))
+    return found.groupBy("target", "what").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS scalars_with_children, count(*) AS containers FROM (SELECT l_orderkey FROM lineitem UNION ALL SELECT DISTINCT l_orderkey FROM lineitem UNION ALL SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
@@ -154,10 +143,7 @@ def k8_imports_listing(spark, d):
 
 @query("SELECT count(*) AS events, count(*) FILTER (WHERE ts > m - INTERVAL 24 HOUR) AS last_day, count(*) FILTER (WHERE event_type = 'error' AND ts > m - INTERVAL 24 HOUR) AS errors FROM events, (SELECT max(ts) AS m FROM events)")
 def k17_database_status(spark, d):
-    e = table(spark, d, "events")
-    last = e.agg((F.max("ts") - F.expr("INTERVAL 24 HOURS")).alias("since"))
-    new = F.col("ts") > F.col("since")
-    return e.join(F.broadcast(last)).agg(F.count("*").alias("events"), F.count_if(new).alias("last_day"), F.count_if(new & (F.col("event_type") == "error")).alias("errors"))
+    return M.recent_activity(table(spark, d, "events"))
 
 
 @query(f"{WITH} SELECT doc_id, node_id, parent_id, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY CASE WHEN depth = 1 AND child_index = 0 THEN -1 ELSE child_index END, node_id) - 1 AS child_index FROM (SELECT doc_id, CASE WHEN depth = 1 AND child_index = 0 THEN 'rep:' || doc_id ELSE node_id END AS node_id, parent_id, child_index, depth FROM nodes WHERE depth < 2)")

@@ -46,3 +46,16 @@ def lookup(nodes: DataFrame, pointers: DataFrame) -> DataFrame:
     """Of each (doc_id, pointer) whether it is there, its kind and its scalar."""
     j = pointers.join(nodes, ["doc_id", "pointer"], "left")
     return j.select("doc_id", "pointer", F.col("kind").isNotNull().alias("found"), "kind", "scalar")
+
+
+def set_values(nodes: DataFrame, edits: DataFrame) -> DataFrame:
+    """nodes with the scalars of edits(doc_id, pointer, value) at their pointers; objects and arrays stay as they are."""
+    j = nodes.join(edits.select("doc_id", "pointer", F.col("value").alias("_v"), F.lit(True).alias("_e")), ["doc_id", "pointer"], "left")
+    one = F.col("_e") & ~F.col("kind").isin("object", "array")
+    return j.withColumn("scalar", F.when(one, F.col("_v")).otherwise(F.col("scalar"))).select(nodes.columns)
+
+
+def scalars_with_children(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pointer) of scalars that another node's pointer goes through."""
+    up = nodes.where("depth > 0").select("doc_id", F.regexp_replace("pointer", "/[^/]*$", "").alias("pointer")).distinct()
+    return nodes.where(~F.col("kind").isin("object", "array")).join(up, ["doc_id", "pointer"], "left_semi").select("doc_id", "pointer")
