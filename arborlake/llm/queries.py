@@ -67,5 +67,11 @@ def op10_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_block_naming, op3_redirect_equivalence, op4_deletion_neighbourhood, op5_source_mixing, op6_ngram_jaccard_join, op7_quality_classifier, op8_best_fit_packing, op9_nearest_neighbours, op10_collinear_chaining)}
+def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan_licences
+
+    return scan_licences(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_block_naming, op3_redirect_equivalence, op4_deletion_neighbourhood, op5_source_mixing, op6_ngram_jaccard_join, op7_quality_classifier, op8_best_fit_packing, op9_nearest_neighbours, op10_collinear_chaining, op11_licence_scan)}
 ORACLES: dict[str, str] = {"op2_block_naming": exact_dedup.ORACLE, "op3_redirect_equivalence": urlfilter.ORACLE}
