@@ -77,5 +77,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_block_naming, op3_redirect_equivalence, op4_deletion_neighbourhood, op5_source_mixing, op6_ngram_jaccard_join, op7_quality_classifier, op8_best_fit_packing, op9_nearest_neighbours, op10_collinear_chaining, op11_licence_scan, op12_collocations)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dialogues import repair_conversations
+
+    return repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_block_naming, op3_redirect_equivalence, op4_deletion_neighbourhood, op5_source_mixing, op6_ngram_jaccard_join, op7_quality_classifier, op8_best_fit_packing, op9_nearest_neighbours, op10_collinear_chaining, op11_licence_scan, op12_collocations, op13_conversation_repair)}
 ORACLES: dict[str, str] = {"op2_block_naming": exact_dedup.ORACLE, "op3_redirect_equivalence": urlfilter.ORACLE, "op12_collocations": collocations.ORACLE}

@@ -12,8 +12,8 @@ HOT_ROWS = 4096
 BLOCK = 4096
 
 
-def attach(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
-    """Inner join of left with right, which has one row a key and in `weight` the key's rows in left.
+def attach(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of left with right, which has one row a key and in `weight` the key's rows in left.
 
     Keys with at least total / HOT_ROWS rows number HOT_ROWS at most, so their
     rows of right are broadcast; all others meet by a shuffle of the keys.
@@ -25,7 +25,7 @@ def attach(left: DataFrame, right: DataFrame, on: list[str], weight: str, total:
     mark = F.broadcast(hot.select(*on).withColumn("_hot", F.lit(True)))
     marked = left.join(mark, on, "left")
     a = marked.where("_hot").drop("_hot").join(F.broadcast(hot), on)
-    b = marked.where("_hot is null").drop("_hot").join(cold, on)
+    b = marked.where("_hot is null").drop("_hot").join(cold, on, how)
     return a.unionByName(b)
 
 
