@@ -112,13 +112,6 @@ def semantic_duplicates(vectors: DataFrame, min_cosine: float = 0.85) -> tuple[D
     return own.groupBy("cell", "i", "j").cogroup(guests.groupBy("at", "k", "l")).applyInPandas(meet, "a long, b long, cosine double"), members
 
 
-def structural_duplicates(blocks: DataFrame, min_lines: int = 5) -> DataFrame:
-    """Groups of blocks of at least min_lines lines that are equal but for case and spaces."""
-    normal = F.regexp_replace(F.lower("text"), r"\s+", " ")
-    rows = blocks.where(F.col("line_end") - F.col("line_start") + 1 >= min_lines).withColumn("h", F.sha2(F.trim(normal), 256))
-    return rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
-
-
 def hierarchy(classes: DataFrame) -> DataFrame:
     """From (name, bases array) each base's last dotted part, matched to names: (name, base, known)."""
     e = classes.select("name", F.explode("bases").alias("_b")).withColumn("base", F.element_at(F.split("_b", r"\."), -1))

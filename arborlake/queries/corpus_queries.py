@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import corpus as K, lines as L
+from ..operators import corpus as K, duplicates as U, lines as L
 from ..plans.registry import Format, Registry
 from ..sources import jsontree as J, snapshot as S
 from ..sources.catalog import table
@@ -40,10 +40,19 @@ def k4_semantic_duplicates(spark, d):
     return K.semantic_duplicates(table(spark, d, "embeddings"), 0.4)[0].select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query(r"""WITH b AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS h FROM documents WHERE length(rtrim(text, chr(10))) - length(replace(rtrim(text, chr(10)), chr(10), '')) >= 4)
-SELECT h, count(*) AS n, min(doc_id) AS first_doc FROM b GROUP BY h HAVING count(*) > 1""")
+@query(r"""WITH RECURSIVE b AS (SELECT doc_id, length(rtrim(text, chr(10))) - length(replace(rtrim(text, chr(10)), chr(10), '')) + 1 AS line_end, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents WHERE length(rtrim(text, chr(10))) - length(replace(rtrim(text, chr(10)), chr(10), '')) >= 4),
+s AS MATERIALIZED (SELECT DISTINCT sha256(t) AS h, t FROM b),
+g AS MATERIALIZED (SELECT h, list_distinct(CASE WHEN len(w) < 5 THEN [t] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS x FROM (SELECT h, t, string_split(t, ' ') AS w FROM s)),
+e AS MATERIALIZED (SELECT h, len(x) AS n, unnest(x) AS x FROM g),
+l AS MATERIALIZED (SELECT p.h AS a, q.h AS b FROM e p JOIN e q ON p.x = q.x GROUP BY p.h, q.h HAVING count(*) >= 0.8 * (min(p.n) + min(q.n) - count(*))),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS MATERIALIZED (SELECT a AS h, min(b) AS grp FROM r GROUP BY a),
+k AS (SELECT grp, count(*) AS shapes, min(len(list_intersect(x.x, y.x)) / (len(x.x) + len(y.x) - len(list_intersect(x.x, y.x)))) AS similarity FROM c JOIN g x ON x.h = c.h JOIN g y ON y.h = c.grp GROUP BY grp),
+o AS (SELECT grp, doc_id, 1 AS line_start, line_end, count(*) OVER (PARTITION BY grp) AS occurrences FROM b JOIN c ON sha256(t) = h)
+SELECT o.grp AS "group", doc_id, line_start, line_end, shapes, occurrences, round(similarity, 6) AS similarity FROM o JOIN k USING (grp) WHERE occurrences > 1""")
 def k3_structural_duplicates(spark, d):
-    return K.structural_duplicates(L.paragraphs(lines(spark, d)))  # texts have no blank lines: each is a block
+    found = U.structural_duplicates(L.paragraphs(lines(spark, d)))  # texts have no blank lines: each is a block
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_partkey = 7 ORDER BY l_orderkey, l_linenumber, l_suppkey LIMIT 10 OFFSET 2")
