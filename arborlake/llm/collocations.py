@@ -217,11 +217,14 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     phrases = f.where("size > 1").join(closed, ["lang", "phrase", "f"], "left_anti")
     cuts = phrases.select("lang", "phrase", F.col("f").alias("a"), "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.withColumn("head", F.expr("substring_index(phrase, ' ', k)")).withColumn("tail", F.expr("substring_index(phrase, ' ', k - size)"))
+    cuts = keep(cuts, "cuts")
     total_cuts = cuts.count()
     for part, name in (("head", "l"), ("tail", "r")):
         uses = cuts.groupBy("lang", part).agg(F.count("*").alias("_uses"))
         known = f.select("lang", F.col("phrase").alias(part), F.col("f").alias(name)).join(uses, ["lang", part])
-        cuts = attach(cuts, known, ["lang", part], "_uses", total_cuts).drop("_uses")
+        met = keep(attach(cuts, keep(known, "parts"), ["lang", part], "_uses", total_cuts).drop("_uses"), "cuts")
+        drop(cuts)
+        cuts = met
     cuts = cuts.join(F.broadcast(total) if _few(total) else total, "lang")
     exact = [F.col(c).cast("decimal(19,0)") for c in "anlr"]
     score = F.expr("(cast(1000 as decimal(4,0)) * _a * _n) div (_l * _r)")
