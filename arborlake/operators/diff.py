@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from bisect import bisect_left
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from ..functions.settle import settle, unsettle
 from .lines import bare, line_nodes, merge_ranges
 
 
@@ -23,19 +28,100 @@ def conflicts(base: DataFrame, source: DataFrame, tree: DataFrame, policy: str =
     return j.select("doc_id", "source_changed", "tree_changed", code.alias("code"), allow.alias("allowed"))
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    lines = line_nodes(docs).withColumn("content", bare(F.col("content")))
-    return lines.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "content").orderBy("line")))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _rising(places: pd.Series) -> pd.Series:
+    """Where the longest strictly rising subsequence of each array goes through: places in the array, from 0."""
+
+    def one(xs: np.ndarray) -> list[int]:
+        ends, last, before = [], [], [-1] * len(xs)  # by length the least end, and where it stands
+        for i, x in enumerate(xs):
+            k = bisect_left(ends, x)
+            if k == len(ends):
+                ends.append(x)
+                last.append(i)
+            else:
+                ends[k], last[k] = x, i
+            before[i] = last[k - 1] if k else -1
+        out, i = [], last[-1] if last else -1
+        while i >= 0:
+            out.append(i)
+            i = before[i]
+        return out[::-1]
+
+    return places.map(one)
+
+
+def _sides(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Lines of both versions of documents whose texts differ: (doc_id, side 0 or 1, line, content)."""
+    differ = before.select("doc_id", F.col("text").alias("_a")).join(after.select("doc_id", F.col("text").alias("_b")), "doc_id", "full").where(~F.col("_a").eqNullSafe(F.col("_b")))
+    lines = [line_nodes(differ.select("doc_id", F.coalesce(c, F.lit("")).alias("text"))).withColumn("side", F.lit(i)) for i, c in enumerate(("_a", "_b"))]
+    return lines[0].unionByName(lines[1]).select("doc_id", "side", "line", bare(F.col("content")).alias("content"))
+
+
+def _ends(lines: DataFrame) -> DataFrame:
+    """Adds `met`: the line of the other side that a line equals in the common beginning or, behind that, the common end; else null."""
+    size = F.count_if(F.col("side") == 0).over(W.partitionBy("doc_id")), F.count_if(F.col("side") == 1).over(W.partitionBy("doc_id"))
+    lines = lines.withColumn("_n", F.when(F.col("side") == 0, size[0]).otherwise(size[1])).withColumn("_m", size[0] + size[1] - F.col("_n"))
+    short = F.least("_n", "_m")
+
+    def first_odd(at: Column) -> Column:
+        """The first place, counted by `at`, where the sides differ or one of them has ended."""
+        pair = W.partitionBy("doc_id", at)
+        odd = (F.min("content").over(pair) != F.max("content").over(pair)) | (F.count("*").over(pair) < 2)
+        return F.when(odd, at)
+
+    back = F.col("_n") - F.col("line") + 1
+    lines = lines.withColumn("_f", first_odd(F.col("line"))).withColumn("_k", first_odd(back))
+    whole = W.partitionBy("doc_id")
+    lines = lines.withColumn("_head", F.least(F.coalesce(F.min("_f").over(whole) - 1, short), short))
+    lines = lines.withColumn("_tail", F.least(F.coalesce(F.min("_k").over(whole) - 1, short), short - F.col("_head")))
+    met = F.when(F.col("line") <= F.col("_head"), F.col("line")).when(back <= F.col("_tail"), F.col("_m") - back + 1)
+    return lines.select("doc_id", "side", "line", "content", met.cast("int").alias("met"))
+
+
+def align(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Which lines of two versions are the same, in order: (doc_id, side, line, content, met).
+
+    side is 0 before and 1 after; met is the line's partner on the other side,
+    or null. Partners never cross. Only documents whose texts differ have rows.
+
+    Common beginnings and ends are met first. Then, round by round, between each
+    two neighbouring partners: lines that occur once on both sides are paired,
+    or where there are none the n-th ones of equal lines, and of these pairs the
+    longest run that rises on both sides stays (patience sorting). It ends where
+    no stretch has a line in common; a document's rounds are few, as each splits
+    its stretches.
+    """
+    order = W.partitionBy("doc_id", "side").orderBy("line")
+    now = settle(_ends(_sides(before, after)))
+    while True:
+        # A stretch is named by the number of partners before it, which is the same on both sides.
+        rest = now.withColumn("gap", F.count("met").over(order)).where("met is null")
+        same = W.partitionBy("doc_id", "gap", "side", "content")
+        rest = rest.withColumn("_nth", F.row_number().over(same.orderBy("line"))).withColumn("_of", F.count("*").over(same))
+        key = ["doc_id", "gap", "content", "_nth"]
+        left, right = (rest.where(F.col("side") == i).select(*key, F.col("line").alias(x), F.col("_of").alias(f"_{x}")) for i, x in enumerate("ab"))
+        pairs = left.join(right, key).withColumn("_once", (F.col("_a") == 1) & (F.col("_b") == 1))
+        pairs = pairs.withColumn("_some", F.max("_once").over(W.partitionBy("doc_id", "gap"))).where("_once or not _some")
+        stretch = pairs.groupBy("doc_id", "gap").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_p"))
+        kept = stretch.select("doc_id", "_p", F.explode(_rising(F.col("_p.b"))).alias("_i")).select("doc_id", F.col("_p")[F.col("_i")].alias("_p")).select("doc_id", "_p.*")
+        kept = settle(kept)
+        if kept.isEmpty():
+            unsettle(kept)
+            return now
+        new = kept.select("doc_id", F.lit(0).alias("side"), F.col("a").alias("line"), F.col("b").alias("_met")).unionByName(kept.select("doc_id", F.lit(1).alias("side"), F.col("b").alias("line"), F.col("a").alias("_met")))
+        after_ = settle(now.join(new, ["doc_id", "side", "line"], "left").select("doc_id", "side", "line", "content", F.coalesce("met", "_met").alias("met")))
+        unsettle(now, kept)
+        now = after_
 
 
 def line_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Lines of one version only: (doc_id, change added or removed, line, content).
+    """Lines of one version only: (doc_id, change added or removed, line, content), in the order-keeping alignment of align().
 
-    Equal lines are matched by their count, so that a moved line is no change.
+    A moved line is removed in one place and added in another. A document in one version only has all its lines.
     """
-    a, b = _counted(before).withColumnRenamed("line", "a"), _counted(after).withColumnRenamed("line", "b")
-    j = a.join(b, ["doc_id", "content", "nth"], "full").where("a is null or b is null")
-    return j.select("doc_id", F.when(F.col("a").isNull(), "added").otherwise("removed").alias("change"), F.coalesce("b", "a").alias("line"), "content")
+    rows = align(before, after).where("met is null")
+    return rows.select("doc_id", F.when(F.col("side") == 1, "added").otherwise("removed").alias("change"), "line", "content")
 
 
 def changed_ranges(diff: DataFrame) -> DataFrame:
@@ -43,15 +129,41 @@ def changed_ranges(diff: DataFrame) -> DataFrame:
     return merge_ranges(diff.where("change = 'added'").select("doc_id", F.col("line").alias("lo"), F.col("line").alias("hi")))
 
 
-def unified(before: DataFrame, after: DataFrame, context: int = 2) -> DataFrame:
-    """Per document its changed lines with `-` or `+`, and the later text's lines around them, as one text."""
-    diff = line_diff(before, after)
-    after_lines = line_nodes(after).withColumn("content", bare(F.col("content")))
-    near = diff.select("doc_id", F.explode(F.sequence(F.greatest(F.lit(1), F.col("line") - context), F.col("line") + context)).alias("line")).distinct()
-    same = after_lines.join(near, ["doc_id", "line"]).join(diff.where("change = 'added'").select("doc_id", "line"), ["doc_id", "line"], "left_anti")
-    mark = F.when(F.col("change") == "added", "+").otherwise("-")
-    rows = diff.select("doc_id", "line", F.when(F.col("change") == "added", 1).otherwise(0).alias("k"), F.concat(mark, "content").alias("t")).unionByName(same.select("doc_id", "line", F.lit(2).alias("k"), F.concat(F.lit(" "), "content").alias("t")))
-    return rows.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line", "k", "t"))).getField("t"), "\n").alias("diff"))
+def hunks(before: DataFrame, after: DataFrame, context: int = 3) -> DataFrame:
+    """(doc_id, hunk, a_start, a_lines, b_start, b_lines, text): changes with up to `context` equal lines around them.
+
+    Changes whose contexts touch are one hunk. text has a line each: `-`, `+` or
+    a space, then the line; removed lines come before added ones. A side without
+    lines starts at the line before it.
+    """
+    aligned = align(before, after)
+    gap = F.count("met").over(W.partitionBy("doc_id", "side").orderBy("line"))
+    rows = aligned.withColumn("_g", gap).where("side = 0 or met is null")
+    kind = F.when(F.col("met").isNotNull(), 0).when(F.col("side") == 0, 1).otherwise(2)
+    rows = rows.withColumn("_k", kind)
+    order = W.partitionBy("doc_id").orderBy("_g", "_k", "line")
+    rows = rows.withColumn("_at", F.row_number().over(order))
+    # Lines of each side up to this row.
+    rows = rows.withColumn("_a", F.count_if(F.col("_k") < 2).over(order)).withColumn("_b", F.count_if(F.col("_k") != 1).over(order))
+    change = F.when(F.col("_k") > 0, F.col("_at"))
+    rows = rows.withColumn("_last", F.max(change).over(order)).withColumn("_next", F.min(change).over(order.rowsBetween(0, W.unboundedFollowing)))
+    rows = rows.where((F.col("_at") - F.col("_last") <= context) | (F.col("_next") - F.col("_at") <= context))
+    rows = rows.withColumn("hunk", F.sum(F.coalesce(F.col("_at") - F.lag("_at").over(order) > 1, F.lit(True)).cast("int")).over(order))
+    line = F.concat(F.element_at(F.array(F.lit(" "), F.lit("-"), F.lit("+")), F.col("_k") + 1), "content")
+    out = rows.groupBy("doc_id", "hunk").agg(
+        F.count_if(F.col("_k") < 2).alias("a_lines"), F.count_if(F.col("_k") != 1).alias("b_lines"), F.max("_a").alias("_a"), F.max("_b").alias("_b"), F.array_sort(F.collect_list(F.struct("_at", line.alias("t")))).alias("_t")
+    )
+    start = lambda last, n: F.when(n > 0, last - n + 1).otherwise(last)
+    return out.select("doc_id", "hunk", start(F.col("_a"), F.col("a_lines")).alias("a_start"), "a_lines", start(F.col("_b"), F.col("b_lines")).alias("b_start"), "b_lines", F.array_join(F.col("_t.t"), "\n").alias("text"))
+
+
+def unified(before: DataFrame, after: DataFrame, context: int = 3, before_label: str = "before", after_label: str = "after") -> DataFrame:
+    """(doc_id, diff): the hunks of each changed document under `---` and `+++`, each behind its `@@` line; every line ends with LF."""
+    size = lambda a, n: F.concat(a.cast("string"), F.when(n == 1, "").otherwise(F.concat(F.lit(","), n.cast("string"))))
+    h = hunks(before, after, context)
+    head = F.concat(F.lit("@@ -"), size(F.col("a_start"), F.col("a_lines")), F.lit(" +"), size(F.col("b_start"), F.col("b_lines")), F.lit(" @@\n"))
+    each = h.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("hunk", F.concat(head, "text", F.lit("\n")).alias("t")))).alias("_t"))
+    return each.select("doc_id", F.concat(F.lit(f"--- {before_label}\n+++ {after_label}\n"), F.array_join(F.col("_t.t"), "")).alias("diff"))
 
 
 def compare(left: DataFrame, right: DataFrame, key: list[str], fields: list[str]) -> DataFrame:

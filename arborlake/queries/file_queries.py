@@ -162,23 +162,38 @@ def j3_conflicts(spark, d):
     return D.conflicts(digest(docs(spark, d)), digest(v2(spark, d)), tree, "overwrite_source")
 
 
-A_B = f"""{LINES.replace("FROM documents", "FROM documents WHERE true")}, {V2}, {LINES.replace("documents", "v2").replace("l0", "m0").replace("lines AS", "lines2 AS")},
-ca AS (SELECT *, row_number() OVER (PARTITION BY doc_id, c ORDER BY line) AS nth FROM lines), cb AS (SELECT *, row_number() OVER (PARTITION BY doc_id, c ORDER BY line) AS nth FROM lines2),
-diff AS (SELECT coalesce(ca.doc_id, cb.doc_id) AS doc_id, CASE WHEN ca.line IS NULL THEN 'added' ELSE 'removed' END AS change, coalesce(cb.line, ca.line) AS line, coalesce(ca.c, cb.c) AS content
-  FROM ca FULL JOIN cb ON ca.doc_id = cb.doc_id AND ca.c = cb.c AND ca.nth = cb.nth WHERE ca.line IS NULL OR cb.line IS NULL)"""
+#: Lines of both versions as arrays: where the id mod 3 is 0 the first one differs, where it is 1 some follow.
+A_B = f"""{V2}, ab AS (SELECT doc_id, doc_id % 3 AS m, x[:len(x) - CASE WHEN x[-1] = '' THEN 1 ELSE 0 END] AS a, y[:len(y) - CASE WHEN y[-1] = '' THEN 1 ELSE 0 END] AS b
+  FROM (SELECT doc_id, string_split(d.text, chr(10)) AS x, string_split(v2.text, chr(10)) AS y FROM documents d JOIN v2 USING (doc_id)) WHERE doc_id % 3 < 2),
+diff AS (SELECT doc_id, 'removed' AS change, 1 AS line, a[1] AS content FROM ab WHERE m = 0 AND len(a) > 0 UNION ALL SELECT doc_id, 'added', 1, b[1] FROM ab WHERE m = 0
+  UNION ALL SELECT doc_id, 'added', len(a) + i, b[len(a) + i] FROM ab, unnest([1, 2]) u(i) WHERE m = 1 AND len(a) + i <= len(b))"""
 
 
-@query(f"WITH {A_B} SELECT doc_id, change, line, content FROM diff")
+@query(f"WITH {A_B} SELECT doc_id, change, CAST(line AS INT) AS line, content FROM diff")
 def j4_line_diff(spark, d):
     return D.line_diff(docs(spark, d).select("doc_id", "text"), v2(spark, d))
 
 
-@query(f"WITH {A_B} SELECT doc_id, line AS lo, line AS hi FROM diff WHERE change = 'added'")
+@query(f"WITH {A_B} SELECT doc_id, CAST(min(line) AS INT) AS lo, CAST(max(line) AS INT) AS hi FROM diff WHERE change = 'added' GROUP BY doc_id")
 def j4_changed_ranges(spark, d):
     return D.changed_ranges(j4_line_diff(spark, d))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, string_split(rtrim(text, chr(10)), chr(10)) AS x FROM documents)
+SELECT doc_id, 1 AS added, 1 AS removed FROM l WHERE len(list_distinct(x)) > 1""")
+def j4_moved_lines(spark, d):
+    """Each document against itself with its first line moved to the end: one line goes and one comes, unless all are alike."""
+    x = F.split(F.regexp_replace("text", "\n+$", ""), "\n")
+    both = docs(spark, d).select("doc_id", x.alias("x"))
+    moved = F.array_join(F.concat(F.slice("x", 2, F.size("x")), F.slice("x", 1, 1)), "\n")
+    rows = D.line_diff(both.select("doc_id", F.array_join("x", "\n").alias("text")), both.select("doc_id", moved.alias("text")))
+    return rows.groupBy("doc_id").agg(F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "removed").alias("removed"))
+
+
+@query(f"""WITH {A_B}, h AS (SELECT doc_id, m, len(a) AS n, len(b) AS k, a, b, CASE WHEN m = 0 THEN 0 ELSE greatest(len(a) - 3, 0) END AS s, CASE WHEN m = 0 THEN a[2:4] ELSE a[greatest(len(a) - 2, 1):] END AS near FROM ab),
+t AS (SELECT doc_id, CASE WHEN m = 0 THEN least(n, 4) ELSE n - s END AS al, CASE WHEN m = 0 THEN least(k, 4) ELSE k - s END AS bl, s,
+  CASE WHEN m = 0 THEN list_concat(list_transform(a[1:1], lambda x: '-' || x), list_transform(b[1:1], lambda x: '+' || x), list_transform(near, lambda x: ' ' || x)) ELSE list_concat(list_transform(near, lambda x: ' ' || x), list_transform(b[n + 1:], lambda x: '+' || x)) END AS body FROM h)
+SELECT doc_id, '--- before' || chr(10) || '+++ after' || chr(10) || '@@ -' || CASE WHEN al = 0 THEN s ELSE s + 1 END || CASE WHEN al = 1 THEN '' ELSE ',' || al END || ' +' || (s + 1) || CASE WHEN bl = 1 THEN '' ELSE ',' || bl END || ' @@' || chr(10) || array_to_string(body, chr(10)) || chr(10) AS diff FROM t""")
 def j5_unified_diff(spark, d):
     return D.unified(docs(spark, d).select("doc_id", "text"), v2(spark, d))
 
