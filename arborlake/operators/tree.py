@@ -106,26 +106,6 @@ def next_short_ids(old: DataFrame, nodes: DataFrame) -> DataFrame:
     return old.join(top, "doc_id", "full").select("doc_id", F.greatest(F.coalesce("next_short_id", F.lit(1)), F.coalesce("_n", F.lit(1))).alias("next_short_id"))
 
 
-def merge_short_ids(incoming: DataFrame, taken: DataFrame) -> DataFrame:
-    """In order of seq each node keeps its candidate if it is free, else gets the next number.
-
-    incoming: (doc_id, seq, node_id, candidate); taken: (doc_id, used array, next_short_id). An earlier
-    allocation can take what a later node wanted, so that each document's nodes are folded in order.
-    """
-    rows = incoming.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "node_id", "candidate"))).alias("rows"))
-    rows = rows.join(taken, "doc_id", "left")
-    kind = "struct<next: bigint, used: array<bigint>, out: array<struct<node_id: string, short_id: bigint>>>"
-    start = F.struct(F.coalesce("next_short_id", F.lit(1)).cast("long").alias("next"), F.coalesce("used", F.array()).cast("array<bigint>").alias("used"), F.array().cast("array<struct<node_id: string, short_id: bigint>>").alias("out")).cast(kind)
-
-    def step(s: Column, r: Column) -> Column:
-        free = r["candidate"].isNotNull() & (r["candidate"] > 0) & ~F.array_contains(s["used"], F.coalesce(r["candidate"], F.lit(0)))
-        got = F.when(free, r["candidate"]).otherwise(s["next"])
-        return F.struct(F.greatest(s["next"], got + 1).alias("next"), F.concat(s["used"], F.array(got)).alias("used"), F.concat(s["out"], F.array(F.struct(r["node_id"].alias("node_id"), got.alias("short_id")))).alias("out")).cast(kind)
-
-    folded = rows.select("doc_id", F.aggregate("rows", start, step).alias("s"))
-    return folded.select("doc_id", F.inline("s.out"))
-
-
 def rekey(nodes: DataFrame, remap: DataFrame) -> DataFrame:
     """Node ids replaced by (doc_id, old_id, new_id); all else stays."""
     return nodes.join(remap.withColumnRenamed("old_id", "node_id"), ["doc_id", "node_id"], "left").withColumn("node_id", F.coalesce("new_id", "node_id")).drop("new_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import tree as T
+from ..operators import folds, tree as T
 from ..plans import selector as S
 from ..sources.catalog import SQL, catalog_nodes
 from .registry import query
@@ -64,7 +64,7 @@ def b6_merge_short_ids(spark, d):
     n = T.preorder(catalog_nodes(spark, d).where("depth = 1"))
     incoming = n.select("doc_id", F.col("preorder").alias("seq"), "node_id", F.when(F.col("preorder") % 3 != 1, F.col("preorder") * 2 % 11 + 1).alias("candidate"))
     taken = n.select("doc_id").distinct().select("doc_id", F.array(F.lit(1), F.lit(5)).cast("array<bigint>").alias("used"), F.lit(6).cast("long").alias("next_short_id"))
-    return T.merge_short_ids(incoming, taken)
+    return folds.merge_short_ids(incoming, taken)
 
 
 @query(f"{WITH} SELECT doc_id, CASE WHEN depth = 1 AND doc_id % 5 = 0 THEN 'new-' || node_id ELSE node_id END AS node_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord_path) AS short_id FROM nodes")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from arborlake.functions import text as X
-from arborlake.operators import lines as L, tree as T
+from arborlake.operators import folds, lines as L, tree as T
 from arborlake.plans import selector as S
 from arborlake.sources import jsontree as J, snapshot
 from arborlake.streaming import jobs
@@ -87,7 +87,7 @@ def test_roles_and_names(spark):
 def test_short_id_merge(spark):
     inc = spark.createDataFrame([(1, 0, "a", 5), (1, 1, "b", None), (1, 2, "c", 6), (1, 3, "d", 2), (2, 0, "e", 1)], "doc_id long, seq long, node_id string, candidate long")
     taken = spark.createDataFrame([(1, [2], 3)], "doc_id long, used array<long>, next_short_id long")
-    assert {r.node_id: r.short_id for r in T.merge_short_ids(inc, taken).collect()} == {"a": 5, "b": 6, "c": 7, "d": 8, "e": 1}
+    assert {r.node_id: r.short_id for r in folds.merge_short_ids(inc, taken).collect()} == {"a": 5, "b": 6, "c": 7, "d": 8, "e": 1}
 
 
 def test_json(spark):
