@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators import folds, tree as T
 from ..plans import selector as S
-from ..sources.catalog import SQL, catalog_nodes
+from ..sources.catalog import LEAF_ORDER, SQL, catalog_nodes
 from .registry import query
 
 WITH = f"WITH {SQL}"
+#: The levels below the root straight from the tables, by their integer keys.
+LEVELS = f"""top AS (SELECT o_custkey AS doc_id, c_name, c_mktsegment, o_orderkey, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey),
+low AS (SELECT top.*, l_orderkey, l_partkey, j FROM (SELECT l_orderkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LEAF_ORDER)}) - 1 AS INT) AS j FROM lineitem) JOIN top ON l_orderkey = o_orderkey)"""
+LEAF = "'l:' || l_orderkey || ':' || j"
 
 
 @query(f"{WITH} SELECT doc_id, node_id, depth, row_number() OVER (PARTITION BY doc_id ORDER BY ord_path) - 1 AS preorder, array_to_string(anc_ids, '/') AS ancestors FROM nodes")
@@ -25,7 +29,7 @@ def b2_descendants_to_depth(spark, d):
     return hit.where("relative <= 1").select("doc_id", "node_id", "of_id", "relative")
 
 
-@query(f"{WITH} SELECT n.doc_id, n.node_id, p.name AS parent_name FROM nodes n JOIN nodes p ON p.doc_id = n.doc_id AND p.node_id = n.parent_id")
+@query(f"WITH {LEVELS} SELECT doc_id, 'o:' || o_orderkey AS node_id, c_name AS parent_name FROM top UNION ALL SELECT doc_id, {LEAF}, 'order#' || l_orderkey FROM low")
 def b2_parent(spark, d):
     return T.parent_of(catalog_nodes(spark, d)).select("doc_id", "node_id", "parent_name")
 
@@ -36,8 +40,8 @@ def b3_semantic_role(spark, d):
     return T.semantic_roles(n, {"customer": "module", "order": "class", "lineitem": "function"}).select("doc_id", "node_id", "role")
 
 
-@query(f"""{WITH} SELECT n.doc_id, n.node_id, CASE n.role WHEN 'class' THEN n.name WHEN 'method' THEN p.name || '.' || n.name END AS qualname
-FROM nodes n LEFT JOIN nodes p ON p.doc_id = n.doc_id AND p.node_id = n.parent_id""")
+@query(f"""WITH {LEVELS} SELECT c_custkey AS doc_id, 'c:' || c_custkey AS node_id, CAST(NULL AS VARCHAR) AS qualname FROM customer UNION ALL SELECT doc_id, 'o:' || o_orderkey, 'order#' || o_orderkey FROM top
+UNION ALL SELECT doc_id, {LEAF}, 'order#' || l_orderkey || '.part#' || l_partkey FROM low""")
 def b4_qualified_name(spark, d):
     return T.qualified_names(catalog_nodes(spark, d)).select("doc_id", "node_id", "qualname")
 
@@ -151,7 +155,7 @@ def c11_render_mode(spark, d):
     return rows.select("doc_id", "node_id", "n", F.when(F.col("n") < 5, "inline").otherwise("drilldown").alias("mode"))
 
 
-@query(f"{WITH} SELECT c.doc_id, c.node_id, p.kind AS parent_kind, c.kind AS child_kind FROM nodes c JOIN nodes p ON p.doc_id = c.doc_id AND p.node_id = c.parent_id WHERE (p.kind, c.kind) NOT IN (('customer', 'order'))")
+@query(f"WITH {LEVELS} SELECT doc_id, {LEAF} AS node_id, 'order' AS parent_kind, 'lineitem' AS child_kind FROM low")
 def c12_inadmissible_children(spark, d):
     n = catalog_nodes(spark, d)
     rules = spark.createDataFrame([("customer", "order")], "parent_kind string, child_kind string")
@@ -160,12 +164,12 @@ def c12_inadmissible_children(spark, d):
     return pairs.join(F.broadcast(rules), ["parent_kind", "child_kind"], "left_anti").select("doc_id", "node_id", "parent_kind", "child_kind")
 
 
-@query(f"{WITH} SELECT c.doc_id, c.node_id FROM nodes c WHERE c.role = 'method' AND (doc_id, parent_id) IN (SELECT doc_id, node_id FROM nodes WHERE role = 'class' AND fields['status'] = 'O')")
+@query(f"WITH {LEVELS} SELECT doc_id, {LEAF} AS node_id FROM low WHERE o_orderstatus = 'O'")
 def d1_child(spark, d):
     return S.select("class", S.where("fields.status", "=", "O")).child("method").run(catalog_nodes(spark, d)).select("doc_id", "node_id")
 
 
-@query(f"{WITH} SELECT doc_id, node_id FROM nodes WHERE role = 'method' AND doc_id IN (SELECT doc_id FROM nodes WHERE role = 'module' AND fields['segment'] = 'BUILDING')")
+@query(f"WITH {LEVELS} SELECT doc_id, {LEAF} AS node_id FROM low WHERE c_mktsegment = 'BUILDING'")
 def d2_descendant(spark, d):
     return S.select("module", S.where("fields.segment", "=", "BUILDING")).descendant("method").run(catalog_nodes(spark, d)).select("doc_id", "node_id")
 
@@ -283,7 +287,7 @@ def k9_find_classes(spark, d):
     return catalog_nodes(spark, d).where("role = 'class'").where(F.col("name").like("order#1%")).select("doc_id", "node_id", "name", "kind")
 
 
-@query(f"{WITH} SELECT m.doc_id, c.name AS class_name, m.name AS method_name, m.child_index FROM nodes m JOIN nodes c ON c.doc_id = m.doc_id AND c.node_id = m.parent_id WHERE c.name LIKE 'order#1%' AND m.role = 'method'")
+@query(f"WITH {LEVELS} SELECT doc_id, 'order#' || l_orderkey AS class_name, 'part#' || l_partkey AS method_name, j AS child_index FROM low WHERE CAST(l_orderkey AS VARCHAR) LIKE '1%'")
 def k9_class_methods(spark, d):
     n = catalog_nodes(spark, d)
     c = n.where("role = 'class'").where(F.col("name").like("order#1%")).select("doc_id", F.col("node_id").alias("parent_id"), F.col("name").alias("class_name"))

@@ -55,6 +55,25 @@ def i1_insert(spark, d):
     return E.insert(catalog_nodes(spark, d), clean(spark, d)).select("doc_id", "node_id", "parent_id", "child_index")
 
 
+@query(f"""{WITH}, {EDITS}, g AS (SELECT k AS doc_id, 'o:' || a AS x FROM good WHERE k % 4 = 1)
+SELECT n.doc_id, node_id, parent_id, row_number() OVER (PARTITION BY n.doc_id, parent_id ORDER BY child_index) - 1 AS child_index FROM nodes n LEFT JOIN g ON g.doc_id = n.doc_id AND (node_id = x OR parent_id = x) WHERE x IS NULL""")
+def i2_delete(spark, d):
+    return E.delete(catalog_nodes(spark, d), clean(spark, d)).select("doc_id", "node_id", "parent_id", "child_index")
+
+
+@query(f"""{WITH}, {EDITS}, m AS (SELECT k AS doc_id, 'o:' || a AS node_id FROM good WHERE k % 4 = 2)
+SELECT n.doc_id, n.node_id, parent_id, row_number() OVER (PARTITION BY n.doc_id, parent_id ORDER BY CASE WHEN m.node_id IS NOT NULL THEN 1000000 ELSE child_index END) - 1 AS child_index FROM nodes n LEFT JOIN m USING (doc_id, node_id)""")
+def i4_move(spark, d):
+    return E.move(catalog_nodes(spark, d), clean(spark, d)).select("doc_id", "node_id", "parent_id", "child_index")
+
+
+@query(f"""{WITH}, {EDITS}, s AS (SELECT k AS doc_id, 'o:' || a AS node_id FROM good WHERE k % 4 = 3)
+SELECT n.doc_id, n.node_id, CASE WHEN s.node_id IS NOT NULL THEN 'edited' ELSE fields['status'] END AS status, fields['priority'] AS priority FROM nodes n LEFT JOIN s USING (doc_id, node_id)""")
+def i9_set_attribute(spark, d):
+    n = E.set_attribute(catalog_nodes(spark, d), clean(spark, d), "status")
+    return n.select("doc_id", "node_id", F.element_at("fields", "status").alias("status"), F.element_at("fields", "priority").alias("priority"))
+
+
 def batches(spark, d):
     """Three edits a customer: that of edits(), then a node put last below the root, then an attribute of this new node."""
     e = edits(spark, d)
@@ -97,12 +116,13 @@ def i10_set_body(spark, d):
     return E.set_body(n, bodies, parts).select("doc_id", "node_id", "parent_id", "child_index", "content")
 
 
-@query(f"""{WITH} SELECT doc_id, CASE WHEN depth = 2 AND ord_path[2] = 0 AND doc_id % 7 <> 0 THEN 'e:' || node_id ELSE node_id END AS node_id, parent_id, child_index, CASE WHEN ord_path[2] = 0 AND depth > 0 AND doc_id % 7 <> 0 THEN upper(name) ELSE name END AS name FROM nodes""")
+@query(f"""{WITH}, x AS (SELECT DISTINCT doc_id AS x FROM nodes WHERE depth = 2 AND ord_path[2] = 0 AND doc_id % 7 = 0)
+SELECT doc_id, CASE WHEN depth = 2 AND ord_path[2] = 0 AND x IS NULL THEN 'e:' || node_id ELSE node_id END AS node_id, parent_id, child_index, CASE WHEN ord_path[2] = 0 AND depth > 0 AND x IS NULL THEN upper(name) ELSE name END AS name FROM nodes LEFT JOIN x ON x = doc_id""")
 def i8_apply_subtree(spark, d):
     n = catalog_nodes(spark, d)
     sub = n.where("depth > 0 and ord_path[1] = 0")
     root = F.when(F.col("depth") == 1, F.col("node_id")).otherwise(F.col("parent_id"))
-    # Where the key mod 7 is 0 a leaf takes the id of the document's root: refused whole.
+    # Where the key mod 7 is 0 a leaf, if there is one, takes the id of the document's root: refused whole.
     own = F.when(F.col("depth") == 1, F.col("node_id")).when((F.col("doc_id") % 7 == 0) & (F.col("child_index") == 0), F.concat(F.lit("c:"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("e:"), "node_id"))
     copies = sub.select("doc_id", root.alias("root_id"), own.alias("node_id"), "parent_id", "child_index", F.upper("name").alias("name"))
     return E.apply_subtrees(n, copies)[0].select("doc_id", "node_id", "parent_id", "child_index", "name")
