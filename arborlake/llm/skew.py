@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 HOT_ROWS = 4096
 #: Chunks of a key whose sums one task adds up.
 BLOCK = 4096
+#: Bits of the bitmap that sift() broadcasts: 262,144 rows of 64.
+SIFT_BITS = 1 << 24
 
 
 def attach(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
@@ -29,6 +31,20 @@ def attach(left: DataFrame, right: DataFrame, on: list[str], weight: str, total:
     return a.unionByName(b)
 
 
+def sift(rows: DataFrame, wanted: DataFrame, key: str, bits: int = SIFT_BITS) -> DataFrame:
+    """Rows of which the key may be one of `wanted`, before they are shuffled to meet it.
+
+    A bitmap of the wanted keys' hashes, of a fixed size, is broadcast: bits / 64
+    rows at most. No row whose key is wanted is lost; where the bitmap fills up,
+    more of the others stay, and the join that follows drops them.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(bits)).cast("int")
+    bit = F.expr("shiftleft(1L, _p & 63)")
+    words = wanted.select(place.alias("_p")).groupBy(F.expr("shiftright(_p, 6)").alias("_w")).agg(F.bit_or(bit).alias("_b"))
+    met = rows.withColumn("_p", place).withColumn("_w", F.expr("shiftright(_p, 6)")).join(F.broadcast(words), "_w")
+    return met.where("shiftrightunsigned(_b, _p & 63) & 1 = 1").select(rows.columns)
+
+
 def chunked_sums(df: DataFrame, by: list[str], order: list[Column], value: Column, total: int, rows: int = 500) -> DataFrame:
     """Adds `before`: the sum of `value` over the rows of the same key that come earlier.
 
