@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: A line with its end; `unicode` also ends lines at the other breaks of Unicode.
@@ -47,29 +51,75 @@ def fixed_blocks(lines: DataFrame, size: int) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def _sweep(points: DataFrame, blocks: DataFrame, exact: bool) -> DataFrame:
+    """points(doc_id, point, lo, hi) with block_id, start_line and end_line of the block around each, or nulls.
+
+    A document's blocks and points pass by in the order of their first lines, with
+    the blocks that are open at that line held by their span, so that no block
+    meets all points and none is spread over its lines.
+    """
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    b = blocks.select("doc_id", F.col("start_line").cast("long").alias("lo"), F.lit(0).alias("side"), F.col("end_line").cast("long").alias("hi"), F.lit(None).cast(kind(points, "point")).alias("point"), "block_id")
+    p = points.select("doc_id", F.col("lo").cast("long").alias("lo"), F.lit(1).alias("side"), F.col("hi").cast("long").alias("hi"), "point", F.lit(None).cast(kind(blocks, "block_id")).alias("block_id"))
+    rows = b.unionByName(p).repartition("doc_id").sortWithinPartitions("doc_id", "lo", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, begun, open_ = None, False, []  # (span, first line, block, last line) in order
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, lo, side, hi, point, block in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lo", "side", "hi", "point", "block_id")), strict=True):
+                if not begun or doc != now:
+                    now, begun, open_, most = doc, True, [], 64
+                if side == 0:
+                    insort(open_, (hi - lo, lo, block, hi))
+                    if len(open_) > most:  # those that have ended go when there may be many
+                        open_ = [x for x in open_ if x[3] >= lo]
+                        most = max(64, 2 * len(open_))
+                    continue
+                best = None
+                for x in open_:
+                    if x[3] >= hi and (best is None or x[1] == lo and x[3] == hi):
+                        best = x
+                        if not exact or x[1] == lo and x[3] == hi:
+                            break
+                    if exact and best is not None and x[0] > hi - lo:
+                        break
+                out.append((doc, point, *((best[2], best[1], best[3]) if best else (None, None, None))))
+            types = [batch.column("doc_id").type, batch.column("point").type, batch.column("block_id").type, pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["doc_id", "point", "block_id", "start_line", "end_line"])
+
+    return rows.mapInArrow(run, f"doc_id {kind(points, 'doc_id')}, point {kind(points, 'point')}, block_id {kind(blocks, 'block_id')}, start_line long, end_line long")
+
+
 def smallest_enclosing(points: DataFrame, blocks: DataFrame) -> DataFrame:
     """Of each point (doc_id, line) the block of least span that holds it, then of least start; else status LINE_NOT_FOUND."""
-    b = blocks.withColumn("line", F.explode(F.sequence("start_line", "end_line")))
-    best = b.join(points.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_semi").groupBy("doc_id", "line").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "start_line", "block_id")).alias("b"))
-    out = points.join(best, ["doc_id", "line"], "left")
-    return out.withColumn("block_id", F.col("b.block_id")).withColumn("status", F.when(F.col("b").isNull(), "LINE_NOT_FOUND").otherwise("ok")).drop("b")
+    once = points.select("doc_id", F.col("line").alias("point"), F.col("line").alias("lo"), F.col("line").alias("hi")).distinct()
+    best = _sweep(once, blocks, False).select("doc_id", F.col("point").alias("line"), "block_id").where("block_id is not null")
+    return points.join(best, ["doc_id", "line"], "left").withColumn("status", F.when(F.col("block_id").isNull(), "LINE_NOT_FOUND").otherwise("ok"))
 
 
 def blocks_in_range(requests: DataFrame, blocks: DataFrame, exact: bool = True) -> DataFrame:
     """Per request (request_id, doc_id, lo, hi) the block of exactly these lines, else the smallest that holds them."""
-    j = requests.join(blocks, "doc_id").where("start_line <= lo and end_line >= hi")
-    miss = (~((F.col("start_line") == F.col("lo")) & (F.col("end_line") == F.col("hi")))) if exact else F.lit(False)
-    best = j.groupBy("request_id").agg(F.min(F.struct(miss.alias("m"), (F.col("end_line") - F.col("start_line")).alias("span"), "start_line", "block_id")).alias("b"))
-    return requests.join(best, "request_id", "left").select("request_id", F.col("b.block_id").alias("block_id"), (~F.col("b.m")).alias("is_exact"))
+    found = _sweep(requests.select("doc_id", F.struct("request_id", "lo", "hi").alias("point"), "lo", "hi"), blocks, exact)
+    hit = (F.col("start_line") == F.col("point.lo")) & (F.col("end_line") == F.col("point.hi")) if exact else F.when(F.col("block_id").isNotNull(), True)
+    return found.select("point.request_id", "block_id", hit.alias("is_exact"))
 
 
 def text_search(blocks: DataFrame, lines: DataFrame, needle: str) -> DataFrame:
-    """Blocks with a line that holds the needle, without those that lie around another such block."""
-    hits = lines.where(F.col("content").contains(needle)).select("doc_id", F.col("line").alias("_l"))
-    found = blocks.join(hits, "doc_id").where("_l between start_line and end_line").select(blocks.columns).distinct()
-    inner = found.select("doc_id", F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
-    around = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("_s") >= F.col("start_line")) & (F.col("_e") <= F.col("end_line")) & (F.col("_e") - F.col("_s") < F.col("end_line") - F.col("start_line"))
-    return found.alias("a").join(inner.alias("b"), around, "left_anti")
+    """Blocks with a line that holds the needle, without those that lie around another such block.
+
+    A block has as many hits as were counted up to its last line less those before its first.
+    """
+    ends = blocks.withColumn("_e", F.explode(F.array(*[F.struct(F.col(c).cast("long").alias("at"), F.lit(side).alias("side")) for c, side in (("start_line", 0), ("end_line", 2))])))
+    hits = lines.where(F.col("content").contains(needle)).select("doc_id", F.struct(F.col("line").cast("long").alias("at"), F.lit(1).alias("side")).alias("_e"))
+    both = ends.unionByName(hits, allowMissingColumns=True)
+    seen = F.sum((F.col("_e.side") == 1).cast("int")).over(W.partitionBy("doc_id").orderBy("_e.at", "_e.side").rowsBetween(W.unboundedPreceding, 0))
+    counted = both.withColumn("_n", seen).where("_e.side <> 1")
+    found = counted.groupBy(*blocks.columns).agg((F.max("_n") - F.min("_n")).alias("_hits")).where("_hits > 0").drop("_hits")
+    later = W.partitionBy("doc_id").orderBy(F.desc("start_line")).rangeBetween(W.unboundedPreceding, -1)
+    same = W.partitionBy("doc_id", "start_line")
+    found = found.withColumn("_later", F.min("end_line").over(later)).withColumn("_same", F.min("end_line").over(same))
+    return found.where("(_later is null or _later > end_line) and _same = end_line").drop("_later", "_same")
 
 
 def enrich_matches(matches: DataFrame, blocks: DataFrame, max_rows: int) -> DataFrame:

@@ -2,15 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from decimal import Decimal
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..functions.settle import settle
+
+
+def selected(rows: DataFrame, by: list[str], value: str, shares: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact quantiles by distributed selection: by and one column a name of shares, each (kind, share).
+
+    kind `disc`: the least value that at least that share of the rows does not exceed; `cont`: interpolated between
+    the two values around the place share * (n - 1). Nulls do not count. Equal values are counted first; different
+    ones are sorted over all tasks, so that a group of any size is dealt to many, and only the sums of its parts
+    in the tasks come together, to tell at which rank each part begins.
+    """
+    key = [F.col(c) for c in by]
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    parts = settle(counted.repartitionByRange(*key, F.col("_v")).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy(*by, "_part").agg(F.sum("_c").alias("_s"))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_s").over(before), F.lit(0))).withColumn("_n", F.sum("_s").over(W.partitionBy(*by)))
+    places = {name: ((F.ceil(F.lit(Decimal(str(q))) * F.col("_n")) - 1).cast("long"),) * 2 if kind == "disc" else (F.floor(F.lit(q) * (F.col("_n") - 1)), F.ceil(F.lit(q) * (F.col("_n") - 1))) for name, (kind, q) in shares.items()}
+    # Only parts that hold one of the places asked for are ranked.
+    inside = reduce(or_, [(p >= F.col("_base")) & (p < F.col("_base") + F.col("_s")) for pair in places.values() for p in pair])
+    sums = sums.where(inside)
+    same = reduce(and_, [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by], F.col("p._part") == F.col("s._part"))
+    some = parts.alias("p").join(sums.alias("s"), same).select("p.*", "s._base", "s._n")
+    run = W.partitionBy(*by, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    some = some.withColumn("_to", F.col("_base") + F.sum("_c").over(run)).withColumn("_from", F.col("_to") - F.col("_c"))
+    at = lambda p: F.max(F.when((p >= F.col("_from")) & (p < F.col("_to")), F.col("_v")))
+    aggs = [a for name, (lo, hi) in places.items() for a in (at(lo).alias(f"_{name}_lo"), at(hi).alias(f"_{name}_hi"))]
+    found = some.groupBy(*by).agg(F.max("_n").alias("_n"), *aggs)
+    mid = lambda name, q: F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * (F.lit(q) * (F.col("_n") - 1) - F.floor(F.lit(q) * (F.col("_n") - 1)))
+    return found.select(*by, *[(F.col(f"_{name}_lo") if kind == "disc" else mid(name, q)).alias(name) for name, (kind, q) in shares.items()])
 
 
 def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, min, median, p95 by nearest rank, max, mean, population deviation, and (max - min) / median."""
     v = F.col(value)
-    out = rows.groupBy(*by).agg(
-        F.count(v).alias("n"), F.min(v).alias("least"), F.percentile(v, F.lit(0.5)).alias("median"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stdev")
-    )
+    sums = rows.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stdev"))
+    ranks = selected(rows, by, value, {"median": ("cont", 0.5), "p95": ("disc", 0.95)})
+    ranks = ranks.select(*[F.col(c).alias(f"_{c}") for c in by], "median", "p95")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    out = sums.join(ranks, same, "left").select(*by, "n", "least", "median", "p95", "most", "mean", "stdev")
     return out.withColumn("spread", ratio(F.col("most") - F.col("least"), F.col("median")))
 
 
@@ -78,8 +115,6 @@ def parse_log(lines: DataFrame) -> DataFrame:
 
 def bottlenecks(parsed: DataFrame) -> DataFrame:
     """By operation: calls, total, average, least and most seconds, and its ranks by total and by average."""
-    from pyspark.sql import Window as W
-
     g = parsed.groupBy("op").agg(F.count("*").alias("calls"), F.sum("seconds").alias("total"), F.avg("seconds").alias("average"), F.min("seconds").alias("least"), F.max("seconds").alias("most"))
     by = lambda c: F.row_number().over(W.orderBy(F.desc(c), "op"))  # noqa: E731  a row an operation
     return g.withColumn("by_total", by("total")).withColumn("by_average", by("average"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.settle import settle
 from ..functions.text import from_hex, is_uuid4
+from .lines import utf8_prefix
 
 
 def doc_order():
@@ -135,10 +136,21 @@ def backfill_entities(entities: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def subtree_sizes(nodes: DataFrame) -> DataFrame:
-    """Per node: nodes, bytes and children of its subtree, itself included in the first two."""
-    own = nodes.select("doc_id", "parent_id", F.length(F.col("content").cast("binary")).alias("bytes"), F.explode(F.concat("anc_ids", F.array("node_id"))).alias("node_id"))
-    child = (F.col("parent_id") == F.col("node_id")).cast("int")
-    return own.groupBy("doc_id", "node_id").agg(F.count("*").alias("n_nodes"), F.sum("bytes").alias("n_bytes"), F.sum(F.coalesce(child, F.lit(0))).alias("n_children"))
+    """Per node: nodes, bytes and children of its subtree, itself included in the first two.
+
+    By an Euler tour: each node is entered at its place and left behind all that lie below it; its subtree is
+    what was entered between, the difference of two running sums of its document.
+    """
+    step = lambda node, at, enter, child: F.struct(F.col(node).alias("node_id"), at.alias("at"), F.lit(enter).alias("enter"), F.lit(child).alias("child"))
+    at, behind = F.col("ord_path"), F.concat("ord_path", F.array(F.lit(2147483647)))
+    tour = F.array(step("node_id", at, 1, 0), step("node_id", behind, 0, 0), step("parent_id", at, 0, 1))
+    steps = nodes.select("doc_id", F.length(F.col("content").cast("binary")).alias("_b"), F.explode(tour).alias("s")).select("doc_id", "_b", "s.*").where("node_id is not null")
+    run = W.partitionBy("doc_id").orderBy("at", F.desc("enter")).rowsBetween(W.unboundedPreceding, 0)
+    entered, bytes_ = F.col("enter"), F.when(F.col("enter") == 1, F.coalesce("_b", F.lit(0))).otherwise(0)
+    steps = steps.select("doc_id", "node_id", "enter", "child", F.sum(entered).over(run).alias("_n"), F.sum(bytes_).over(run).alias("_s"), bytes_.alias("_own"))
+    mine = F.col("child") == 0
+    inside = lambda c: F.max(F.when(mine & (F.col("enter") == 0), F.col(c))) - F.max(F.when(F.col("enter") == 1, F.col(c)))  # noqa: E731  both rise along the tour
+    return steps.groupBy("doc_id", "node_id").agg((inside("_n") + 1).alias("n_nodes"), (inside("_s") + F.sum("_own")).alias("n_bytes"), F.sum("child").alias("n_children"))
 
 
 def statement_ancestor(nodes: DataFrame, statement_kinds: list[str]) -> DataFrame:
@@ -165,29 +177,39 @@ def renumber(nodes: DataFrame, order: str = "sort_key") -> DataFrame:
     return nodes.withColumn("child_index", (F.row_number().over(w) - 1).cast("int"))
 
 
-def drill_down(nodes: DataFrame, depth: int = 1, expand_below_bytes: int = 64, max_output_bytes: int = 4096) -> DataFrame:
-    """An outline of each document from its root, as records of `node` or `stub`, cut at a budget.
+def drill_down(nodes: DataFrame, depth: int = 1, expand_below_bytes: int = 64, max_output_bytes: int = 4096, start: DataFrame | None = None, resume: DataFrame | None = None, preview_bytes: int = 0) -> DataFrame:
+    """An outline of each document as records of `node` or `stub`, cut at a budget.
 
-    A node below `depth` is shown if all above it are and its subtree has at most
-    expand_below_bytes (0: never); the topmost others are stubs with what they
-    hide. Records in preorder whose bytes add up to over max_output_bytes are left out.
+    It begins at the root, or at the node of start(doc_id, node_id), one a document, whose depth counts as 0; other
+    documents are then left out. A node below `depth` is shown if all above it are and its subtree has at most
+    expand_below_bytes (0: never); the topmost others are stubs with what they hide. Records in preorder whose
+    bytes add up to over max_output_bytes are not shown; truncation() gives the first of these, and a call with it as
+    resume(doc_id, node_id) goes on from there with a new budget. With preview_bytes a node's content is added,
+    as many whole characters as fit.
     """
-    sizes = subtree_sizes(nodes)
-    rows = nodes.join(sizes, ["doc_id", "node_id"])
+    rows = preorder(nodes).join(subtree_sizes(nodes), ["doc_id", "node_id"]).withColumn("_end", F.col("preorder") + F.col("n_nodes"))
+    if start is not None:
+        top = rows.join(start.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi").select("doc_id", F.col("preorder").alias("_p"), F.col("_end").alias("_e"), F.col("depth").alias("_d"))
+        rows = rows.join(top, "doc_id").where("preorder >= _p and preorder < _e").withColumn("depth", F.col("depth") - F.col("_d"))
     small = F.col("n_bytes") <= (expand_below_bytes if expand_below_bytes else -1)
     rows = rows.withColumn("stub", (F.col("depth") > depth) & ~small)
-    stubs = rows.where("stub").select("doc_id", F.col("node_id").alias("_a"))
-    under = nodes.select("doc_id", "node_id", F.explode("anc_ids").alias("_a")).join(stubs, ["doc_id", "_a"], "left_semi")
-    rows = rows.join(under.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_anti")
+    # Subtrees lie within each other or apart, so a node is in a stub if one before it ends behind it.
+    before = W.partitionBy("doc_id").orderBy("preorder").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_until", F.max(F.when(F.col("stub"), F.col("_end"))).over(before)).where("_until is null or _until <= preorder")
+    if resume is not None:
+        first = rows.join(resume.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi").select("doc_id", F.col("preorder").alias("_r"))
+        rows = rows.join(first, "doc_id").where("preorder >= _r")
     size = F.length("name") + F.when(F.col("stub"), 16).otherwise(F.length("content") + 8)
-    run = F.sum("_size").over(doc_order().rowsBetween(W.unboundedPreceding, 0))
+    run = F.sum("_size").over(W.partitionBy("doc_id").orderBy("preorder").rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("_size", size).withColumn("used", run)
-    return rows.withColumn("shown", F.col("used") <= max_output_bytes).select("doc_id", "node_id", F.when(F.col("stub"), "stub").otherwise("node").alias("record_type"), "name", "n_nodes", "n_bytes", "n_children", "used", "shown")
+    preview = [F.when(~F.col("stub"), utf8_prefix(F.col("content"), preview_bytes)).alias("preview")] if preview_bytes else []
+    return rows.withColumn("shown", F.col("used") <= max_output_bytes).select("doc_id", "node_id", F.when(F.col("stub"), "stub").otherwise("node").alias("record_type"), "name", "n_nodes", "n_bytes", "n_children", "used", "shown", *preview)
 
 
 def truncation(outline: DataFrame) -> DataFrame:
-    """Per document: records shown and left out."""
-    return outline.groupBy("doc_id").agg(F.count_if("shown").alias("n_shown"), F.count_if(~F.col("shown")).alias("n_omitted"), F.max(F.when(F.col("shown"), F.col("used"))).alias("bytes_shown"))
+    """Per document: records shown and left out, their bytes, and the node from which to go on (null if nothing is left)."""
+    left = F.when(~F.col("shown"), F.col("used"))
+    return outline.groupBy("doc_id").agg(F.count_if("shown").alias("n_shown"), F.count_if(~F.col("shown")).alias("n_omitted"), F.max(F.when(F.col("shown"), F.col("used"))).alias("bytes_shown"), F.min_by("node_id", left).alias("next_node_id"))
 
 
 def structure_overview(nodes: DataFrame, roles: tuple[str, str] = ("class", "method")) -> DataFrame:

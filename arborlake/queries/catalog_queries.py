@@ -250,11 +250,22 @@ def g4_drill_down(spark, d):
     return T.drill_down(catalog_nodes(spark, d), depth=0, expand_below_bytes=6, max_output_bytes=512)
 
 
-@query(f"SELECT doc_id, count(*) FILTER (WHERE shown) AS n_shown, count(*) FILTER (WHERE NOT shown) AS n_omitted, max(used) FILTER (WHERE shown) AS bytes_shown FROM ({G4}) GROUP BY doc_id")
+@query(f"SELECT doc_id, count(*) FILTER (WHERE shown) AS n_shown, count(*) FILTER (WHERE NOT shown) AS n_omitted, max(used) FILTER (WHERE shown) AS bytes_shown, min_by(node_id, used) FILTER (WHERE NOT shown) AS next_node_id FROM ({G4}) GROUP BY doc_id")
 def g4_truncation(spark, d):
     return T.truncation(g4_drill_down(spark, d))
 
 
+@query(f"""{WITH} , r AS (SELECT *, CASE WHEN depth = 1 THEN 1 ELSE 0 END AS top FROM nodes WHERE depth > 0 AND ord_path[2] = 1), k AS (SELECT doc_id, count(*) AS n FROM r GROUP BY 1),
+u AS (SELECT r.*, k.n, CAST(sum(length(name) + length(content) + 8) OVER (PARTITION BY doc_id ORDER BY ord_path) AS BIGINT) AS used FROM r JOIN k USING (doc_id) WHERE depth = 2 AND child_index >= 1)
+SELECT doc_id, node_id, 'node' AS record_type, name, 1 AS n_nodes, strlen(content) AS n_bytes, 0 AS n_children, used, used <= 40 AS shown, content[:1] AS preview FROM u""")
+def g4_drill_down_from_address(spark, d):
+    """From each customer's second order, going on at its second leaf."""
+    n = catalog_nodes(spark, d)
+    start = n.where("depth = 1 and child_index = 1").select("doc_id", "node_id")
+    resume = n.where("depth = 2 and ord_path[1] = 1 and child_index = 1").select("doc_id", "node_id")
+    return T.drill_down(n, 1, 0, 40, start, resume, 1)
+
+
 @query(f"""{WITH} , f AS (SELECT doc_id, node_id, count(*) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY ord_path) AS k FROM nodes WHERE role = 'method')
 SELECT doc_id, node_id, total FROM f WHERE k <= 5""")
 def g6_result_cap(spark, d):
