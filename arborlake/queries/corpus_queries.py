@@ -80,7 +80,7 @@ def k10_graph_export(spark, d):
 
 @query("SELECT event_id AS doc_id, '' AS pointer, 0 AS depth, 'object' AS kind, CAST(NULL AS VARCHAR) AS scalar FROM events UNION ALL SELECT event_id, '/' || unnest(json_keys(props)), 1, 'number', json_extract_string(props, '$.' || unnest(json_keys(props))) FROM events")
 def a6_json_flatten(spark, d):
-    return J.json_nodes(table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("json")))
+    return J.json_nodes(table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("json"))).drop("pos")
 
 
 def order_json(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import edits as E, folds, integrity as I, measures as M, tree as T
+from ..operators import edits as E, folds, integrity as I, jsonedits as JE, measures as M, tree as T
 from ..sources import jsontree as J
 from ..sources.catalog import SQL, catalog_nodes, table
 from .corpus_queries import order_json
@@ -101,11 +101,38 @@ def i11_replace_node_ids(spark, d):
     return T.replace_ids(n, remap)
 
 
-@query("SELECT o_orderkey AS doc_id, '/status' AS pointer, CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS scalar FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+#: Nodes of the JSON texts of orders with items (see order_json): members are in the order of their names.
+ORDER_NODES = """o AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+i AS (SELECT l_orderkey AS k, l_linenumber AS line, l_partkey AS part, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INT) AS j FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+n AS (SELECT k AS doc_id, '' AS pointer, NULL AS scalar, 0 AS pos FROM o UNION ALL SELECT k, '/items', NULL, 0 FROM o UNION ALL SELECT k, '/key', CAST(k AS VARCHAR), 1 FROM o UNION ALL SELECT k, '/status', s, 2 FROM o
+  UNION ALL SELECT k, '/items/' || j, NULL, j FROM i UNION ALL SELECT k, '/items/' || j || '/line', CAST(line AS VARCHAR), 0 FROM i UNION ALL SELECT k, '/items/' || j || '/part', CAST(part AS VARCHAR), 1 FROM i)"""
+
+
+@query(f"""WITH {ORDER_NODES}, m AS (SELECT *, CASE WHEN pointer LIKE '/items/%' THEN CAST(split_part(pointer, '/', 3) AS INT) END AS j, regexp_replace(pointer, '^/items/[0-9]+', '') AS rest FROM n)
+SELECT doc_id, CASE WHEN j IS NULL OR doc_id % 5 > 1 THEN pointer WHEN doc_id % 5 = 0 THEN '/items/' || (j - 1) || rest WHEN j >= 1 THEN '/items/' || (j + 1) || rest ELSE pointer END AS pointer, CASE WHEN doc_id % 5 = 4 AND pointer = '/status' THEN 'X' ELSE scalar END AS scalar,
+  CASE WHEN j IS NOT NULL AND rest = '' AND doc_id % 5 = 0 THEN j - 1 WHEN j >= 1 AND rest = '' AND doc_id % 5 = 1 THEN j + 1 WHEN doc_id % 5 = 2 AND pointer = '/status' THEN 3 ELSE pos END AS pos FROM m WHERE NOT (doc_id % 5 = 0 AND j IS NOT DISTINCT FROM 0)
+UNION ALL SELECT k, '/items/1' || x, CASE x WHEN '/new' THEN 'true' END, CASE x WHEN '/new' THEN 0 ELSE 1 END FROM o, unnest(['', '/new']) u(x) WHERE k % 5 = 1
+UNION ALL SELECT k, '/note', 'n', 2 FROM o WHERE k % 5 = 2""")
+def i17_json_edits(spark, d):
+    """By the key mod 5: the first item goes, an item comes second, a member comes after `key`, the root's deletion is refused, the status is set."""
+    docs = order_json(spark, d)
+    k = F.col("doc_id") % 5
+    by = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k + 1).cast("int"))
+    edits = docs.select("doc_id", F.lit(0).alias("seq"), by("delete", "insert", "insert", "delete", "set").alias("op"), by("/items/0", "/items/1", "/note", "", "/status").alias("pointer"), by(None, '{"new":true}', '"n"', None, '"X"').alias("value"), F.when(k == 2, "key").alias("anchor"), F.when(k == 2, "after").alias("side"))
+    return JE.edit_json(J.json_nodes(docs), edits)[0].select("doc_id", "pointer", "scalar", "pos")
+
+
+@query("""WITH i AS (SELECT l_orderkey AS k, '[' || string_agg('{"line":' || l_linenumber || ',"part":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']' AS items FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS doc_id, '{"items":' || items || ',"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}' AS json FROM orders JOIN i ON k = o_orderkey""")
+def i17_json_text(spark, d):
+    return JE.json_text(J.json_nodes(order_json(spark, d)))
+
+
+@query(f"WITH {ORDER_NODES} SELECT doc_id, pointer, CASE WHEN doc_id % 2 = 0 AND pointer = '/status' THEN 'X' ELSE scalar END AS scalar FROM n")
 def i17_json_value_edit(spark, d):
     n = J.json_nodes(order_json(spark, d))
     to = n.where("pointer = '/status' and doc_id % 2 = 0").select("doc_id", "pointer", F.lit("X").alias("value"))
-    return J.set_values(n, to).where("pointer = '/status'").select("doc_id", "pointer", "scalar")
+    return J.set_values(n, to).select("doc_id", "pointer", "scalar")
 
 
 @query(f"{WITH} SELECT doc_id, node_id, CASE WHEN depth < 2 AND k IS NOT NULL THEN 'NOT_A_LEAF' END AS error, CASE WHEN depth = 2 OR k IS NULL THEN 'new' ELSE content END AS content FROM nodes n LEFT JOIN (SELECT DISTINCT doc_id AS d, parent_id AS k FROM nodes) ON d = doc_id AND k = node_id")

@@ -11,21 +11,21 @@ from ..functions.text import as_uuid, escape_token
 
 
 def json_nodes(docs: DataFrame, text: str = "json") -> DataFrame:
-    """(doc_id, pointer, depth, kind, scalar): one row a value, objects and arrays included.
+    """(doc_id, pointer, depth, kind, scalar, pos): one row a value, objects and arrays included; pos is its place in an array, and among an object's members by name.
 
     Level by level, as deep as texts go; each level is written out. Texts that are no JSON give no rows: see rejected().
     """
-    level = docs.select("doc_id", F.lit("").alias("pointer"), F.lit(0).alias("depth"), F.try_parse_json(text).alias("v")).where("v is not null")
+    level = docs.select("doc_id", F.lit("").alias("pointer"), F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.try_parse_json(text).alias("v")).where("v is not null")
     levels, depth = [settle(level)], 0
     while not levels[-1].isEmpty():
         depth += 1
         down = docs.sparkSession.sql("select l.doc_id, l.pointer, e.key, e.pos, e.value as v from {l} l, lateral variant_explode(l.v) e", l=levels[-1])
         token = F.coalesce(escape_token(F.col("key")), F.col("pos").cast("string"))
-        levels.append(settle(down.select("doc_id", F.concat("pointer", F.lit("/"), token).alias("pointer"), F.lit(depth).alias("depth"), "v")))
+        levels.append(settle(down.select("doc_id", F.concat("pointer", F.lit("/"), token).alias("pointer"), F.lit(depth).alias("depth"), F.col("pos").cast("int").alias("pos"), "v")))
     rows = reduce(DataFrame.unionByName, levels)
     kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
     name = F.when(kind == "OBJECT", "object").when(kind == "ARRAY", "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number")
-    return rows.select("doc_id", "pointer", "depth", name.alias("kind"), F.when(~name.isin("object", "array"), F.expr("try_variant_get(v, '$', 'string')")).alias("scalar"))
+    return rows.select("doc_id", "pointer", "depth", name.alias("kind"), F.when(~name.isin("object", "array"), F.expr("try_variant_get(v, '$', 'string')")).alias("scalar"), "pos")
 
 
 def rejected(docs: DataFrame, text: str = "json") -> DataFrame:
