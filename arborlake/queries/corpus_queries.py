@@ -116,9 +116,9 @@ def j7_schema_gate(spark, d):
     return table(spark, d, "documents").select("doc_id", S.version_gate(v).alias("gate"))
 
 
-@query("""SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1""")
+@query("""SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1""")
 def s2_metric_windows(spark, d):
-    return jobs.metric_windows(table(spark, d, "events")).drop("users")
+    return jobs.metric_windows(table(spark, d, "events"))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)

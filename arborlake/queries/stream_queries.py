@@ -87,3 +87,36 @@ def s4_incremental_ingest(spark, d):
     docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("new "), "doc_id")).otherwise(F.col("text"))).write.parquet(f"{path}/in/again")
     run()
     return spark.read.parquet(f"{path}/out/lines").groupBy("batch", "doc_id").agg(F.count("*").alias("n"))
+
+
+#: Events up to the 20th arrive first, but for every 7th; then these, late, with all others. w1 and w2: last events of the two arrivals.
+ARRIVALS = """e AS (SELECT *, ts < TIMESTAMP '2024-01-20' AND event_id % 7 <> 0 AS early FROM events), w AS (SELECT max(ts) FILTER (WHERE early) AS w1, max(ts) AS w2 FROM e)"""
+
+
+def streamed(spark, d, job):
+    """What a stream job appends in two runs, each of what has arrived by then; the second goes on from the first one's checkpoint."""
+    path, e = scratch(spark, "stream"), table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    early = (F.col("ts") < F.lit("2024-01-20").cast("timestamp")) & (F.col("event_id") % 7 != 0)
+    for name, part in (("first", e.where(early)), ("second", e.where(~early))):
+        part.write.parquet(f"{path}/in/{name}")
+        jobs.append(job(spark.readStream.schema(e.schema).parquet(f"{path}/in/*")), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else c for c, t in out.dtypes])
+
+
+@query(f"""WITH {ARRIVALS}, k AS (SELECT *, time_bucket(INTERVAL 10 MINUTE, ts) AS start FROM e, w)
+SELECT start, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE event_type = 'error') AS errors FROM k
+WHERE (early OR start + INTERVAL 10 MINUTE > w1 - INTERVAL 30 MINUTE) AND start + INTERVAL 10 MINUTE <= w2 - INTERVAL 30 MINUTE GROUP BY start""")
+def s2_metric_stream(spark, d):
+    return streamed(spark, d, jobs.metric_windows)
+
+
+#: Rows of one user whose time is before the last one's end are of one session; those that ended before the watermark are closed.
+@query(f"""WITH {ARRIVALS}, f AS (SELECT e.*, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS fresh FROM e WHERE early),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM f), s AS (SELECT *, max(ts) OVER (PARTITION BY user_id, k) + INTERVAL 1800 SECOND <= w1 - INTERVAL 1 HOUR AS closed FROM g, w),
+r AS (SELECT user_id, event_id, ts FROM s WHERE NOT closed UNION ALL SELECT user_id, event_id, ts FROM e, w WHERE NOT early AND ts + INTERVAL 1800 SECOND > w1 - INTERVAL 1 HOUR),
+h AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS fresh FROM r), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM h)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1800 SECOND AS "end", count(*) AS n FROM s WHERE closed GROUP BY user_id, k
+UNION ALL SELECT user_id, min(ts), max(ts) + INTERVAL 1800 SECOND, count(*) FROM i, w GROUP BY user_id, k, w2 HAVING max(ts) + INTERVAL 1800 SECOND <= w2 - INTERVAL 1 HOUR""")
+def s3_session_stream(spark, d):
+    return streamed(spark, d, jobs.sessions)

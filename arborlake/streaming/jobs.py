@@ -10,10 +10,15 @@ from ..operators.lines import line_nodes
 
 
 def metric_windows(events: DataFrame, late: str = "30 minutes") -> DataFrame:
-    """Rows, users and errors by tumbling 10 minutes; works on a stream, where rows later than `late` are dropped, and on a table."""
+    """Rows, different users and errors by tumbling 10 minutes, exact; works on a table and on a stream.
+
+    On a stream, rows of windows that ended `late` or longer before the last event of earlier batches are dropped, and a window
+    is appended once, when it has ended by as much. A window's users are counted one by one first, so that it is in no one task.
+    """
     g = events.withWatermark("ts", late) if events.isStreaming else events
-    g = g.groupBy(F.window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users"), F.count_if(F.col("event_type") == "error").alias("errors"))
-    return g.select(F.col("w.start").alias("start"), "n", "users", "errors")
+    each = g.groupBy(F.window("ts", "10 minutes").alias("w"), "user_id").agg(F.count("*").alias("_n"), F.count_if(F.col("event_type") == "error").alias("_e"))
+    out = each.groupBy(F.window(F.window_time("w"), "10 minutes").alias("v")).agg(F.sum("_n").alias("n"), F.count("user_id").alias("users"), F.sum("_e").alias("errors"))
+    return out.select(F.col("v.start").alias("start"), "n", "users", "errors")
 
 
 def sessions(events: DataFrame, ttl: int = 1800, late: str = "1 hour") -> DataFrame:
@@ -25,6 +30,11 @@ def sessions(events: DataFrame, ttl: int = 1800, late: str = "1 hour") -> DataFr
     return g.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
+def append(stream: DataFrame, path: str, checkpoint: str):
+    """Starts a stream whose finished rows are appended to Parquet under `path`; it takes what has arrived and stops, and goes on from its checkpoint when started again."""
+    return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ingest(stream: DataFrame, path: str, checkpoint: str):
     """Starts a stream of (doc_id, text) into line nodes under `path`: of each batch only documents whose digest is new are tokenised.
 
