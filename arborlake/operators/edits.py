@@ -11,9 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.settle import settle
+from ..functions.text import as_uuid
+from ..plans.hooks import Hooks
 from .tree import sibling_runs, with_paths
 
 POSITIONS = ("first_child", "last_child", "before", "after")
+#: The kind of inserted nodes whose edits name none.
+INSERTED = "inserted"
 #: Columns that follow from the others: edits leave them out, tree.with_paths makes them.
 PATHS = ("ord_path", "anc_ids", "depth")
 
@@ -22,8 +26,27 @@ def plain(nodes: DataFrame) -> DataFrame:
     return nodes.drop(*PATHS)
 
 
-def preflight(edits: DataFrame, nodes: DataFrame, versions: DataFrame | None = None) -> DataFrame:
-    """All errors of all edits: (batch_id, seq, code). A batch without any may be applied."""
+def _kinds(edits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edits with the kind that a node has or gets, and that of its parent-to-be."""
+    kind = lambda to, name: nodes.select("doc_id", F.col("node_id").alias(to), F.col("kind").alias(name))
+    given = F.coalesce("kind", F.lit(INSERTED)) if "kind" in edits.columns else F.lit(INSERTED)
+    e = edits.withColumn("_given", given).join(kind("node_id", "_own"), ["doc_id", "node_id"], "left")
+    up = nodes.select("doc_id", F.col("node_id").alias("anchor_id"), F.col("parent_id").alias("_up"))
+    e = e.join(kind("anchor_id", "_at"), ["doc_id", "anchor_id"], "left").join(up, ["doc_id", "anchor_id"], "left").join(kind("_up", "_over"), ["doc_id", "_up"], "left")
+    parent = F.when(F.col("position").isin("first_child", "last_child"), F.col("_at")).otherwise(F.col("_over"))
+    return e.select("batch_id", "seq", "op", "position", parent.alias("parent_kind"), F.when(F.col("op") == "insert", F.col("_given")).otherwise(F.col("_own")).alias("kind"))
+
+
+def preflight(edits: DataFrame, nodes: DataFrame, versions: DataFrame | None = None, hooks: Hooks | None = None) -> DataFrame:
+    """All errors of all edits: (batch_id, seq, code). A batch without any may be applied.
+
+    With hooks, TYPE_REFUSED where a node may not come where an insert or a move puts it, by the kinds that are
+    there before any edit; edits may then have a `kind` for the nodes that they insert, and need no id for them.
+    """
+    if hooks is not None:
+        kinds = _kinds(edits, nodes).where(F.col("op").isin("insert", "move") & F.col("parent_kind").isNotNull())
+        refused = kinds.where(~F.coalesce(hooks.admits(F.col("parent_kind"), F.col("position"), F.col("kind")), F.lit(False))).select("batch_id", "seq", F.lit("TYPE_REFUSED").alias("code"))
+        return preflight(identified(edits, hooks), nodes, versions).unionByName(refused)
     ids = nodes.select("doc_id", "node_id", F.lit(True).alias("known"), "anc_ids", "parent_id")
     target = edits.join(ids.select("doc_id", "node_id", F.col("known").alias("has_node")), ["doc_id", "node_id"], "left")
     target = target.join(ids.select("doc_id", F.col("node_id").alias("anchor_id"), F.col("known").alias("has_anchor"), F.col("anc_ids").alias("up"), F.col("parent_id").alias("anchor_parent")), ["doc_id", "anchor_id"], "left")
@@ -62,8 +85,21 @@ def _renumber(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("child_index", (F.row_number().over(w) - 1).cast("int")).drop("sort_key")
 
 
-def insert(nodes: DataFrame, edits: DataFrame) -> DataFrame:
-    new = _placed(edits.where("op = 'insert'"), nodes).select("doc_id", "node_id", F.col("new_parent").alias("parent_id"), F.lit("inserted").alias("kind"), F.lit("node").alias("role"), "name", "sort_key")
+def identified(edits: DataFrame, hooks: Hooks) -> DataFrame:
+    """edits with the hook's id for each insert that has none."""
+    own = hooks.identity(F.col("batch_id"), F.col("doc_id"), F.col("seq"))
+    return edits.withColumn("node_id", F.when((F.col("op") == "insert") & F.col("node_id").isNull(), own).otherwise(F.col("node_id")))
+
+
+def insert(nodes: DataFrame, edits: DataFrame, hooks: Hooks | None = None) -> DataFrame:
+    """nodes with those that edits insert, of their `kind` if the edits have one.
+
+    With hooks, inserts without an id get the hook's, and in node tables with short ids the hook deals these out.
+    """
+    new = (identified(edits, hooks) if hooks else edits).where("op = 'insert'")
+    kind = F.coalesce("kind", F.lit(INSERTED)) if "kind" in edits.columns else F.lit(INSERTED)
+    new = _placed(new, nodes).select("doc_id", "node_id", "seq", F.col("new_parent").alias("parent_id"), kind.alias("kind"), F.lit("node").alias("role"), "name", "sort_key")
+    new = (hooks.allocate(new, nodes) if hooks and "short_id" in nodes.columns else new).drop("seq")
     old = plain(nodes).withColumn("sort_key", _key(F.col("child_index")).cast(new.schema["sort_key"].dataType))
     return _renumber(old.unionByName(new, allowMissingColumns=True)).select(plain(nodes).columns)
 
@@ -215,14 +251,31 @@ def transaction_report(nodes: DataFrame, edits: DataFrame, versions: DataFrame,
     return same.unionByName(work), versions, errors
 
 
-def copy_subtrees(nodes: DataFrame, roots: DataFrame, copy_id: str) -> DataFrame:
-    """The subtrees at (doc_id, node_id) with fresh ids that are the same for the same copy_id; ids map back by origin_id."""
-    from ..functions.text import as_uuid
+def copy_subtrees(nodes: DataFrame, roots: DataFrame, copy_id: str, keep_ids: bool = False) -> DataFrame:
+    """The subtrees at (doc_id, node_id), each a tree of its own, with all columns of nodes but their paths.
+
+    Ids are fresh, and the same for the same copy_id; with keep_ids they stay. origin_id maps back, root_id names the
+    copied subtree, and short_id counts the nodes of a copy from 1 in preorder. A node below two roots is in both copies.
+    """
+    top = roots.select("doc_id", F.col("node_id").alias("root_id"))
+    sub = nodes.withColumn("root_id", F.explode(F.concat("anc_ids", F.array("node_id")))).join(top, ["doc_id", "root_id"], "left_semi")
+    fresh = lambda c: F.col(c) if keep_ids else as_uuid(F.lit(copy_id), F.col("doc_id").cast("string"), F.col("root_id"), F.col(c))
+    short = F.row_number().over(W.partitionBy("doc_id", "root_id").orderBy("ord_path")).cast("long")
+    rest = [c for c in plain(nodes).columns if c not in ("doc_id", "node_id", "parent_id", "short_id")]
+    return sub.select("doc_id", fresh("node_id").alias("node_id"), F.when(F.col("node_id") != F.col("root_id"), fresh("parent_id")).alias("parent_id"), F.col("node_id").alias("origin_id"), "root_id", short.alias("short_id"), *rest)
+
+
+def copied_references(refs: DataFrame, copies: DataFrame) -> DataFrame:
+    """Of refs(doc, node, target_doc null for local, target_node) those that the copies of copy_subtrees have.
 
-    sub = nodes.withColumn("_a", F.explode(F.concat("anc_ids", F.array("node_id")))).join(roots.select("doc_id", F.col("node_id").alias("_a")), ["doc_id", "_a"], "left_semi")
-    fresh = lambda c: as_uuid(F.lit(copy_id), F.col("doc_id").cast("string"), F.col(c))
-    top = F.col("node_id") == F.col("_a")
-    return sub.select("doc_id", fresh("node_id").alias("node_id"), F.when(~top, fresh("parent_id")).alias("parent_id"), F.col("node_id").alias("origin_id"), "child_index", "name")
+    A target in the same copied subtree becomes the copy's own node, a local reference; any other stays as it is and
+    is named with its document, as the copy may go elsewhere.
+    """
+    ids = copies.select("doc_id", "root_id", "origin_id", F.col("node_id").alias("_new"))
+    mine = refs.join(ids, (F.col("doc") == F.col("doc_id")) & (F.col("node") == F.col("origin_id"))).select("doc", "root_id", F.col("_new").alias("node"), F.coalesce("target_doc", F.col("doc")).alias("_to"), "target_node")
+    there = ids.select(F.col("doc_id").alias("_d"), F.col("root_id").alias("_r"), F.col("origin_id").alias("_o"), F.col("_new").alias("_t"))
+    j = mine.join(there, (F.col("_to") == F.col("_d")) & (F.col("doc") == F.col("_d")) & (F.col("root_id") == F.col("_r")) & (F.col("target_node") == F.col("_o")), "left")
+    return j.select("doc", "root_id", "node", F.when(F.col("_t").isNull(), F.col("_to")).alias("target_doc"), F.coalesce("_t", "target_node").alias("target_node"))
 
 
 def rewrite_references(refs: DataFrame, moved: DataFrame, source: str, target: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import folds, tree as T
 from ..plans import selector as S
+from ..plans.hooks import Hooks, admits_pairs, inadmissible
 from ..sources.catalog import LEAF_ORDER, SQL, catalog_nodes
 from .registry import query
 
@@ -157,11 +158,7 @@ def c11_render_mode(spark, d):
 
 @query(f"WITH {LEVELS} SELECT doc_id, {LEAF} AS node_id, 'order' AS parent_kind, 'lineitem' AS child_kind FROM low")
 def c12_inadmissible_children(spark, d):
-    n = catalog_nodes(spark, d)
-    rules = spark.createDataFrame([("customer", "order")], "parent_kind string, child_kind string")
-    up = n.select("doc_id", F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind"))
-    pairs = n.where("parent_id is not null").withColumnRenamed("kind", "child_kind").join(up, ["doc_id", "parent_id"])
-    return pairs.join(F.broadcast(rules), ["parent_kind", "child_kind"], "left_anti").select("doc_id", "node_id", "parent_kind", "child_kind")
+    return inadmissible(catalog_nodes(spark, d), Hooks(admits=admits_pairs(("customer", "order"))))
 
 
 @query(f"WITH {LEVELS} SELECT doc_id, {LEAF} AS node_id FROM low WHERE o_orderstatus = 'O'")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..operators import edits as E, integrity as I
+from ..operators.tree import allocate_short_ids
+from ..plans.hooks import Hooks, admits_pairs
 from ..sources.catalog import SQL, catalog_nodes, table
 from .registry import query
 
@@ -128,13 +130,57 @@ def i8_apply_subtree(spark, d):
     return E.apply_subtrees(n, copies)[0].select("doc_id", "node_id", "parent_id", "child_index", "name")
 
 
-@query(f"{WITH} SELECT doc_id, node_id AS origin_id, name, child_index, depth = 1 AS is_top FROM nodes WHERE depth >= 1 AND (node_id IN (SELECT 'o:' || min(o_orderkey) FROM orders GROUP BY o_custkey) OR parent_id IN (SELECT 'o:' || min(o_orderkey) FROM orders GROUP BY o_custkey))")
+@query(f"""{WITH} SELECT doc_id, node_id AS origin_id, CASE WHEN depth = 1 THEN NULL ELSE parent_id END AS origin_parent, ord_path[2] AS copy, row_number() OVER (PARTITION BY doc_id, ord_path[2] ORDER BY ord_path) AS short_id, child_index, kind, role, name, content, fields['flag'] AS flag, false AS kept
+FROM nodes WHERE depth > 0 AND ord_path[2] < 2""")
 def i7_copy_subtree(spark, d):
+    """Copies of each customer's first two orders."""
     n = catalog_nodes(spark, d)
-    first = n.where("depth = 1 and child_index = 0").select("doc_id", "node_id")
-    c = E.copy_subtrees(n, first, "copy-1")
-    known = c.select("doc_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("k"))
-    return c.join(known, ["doc_id", "parent_id"], "left").where("parent_id is null or k").select("doc_id", "origin_id", "name", "child_index", F.col("parent_id").isNull().alias("is_top"))
+    c = E.copy_subtrees(n, n.where("depth = 1 and child_index < 2").select("doc_id", "node_id"), "copy-1")
+    up = c.select("doc_id", "root_id", F.col("node_id").alias("parent_id"), F.col("origin_id").alias("origin_parent"))
+    at = n.where("depth = 1").select("doc_id", F.col("node_id").alias("root_id"), F.col("child_index").alias("copy"))
+    rows = c.join(up, ["doc_id", "root_id", "parent_id"], "left").join(at, ["doc_id", "root_id"])
+    return rows.select("doc_id", "origin_id", "origin_parent", "copy", "short_id", "child_index", "kind", "role", "name", "content", F.element_at("fields", "flag").alias("flag"), (F.col("node_id") == F.col("origin_id")).alias("kept"))
+
+
+@query(f"""{WITH}, r AS (SELECT doc_id, node_id, parent_id, child_index FROM nodes WHERE depth = 2 AND ord_path[2] = 0)
+SELECT doc_id, node_id AS origin, CAST(NULL AS BIGINT) AS target_doc, parent_id AS target FROM r UNION ALL SELECT doc_id, node_id, doc_id, 'c:' || doc_id FROM r UNION ALL SELECT doc_id, node_id, -1, 'p:' || child_index FROM r""")
+def i7_copied_references(spark, d):
+    """Leaves of each first order refer to their order, to the root, which is not copied, and to a node of another document."""
+    n = catalog_nodes(spark, d)
+    leaves = n.where("depth = 2 and ord_path[1] = 0")
+    none, root = F.lit(None).cast("long"), F.concat(F.lit("c:"), F.col("doc_id").cast("string"))
+    refs = [leaves.select(F.col("doc_id").alias("doc"), F.col("node_id").alias("node"), to.alias("target_doc"), t.alias("target_node")) for to, t in ((none, F.col("parent_id")), (none, root), (F.lit(-1).cast("long"), F.concat(F.lit("p:"), F.col("child_index").cast("string"))))]
+    c = E.copy_subtrees(n, n.where("depth = 1 and child_index = 0").select("doc_id", "node_id"), "copy-1")
+    got = E.copied_references(refs[0].unionByName(refs[1]).unionByName(refs[2]), c)
+    back = c.select(F.col("doc_id").alias("doc"), F.col("node_id").alias("target_node"), F.col("origin_id").alias("_o"))
+    own = c.select(F.col("doc_id").alias("doc"), "node_id", F.col("origin_id").alias("origin")).withColumnRenamed("node_id", "node")
+    return got.join(own, ["doc", "node"]).join(back, ["doc", "target_node"], "left").select(F.col("doc").alias("doc_id"), "origin", "target_doc", F.coalesce("_o", "target_node").alias("target"))
+
+
+#: Of each first order a new line, which belongs there, and a new order, which does not; both come without an id.
+HOOKS = Hooks(identity=lambda batch, doc_id, seq: F.concat_ws(":", F.lit("u"), doc_id.cast("string"), seq.cast("string")), admits=admits_pairs(("customer", "order"), ("order", "lineitem")))
+
+
+def hooked(spark, d):
+    n = allocate_short_ids(catalog_nodes(spark, d))
+    first = n.where("depth = 1 and child_index = 0")
+    kinds = F.posexplode(F.array(F.lit("lineitem"), F.lit("order"))).alias("_s", "kind")
+    e = first.select("doc_id", F.col("node_id").alias("anchor_id"), kinds).select((F.col("doc_id") * 2 + F.col("_s")).alias("batch_id"), F.col("_s").cast("long").alias("seq"), "doc_id", F.lit("insert").alias("op"), F.lit(None).cast("string").alias("node_id"), F.lit("last_child").alias("position"), "anchor_id", "kind", F.concat(F.lit("new "), "kind").alias("name"))
+    return n, e
+
+
+@query(f"{WITH} SELECT doc_id * 2 + 1 AS batch_id, 1 AS seq, 'TYPE_REFUSED' AS code FROM nodes WHERE depth = 1 AND child_index = 0")
+def u4_type_rule(spark, d):
+    n, e = hooked(spark, d)
+    return E.preflight(e, n, hooks=HOOKS)
+
+
+@query(f"""{WITH}, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord_path) AS sid, count(*) OVER (PARTITION BY doc_id) AS n, count(*) FILTER (WHERE depth = 2 AND ord_path[2] = 0) OVER (PARTITION BY doc_id) AS m FROM nodes)
+SELECT doc_id, node_id, parent_id, child_index, kind, sid AS short_id FROM b UNION ALL SELECT doc_id, 'u:' || doc_id || ':0', node_id, m, 'lineitem', n + 1 FROM b WHERE depth = 1 AND child_index = 0""")
+def u4_insert_with_hooks(spark, d):
+    n, e = hooked(spark, d)
+    good = e.join(E.preflight(e, n, hooks=HOOKS).select("batch_id"), "batch_id", "left_anti")
+    return E.insert(n, good, HOOKS).select("doc_id", "node_id", "parent_id", "child_index", "kind", "short_id")
 
 
 @query(f"{WITH} SELECT DISTINCT n.doc_id, n.node_id FROM nodes n JOIN nodes c ON c.doc_id = n.doc_id AND c.depth = 1 AND c.child_index = 0 AND (n.node_id = c.node_id OR n.node_id = c.parent_id OR n.parent_id = c.node_id)")
