@@ -24,7 +24,7 @@ from . import textops
 from .scratch import drop, keep
 
 UNKNOWN = "und"
-#: Most training rows (those whose texts have the smallest hashes); all their words and n-grams are kept.
+#: Most training rows (those of which id and text have the smallest hashes); all their words and n-grams are kept.
 FIT_ROWS = 20_000
 LENGTHS = (4, 3, 2, 1)
 #: Words in training as often as this are known.
@@ -134,17 +134,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(np.full(len(g), k, np.int32)), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "kind", "key", "n"])
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
+def sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str, fit_rows: int) -> DataFrame:
+    """(lang, text) of the `fit_rows` rows with the smallest hashes of id and text, so that copies of a text are no more likely in it, or out of it, than other rows (without an id column the text alone)."""
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(*[F.col(c).cast("string") for c in (id_col, text_col) if c in docs.columns]).alias("_h")).dropna()
+    top = rows.select("_h").orderBy("_h").limit(fit_rows)  # bounded, and hashes alone
+    last = top.agg(F.max("_h").alias("h"), F.count("*").alias("n")).first()
+    if last.n < fit_rows:
+        return rows.select("lang", "text")
+    under = rows.where(F.col("_h") < last.h)
+    alike = rows.where(F.col("_h") == last.h).limit(fit_rows - under.count())  # rows alike: any of them
+    return under.unionByName(alike).select("lang", "text")
+
+
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", fit_rows: int = FIT_ROWS, id_col: str = "doc_id") -> Model:
     """Learns from rows whose text and language are not null.
 
-    At most about `fit_rows` rows, by the hash of the text, which bounds what the
+    At most `fit_rows` rows, by the hash of id and text, which bounds what the
     driver and each task hold; of these all words of LEAST_WORDS or more and all n-grams.
     """
     kinds = (0, *LENGTHS)
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).dropna()
-    total = rows.count()
-    share = min(1.0, fit_rows / max(1, total))
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    rows = sample(docs, lang_col, text_col, id_col, fit_rows)
     counts = keep(rows.mapInArrow(_count, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "counts")
     known = counts.groupBy("kind", "key").agg(F.sum("n").alias("total")).where(f"kind > 0 or total >= {LEAST_WORDS}")
     got = counts.join(known.select("kind", "key"), ["kind", "key"]).toArrow()  # as many as the sample has
@@ -190,5 +199,5 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Trains on the rows that are not held out and predicts all: doc_id, held_out, lang_pred, score."""
-    model = train(docs.where(~held_out(id_col)), lang_col, text_col)
+    model = train(docs.where(~held_out(id_col)), lang_col, text_col, id_col=id_col)
     return identify(docs, model, id_col, text_col).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

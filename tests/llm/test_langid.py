@@ -7,7 +7,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
-from arborlake.llm.langid import LENGTHS, Words, identify, language_id, train
+from arborlake.llm.langid import LENGTHS, Words, identify, language_id, sample, train
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -135,3 +135,16 @@ def test_repeated_runs_agree(spark):
     m = train(docs)
     one, two = (sorted((r.doc_id, r.lang_pred, r.score) for r in identify(d, m).collect()) for d in (docs, docs.orderBy(F.desc("doc_id"))))
     assert one == two
+
+
+def test_a_table_of_repeats_is_learned_from(spark):
+    one = spark.range(60_000).selectExpr("id doc_id", "'en' lang", "'the quick brown fox jumps over the lazy dog' text")
+    assert {r.lang_pred for r in language_id(one).select("lang_pred").distinct().collect()} == {"en"}
+    same = spark.range(300).selectExpr("1L doc_id", "'en' lang", "'one and the same row' text")
+    rare = spark.range(50).selectExpr("id doc_id", "'fr' lang", "concat('bonjour le monde ', id) text")
+    assert sample(same, "lang", "text", "doc_id", 100).count() == 100
+    got = sample(same.unionByName(rare), "lang", "text", "doc_id", 120)
+    assert got.count() == 120
+    hot = spark.range(20_000).selectExpr("id doc_id", "'en' lang", "'one common text' text").unionByName(spark.range(10_000).selectExpr("id + 50000 doc_id", "'fr' lang", "concat('mot', id) text"))
+    parts = {r.lang: r["count"] for r in sample(hot, "lang", "text", "doc_id", 3000).groupBy("lang").count().collect()}
+    assert sum(parts.values()) == 3000 and abs(parts["en"] - 2000) < 150
