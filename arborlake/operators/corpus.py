@@ -112,6 +112,54 @@ def semantic_duplicates(vectors: DataFrame, min_cosine: float = 0.85) -> tuple[D
     return own.groupBy("cell", "i", "j").cogroup(guests.groupBy("at", "k", "l")).applyInPandas(meet, "a long, b long, cosine double"), members
 
 
+def usages(refs: DataFrame, target: dict[str, object], order: list[str], limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Rows of refs whose columns have the values that target names (null: any), in order, from offset on, `limit` at most."""
+    rows = refs
+    for name, value in target.items():
+        rows = rows if value is None else rows.where(F.col(name).eqNullSafe(F.lit(value)))
+    rows = rows.orderBy(*order).offset(offset)
+    return rows if limit is None else rows.limit(limit)
+
+
+def dependencies(edges: DataFrame) -> DataFrame:
+    """From edges (source, target, kind: usage or import) per entity: what it depends on and what depends on it, each once, and how often by kind.
+
+    (name, depends_on, dependents, n_usages, n_imports); an entity on either side has a row.
+    """
+    out = edges.select(F.col("source").alias("name"), F.col("target").alias("_on"), F.lit(None).cast("string").alias("_by"), "kind")
+    back = edges.select(F.col("target").alias("name"), F.lit(None).cast("string").alias("_on"), F.col("source").alias("_by"), F.lit(None).cast("string").alias("kind"))
+    return out.unionByName(back).groupBy("name").agg(F.count_distinct("_on").alias("depends_on"), F.count_distinct("_by").alias("dependents"), F.count_if(F.col("kind") == "usage").alias("n_usages"), F.count_if(F.col("kind") == "import").alias("n_imports"))
+
+
+def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 0) -> DataFrame:
+    """(start, name, depth): what each start(name) depends on over edges (source, target), with the least number of steps; max_depth 0: all.
+
+    Step by step from what the last step reached anew, so that cycles end.
+    """
+    e = edges.select("source", F.col("target").alias("_next")).distinct()
+    seen = settle(start.select(F.col("name").alias("start"), "name", F.lit(0).alias("depth")).distinct())
+    last, depth = seen, 0
+    while not max_depth or depth < max_depth:
+        depth += 1
+        new = last.join(e, F.col("name") == F.col("source")).select("start", F.col("_next").alias("name")).distinct()
+        last = settle(new.join(seen, ["start", "name"], "left_anti").withColumn("depth", F.lit(depth)))
+        if last.isEmpty():
+            break
+        seen = seen.unionByName(last)
+    return seen.where("depth > 0")
+
+
+def imports(rows: DataFrame, like: str | None = None, kind: str | None = None) -> DataFrame:
+    """rows(file, module, name) of imports with their type: `import` of a module, `from` where a name of it is imported, `wildcard` for all names.
+
+    like is a LIKE pattern of modules, kind one of the types.
+    """
+    type_ = F.when(F.col("name").isNull(), "import").when(F.col("name") == "*", "wildcard").otherwise("from")
+    out = rows.withColumn("type", type_)
+    out = out if like is None else out.where(F.col("module").like(like))
+    return out if kind is None else out.where(F.col("type") == kind)
+
+
 def hierarchy(classes: DataFrame) -> DataFrame:
     """From (name, bases array) each base's last dotted part, matched to names: (name, base, known)."""
     e = classes.select("name", F.explode("bases").alias("_b")).withColumn("base", F.element_at(F.split("_b", r"\."), -1))
@@ -119,6 +167,19 @@ def hierarchy(classes: DataFrame) -> DataFrame:
     return e.join(known, "base", "left").select("name", "base", F.coalesce("_k", F.lit(False)).alias("known"))
 
 
+def hierarchy_report(classes: DataFrame) -> DataFrame:
+    """Per class (name, bases array): its bases that are known, its direct children, and all classes above and below it, as counts."""
+    e = hierarchy(classes).where("known").select(F.col("name").alias("source"), F.col("base").alias("target"))
+    names = classes.select("name").distinct()
+    n = lambda df, by, as_: df.groupBy(F.col(by).alias("name")).agg(F.count("*").alias(as_))
+    up = reachable(e, names)
+    parts = [n(e.distinct(), "source", "n_bases"), n(e.distinct(), "target", "n_children"), n(up.where("start <> name"), "start", "n_above"), n(up.where("start <> name").select(F.col("name").alias("_n")), "_n", "n_below")]
+    out = names
+    for p in parts:
+        out = out.join(p, "name", "left")
+    return out.select("name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_bases", "n_children", "n_above", "n_below")])
+
+
 def graph_edges(edges: DataFrame, form: str = "dot", limit: int = 5000) -> DataFrame:
     """Distinct (source, target) edges as lines of DOT or JSON; limit from 1 to 50000."""
     e = edges.select("source", "target").distinct().orderBy("source", "target").limit(min(max(limit, 1), 50_000))

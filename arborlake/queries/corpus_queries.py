@@ -57,12 +57,42 @@ def k3_structural_duplicates(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_partkey = 7 ORDER BY l_orderkey, l_linenumber, l_suppkey LIMIT 10 OFFSET 2")
 def k5_usages(spark, d):
-    return table(spark, d, "lineitem").where("l_partkey = 7").select("l_orderkey", "l_linenumber", "l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey").offset(2).limit(10)
+    keys = ["l_orderkey", "l_linenumber", "l_suppkey"]
+    return K.usages(table(spark, d, "lineitem"), {"l_partkey": 7, "l_returnflag": None}, keys, 10, 2).select(keys)
 
 
-@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS depends_on, count(DISTINCT l_orderkey) AS dependents FROM lineitem GROUP BY l_partkey")
+def part_edges(spark, d):
+    """Orders use the parts of their lines, and import them where the line was returned."""
+    i = table(spark, d, "lineitem")
+    return i.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"), F.when(F.col("l_returnflag") == "R", "import").otherwise("usage").alias("kind"))
+
+
+@query("""SELECT 'o' || l_orderkey AS name, count(DISTINCT l_partkey) AS depends_on, 0 AS dependents, count(*) FILTER (WHERE l_returnflag <> 'R') AS n_usages, count(*) FILTER (WHERE l_returnflag = 'R') AS n_imports FROM lineitem GROUP BY 1
+UNION ALL SELECT 'p' || l_partkey, 0, count(DISTINCT l_orderkey), 0, 0 FROM lineitem GROUP BY 1""")
 def k6_dependencies(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("depends_on"), F.count_distinct("l_orderkey").alias("dependents"))
+    return K.dependencies(part_edges(spark, d))
+
+
+@query("""SELECT DISTINCT 'c' || o_custkey AS start, 'o' || l_orderkey AS name, 1 AS depth FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+UNION ALL SELECT DISTINCT 'c' || o_custkey, 'p' || l_partkey, 2 FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def k6_reachable(spark, d):
+    """What each customer depends on: its orders with lines, and their parts."""
+    parts = part_edges(spark, d).select("source", "target")
+    o = table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("target"))
+    o = o.join(parts.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+    return K.reachable(parts.unionByName(o), o.select(F.col("source").alias("name")))
+
+
+@query("""SELECT r_name AS name, 0 AS n_bases, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n_children, 0 AS n_above, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) + (SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = r_regionkey) AS n_below FROM region
+UNION ALL SELECT n_name, 1, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey), 1, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) FROM nation
+UNION ALL SELECT 's' || s_suppkey, 1, 0, 2, 0 FROM supplier""")
+def k7_hierarchy_report(spark, d):
+    """Regions, nations and suppliers as classes of three levels."""
+    r, n, s = (table(spark, d, x) for x in ("region", "nation", "supplier"))
+    none = F.array().cast("array<string>")
+    nations = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    made = r.select(F.col("r_name").alias("name"), none.alias("bases")).unionByName(nations.select(F.col("n_name").alias("name"), F.array(F.concat(F.lit("world."), "r_name")).alias("bases")))
+    return K.hierarchy_report(made.unionByName(s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"), F.array("n_name", F.lit("unknown.Base")).alias("bases"))))
 
 
 @query("SELECT n_name AS name, r_name AS base, true AS known FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -190,14 +190,14 @@ def i14_recheck_scope(spark, d):
 
 
 def faulty(spark, d):
-    """The order level with faults: a short id used twice, a parent that isn't there."""
-    n = catalog_nodes(spark, d).where("depth < 2")
+    """The tree with faults: short ids, which count from 0 in preorder, used twice, and parents that aren't there."""
+    n = allocate_short_ids(catalog_nodes(spark, d))
     key = F.regexp_extract("node_id", r"(\d+)$", 1).cast("long")
-    return n.withColumn("short_id", F.when((F.col("depth") == 1) & (key % 97 == 0), 0).otherwise(F.when(F.col("depth") == 0, 0).otherwise(F.col("child_index") + 1))).withColumn("parent_id", F.when((F.col("depth") == 1) & (key % 89 == 0), "c:none").otherwise(F.col("parent_id"))).withColumn("generation", F.lit(1))
+    return n.withColumn("short_id", F.when((F.col("depth") == 1) & (key % 97 == 0), 0).otherwise(F.col("short_id") - 1)).withColumn("parent_id", F.when((F.col("depth") == 1) & (key % 89 == 0), "c:none").otherwise(F.col("parent_id"))).withColumn("generation", F.lit(1))
 
 
-FAULTY = f"""{WITH}, f AS (SELECT doc_id, node_id, CASE WHEN depth = 0 OR (depth = 1 AND CAST(regexp_extract(node_id, '(\\d+)$', 1) AS BIGINT) % 97 = 0) THEN 0 ELSE child_index + 1 END AS short_id,
-CASE WHEN depth = 1 AND CAST(regexp_extract(node_id, '(\\d+)$', 1) AS BIGINT) % 89 = 0 THEN 'c:none' ELSE parent_id END AS parent_id, parent_id AS listed, depth FROM nodes WHERE depth < 2)"""
+FAULTY = f"""{WITH}, f AS (SELECT doc_id, node_id, CASE WHEN depth = 1 AND CAST(regexp_extract(node_id, '(\\d+)$', 1) AS BIGINT) % 97 = 0 THEN 0 ELSE row_number() OVER (PARTITION BY doc_id ORDER BY ord_path) - 1 END AS short_id,
+CASE WHEN depth = 1 AND CAST(regexp_extract(node_id, '(\\d+)$', 1) AS BIGINT) % 89 = 0 THEN 'c:none' ELSE parent_id END AS parent_id, parent_id AS listed, depth FROM nodes)"""
 
 
 @query(f"{FAULTY} SELECT 'DUPLICATE_SHORT_ID' AS \"check\", doc_id, node_id FROM f WHERE (doc_id, short_id) IN (SELECT (doc_id, short_id) FROM f GROUP BY doc_id, short_id HAVING count(*) > 1)")
@@ -207,8 +207,8 @@ def j9_uniqueness(spark, d):
 
 @query(f"""{FAULTY} SELECT 'NOT_LISTED_BY_PARENT' AS "check", doc_id, node_id FROM f WHERE parent_id <> listed UNION ALL SELECT 'NO_PARENT_POINTER', doc_id, node_id FROM f WHERE parent_id <> listed""")
 def j10_parent_child_symmetry(spark, d):
-    right = catalog_nodes(spark, d).where("depth = 1").select("doc_id", "parent_id", "node_id")
-    return I.asymmetric_edges(right, faulty(spark, d).where("depth = 1").select("doc_id", "parent_id", "node_id"))
+    right = catalog_nodes(spark, d).where("depth > 0").select("doc_id", "parent_id", "node_id")
+    return I.asymmetric_edges(right, faulty(spark, d).where("depth > 0").select("doc_id", "parent_id", "node_id"))
 
 
 @query(f"""{FAULTY}, v AS (SELECT 'DUPLICATE_SHORT_ID' AS c, doc_id FROM f WHERE (doc_id, short_id) IN (SELECT (doc_id, short_id) FROM f GROUP BY doc_id, short_id HAVING count(*) > 1) UNION ALL SELECT 'MISSING_PARENT', doc_id FROM f WHERE parent_id = 'c:none')
@@ -228,9 +228,9 @@ def j13_cycles(spark, d):
     return I.nodes_in_cycles(rest.unionByName(ring))
 
 
-@query(f"""{WITH} SELECT 'STALE_GENERATION' AS "check", doc_id, node_id FROM nodes WHERE depth = 1 AND doc_id % 13 = 0""")
+@query(f"""{WITH} SELECT 'STALE_GENERATION' AS "check", doc_id, node_id FROM nodes WHERE doc_id % 13 = 0""")
 def j14_stale_generations(spark, d):
-    n = catalog_nodes(spark, d).where("depth = 1").withColumn("generation", F.when(F.col("doc_id") % 13 == 0, 2).otherwise(1))
+    n = catalog_nodes(spark, d).withColumn("generation", F.when(F.col("doc_id") % 13 == 0, 2).otherwise(1))
     return I.stale_generations(n.select("doc_id", "node_id", F.lit(1).alias("cached_generation")), n)
 
 

@@ -111,10 +111,10 @@ def d15_path_report(spark, d):
     return C.path_report(files, p.where("doc_id % 7 <> 0").select("path"), p.select(F.col("project_id").alias("root")).distinct())
 
 
-@query("SELECT id, min(list) AS list, min_by(seq, list) AS seq FROM (SELECT c_custkey AS id, 0 AS list, c_custkey AS seq FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT DISTINCT o_custkey, 1, o_custkey * 2 FROM orders) GROUP BY id")
+@query("SELECT id, min(list) AS list, min_by(seq, list) AS seq FROM (SELECT c_custkey AS id, 0 AS list, c_custkey AS seq FROM customer UNION ALL SELECT DISTINCT o_custkey * 2, 1, o_custkey * 2 FROM orders) GROUP BY id")
 def h1_ordered_union(spark, d):
-    a = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("seq"))
-    b = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), (F.col("o_custkey") * 2).alias("seq"))
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("seq"))
+    b = table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("id"), (F.col("o_custkey") * 2).alias("seq"))
     return C.ordered_union(a, b)
 
 

@@ -58,7 +58,7 @@ def i18_line_end_restore(spark, d):
 @query("""SELECT doc_id, i AS line, lpad('[' || i || '] ', CAST(len(CAST(len(a) AS VARCHAR)) + 3 AS INTEGER), ' ') || a[i] AS prefixed FROM
 (SELECT doc_id, string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS a FROM documents WHERE text <> ''), unnest(range(1, len(a) + 1)) u(i)""")
 def y9_line_prefixes(spark, d):
-    return L.prefixed(L.line_nodes(table(spark, d, "documents").select("doc_id", "text").where("text <> ''"))).select("doc_id", "line", "prefixed")
+    return L.prefixed(L.line_nodes(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "line", "prefixed")
 
 
 @query(f"""{WITH}, {EDITS}, {CHILDREN_OF} SELECT doc_id, node_id, parent_id, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY s, node_id) - 1 AS child_index, CASE WHEN doc_id IN (SELECT k FROM good) THEN 2 ELSE 1 END AS version FROM n""")

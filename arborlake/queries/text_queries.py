@@ -47,10 +47,11 @@ def a10_structural_blocks(spark, d):
     return blocks(spark, d)
 
 
-@query("SELECT doc_id, text, true AS same FROM documents WHERE text <> ''")
+@query("SELECT doc_id, text, true AS same FROM documents")
 def a11_round_trip(spark, d):
-    out = L.render(lines(spark, d))
-    return out.join(docs(spark, d).select("doc_id", F.col("text").alias("t")), "doc_id").select("doc_id", "text", (F.col("text") == F.col("t")).alias("same"))
+    out = L.render(lines(spark, d)).select("doc_id", F.col("text").alias("t"))  # an empty text has no lines
+    both = docs(spark, d).select("doc_id", "text").join(out, "doc_id", "left").withColumn("t", F.coalesce("t", F.lit("")))
+    return both.select("doc_id", F.col("t").alias("text"), (F.col("text") == F.col("t")).alias("same"))
 
 
 @query(f"""WITH {LINES}, {BLOCKS}, f AS (SELECT DISTINCT b.* FROM blocks b JOIN lines l ON l.doc_id = b.doc_id AND l.line BETWEEN b.start_line AND b.end_line WHERE contains(l.content, 'tion'))
@@ -151,11 +152,11 @@ def k14_long_files(spark, d):
     return docs(spark, d).select("doc_id", F.size(L.line_array(F.col("text"))).cast("long").alias("n_lines")).where("n_lines > 20")
 
 
-@query(r"""SELECT doc_id, sha256(text) AS digest, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, CASE WHEN ends_with(text, chr(10)) THEN length(text) ELSE length(text) + 1 END AS n_with_newline FROM documents WHERE text <> ''""")
+@query(r"""SELECT doc_id, sha256(text) AS digest, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, CASE WHEN ends_with(text, chr(10)) THEN length(text) ELSE length(text) + 1 END AS n_with_newline FROM documents""")
 def y_text_functions(spark, d):
     from ..functions.text import slug
 
-    return docs(spark, d).where("text <> ''").select("doc_id", F.sha2("text", 256).alias("digest"), slug(F.col("text")).alias("slug"), F.length(L.with_trailing_newline(F.col("text"))).alias("n_with_newline"))
+    return docs(spark, d).select("doc_id", F.sha2("text", 256).alias("digest"), slug(F.col("text")).alias("slug"), F.length(L.with_trailing_newline(F.col("text"))).alias("n_with_newline"))
 
 
 @query(f"""WITH {LINES}, t AS (SELECT doc_id, line, regexp_extract(c, '(?:^|[ .,])(anan|thin|eau)(?:[ .,]|$)', 1) AS term FROM lines) SELECT term AS category, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM t WHERE term <> '' GROUP BY term""")
