@@ -53,3 +53,58 @@ def test_relative_links_and_all_canonical_ones(spark, tmp_path):
     ]
     got = both(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), tmp_path, "relative")
     assert [got[i][4] for i in (3, 4, 5, 6, 7, 8)] == ["block"] * 6
+
+
+def test_links_as_pages_write_them(spark, tmp_path):
+    bad = "http://a.com/de/?x=1&y=2"
+    rows = [
+        (1, bad, ""),
+        (2, "http://n.net/amp", "<link rel=canonical href='http://a.com/de/?x=1&amp;y=2'>"),
+        (3, "http://n.net/words", f'<link rel="alternate  Canonical" href="{bad}">'),
+        (4, "http://n.net/base", '<base href="http://a.com/de/"><link rel="canonical" href="?x=1&#38;y=2">'),
+        (5, "http://n.net/gt", f'<link title="a > b" rel="canonical" href="{bad}">'),
+        (6, "http://n.net/space", f'<link rel="canonical" href=" {bad}\n">'),
+        (7, "http://n.net/port", '<link rel="canonical" href="https://a.com:443/de/?x=1&y=2">'),
+        (8, "http://a.com:80/q", ""), (9, "http://n.net/to-port", '<link rel="canonical" href="http://a.com/q">'), (10, "http://n.net/f/g", '<link rel="canonical" href="http://n.net/to-port">'),
+        (11, "http://a.com/x/y/z", '<link rel="canonical" href="../../de/./?x=1&y=2">'),
+        (12, "http://n.net/comment", f'<!-- <link rel="canonical" href="{bad}"> --><p>'),
+        (13, "http://n.net/script", f"""<script>x = '<link rel="canonical" href="{bad}">'</script>"""),
+        (14, "http://n.net/title", f"""<link title="rel=canonical" href="{bad}"><link rel="stylesheet" title='x rel="canonical"' href="{bad}">"""),
+        (15, "http://n.net/close", f'<link rel="canonical"href="{bad}"/>'),
+        (16, "http://n.net/refresh", f"<meta content='3;URL={bad} ' http-equiv=Refresh>"),
+        (17, "http://n.net/a/../dots", '<link rel=canonical href="http://n.net/b">'), (18, "http://n.net/dots", f'<link rel=canonical href="{bad}">'), (19, "http://n.net/b", ""),
+        (20, "http://n.net/two", f'<base target=x><base href="http://a.com/de/"><base href="http://z.net/"><link rel=canonical href="?x=1&y=2">'),
+        (21, "http://n.net/mail", '<base href="mailto:x"><link rel=canonical href="words">'),
+        (22, "http://n.net/long", "<link " + "x='1' " * 100 + f'rel=canonical href="{bad}">' + "<link rel=canonical " + "y " * 100_000),
+    ]
+    got = both(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), tmp_path, "written")
+    verdicts = {i: got[i][4] for i in range(1, 23)}
+    assert [i for i, v in verdicts.items() if v == "block"] == [1, 2, 3, 4, 5, 6, 7, 11, 15, 16, 17, 18, 19, 20, 21], verdicts
+
+
+def test_a_large_link_table(spark, tmp_path):
+    """Chains, a hub and rings of redirects against a union-find."""
+    chain = [(f"http://c{k}.net/{i}", f"http://c{k}.net/{i + 1}") for k in range(40) for i in range(200)]
+    hub = [(f"http://h.net/{i}", "http://hub.net/") for i in range(20_000)]
+    rings = [(f"http://r{k}.net/{i}", f"http://r{k}.net/{(i + 1) % 10}") for k in range(500) for i in range(10)]
+    links = chain + hub + rings + [(f"http://c{k}.net/200", "http://a.com/de/") for k in range(0, 40, 3)] + [("http://h.net/7", "http://b.com/de/x"), ("http://r3.net/4", "http://q.org/"), ("http://r3.net/5", "http://a.com/de/r")]
+    pages = sorted({u for pair in links for u in pair})
+    top = {u: u for u in pages}
+
+    def find(u):
+        while top[u] != u:
+            top[u] = top[top[u]]
+            u = top[u]
+        return u
+
+    for a, b in links:
+        top[find(a)] = find(b)
+    rule = lambda u: "allow" if u.split("/")[2].endswith("org") else "block" if "com/de/" in u else None
+    says = {}
+    for u in pages:
+        says.setdefault(find(u), set()).add(rule(u))
+    want = {u: rule(u) or ("allow" if "allow" in says[find(u)] else "block" if "block" in says[find(u)] else "allow") for u in pages}
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(pages)], "page_id long, url string, html string")
+    got = judge_urls(df, redirects=spark.createDataFrame(links, "src string, dst string"))
+    assert {pages[r.page_id]: r.verdict for r in got.collect()} == want
+    assert sum(v == "block" for v in want.values()) > 20_000
