@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.settle import settle
+from ..functions.settle import settle, unsettle
 from ..functions.text import as_uuid
 from ..plans.hooks import Hooks
 from .tree import sibling_runs, with_paths
@@ -203,17 +203,47 @@ def transaction(nodes: DataFrame, edits: DataFrame, versions: DataFrame, key: st
     return now, versions
 
 
+def _wave(nodes: DataFrame, edits: DataFrame, key: str) -> DataFrame:
+    """nodes after at most one edit a document, all kinds of edits in one pass; anc_ids follow, other paths are left out."""
+    at = nodes.select("doc_id", F.col("node_id").alias("anchor_id"), F.col("parent_id").alias("_p"), F.col("child_index").alias("_i"), F.col("anc_ids").alias("_up"))
+    e = edits.join(at, ["doc_id", "anchor_id"], "left")
+    inside = F.col("position").isin("first_child", "last_child")
+    place = F.when(F.col("position") == "first_child", -1).when(F.col("position") == "last_child", 1 << 30).otherwise(2 * F.col("_i") + F.when(F.col("position") == "before", -1).otherwise(1))
+    above = F.when(inside, F.concat("_up", F.array("anchor_id"))).otherwise(F.col("_up"))
+    own = F.coalesce("key", F.lit(key)) if "key" in edits.columns else F.lit(key)
+    e = e.select("doc_id", F.col("op").alias("_op"), F.col("node_id").alias("_n"), F.col("name").alias("_name"), F.when(inside, F.col("anchor_id")).otherwise(F.col("_p")).alias("_to"), above.alias("_above"), F.when(F.col("position") == "first_child", F.lit(-1)).otherwise(place).alias("_place"), own.alias("_key"))
+    j = nodes.drop(*[c for c in PATHS if c != "anc_ids"]).join(e, "doc_id", "left")
+    is_it, below_it = F.col("node_id") == F.col("_n"), F.array_contains("anc_ids", F.col("_n"))
+    op = lambda x: F.coalesce(F.col("_op") == x, F.lit(False))
+    kept = j.where(~(op("delete") & (is_it | below_it)))
+    goes = op("move") & is_it
+    kept = kept.withColumn("anc_ids", F.when(goes, F.col("_above")).when(op("move") & below_it, F.concat("_above", F.slice("anc_ids", F.array_position("anc_ids", F.col("_n")).cast("int"), F.size("anc_ids")))).otherwise(F.col("anc_ids")))
+    kept = kept.withColumn("parent_id", F.when(goes, F.col("_to")).otherwise(F.col("parent_id"))).withColumn("_sort", F.when(goes, F.col("_place")).otherwise(2 * F.col("child_index")))
+    if "fields" in nodes.columns:
+        old = F.coalesce("fields", F.create_map().cast("map<string, string>"))
+        new = F.map_concat(F.map_filter(old, lambda k, v: k != F.col("_key")), F.create_map("_key", "_name"))
+        kept = kept.withColumn("fields", F.when(op("set_attribute") & is_it, new).otherwise(F.col("fields")))
+    columns = [c for c in nodes.columns if c not in PATHS or c == "anc_ids"]
+    put = e.where("_op = 'insert'").select("doc_id", F.col("_n").alias("node_id"), F.col("_to").alias("parent_id"), F.col("_above").alias("anc_ids"), F.lit(INSERTED).alias("kind"), F.lit("node").alias("role"), F.col("_name").alias("name"), F.col("_place").alias("_sort"))
+    put = put.select(*[c for c in put.columns if c in (*columns, "_sort")])
+    both = kept.select(*columns, "_sort").unionByName(put, allowMissingColumns=True)
+    w = W.partitionBy("doc_id", "parent_id").orderBy("_sort", "node_id")
+    return both.withColumn("child_index", (F.row_number().over(w) - 1).cast("int")).select(columns)
+
+
 def transaction_report(nodes: DataFrame, edits: DataFrame, versions: DataFrame, key: str = "status") -> tuple[DataFrame, DataFrame, DataFrame]:
     """transaction() and the errors (batch_id, seq, code), for each refused batch those of the first edits that fail.
 
     There are as many rounds as the most batches that wait for each other, and in a round as many waves as its
     longest batch has edits. Only documents that a round's batches name are in its waves; all others are as they were.
+    A wave is one pass over these; paths other than anc_ids are made once, in the end. nodes needs anc_ids.
     """
-    spark, paths = nodes.sparkSession, [c for c in PATHS if c in nodes.columns]
+    spark = nodes.sparkSession
     step = F.row_number().over(W.partitionBy("batch_id").orderBy("seq"))
     open_ = settle(edits.withColumn("_step", step))
-    touched = open_.select("doc_id").distinct()
-    same, work = nodes.join(touched, "doc_id", "left_anti"), settle(nodes.join(touched, "doc_id", "left_semi"))
+    touched = settle(open_.select("doc_id").distinct())
+    same, work = nodes.join(touched, "doc_id", "left_anti"), settle(nodes.join(touched, "doc_id", "left_semi").drop("ord_path", "depth"))
+    columns = work.columns
     versions = settle(versions.select("doc_id", "version"))
     errors = spark.createDataFrame([], edits.select("batch_id", "seq").schema.add("code", "string"))
     while not open_.isEmpty():
@@ -222,33 +252,34 @@ def transaction_report(nodes: DataFrame, edits: DataFrame, versions: DataFrame,
         each = open_.select("batch_id", "doc_id").distinct().join(first, "doc_id")
         ready = each.groupBy("batch_id").agg(F.bool_and(F.col("batch_id") == F.col("_first")).alias("_ready")).where("_ready").select("batch_id")
         now = settle(open_.join(ready, "batch_id", "left_semi"))
-        open_ = settle(open_.join(ready, "batch_id", "left_anti"))
-        stale = now.join(versions, "doc_id", "left").where(~F.col("expected_version").eqNullSafe(F.col("version"))).select("batch_id", "seq", F.lit("STALE_VERSION").alias("code"))
-        bad = settle(stale)
+        rest = settle(open_.join(ready, "batch_id", "left_anti"))
+        unsettle(open_)
+        open_ = rest
+        bad = settle(now.join(versions, "doc_id", "left").where(~F.col("expected_version").eqNullSafe(F.col("version"))).select("batch_id", "seq", F.lit("STALE_VERSION").alias("code")))
         docs = now.select("batch_id", "doc_id").distinct()
         trees = work
         for wave in range(1, (now.agg(F.max("_step").alias("n")).first().n or 0) + 1):
             live = now.where(F.col("_step") == wave).join(bad.select("batch_id"), "batch_id", "left_anti").drop("_step")
-            mine = settle(trees.join(live.select("doc_id").distinct(), "doc_id", "left_semi"))  # what this wave can change
-            found = settle(preflight(live, mine))
-            bad = settle(bad.unionByName(found))
-            live = live.join(found.select("batch_id"), "batch_id", "left_anti")
-            live = settle(live)
-            ops, new = {r.op for r in live.select("op").distinct().collect()}, mine
-            for op, apply in (("delete", delete), ("move", move), ("insert", insert)):
-                new = apply(new, live) if op in ops else new
-            if "set_attribute" in ops and "fields" in new.columns:
-                new = set_attribute(new, live, key)
-            if paths and ops - {"set_attribute"}:
-                new = with_paths(new).select(nodes.columns)
-            trees = settle(trees.join(live.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new.join(live.select("doc_id").distinct(), "doc_id", "left_semi")))
+            mine = trees.join(live.select("doc_id").distinct(), "doc_id", "left_semi")  # what this wave can change
+            worse = settle(bad.unionByName(preflight(live, mine)))
+            live = settle(live.join(worse.select("batch_id"), "batch_id", "left_anti"))
+            new = settle(_wave(trees, live, key).select(columns))
+            if trees is not work:
+                unsettle(trees)
+            unsettle(bad)
+            bad, trees = worse, new
         # Documents of refused batches are as before the round.
         back = docs.join(bad.select("batch_id"), "batch_id", "left_semi").select("doc_id").distinct()
         good = docs.join(back, "doc_id", "left_anti").select("doc_id", F.lit(1).alias("_t"))
-        work = settle(trees.join(back, "doc_id", "left_anti").unionByName(work.join(back, "doc_id", "left_semi")))
+        after = settle(trees.join(back, "doc_id", "left_anti").unionByName(work.join(back, "doc_id", "left_semi")))
+        if trees is not work:
+            unsettle(trees)
+        unsettle(work)
+        work = after
         versions = settle(versions.join(good, "doc_id", "left").select("doc_id", (F.col("version") + F.coalesce("_t", F.lit(0))).alias("version")))
         errors = errors.unionByName(bad)
-    return same.unionByName(work), versions, errors
+    done = with_paths(work.drop("anc_ids")) if {"ord_path", "depth"} & set(nodes.columns) else work
+    return same.unionByName(done.select(nodes.columns)), versions, errors
 
 
 def copy_subtrees(nodes: DataFrame, roots: DataFrame, copy_id: str, keep_ids: bool = False) -> DataFrame:
