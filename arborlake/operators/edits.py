@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.settle import settle, unsettle
 from ..functions.text import as_uuid
 from ..plans.hooks import Hooks
+from ..sources.parsers import Parser, parsed_rows
 from .tree import sibling_runs, with_paths
 
 POSITIONS = ("first_child", "last_child", "before", "after")
@@ -161,6 +162,21 @@ def set_body(nodes: DataFrame, bodies: DataFrame, children: DataFrame | None = N
     return left if children is None else left.unionByName(children, allowMissingColumns=True).select(plain(nodes).columns)
 
 
+def set_source_fragment(nodes: DataFrame, fragments: DataFrame, parse: Parser) -> tuple[DataFrame, DataFrame]:
+    """fragments(doc_id, node_id, text): the nodes keep their ids, get the text as content, and what a user's parser makes of it below them.
+
+    The nodes after it, and (doc_id, node_id, code, message) of texts that do not parse, whose nodes stay as they
+    were. Ids of new nodes follow from document, node and the parser's keys. nodes needs anc_ids.
+    """
+    named = fragments.select(F.to_json(F.struct("doc_id", "node_id")).alias("doc_id"), "text", F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"))
+    rows = settle(parsed_rows(named.select("doc_id", "text"), parse).join(named.drop("text"), "doc_id"))
+    errors = rows.where("code is not null").select(F.col("_d").alias("doc_id"), F.col("_n").alias("node_id"), "code", "message")
+    own = lambda c: as_uuid(F.col("doc_id"), F.col(c))
+    children = rows.where("code is null").select(F.col("_d").alias("doc_id"), own("key").alias("node_id"), F.when(F.col("parent").isNull(), F.col("_n")).otherwise(own("parent")).alias("parent_id"), "child_index", "kind", F.lit("node").alias("role"), "name", "content")
+    good = fragments.join(errors, ["doc_id", "node_id"], "left_anti").select("doc_id", "node_id", F.col("text").alias("content"))
+    return set_body(nodes, good, children.select([c for c in children.columns if c in nodes.columns])), errors
+
+
 def set_leaf_content(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     """nodes with the content of edits(doc_id, node_id, new_content); a node with children stays and has the error NOT_A_LEAF."""
     inner = nodes.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id"), F.lit(True).alias("_c")).distinct()

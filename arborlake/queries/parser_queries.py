@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import edits as E
 from ..sources import parsers as P
-from ..sources.catalog import table
+from ..sources.catalog import SQL, catalog_nodes, table
 from .registry import query
 
 
@@ -30,3 +31,24 @@ def u2_user_parser(spark, d):
 @query("SELECT doc_id, 'PARSE_FAILED' AS code, 'ParseError: line 3: section is not closed' AS message FROM documents WHERE doc_id % 10 = 0")
 def u2_parse_errors(spark, d):
     return P.parse_documents(ini_docs(spark, d), P.ini)[1]
+
+
+def fragments(spark, d):
+    """A text for each customer's first order; a section is left open where the key is divisible by 10."""
+    first = catalog_nodes(spark, d).where("depth = 1 and child_index = 0")
+    return first.select("doc_id", "node_id", F.concat(F.lit("a = 1\n[s"), F.when(F.col("doc_id") % 10 == 0, "").otherwise("]"), F.lit("\nb: "), "name").alias("text"))
+
+
+@query(f"""WITH {SQL}, f AS (SELECT * FROM nodes WHERE depth = 1 AND child_index = 0 AND doc_id % 10 <> 0), p AS (SELECT 'a = 1' || chr(10) || '[s]' || chr(10) || 'b: ' || name AS content, doc_id, name FROM f)
+SELECT doc_id, node_id, kind, name, CASE WHEN depth = 1 AND child_index = 0 AND doc_id % 10 <> 0 THEN 'a = 1' || chr(10) || '[s]' || chr(10) || 'b: ' || name ELSE content END AS content, CASE depth WHEN 1 THEN 'customer' WHEN 2 THEN 'order' END AS parent_kind, child_index FROM nodes WHERE NOT (depth = 2 AND ord_path[2] = 0 AND doc_id % 10 <> 0)
+UNION ALL SELECT doc_id, 'new', 'file', '', '', 'order', 0 FROM p UNION ALL SELECT doc_id, 'new', 'setting', 'a', '1', 'file', 0 FROM p UNION ALL SELECT doc_id, 'new', 'section', 's', '', 'file', 1 FROM p UNION ALL SELECT doc_id, 'new', 'setting', 'b', name, 'section', 0 FROM p""")
+def i10_source_fragment(spark, d):
+    n = E.set_source_fragment(catalog_nodes(spark, d), fragments(spark, d), P.ini)[0]
+    up = n.select("doc_id", F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind"))
+    made = F.col("kind").isin("file", "setting", "section")
+    return n.join(up, ["doc_id", "parent_id"], "left").select("doc_id", F.when(made, "new").otherwise(F.col("node_id")).alias("node_id"), "kind", "name", "content", "parent_kind", "child_index")
+
+
+@query(f"WITH {SQL} SELECT doc_id, node_id, 'PARSE_FAILED' AS code FROM nodes WHERE depth = 1 AND child_index = 0 AND doc_id % 10 = 0")
+def i10_fragment_errors(spark, d):
+    return E.set_source_fragment(catalog_nodes(spark, d), fragments(spark, d), P.ini)[1].select("doc_id", "node_id", "code")
