@@ -90,6 +90,21 @@ def scope(nodes: DataFrame, changed: DataFrame) -> DataFrame:
     return nodes.join(ids, ["doc_id", "node_id"], "left_semi")
 
 
+def address_errors(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc, node, target_doc, target_node, code) of references that cannot be right.
+
+    refs(doc, node, target_doc null for local, target_node), nodes(doc, node). A local reference must name a node of
+    its document: LOCAL_UNRESOLVED. An external one must be two ids in the form of UUID4: BAD_DOCUMENT, BAD_NODE; whether
+    the other document is there, and has the node, is no question here (see unresolved_references).
+    """
+    here = nodes.select(F.col("doc"), F.col("node").alias("target_node"), F.lit(True).alias("_known")).distinct()
+    local = refs.where("target_doc is null").join(here, ["doc", "target_node"], "left").where("_known is null").withColumn("code", F.lit("LOCAL_UNRESOLVED"))
+    code = F.when(~is_uuid4(F.col("target_doc")), "BAD_DOCUMENT").when(~is_uuid4(F.col("target_node")), "BAD_NODE")
+    external = refs.where("target_doc is not null").withColumn("code", code).where("code is not null")
+    columns = ["doc", "node", "target_doc", "target_node", "code"]
+    return local.select(columns).unionByName(external.select(columns))
+
+
 def backlinks(outgoing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Links (source, target) that one side counts and the other does not, or not as often: (source, target, what, n)."""
     a, b = outgoing.groupBy("source", "target").agg(F.count("*").alias("_a")), incoming.groupBy("source", "target").agg(F.count("*").alias("_b"))

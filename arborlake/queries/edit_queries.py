@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
+from ..functions.text import as_uuid, is_uuid4
 from ..operators import edits as E, integrity as I
 from ..operators.tree import allocate_short_ids
 from ..plans.hooks import Hooks, admits_pairs
@@ -249,6 +250,30 @@ def d8_reference_resolution(spark, d):
     return got.groupBy("target_doc", "status").agg(F.count("*").alias("n"))
 
 
+@query("""WITH r AS (SELECT l_orderkey, l_partkey, l_linenumber, l_partkey % 7 AS m FROM lineitem)
+SELECT m AS kind, CASE m WHEN 0 THEN 'LOCAL_UNRESOLVED' WHEN 1 THEN 'BAD_DOCUMENT' WHEN 2 THEN 'BAD_NODE' WHEN 3 THEN 'BAD_NODE' END AS code, count(*) AS n FROM r WHERE m < 4 GROUP BY ALL""")
+def j12_address_errors(spark, d):
+    """Lines refer, by their part mod 7, to a node that isn't there, to a document without a UUID, to one in capitals, to no node, to their order, or to good addresses."""
+    i = table(spark, d, "lineitem")
+    m, order = F.col("l_partkey") % 7, F.concat(F.lit("o:"), F.col("l_orderkey").cast("string"))
+    id_ = lambda name: as_uuid(F.lit(name), F.col("l_partkey").cast("string"))
+    doc = F.when(m == 1, "part").when(m.isin(2, 3, 5, 6), id_("doc"))
+    node = F.when(m == 0, F.concat(order, F.lit("?"))).when(m == 2, F.upper(id_("node"))).when(m == 4, order).when(m != 3, id_("node"))
+    refs = i.select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("l"), m.cast("string")).alias("node"), doc.alias("target_doc"), node.alias("target_node"))
+    nodes = i.select(F.col("l_orderkey").alias("doc"), order.alias("node")).distinct()
+    return I.address_errors(refs, nodes).groupBy(F.substring("node", 2, 1).cast("long").alias("kind"), "code").agg(F.count("*").alias("n"))
+
+
+@query("""WITH u AS (SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents), v AS (SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS u FROM u)
+SELECT doc_id, doc_id % 5 = 0 AS is_uuid4 FROM v""")
+def y3_uuid4(spark, d):
+    """Each document's id in that form, and with a capital, of another version, without a hyphen, or with another variant."""
+    id_ = as_uuid(F.col("doc_id").cast("string"))
+    k = F.col("doc_id") % 5
+    bad = F.when(k == 1, F.concat(F.lit("A"), F.substring(id_, 2, 40))).when(k == 2, F.concat(F.substring(id_, 1, 14), F.lit("1"), F.substring(id_, 16, 40))).when(k == 3, F.replace(id_, F.lit("-"), F.lit(""))).when(k == 4, F.concat(F.substring(id_, 1, 19), F.lit("c"), F.substring(id_, 21, 40)))
+    return table(spark, d, "documents").select("doc_id", is_uuid4(F.coalesce(bad, id_)).alias("is_uuid4"))
+
+
 @query("SELECT 'p:' || l_partkey AS node, count(*) AS incoming, count(DISTINCT l_orderkey) AS docs FROM lineitem GROUP BY l_partkey")
 def d9_incoming_references(spark, d):
     return refs(spark, d).where("target_doc = 'part'").groupBy(F.col("target_node").alias("node")).agg(F.count("*").alias("incoming"), F.count_distinct("doc").alias("docs"))
