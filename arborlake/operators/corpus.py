@@ -40,76 +40,157 @@ def _unit(c: str) -> Column:
     return F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
 
 
-def _dealt(df: DataFrame, key: str, blocks: int, copies: int, own: str, other: str) -> DataFrame:
-    """Rows dealt into blocks by their key, with a copy for each block of the other side."""
-    return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+def _pivots(one: DataFrame) -> np.ndarray:
+    """PIVOTS vectors at most, those with the smallest hashes of their ids."""
+    at = one.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).toPandas()  # bounded
+    return np.stack(at["v"].to_numpy()) if len(at) else np.zeros((1, 1))
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all of x from all of y, by one matrix product; off by rounding near 0."""
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T), 0))
+
+
+#: What distances by matrix products may be off; what is within it is computed anew.
+SLACK = 1e-6
+
+
+def _placed(one: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Adds home, the place of the nearest pivot, and `off`, the distance from it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                d = _apart(np.stack(b["v"].to_numpy()), pivots)
+                home = d.argmin(1)
+                yield b.assign(home=home.astype(np.int32), off=d[np.arange(len(b)), home])
+
+    return one.mapInPandas(run, f"{', '.join(f'{c} {t}' for c, t in one.dtypes)}, home int, off double")
+
+
+def _blocks(size: Column, most: int) -> Column:
+    return F.greatest(F.ceil(size / most), F.lit(1)).cast("int")
+
+
+def _meeting(vectors: DataFrame, visits: DataFrame, cells: DataFrame, meet, schema: str) -> DataFrame:
+    """meet() over blocks of the vectors of each cell and blocks of its visitors(cell, key, ...); cells has a row a cell, PIVOTS at most.
+
+    Each cell has as many blocks as its own sizes ask for.
+    """
+    guests = visits.groupBy("cell").agg(F.count("*").alias("_g"))
+    sizes = F.broadcast(cells.join(guests, cells.home == guests.cell).select("home", _blocks(F.col("n"), BLOCK_VECTORS).alias("_m"), _blocks(F.col("_g"), BLOCK_QUERIES).alias("_q")))
+    left = vectors.join(sizes, "home").withColumn("i", F.pmod(F.xxhash64("vec_id"), F.col("_m")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_q") - 1))).drop("_m", "_q")
+    right = visits.join(sizes.withColumnRenamed("home", "cell"), "cell").withColumn("j", F.pmod(F.xxhash64("key"), F.col("_q")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m", "_q")
+    return left.groupBy("home", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInPandas(meet, schema)
+
+
+def _windows(off: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int = 64) -> Iterator[tuple[slice, slice]]:
+    """Of visitors in the order of lo, `step` at a time, the stretch of the vectors, sorted by off, that any of them can want."""
+    for a in range(0, len(lo), step):
+        some = slice(a, min(a + step, len(lo)))
+        yield some, slice(int(np.searchsorted(off, lo[some].min(), "left")), int(np.searchsorted(off, hi[some].max(), "right")))
 
 
 def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, min_score: float = 0.0) -> DataFrame:
     """Per query (query_id, vector) the rows of the least distance of normalised vectors: score 1 / (1 + distance).
 
-    Blocks of vectors meet blocks of queries, each of which gives its best; what a task holds is bounded.
+    Exact. Vectors belong to the cell of the nearest of PIVOTS sampled ones. A query first meets its own cell, whose
+    best bound its distance; then it visits only the cells in which, by the triangle inequality and by the plane
+    between two pivots, something nearer may be, and there only vectors whose distance from the pivot fits. Cells are
+    compared in blocks, by matrix products; what is near the bound is computed anew, without them.
     """
-    v, q = vectors.select("vec_id", _unit("embedding").alias("v")), queries.select("query_id", _unit("vector").alias("q"))
-    m, n = -(-vectors.count() // BLOCK_VECTORS) or 1, -(-queries.count() // BLOCK_QUERIES) or 1
+    v, q = vectors.select("vec_id", _unit("embedding").alias("v")), queries.select(F.col("query_id").alias("key"), _unit("vector").alias("v"))
+    pivots = _pivots(v)
+    placed, asked = settle(_placed(v, pivots)), settle(_placed(q, pivots))
+    cells = placed.groupBy("home").agg(F.count("*").alias("n"), F.max("off").alias("radius"))
+    radius = np.full(len(pivots), -1.0)
+    for r in cells.select("home", "radius").collect():  # a row a pivot
+        radius[r.home] = r.radius
+    least = 1 / min_score - 1 if min_score > 0 else float("inf")  # the greatest distance that is asked for
+    rows_of = "query_id long, vec_id long, score double"
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(a) and len(b):
-            ids, x, y = a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), np.stack(b["q"].to_numpy())
-            for k, name in enumerate(b["query_id"].to_numpy()):
-                score = 1 / (1 + np.sqrt(((x - y[k]) ** 2).sum(1)))
-                ok = np.flatnonzero((ids != name) & (score >= min_score))
-                out += [(name, ids[i], score[i]) for i in ok[np.lexsort((ids[ok], -score[ok]))][:limit]]
+            a, b = a.sort_values("off"), b.sort_values("at")
+            ids, x, off = a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), a["off"].to_numpy()
+            names, y, at, bound = b["key"].to_numpy(), np.stack(b["v"].to_numpy()), b["at"].to_numpy(), b["bound"].to_numpy()
+            for some, near in _windows(off, at - bound - SLACK, at + bound + SLACK):
+                d, mine = _apart(x[near], y[some]), ids[near]
+                for k in range(d.shape[1]):
+                    col, name, most = d[:, k], names[some][k], bound[some][k]
+                    # One more than asked for, as the query itself may be there.
+                    edge = min(np.partition(col, limit)[limit] if len(col) > limit else np.inf, most)
+                    pick = np.flatnonzero(col <= edge + SLACK)
+                    pick = pick[mine[pick] != name]
+                    score = 1 / (1 + np.sqrt(((x[near][pick] - y[some][k]) ** 2).sum(1)))
+                    order = np.lexsort((mine[pick], -score))
+                    out += [(name, mine[pick[i]], score[i]) for i in order[:limit] if score[i] >= min_score]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    left, right = _dealt(v, "vec_id", m, n, "i", "j"), _dealt(q, "query_id", n, m, "j", "i")
-    rows = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= limit)
+
+    home = asked.select("key", "v", F.col("home").alias("cell"), F.col("off").alias("at"), F.lit(least).alias("bound"))
+    first = settle(ranked(_meeting(placed, home, cells, best, rows_of)))
+    bounds = first.groupBy("query_id").agg(F.count("*").alias("_k"), F.max(1 / F.col("score") - 1).alias("_far"))
+    known = asked.join(bounds, F.col("key") == F.col("query_id"), "left").withColumn("bound", F.least(F.lit(least), F.when(F.col("_k") == limit, F.col("_far")).otherwise(F.lit(float("inf"))))).select("key", "v", "home", "bound")
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                d, here, bound = _apart(np.stack(b["v"].to_numpy()), pivots), b["home"].to_numpy(), b["bound"].to_numpy() + SLACK
+                own = d[np.arange(len(b)), here]
+                goes = (radius >= 0) & (d - radius <= bound[:, None]) & ((d - own[:, None]) / 2 <= bound[:, None])
+                goes[np.arange(len(b)), here] = False
+                i, c = np.nonzero(goes)
+                yield pd.DataFrame({"key": b["key"].to_numpy()[i], "v": b["v"].to_numpy()[i], "cell": c.astype(np.int32), "at": d[i, c], "bound": bound[i]})
+
+    more = settle(known.mapInPandas(visits, "key long, v array<double>, cell int, at double, bound double"))
+    return ranked(first.drop("rank").unionByName(_meeting(placed, more, cells, best, rows_of)))
 
 
 def semantic_duplicates(vectors: DataFrame, min_cosine: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, cosine), a < b, of different vectors of at least that cosine; and (vec_id, class_id) of all vectors.
 
-    Equal vectors are one class, named by its smallest id, so that copies make no pairs. Exact: each vector
-    belongs to the cell of the nearest of PIVOTS sampled vectors, and visits those cells in which, by the
-    triangle inequality, a partner may be. Large cells are compared in blocks.
+    Equal vectors are one class, named by its smallest id, so that copies make no pairs. Exact: each vector belongs to
+    the cell of the nearest of PIVOTS sampled vectors, and visits those cells in which, by the triangle inequality and
+    by the plane between two pivots, a partner may be, and there only vectors whose distance from the pivot fits.
     """
     unit = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"), _unit("embedding").alias("v")).where("vec_id is not null and size(e) > 0 and not exists(v, x -> x is null or isnan(x))")
     named = unit.groupBy("e").agg(F.min("vec_id").alias("class_id"))
     members = unit.join(named, "e").select("vec_id", "class_id")
     one = unit.join(named.select(F.col("class_id").alias("vec_id")), "vec_id", "left_semi").select("vec_id", "v")
-    at = one.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).toPandas()  # bounded
-    pivots = np.stack(at["v"].to_numpy()) if len(at) else np.zeros((1, 1))
-    reach = 2 * float(np.sqrt(max(0.0, 2 - 2 * min_cosine))) + 1e-9
-
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pivots = _pivots(one)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * min_cosine))) + SLACK
+    placed = settle(_placed(one, pivots))
+    cells = placed.groupBy("home").agg(F.count("*").alias("n"), F.max("off").alias("radius"))
+    radius = np.full(len(pivots), -np.inf)
+    for r in cells.select("home", "radius").collect():  # a row a pivot
+        radius[r.home] = r.radius
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = np.stack(b["v"].to_numpy())
-                d = np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], axis=1)
-                home = d.argmin(1)
-                visits = [np.flatnonzero(row <= row[h] + reach).astype(np.int32) for row, h in zip(d, home, strict=True)]
-                yield b.assign(home=home.astype(np.int32), visits=visits)
-
-    placed = settle(one.mapInPandas(cells, "vec_id long, v array<double>, home int, visits array<int>"))
-    most = placed.groupBy("home").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    blocks = -(-most // BLOCK_QUERIES)
+                d = _apart(np.stack(b["v"].to_numpy()), pivots)
+                own = d[np.arange(len(b)), b["home"].to_numpy()][:, None]
+                i, c = np.nonzero((d - radius <= reach) & ((d - own) / 2 <= reach))
+                yield pd.DataFrame({"key": b["vec_id"].to_numpy()[i], "v": b["v"].to_numpy()[i], "cell": c.astype(np.int32), "at": d[i, c]})
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
+        out: list[pd.DataFrame] = []
         if len(a) and len(b):
-            left, x, right, y = a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), b["other"].to_numpy(), np.stack(b["w"].to_numpy())
-            for k, name in enumerate(left):  # a pair counts in the cell of its smaller id
-                cosine = (y * x[k]).sum(1)
-                out += [(name, right[i], cosine[i]) for i in np.flatnonzero((cosine >= min_cosine) & (right > name))]
-        return pd.DataFrame(out, columns=["a", "b", "cosine"])
-
-    own = placed.select("vec_id", "v", F.col("home").alias("cell"))
-    guests = placed.select(F.col("vec_id").alias("other"), F.col("v").alias("w"), F.explode("visits").alias("at"))
-    own, guests = _dealt(own, "vec_id", blocks, blocks, "i", "j"), _dealt(guests, "other", blocks, blocks, "l", "k")
-    return own.groupBy("cell", "i", "j").cogroup(guests.groupBy("at", "k", "l")).applyInPandas(meet, "a long, b long, cosine double"), members
+            a, b = a.sort_values("off"), b.sort_values("at")
+            ids, x, off = a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), a["off"].to_numpy()
+            names, y, at = b["key"].to_numpy(), np.stack(b["v"].to_numpy()), b["at"].to_numpy()
+            for some, near in _windows(off, at - reach, at + reach):
+                i, k = np.nonzero((x[near] @ y[some].T >= min_cosine - SLACK) & (ids[near][:, None] < names[some]))  # a pair counts in the cell of its smaller id
+                cosine = (x[near][i] * y[some][k]).sum(1)
+                out.append(pd.DataFrame({"a": ids[near][i], "b": names[some][k], "cosine": cosine})[cosine >= min_cosine])
+        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "cosine": np.zeros(0)})
+
+    guests = settle(placed.select("vec_id", "v", "home").mapInPandas(visits, "key long, v array<double>, cell int, at double"))
+    return _meeting(placed, guests, cells, meet, "a long, b long, cosine double"), members
 
 
 def usages(refs: DataFrame, target: dict[str, object], order: list[str], limit: int | None = None, offset: int = 0) -> DataFrame:
