@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import basename, glob, suffix
 
+#: Folders that a listing leaves out, and those of virtual environments.
 EXCLUDED = ("node_modules", ".git", "__pycache__", "build", "dist")
 VENVS = (".venv", "venv")
 #: The folders, logs and other files that a scan leaves out.

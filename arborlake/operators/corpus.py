@@ -17,12 +17,12 @@ def terms(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", t).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, words: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The `k` documents that match any of a query's words best: (doc_id, score)."""
+def bm25(docs: DataFrame, words: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75, among: Column | None = None) -> DataFrame:
+    """The `k` documents that match any of a query's words best: (doc_id, score); with `among` only such documents, by the statistics of all."""
     tokens = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda s: s != "")
-    rows = docs.select("doc_id", tokens.alias("t")).withColumn("length", F.size("t"))
+    rows = docs.select("doc_id", tokens.alias("t"), (F.lit(True) if among is None else among).alias("_among")).withColumn("length", F.size("t"))
     n = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.array_contains("t", w)).alias(f"df_{i}") for i, w in enumerate(words)])
-    rows = rows.where(F.arrays_overlap("t", F.array(*map(F.lit, words)))).join(F.broadcast(n))  # a single row
+    rows = rows.where("_among").where(F.arrays_overlap("t", F.array(*map(F.lit, words)))).join(F.broadcast(n))  # a single row
     score = F.lit(0.0)
     for i, w in enumerate(words):
         tf = F.size("t") - F.size(F.array_remove("t", w))

@@ -24,6 +24,12 @@ def k1_full_text_search(spark, d):
     return K.bm25(table(spark, d, "documents"), WORDS)
 
 
+@query(f"""WITH d AS (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+x AS (SELECT doc_id, source, len(t) AS dl, {_TF} FROM d) SELECT doc_id, round({_SCORE}, 6) AS score FROM x, s WHERE tf0 + tf1 + tf2 > 0 AND source IN ('src3', 'src5') ORDER BY score DESC, doc_id LIMIT 20""")
+def k1_search_among_entities(spark, d):
+    return K.bm25(table(spark, d, "documents"), WORDS, among=F.col("source").isin("src3", "src5"))
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS e FROM embeddings),
 p AS (SELECT q.vec_id AS query_id, v.vec_id, 1 / (1 + sqrt(list_sum(list_transform(list_zip(v.e, q.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS s FROM v, v q WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, rank, round(s, 6) AS score FROM r WHERE rank <= 10""")
@@ -108,6 +114,21 @@ def k10_graph_export(spark, d):
     return K.graph_edges(e, limit=100)
 
 
+@query("""SELECT '{"source":"' || n_name || '","target":"' || r_name || '"}' AS line FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def k10_hierarchy_export(spark, d):
+    """Nations below their regions as lines of JSON."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    made = n.select(F.col("n_name").alias("name"), F.array("r_name").alias("bases"))
+    return K.graph_edges(K.hierarchy(made).select(F.col("name").alias("source"), F.col("base").alias("target")), "json")
+
+
+@query("""SELECT '  "' || s || '" -> "' || t || '";' AS line FROM (SELECT DISTINCT 's' || l_suppkey AS s, 'c' || o_custkey AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey ORDER BY s, t LIMIT 5000)""")
+def k10_call_graph_export(spark, d):
+    """Suppliers that serve customers."""
+    i = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return K.graph_edges(i.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("target")))
+
+
 @query("SELECT event_id AS doc_id, '' AS pointer, 0 AS depth, 'object' AS kind, CAST(NULL AS VARCHAR) AS scalar FROM events UNION ALL SELECT event_id, '/' || unnest(json_keys(props)), 1, 'number', json_extract_string(props, '$.' || unnest(json_keys(props))) FROM events")
 def a6_json_flatten(spark, d):
     return J.json_nodes(table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("json"))).drop("pos")

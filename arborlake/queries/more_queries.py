@@ -141,10 +141,14 @@ def i21_leaf_content_edit(spark, d):
     return E.set_leaf_content(n, n.select("doc_id", "node_id", F.lit("new").alias("new_content"))).select("doc_id", "node_id", "error", "content")
 
 
-@query("SELECT doc_id, code FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'BAD_VERSION' END AS a, CASE WHEN doc_id % 6 = 0 THEN 'BAD_DIGEST' END AS b FROM documents), unnest([a, b]) u(code) WHERE code IS NOT NULL")
+@query("""SELECT doc_id, code FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'BAD_VERSION' END AS a, CASE WHEN doc_id % 6 = 0 THEN 'BAD_DIGEST' END AS b, CASE WHEN doc_id % 5 = 0 THEN 'BAD_ID' END AS c, CASE WHEN doc_id % 7 = 0 THEN 'BAD_OPEN' END AS d, CASE WHEN lang NOT IN ('en', 'fr') THEN 'BAD_LANG' END AS e, CASE WHEN length(text) > 500 THEN 'BAD_TEXT' END AS f FROM documents), unnest([a, b, c, d, e, f]) u(code) WHERE code IS NOT NULL""")
 def j8_envelope_validation(spark, d):
-    e = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, -1).otherwise(1).alias("version"), F.when(F.col("doc_id") % 6 == 0, "short").otherwise(F.sha2("text", 256)).alias("digest"))
-    return I.envelope_errors(e, {"version": ("int", 0), "digest": ("sha256", None)})
+    id_ = X.as_uuid(F.col("doc_id").cast("string"))
+    e = table(spark, d, "documents").select(
+        "doc_id", "lang", "text", F.when(F.col("doc_id") % 4 == 0, -1).otherwise(1).alias("version"), F.when(F.col("doc_id") % 6 == 0, "short").otherwise(F.sha2("text", 256)).alias("digest"),
+        F.when(F.col("doc_id") % 5 == 0, F.upper(F.concat(F.lit("a"), F.substring(id_, 2, 40)))).otherwise(id_).alias("id"), F.when(F.col("doc_id") % 7 == 0, "yes").otherwise("true").alias("open"),
+    )
+    return I.envelope_errors(e, {"version": ("int", 0), "digest": ("sha256", None), "id": ("uuid4", None), "open": ("bool", None), "lang": ("one_of", ["en", "fr"]), "text": ("text", 500)})
 
 
 @query("SELECT 'p:' || l_partkey AS target, 'missing_incoming' AS what, count(*) AS n FROM lineitem WHERE l_orderkey % 11 = 0 GROUP BY ALL")
