@@ -47,3 +47,20 @@ def test_odd_rows(spark):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, d)
     assert empty.count() == 0
+
+
+def test_extra_columns_with_names_of_the_operators_own(spark):
+    """Columns named like those that operators make are carried along and change nothing."""
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id < 120")
+    names = ["_t", "_d", "_c0", "_n", "_r", "_h", "_x", "_sum", "_chunk", "tkey", "kept", "n", "p", "h", "y", "at", "uid", "fp", "size", "prefix", "token", "comp", "copies", "evidence", "host", "path", "slot", "before", "piece", "length", "taken", "target", "row", "id", "x", "part"]
+    wide = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in names])
+    for name, stage in P.STAGES:
+        plain, more = stage(spark, docs, d), stage(spark, wide, d)
+        key = ["doc_id", "piece", "start", "length", "ids_crc32"] if name == "best_fit_packing" else docs.columns
+        assert Counter(tuple(r) for r in plain.select(key).collect()) == Counter(tuple(r) for r in more.select(key).collect()), name
+        if name != "best_fit_packing":
+            assert more.columns == wide.columns, name
+            assert all(r[c] == f"{c}:{r.doc_id}" for r in more.select("doc_id", *names).collect() for c in names), name
