@@ -6,26 +6,40 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.settle import settle
+from ..functions.settle import settle, settled_columns
 from ..functions.text import as_uuid, escape_token
 
+BOXES = ("object", "array")
+
 
 def json_nodes(docs: DataFrame, text: str = "json") -> DataFrame:
     """(doc_id, pointer, depth, kind, scalar, pos): one row a value, objects and arrays included; pos is its place in an array, and among an object's members by name.
 
     Level by level, as deep as texts go; each level is written out. Texts that are no JSON give no rows: see rejected().
+    Only objects and arrays are written with their values, and the rows are read without them: by a variant's assumed
+    size Spark would take all other columns for a thirtieth of what they are, and broadcast whole tables.
     """
-    level = docs.select("doc_id", F.lit("").alias("pointer"), F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.try_parse_json(text).alias("v")).where("v is not null")
-    levels, depth = [settle(level)], 0
-    while not levels[-1].isEmpty():
-        depth += 1
-        down = docs.sparkSession.sql("select l.doc_id, l.pointer, e.key, e.pos, e.value as v from {l} l, lateral variant_explode(l.v) e", l=levels[-1])
+    level = docs.select("doc_id", F.lit("").alias("pointer"), F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.try_parse_json(text).alias("v"))
+    levels = []
+    while True:
+        written = settle(_typed(level))
+        rows = settled_columns(written, "doc_id", "pointer", "depth", "kind", "scalar", "pos")
+        levels.append(rows if levels else rows.where("kind is not null"))
+        boxes = written.where(F.col("kind").isin(*BOXES))
+        if boxes.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        down = docs.sparkSession.sql("select l.doc_id, l.pointer, l.depth, e.key, e.pos, e.value as v from {l} l, lateral variant_explode(l.v) e", l=boxes)
         token = F.coalesce(escape_token(F.col("key")), F.col("pos").cast("string"))
-        levels.append(settle(down.select("doc_id", F.concat("pointer", F.lit("/"), token).alias("pointer"), F.lit(depth).alias("depth"), F.col("pos").cast("int").alias("pos"), "v")))
-    rows = reduce(DataFrame.unionByName, levels)
-    kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
-    name = F.when(kind == "OBJECT", "object").when(kind == "ARRAY", "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number")
-    return rows.select("doc_id", "pointer", "depth", name.alias("kind"), F.when(~name.isin("object", "array"), F.expr("try_variant_get(v, '$', 'string')")).alias("scalar"), "pos")
+        level = down.select("doc_id", F.concat("pointer", F.lit("/"), token).alias("pointer"), (F.col("depth") + 1).alias("depth"), F.col("pos").cast("int").alias("pos"), "v")
+
+
+def _typed(level: DataFrame) -> DataFrame:
+    """level with kind (null: no value), the scalar, and v where it holds others."""
+    start = F.substring(F.to_json("v"), 1, 1)
+    level = level.withColumn("_s", start)
+    kind = F.when(F.col("_s") == "{", "object").when(F.col("_s") == "[", "array").when(F.col("_s") == '"', "string").when(F.col("_s").isin("t", "f"), "boolean").when(F.col("_s") == "n", "null").when(F.col("_s").isNotNull(), "number")
+    box = F.col("_s").isin("{", "[")
+    return level.select("doc_id", "pointer", "depth", kind.alias("kind"), F.when(~box, F.expr("try_variant_get(v, '$', 'string')")).alias("scalar"), "pos", F.when(box, F.col("v")).alias("v"))
 
 
 def rejected(docs: DataFrame, text: str = "json") -> DataFrame:
@@ -44,7 +58,7 @@ def ambiguous_pointers(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def lookup(nodes: DataFrame, pointers: DataFrame) -> DataFrame:
     """Of each (doc_id, pointer) whether it is there, its kind and its scalar."""
-    j = pointers.join(nodes, ["doc_id", "pointer"], "left")
+    j = pointers.join(nodes.hint("merge"), ["doc_id", "pointer"], "left")
     return j.select("doc_id", "pointer", F.col("kind").isNotNull().alias("found"), "kind", "scalar")
 
 
