@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.settle import settle, unsettle
 from ..functions.text import unescape_token
-from ..sources.jsontree import json_nodes
+from ..sources.jsontree import BOXES, json_nodes
 
 #: Why an edit was refused.
 ROOT, BAD_OP, BAD_JSON, NOT_FOUND, NO_PARENT, NOT_A_CONTAINER, BAD_INDEX, KEY_EXISTS, NO_ANCHOR = "ROOT", "BAD_OP", "BAD_JSON", "NOT_FOUND", "NO_PARENT", "NOT_A_CONTAINER", "BAD_INDEX", "KEY_EXISTS", "NO_ANCHOR"
+#: Fewer edits are known to every task.
+FEW = 100_000
 _NODE = ["doc_id", "pointer", "depth", "kind", "scalar", "pos"]
 _INDEX = "^(0|[1-9][0-9]{0,8})$"
 
@@ -34,10 +36,10 @@ def _judged(edits: DataFrame, nodes: DataFrame) -> DataFrame:
     at = nodes.select("doc_id", F.col("pointer").alias("_up"), F.col("kind").alias("_kind"))
     sizes = nodes.where("depth > 0").groupBy("doc_id", _parent(F.col("pointer")).alias("_up")).agg(F.count("*").alias("_size"), (F.max("pos") + 1).alias("_next"))
     e = edits.withColumn("_up", F.when(F.col("pointer") != "", _parent(F.col("pointer")))).withColumn("_token", _last(F.col("pointer")))
-    e = e.join(at, ["doc_id", "_up"], "left").join(sizes, ["doc_id", "_up"], "left").withColumn("_size", F.coalesce("_size", F.lit(0))).withColumn("_next", F.coalesce("_next", F.lit(0)))
-    e = e.join(nodes.select("doc_id", "pointer", F.col("pos").alias("_here")), ["doc_id", "pointer"], "left")
+    e = e.join(at.hint("merge"), ["doc_id", "_up"], "left").join(sizes.hint("merge"), ["doc_id", "_up"], "left").withColumn("_size", F.coalesce("_size", F.lit(0))).withColumn("_next", F.coalesce("_next", F.lit(0)))
+    e = e.join(nodes.select("doc_id", "pointer", F.col("pos").alias("_here")).hint("merge"), ["doc_id", "pointer"], "left")
     beside = nodes.select("doc_id", F.col("pointer").alias("_beside"), F.col("pos").alias("_anchor"))
-    e = e.withColumn("_beside", F.when(F.col("anchor").isNotNull(), F.concat("_up", F.lit("/"), F.col("anchor")))).join(beside, ["doc_id", "_beside"], "left")
+    e = e.withColumn("_beside", F.when(F.col("anchor").isNotNull(), F.concat("_up", F.lit("/"), F.col("anchor")))).join(beside.hint("merge"), ["doc_id", "_beside"], "left")
     array, index = F.col("_kind") == "array", F.col("_token").rlike(_INDEX)
     insert, delete, set_ = (F.col("op") == x for x in ("insert", "delete", "set"))
     found = F.col("_here").isNotNull()
@@ -65,7 +67,7 @@ def _step(nodes: DataFrame, e: DataFrame, values: DataFrame) -> DataFrame:
     e = e.select("doc_id", "op", "pointer", "_up", "_token", "_place", "_edit", (F.col("_kind") == "array").alias("_array")).withColumnRenamed("pointer", "_at")
     target = F.when(F.col("_at") == "", "").otherwise(F.concat("_up", F.lit("/"), F.col("_token")))
     e = e.withColumn("_target", target)
-    j = nodes.join(e, "doc_id", "left")
+    j = nodes.join(e.hint("merge"), "doc_id", "left")
     p = F.col("pointer")
     within = (p == F.col("_target")) | p.startswith(F.concat("_target", F.lit("/"))) | (F.col("_target") == "")
     goes = F.coalesce(F.col("op").isin("delete", "set") & within, F.lit(False))
@@ -78,7 +80,7 @@ def _step(nodes: DataFrame, e: DataFrame, values: DataFrame) -> DataFrame:
     moved = F.concat("_up", F.lit("/"), (first.try_cast("int") + shift).cast("string"), F.substring(rest, F.length(first) + 1, F.length(rest)))
     sibling = F.coalesce(below & ~rest.contains("/") & (F.col("pos") >= F.col("_place")) & (shift != 0), F.lit(False))
     kept = j.where(~goes).select("doc_id", F.when(behind, moved).otherwise(p).alias("pointer"), "depth", "kind", "scalar", F.when(sibling, F.col("pos") + shift).otherwise(F.col("pos")).cast("int").alias("pos"))
-    put = e.where("op <> 'delete'").join(values, "_edit")
+    put = e.where("op <> 'delete'").join(values.hint("merge"), "_edit")
     new = put.select("doc_id", F.concat("_target", "v_pointer").alias("pointer"), (F.col("v_depth") + F.size(F.split("_target", "/")) - 1).alias("depth"), F.col("v_kind").alias("kind"), F.col("v_scalar").alias("scalar"), F.when(F.col("v_pointer") == "", F.col("_place")).otherwise(F.col("v_pos")).cast("int").alias("pos"))
     return kept.unionByName(new)
 
@@ -97,12 +99,14 @@ def edit_json(nodes: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]
     e = edits.withColumn("_edit", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("seq").cast("string"))).withColumn("_k", rank)
     values = settle(json_nodes(e.select(F.col("_edit").alias("doc_id"), F.col("value").alias("json"))))
     values = values.select(F.col("doc_id").alias("_edit"), *[F.col(c).alias(f"v_{c}") for c in _NODE[1:]])
-    e = settle(e.join(values.where("v_pointer = ''").select("_edit", F.lit(True).alias("_valued")), "_edit", "left"))
-    waves = e.agg(F.max("_k")).first()[0] or 0
-    # Only documents that edits name take part.
+    valued = values.where("v_pointer = ''").select("_edit", F.lit(True).alias("_valued"))
+    e = settle(e.join(valued.hint("merge"), "_edit", "left"))
+    waves, n = e.agg(F.max("_k"), F.count("*")).first()
+    # Only documents that edits name take part. Many edits are no larger on disk than few, so their number says how to find them.
     touched = e.select("doc_id").distinct()
+    touched = F.broadcast(touched) if n < FEW else touched.hint("merge")
     now, reports = settle(nodes.select(_NODE).join(touched, "doc_id", "left_semi")), []
-    for k in range(1, waves + 1):
+    for k in range(1, (waves or 0) + 1):
         judged = settle(_judged(e.where(F.col("_k") == k), now))
         reports.append(judged.select("doc_id", "seq", "code"))
         new = settle(_step(now, judged.where("code is null"), values))
@@ -117,21 +121,24 @@ def json_text(nodes: DataFrame) -> DataFrame:
     """(doc_id, json) of node tables, members in the order of pos; level by level from below, as deep as they go."""
     quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
     scalar = F.when(F.col("kind") == "string", quoted(F.coalesce("scalar", F.lit("")))).when(F.col("kind") == "null", "null").when(~F.col("kind").isin("object", "array"), F.col("scalar"))
-    rows = settle(nodes.withColumn("_t", scalar))
-    below, depth = None, rows.agg(F.max("depth")).first()[0]
+    rows = nodes.withColumn("_t", scalar)
+    box = F.col("kind").isin(*BOXES)
+    part = "struct<pos: int, name: string, text: string>"
+    name = quoted(unescape_token(_last(F.col("pointer"))))
+    # A node goes up as a part of its parent: scalars as they are, objects and arrays when their own parts have come.
+    up = lambda df, text: df.select("doc_id", _parent(F.col("pointer")).alias("pointer"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("pos"), F.struct("pos", name.alias("name"), text.alias("text")).cast(part).alias("part"))
+    made, depth = None, rows.agg(F.max("depth")).first()[0]
     for d in range(depth if depth is not None else -1, -1, -1):
         level = rows.where(F.col("depth") == d)
-        if below is not None:
-            level = level.join(below, ["doc_id", "pointer"], "left")
-            parts = F.coalesce("_parts", F.array().cast("array<struct<pos: int, name: string, text: string>>"))
-        else:
-            parts = F.array().cast("array<struct<pos: int, name: string, text: string>>")
-        members = F.array_join(F.transform(parts, lambda m: F.concat(m["name"], F.lit(":"), m["text"])), ",")
-        items = F.array_join(F.transform(parts, lambda m: m["text"]), ",")
-        text = F.when(F.col("kind") == "object", F.concat(F.lit("{"), members, F.lit("}"))).when(F.col("kind") == "array", F.concat(F.lit("["), items, F.lit("]"))).otherwise(F.col("_t"))
-        made = level.select("doc_id", "pointer", "pos", text.alias("text"))
+        own = level.where(box).select("doc_id", "pointer", "kind", "pos", F.lit(None).cast(part).alias("part"))
+        parts = own.unionByName(up(rows.where((F.col("depth") == d + 1) & ~box), F.col("_t")))
+        parts = parts if made is None else parts.unionByName(up(made, F.col("text")))
+        each = parts.groupBy("doc_id", "pointer").agg(F.max("kind").alias("kind"), F.max("pos").alias("pos"), F.array_sort(F.collect_list("part")).alias("_parts")).where("kind is not null")
+        members = F.array_join(F.transform("_parts", lambda m: F.concat(m["name"], F.lit(":"), m["text"])), ",")
+        items = F.array_join(F.transform("_parts", lambda m: m["text"]), ",")
+        text = F.when(F.col("kind") == "object", F.concat(F.lit("{"), members, F.lit("}"))).otherwise(F.concat(F.lit("["), items, F.lit("]")))
+        made = each.select("doc_id", "pointer", "pos", text.alias("text"))
         if d == 0:
-            return made.select("doc_id", F.col("text").alias("json"))
-        name = quoted(unescape_token(_last(F.col("pointer"))))
-        below = settle(made.groupBy("doc_id", _parent(F.col("pointer")).alias("pointer")).agg(F.array_sort(F.collect_list(F.struct("pos", name.alias("name"), "text"))).alias("_parts")))
+            return made.select("doc_id", F.col("text").alias("json")).unionByName(level.where(~box).select("doc_id", F.col("_t").alias("json")))
+        made = settle(made)
     return nodes.select("doc_id", F.lit(None).cast("string").alias("json")).where("false")
