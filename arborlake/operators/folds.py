@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.settle import settle
+from ..functions.settle import dealt, settle
 
 #: Rows of a stretch that is summed up for any beginning; anchors that one task moves.
 CHUNK = 4096
@@ -36,7 +36,7 @@ def replay_offsets(anchors: DataFrame, edits: DataFrame) -> DataFrame:
     parts = anchors.groupBy("doc_id").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_parts"))
     a = anchors.join(parts, "doc_id").select("doc_id", F.pmod(F.xxhash64("anchor_id", "start", "length"), F.col("_parts")).cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(0).cast(_kind(edits, "seq")).alias("seq"), "anchor_id", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("end"), F.lit(0).cast("long").alias("new_length"))
     e = edits.join(parts, "doc_id").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.lit(1).alias("kind"), "seq", F.lit(None).cast(_kind(anchors, "anchor_id")).alias("anchor_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("new_length").cast("long").alias("new_length"))
-    rows = a.unionByName(e).repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", "kind", "seq", "start", "end", "new_length")
+    rows = dealt(a.unionByName(e), "doc_id", "part").sortWithinPartitions("doc_id", "part", "kind", "seq", "start", "end", "new_length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, spans, types = None, [], None, None
@@ -213,7 +213,7 @@ def merge_short_ids(incoming: DataFrame, taken: DataFrame) -> DataFrame:
     """
     head = taken.select("doc_id", F.lit(0).alias("kind"), F.lit(0).cast(_kind(incoming, "seq")).alias("seq"), F.lit(None).cast(_kind(incoming, "node_id")).alias("node_id"), F.col("next_short_id").cast("long").alias("candidate"), F.col("used").cast("array<bigint>").alias("used"))
     body = incoming.select("doc_id", F.lit(1).alias("kind"), "seq", "node_id", F.col("candidate").cast("long").alias("candidate"), F.lit(None).cast("array<bigint>").alias("used"))
-    rows = head.unionByName(body).repartition("doc_id").sortWithinPartitions("doc_id", "kind", "seq", "node_id", "candidate")
+    rows = dealt(head.unionByName(body), "doc_id").sortWithinPartitions("doc_id", "kind", "seq", "node_id", "candidate")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, used, next_, begun = None, set(), 1, False

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.settle import dealt
+
 #: A line with its end; `unicode` also ends lines at the other breaks of Unicode.
 STRICT = r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+$"
 UNICODE = "[^\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*(?:\r\n|[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|[^\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+$"
@@ -61,7 +63,7 @@ def _sweep(points: DataFrame, blocks: DataFrame, exact: bool) -> DataFrame:
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     b = blocks.select("doc_id", F.col("start_line").cast("long").alias("lo"), F.lit(0).alias("side"), F.col("end_line").cast("long").alias("hi"), F.lit(None).cast(kind(points, "point")).alias("point"), "block_id")
     p = points.select("doc_id", F.col("lo").cast("long").alias("lo"), F.lit(1).alias("side"), F.col("hi").cast("long").alias("hi"), "point", F.lit(None).cast(kind(blocks, "block_id")).alias("block_id"))
-    rows = b.unionByName(p).repartition("doc_id").sortWithinPartitions("doc_id", "lo", "side")
+    rows = dealt(b.unionByName(p), "doc_id").sortWithinPartitions("doc_id", "lo", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, begun, open_ = None, False, []  # (span, first line, block, last line) in order
