@@ -42,8 +42,9 @@ def k2_semantic_search(spark, d):
 @query("""WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS e FROM embeddings)
 SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id) WHERE cosine >= 0.4""")
 def k4_semantic_duplicates(spark, d):
-    # At the usual 0.85 these tables have no pair.
-    return K.semantic_duplicates(table(spark, d, "embeddings"), 0.4)[0].select("a", "b", F.round("cosine", 6).alias("cosine"))
+    # At the usual 0.85 these tables have no pair. The bound holds for the rounded cosine.
+    found = K.semantic_duplicates(table(spark, d, "embeddings"), 0.4 - 1e-6)
+    return K.pairs_of_copies(*found).select("a", "b", F.round("cosine", 6).alias("cosine")).where("cosine >= 0.4D")
 
 
 @query(r"""WITH RECURSIVE b AS (SELECT doc_id, length(rtrim(text, chr(10))) - length(replace(rtrim(text, chr(10)), chr(10), '')) + 1 AS line_end, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents WHERE length(rtrim(text, chr(10))) - length(replace(rtrim(text, chr(10)), chr(10), '')) >= 4),
