@@ -1,24 +1,28 @@
-"""Blocks that are alike: exact Jaccard over word shingles, candidates by MinHash bands.
-
-Broder, "On the resemblance and containment of documents" (1997), with banding
-as in Leskovec, Rajaraman and Ullman, "Mining of Massive Datasets". Equal
-blocks are one shape first, so that copies make no candidates. Within a bucket
-shapes are not paired with each other but with a few leaders at a time: those
-that a leader takes leave the bucket, and the rest meets twice as many leaders
-in the next round.
+"""Blocks that are alike: exact Jaccard over word shingles, candidates by prefixes.
+
+Chaudhuri, Ganti and Kaushik, "A primitive operator for similarity joins in data
+cleaning" (2006), with places as in Xiao et al., "Efficient similarity joins for
+near duplicate detection" (2008): in one order of all shingles, the rarest
+first, the first n - ceil(t * n) + 1 of the n shingles of a block hold one of
+each block that is alike by t. No link is missed. Equal blocks are one shape
+first, so that copies make no candidates; of the shapes that share a shingle all
+meet one hub first, and only those that are not held together then meet.
 """
 
 from __future__ import annotations
 
-import random
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.settle import settle, unsettle
 
-#: Words of a shingle; bands of so many least values each: at a similarity of 0.8 all bands miss one pair in 5,000.
-WORDS, BANDS, ROWS = 5, 16, 4
+#: Words of a shingle; most shingles whose place in the order follows their frequency (the rest are ordered by hash, and any order is exact).
+WORDS, FREQUENT = 5, 200_000
+#: What products of sizes and similarities may be off.
+EPS = 1e-9
 
 
 def normal(text: Column) -> Column:
@@ -33,43 +37,75 @@ def shingles(text: Column, words: int = WORDS) -> Column:
     return F.array_distinct(many)
 
 
-def _least(sets: Column, bands: int, rows: int) -> Column:
-    """Hashes of the bands. An exclusive or with a number orders the hashes anew, so its least value is one of MinHash."""
-    rng = random.Random(20260806)
-    out = []
-    for b in range(bands):
-        least = [F.array_min(F.transform(sets, lambda s, r=rng.getrandbits(63): s.bitwiseXOR(F.lit(r)))) for _ in range(rows)]
-        out.append(F.xxhash64(F.lit(b), *least))
-    return F.array(*out)
-
-
 def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return both / (F.size(a) + F.size(b) - both)
 
 
-def similar_shapes(shapes: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """From (shape, sets) the verified links (a, b, similarity), a < b, of shapes that share a band's bucket with a leader."""
-    each = settle(shapes.select("shape", F.explode(_least(F.col("sets"), bands, rows)).alias("bucket")))
-    many = each.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
-    open_ = settle(each.join(many, "bucket").select("shape", "bucket"))
-    unsettle(each)
-    links, leaders = [], 1
-    while not open_.isEmpty():
-        lead = open_.groupBy("bucket", F.pmod(F.xxhash64("shape", F.lit(leaders)), F.lit(leaders)).alias("_j")).agg(F.min("shape").alias("leader")).select("bucket", "leader")
-        met = open_.join(lead, "bucket")
-        pairs = met.where("shape <> leader").select(F.least("shape", "leader").alias("a"), F.greatest("shape", "leader").alias("b")).distinct()
-        sets = shapes.select(F.col("shape").alias("a"), F.col("sets").alias("_x")), shapes.select(F.col("shape").alias("b"), F.col("sets").alias("_y"))
-        found = settle(pairs.join(sets[0], "a").join(sets[1], "b").select("a", "b", jaccard(F.col("_x"), F.col("_y")).alias("similarity")).where(F.col("similarity") >= similarity))
-        links.append(found)
-        taken = found.select(F.col("a").alias("leader"), F.col("b").alias("shape")).unionByName(found.select(F.col("b").alias("leader"), F.col("a").alias("shape")))
-        gone = met.where("shape = leader").select("bucket", "shape").unionByName(met.join(taken, ["leader", "shape"], "left_semi").select("bucket", "shape")).distinct()
-        rest = open_.join(gone, ["bucket", "shape"], "left_anti")
-        many = rest.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
-        left = settle(rest.join(many, "bucket").select("shape", "bucket"))
-        unsettle(open_)
-        open_, leaders = left, 2 * leaders
-    return reduce(DataFrame.unionByName, links).distinct() if links else shapes.sparkSession.createDataFrame([], "a string, b string, similarity double")
+def _common(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of counts(token, n), FREQUENT at most, sorted, and their numbers."""
+    levels = counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(FREQUENT).collect()
+    total, least = 0, None
+    for r in levels:
+        total += r.k
+        if total > FREQUENT:
+            break
+        least = r.n
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    top = counts.where(F.col("n") >= least).toPandas().sort_values("token")
+    return top["token"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+
+def _prefixes(similarity: float, common: np.ndarray, counts: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for s in b["sets"]:
+                s = np.sort(np.asarray(s, np.int64))
+                often = np.zeros(len(s), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    often = np.where(common[at] == s, counts[at], 0)
+                out.append(s[np.lexsort((s, often))][: len(s) - int(np.ceil(similarity * len(s) - EPS)) + 1])
+            k = np.array([len(p) for p in out], np.int64)
+            if k.sum():
+                yield pd.DataFrame({"token": np.concatenate(out), "id": np.repeat(b["id"].to_numpy(), k), "n": np.repeat([len(s) for s in b["sets"]], k), "pos": np.concatenate([np.arange(i) for i in k])})
+
+    return run
+
+
+def _linked(pairs: DataFrame, shapes: DataFrame, similarity: float) -> DataFrame:
+    """Of candidates (a, na, pa, b, nb, pb), a shared shingle each, the pairs that are alike; written out."""
+    na, nb = F.col("na"), F.col("nb")
+    least = F.ceil(similarity / (1 + similarity) * (na + nb) - EPS)
+    fit = pairs.where((F.least(na, nb) >= similarity * F.greatest(na, nb) - EPS) & (F.least(na - F.col("pa"), nb - F.col("pb")) >= least))
+    fit = fit.select("a", "b").distinct()
+    x, y = shapes.select(F.col("id").alias("a"), F.col("sets").alias("_x")), shapes.select(F.col("id").alias("b"), F.col("sets").alias("_y"))
+    return settle(fit.join(x, "a").join(y, "b").where(jaccard(F.col("_x"), F.col("_y")) >= similarity).select("a", "b"))
+
+
+def similar_shapes(shapes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """From (id, sets) links (a, b) of alike shapes: all that hold groups together, though not all within a group."""
+    counts = settle(shapes.select(F.explode("sets").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
+    prefixes = settle(shapes.select("id", "sets").mapInPandas(_prefixes(similarity, *_common(counts)), "token long, id long, n int, pos int"))
+    shared = prefixes.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    met = settle(prefixes.join(shared, "token"))
+    unsettle(counts, prefixes)
+    # The hub is the shape whose prefix is commonest, so that few shapes are hubs of many shingles.
+    weight = met.groupBy("id").agg(F.sum("df").alias("w"))
+    hubs = met.join(weight, "id").groupBy("token").agg(F.max(F.struct("w", "id", "n", "pos")).alias("h"))
+    pairs = met.join(hubs, "token").where("id <> h.id").select(F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("h.pos").alias("pa"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    first = _linked(pairs, shapes, similarity)
+    held = linked_groups(first)
+    part = settle(met.join(held, met.id == held.node, "left").select(met["*"], F.coalesce("group", "id").alias("group")))
+    unsettle(met)
+    spread = part.groupBy("token", "group").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "group")).alias("m"), F.count("*").alias("k"))
+    open_ = part.join(spread.where("k > 1").select("token", F.col("m.group").alias("major")), "token")
+    x, y = open_.where("group <> major").alias("x"), open_.alias("y")
+    pairs = x.join(y, F.expr("x.token = y.token and x.group <> y.group and (y.group = y.major or x.id < y.id)"))
+    pairs = pairs.select(*[F.col(f"{side}.{c}").alias(f"{to}{name}") for side, name in (("x", "a"), ("y", "b")) for c, to in (("id", ""), ("n", "n"), ("pos", "p"))])
+    return first.unionByName(_linked(pairs, shapes, similarity))
 
 
 def linked_groups(links: DataFrame) -> DataFrame:
@@ -103,9 +139,12 @@ def structural_duplicates(blocks: DataFrame, min_lines: int = 5, similarity: flo
     """
     rows = blocks.where(F.col("line_end") - F.col("line_start") + 1 >= min_lines).withColumn("_t", normal(F.col("text")))
     rows = settle(rows.select("doc_id", "line_start", "line_end", F.sha2("_t", 256).alias("shape"), "_t"))
-    shapes = settle(rows.groupBy("shape").agg(F.first("_t").alias("_t")).select("shape", shingles(F.col("_t")).alias("sets")))
+    shapes = rows.groupBy("shape").agg(F.first("_t").alias("_t")).select(F.monotonically_increasing_id().alias("id"), "shape", shingles(F.col("_t")).alias("sets"))
+    shapes = settle(shapes)
     groups = linked_groups(similar_shapes(shapes, similarity))
-    sets = shapes.join(groups, shapes["shape"] == groups["node"], "left").select("shape", F.coalesce("group", "shape").alias("group"), "sets")
+    placed = shapes.select("id", "shape").join(groups, F.col("id") == F.col("node"), "left").select("shape", F.coalesce("group", "id").alias("_g"))
+    names = placed.groupBy("_g").agg(F.min("shape").alias("group"))
+    sets = shapes.select("shape", "sets").join(placed.join(names, "_g").select("shape", "group"), "shape")
     heads = shapes.select(F.col("shape").alias("group"), F.col("sets").alias("_head"))
     alike = sets.join(heads, "group").select("shape", "group", jaccard(F.col("sets"), F.col("_head")).alias("_s"))
     stats = alike.groupBy("group").agg(F.count("*").alias("shapes"), F.min("_s").alias("similarity"))
