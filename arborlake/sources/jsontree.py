@@ -35,10 +35,10 @@ def json_nodes(docs: DataFrame, text: str = "json") -> DataFrame:
 
 def _typed(level: DataFrame) -> DataFrame:
     """level with kind (null: no value), the scalar, and v where it holds others."""
-    start = F.substring(F.to_json("v"), 1, 1)
-    level = level.withColumn("_s", start)
-    kind = F.when(F.col("_s") == "{", "object").when(F.col("_s") == "[", "array").when(F.col("_s") == '"', "string").when(F.col("_s").isin("t", "f"), "boolean").when(F.col("_s") == "n", "null").when(F.col("_s").isNotNull(), "number")
-    box = F.col("_s").isin("{", "[")
+    level = level.withColumn("_s", F.schema_of_variant("v"))
+    object_, array = F.col("_s").startswith("OBJECT"), F.col("_s").startswith("ARRAY")
+    kind = F.when(object_, "object").when(array, "array").when(F.col("_s") == "STRING", "string").when(F.col("_s") == "BOOLEAN", "boolean").when(F.col("_s") == "VOID", "null").when(F.col("_s").isNotNull(), "number")
+    box = object_ | array
     return level.select("doc_id", "pointer", "depth", kind.alias("kind"), F.when(~box, F.expr("try_variant_get(v, '$', 'string')")).alias("scalar"), "pos", F.when(box, F.col("v")).alias("v"))
 
 
