@@ -219,53 +219,56 @@ def transaction(nodes: DataFrame, edits: DataFrame, versions: DataFrame, key: st
     return now, versions
 
 
-def _wave(nodes: DataFrame, edits: DataFrame, key: str) -> DataFrame:
-    """nodes after at most one edit a document, all kinds of edits in one pass; anc_ids follow, other paths are left out."""
-    at = nodes.select("doc_id", F.col("node_id").alias("anchor_id"), F.col("parent_id").alias("_p"), F.col("child_index").alias("_i"), F.col("anc_ids").alias("_up"))
+def _wave(named: DataFrame, edits: DataFrame, key: str, turn: int) -> DataFrame:
+    """The table of transaction_report() after at most one edit a document, all kinds of edits in one pass."""
+    at = named.select("doc_id", F.col("node_id").alias("anchor_id"), F.col("parent_id").alias("_p"), F.col("anc_ids").alias("_up"), F.col("_s").alias("_as"), F.col("_i").alias("_ai"), F.col("_rel").alias("_ar"))
     e = edits.join(at, ["doc_id", "anchor_id"], "left")
     inside = F.col("position").isin("first_child", "last_child")
-    place = F.when(F.col("position") == "first_child", -1).when(F.col("position") == "last_child", 1 << 30).otherwise(2 * F.col("_i") + F.when(F.col("position") == "before", -1).otherwise(1))
-    above = F.when(inside, F.concat("_up", F.array("anchor_id"))).otherwise(F.col("_up"))
+    side = F.when(F.col("position").isin("first_child", "before"), -1).otherwise(1)
+    # First children come before all that were first before them, last ones behind all; beside a node the latest is the nearest.
+    rel = F.concat(F.slice("_ar", 1, F.size("_ar") - 1), F.array(side, -side * turn, F.lit(0)))
     own = F.coalesce("key", F.lit(key)) if "key" in edits.columns else F.lit(key)
-    e = e.select("doc_id", F.col("op").alias("_op"), F.col("node_id").alias("_n"), F.col("name").alias("_name"), F.when(inside, F.col("anchor_id")).otherwise(F.col("_p")).alias("_to"), above.alias("_above"), F.when(F.col("position") == "first_child", F.lit(-1)).otherwise(place).alias("_place"), own.alias("_key"))
-    j = nodes.drop(*[c for c in PATHS if c != "anc_ids"]).join(e, "doc_id", "left")
+    e = e.select(
+        "doc_id", F.col("op").alias("_op"), F.col("node_id").alias("_n"), F.col("name").alias("_value"), own.alias("_key"), F.when(inside, F.col("anchor_id")).otherwise(F.col("_p")).alias("_to"),
+        F.when(inside, F.concat("_up", F.array("anchor_id"))).otherwise(F.col("_up")).alias("_above"), F.when(inside, side).otherwise(F.col("_as")).alias("_es"), F.when(inside, side * turn).otherwise(F.col("_ai")).alias("_ei"), F.when(inside, F.array(F.lit(0))).otherwise(rel).alias("_er"),
+    )
+    j = named.join(e, "doc_id", "left")
     is_it, below_it = F.col("node_id") == F.col("_n"), F.array_contains("anc_ids", F.col("_n"))
     op = lambda x: F.coalesce(F.col("_op") == x, F.lit(False))
     kept = j.where(~(op("delete") & (is_it | below_it)))
     goes = op("move") & is_it
-    kept = kept.withColumn("anc_ids", F.when(goes, F.col("_above")).when(op("move") & below_it, F.concat("_above", F.slice("anc_ids", F.array_position("anc_ids", F.col("_n")).cast("int"), F.size("anc_ids")))).otherwise(F.col("anc_ids")))
-    kept = kept.withColumn("parent_id", F.when(goes, F.col("_to")).otherwise(F.col("parent_id"))).withColumn("_sort", F.when(goes, F.col("_place")).otherwise(2 * F.col("child_index")))
-    if "fields" in nodes.columns:
-        old = F.coalesce("fields", F.create_map().cast("map<string, string>"))
-        new = F.map_concat(F.map_filter(old, lambda k, v: k != F.col("_key")), F.create_map("_key", "_name"))
-        kept = kept.withColumn("fields", F.when(op("set_attribute") & is_it, new).otherwise(F.col("fields")))
-    columns = [c for c in nodes.columns if c not in PATHS or c == "anc_ids"]
-    put = e.where("_op = 'insert'").select("doc_id", F.col("_n").alias("node_id"), F.col("_to").alias("parent_id"), F.col("_above").alias("anc_ids"), F.lit(INSERTED).alias("kind"), F.lit("node").alias("role"), F.col("_name").alias("name"), F.col("_place").alias("_sort"))
-    put = put.select(*[c for c in put.columns if c in (*columns, "_sort")])
-    both = kept.select(*columns, "_sort").unionByName(put, allowMissingColumns=True)
-    w = W.partitionBy("doc_id", "parent_id").orderBy("_sort", "node_id")
-    return both.withColumn("child_index", (F.row_number().over(w) - 1).cast("int")).select(columns)
+    anc = F.when(goes, F.col("_above")).when(op("move") & below_it, F.concat("_above", F.slice("anc_ids", F.array_position("anc_ids", F.col("_n")).cast("int"), F.size("anc_ids")))).otherwise(F.col("anc_ids"))
+    old = F.coalesce("_set", F.create_map().cast("map<string, string>"))
+    set_ = F.when(op("set_attribute") & is_it, F.map_concat(F.map_filter(old, lambda k, v: k != F.col("_key")), F.create_map("_key", "_value"))).otherwise(F.col("_set"))
+    either = lambda a, b: F.when(goes, F.col(a)).otherwise(F.col(b)).alias(b)
+    kept = kept.select("doc_id", "node_id", either("_to", "parent_id"), anc.alias("anc_ids"), either("_es", "_s"), either("_ei", "_i"), either("_er", "_rel"), (F.col("_moved") | goes).alias("_moved"), "_new", "_name", set_.alias("_set"))
+    no, yes = F.lit(False), F.lit(True)
+    put = e.where("_op = 'insert'").select("doc_id", F.col("_n").alias("node_id"), F.col("_to").alias("parent_id"), F.col("_above").alias("anc_ids"), F.col("_es").alias("_s"), F.col("_ei").alias("_i"), F.col("_er").alias("_rel"), no.alias("_moved"), yes.alias("_new"), F.col("_value").alias("_name"), F.lit(None).cast("map<string, string>").alias("_set"))
+    return kept.unionByName(put)
 
 
 def transaction_report(nodes: DataFrame, edits: DataFrame, versions: DataFrame, key: str = "status") -> tuple[DataFrame, DataFrame, DataFrame]:
     """transaction() and the errors (batch_id, seq, code), for each refused batch those of the first edits that fail.
 
     There are as many rounds as the most batches that wait for each other, and in a round as many waves as its
-    longest batch has edits. Only documents that a round's batches name are in its waves; all others are as they were.
-    A wave is one pass over these; paths other than anc_ids are made once, in the end. nodes needs anc_ids.
+    longest batch has edits. Waves run over the nodes that edits name, and no others: what becomes of any other node
+    follows from the nearest named one above it. All nodes are read twice, for the named ones and for the nodes after
+    it, which are not made before they are asked for, unless nodes has ord_path or depth. nodes needs anc_ids.
     """
     spark = nodes.sparkSession
     step = F.row_number().over(W.partitionBy("batch_id").orderBy("seq"))
     open_ = settle(edits.withColumn("_step", step))
     touched = settle(open_.select("doc_id").distinct())
-    same, work = nodes.join(touched, "doc_id", "left_anti"), settle(nodes.join(touched, "doc_id", "left_semi").drop("ord_path", "depth"))
-    columns = work.columns
+    asked = open_.select("doc_id", F.explode(F.array("node_id", "anchor_id")).alias("node_id")).where("node_id is not null")
+    known = nodes.select("doc_id", "node_id", "parent_id", "anc_ids", F.lit(0).alias("_s"), F.col("child_index").cast("int").alias("_i"), F.array(F.lit(0)).alias("_rel"), F.lit(False).alias("_moved"), F.lit(False).alias("_new"), F.lit(None).cast("string").alias("_name"), F.lit(None).cast("map<string, string>").alias("_set"))
+    first = work = settle(known.join(asked.distinct(), ["doc_id", "node_id"], "left_semi"))
     versions = settle(versions.select("doc_id", "version"))
     errors = spark.createDataFrame([], edits.select("batch_id", "seq").schema.add("code", "string"))
+    turn = 0
     while not open_.isEmpty():
         # Ready: the first batch of all its documents.
-        first = open_.groupBy("doc_id").agg(F.min("batch_id").alias("_first"))
-        each = open_.select("batch_id", "doc_id").distinct().join(first, "doc_id")
+        ahead = open_.groupBy("doc_id").agg(F.min("batch_id").alias("_first"))
+        each = open_.select("batch_id", "doc_id").distinct().join(ahead, "doc_id")
         ready = each.groupBy("batch_id").agg(F.bool_and(F.col("batch_id") == F.col("_first")).alias("_ready")).where("_ready").select("batch_id")
         now = settle(open_.join(ready, "batch_id", "left_semi"))
         rest = settle(open_.join(ready, "batch_id", "left_anti"))
@@ -275,11 +278,11 @@ def transaction_report(nodes: DataFrame, edits: DataFrame, versions: DataFrame,
         docs = now.select("batch_id", "doc_id").distinct()
         trees = work
         for wave in range(1, (now.agg(F.max("_step").alias("n")).first().n or 0) + 1):
+            turn += 1
             live = now.where(F.col("_step") == wave).join(bad.select("batch_id"), "batch_id", "left_anti").drop("_step")
-            mine = trees.join(live.select("doc_id").distinct(), "doc_id", "left_semi")  # what this wave can change
-            worse = settle(bad.unionByName(preflight(live, mine)))
-            live = settle(live.join(worse.select("batch_id"), "batch_id", "left_anti"))
-            new = settle(_wave(trees, live, key).select(columns))
+            worse = settle(bad.unionByName(preflight(live, trees)))
+            live = live.join(worse.select("batch_id"), "batch_id", "left_anti")
+            new = settle(_wave(trees, live, key, turn))
             if trees is not work:
                 unsettle(trees)
             unsettle(bad)
@@ -290,12 +293,66 @@ def transaction_report(nodes: DataFrame, edits: DataFrame, versions: DataFrame,
         after = settle(trees.join(back, "doc_id", "left_anti").unionByName(work.join(back, "doc_id", "left_semi")))
         if trees is not work:
             unsettle(trees)
-        unsettle(work)
+        if work is not first:
+            unsettle(work)
         work = after
         versions = settle(versions.join(good, "doc_id", "left").select("doc_id", (F.col("version") + F.coalesce("_t", F.lit(0))).alias("version")))
         errors = errors.unionByName(bad)
-    done = with_paths(work.drop("anc_ids")) if {"ord_path", "depth"} & set(nodes.columns) else work
-    return same.unionByName(done.select(nodes.columns)), versions, errors
+    if not {"ord_path", "depth"} & set(nodes.columns):
+        return _after(nodes, first, work), versions, errors
+    done = with_paths(_after(nodes.join(touched, "doc_id", "left_semi"), first, work).drop("anc_ids"))
+    return nodes.join(touched, "doc_id", "left_anti").unionByName(done.select(nodes.columns)), versions, errors
+
+
+def _after(nodes: DataFrame, first: DataFrame, last: DataFrame) -> DataFrame:
+    """nodes after a transaction, from the nodes named in it as they were first and are at last; without ord_path and depth.
+
+    Where nodes of a document came, went or moved, all its children are numbered anew. A node that is not named goes where the nearest node above it goes that was moved or deleted. All rows are dealt once,
+    by document; along the order of paths of ids the nearest such node is the last one entered and not left again.
+    """
+    mine = last.where("not _new").select("doc_id", "node_id", F.lit(True).alias("_here"), F.col("parent_id").alias("_to"), F.col("anc_ids").alias("_above"), *[F.col(c).alias(f"_l{c}") for c in ("_s", "_i", "_rel", "_moved", "_set")])
+    ends = first.select("doc_id", "node_id", "anc_ids").join(mine, ["doc_id", "node_id"], "left").withColumn("_gone", F.col("_here").isNull())
+    ends = ends.where("_gone or _l_moved or _l_set is not null").withColumn("_cut", F.col("_gone") | F.col("_l_moved"))
+    fate = F.struct(F.col("_gone").alias("gone"), F.col("node_id").alias("id"), F.col("_above").alias("above"))
+    cuts = ends.where("_cut").select("doc_id", F.col("node_id").alias("_a"), fate.alias("_fate"))
+    inner = ends.where("_cut").select("doc_id", "node_id", F.posexplode("anc_ids").alias("_d", "_a")).join(cuts, ["doc_id", "_a"]).groupBy("doc_id", "node_id").agg(F.max_by("_fate", "_d").alias("_outer"))
+    ends = ends.join(inner, ["doc_id", "node_id"], "left")
+    path = F.concat("anc_ids", F.array("node_id"))
+    own = F.struct(F.col("node_id").alias("id"), F.col("_l_moved").alias("moved"), F.col("_to").alias("to"), F.col("_l_s").alias("s"), F.col("_l_i").alias("i"), F.col("_l_rel").alias("rel"), F.col("_l_set").alias("set"))
+    none = F.struct(F.lit(False).alias("gone"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("array<string>").alias("above"))
+    mark = lambda at, fate, own, changed: F.struct(at.alias("_path"), fate.alias("_fate"), own.alias("_own"), changed.alias("_changed"))
+    nothing = lambda c: F.when(F.lit(False), c)
+    yes = F.lit(True)
+    behind = F.concat(path, F.array(F.expr("cast(X'FF' as string)")))  # no id has this byte
+    steps = F.array(mark(path, F.when(F.col("_cut"), fate), own, nothing(yes)))
+    cut = F.array(mark(F.array().cast("array<string>"), nothing(fate), nothing(own), yes), mark(behind, F.coalesce("_outer", none), nothing(own), nothing(yes)))
+    marks = ends.select("doc_id", F.lit(0).alias("_tag"), F.inline(F.when(F.col("_cut"), F.concat(steps, cut)).otherwise(steps)))
+    columns = [c for c in nodes.columns if c not in PATHS or c == "anc_ids"]
+    new = last.where("_new").select("doc_id", "node_id", "parent_id", "anc_ids", F.lit(INSERTED).alias("kind"), F.lit("node").alias("role"), F.col("_name").alias("name"), F.col("_set").alias("fields"), F.lit(2).alias("_tag"), F.array().cast("array<string>").alias("_path"), "_s", "_i", "_rel")
+    new = new.drop(*[c for c in ("kind", "role", "name", "fields") if c not in columns])
+    came = last.where("_new").select("doc_id", F.lit(0).alias("_tag"), F.array().cast("array<string>").alias("_path"), yes.alias("_changed"))
+    all_ = nodes.select(columns).withColumn("_tag", F.lit(1))
+    for part in (marks, came, new):
+        all_ = all_.unionByName(part, allowMissingColumns=True)
+    # By a column of its own: see settle.dealt.
+    all_ = all_.withColumn("_by", F.xxhash64("doc_id")).repartition("_by").withColumn("_path", F.coalesce("_path", path))
+    run = W.partitionBy("_by", "doc_id").orderBy("_path", "_tag").rowsBetween(W.unboundedPreceding, 0)
+    for c in ("_fate", "_own", "_changed"):
+        all_ = all_.withColumn(c, F.last(c, ignorenulls=True).over(run))
+    base, is_own = F.col("_tag") == 1, F.coalesce((F.col("_tag") == 1) & (F.col("_own.id") == F.col("node_id")), F.lit(False))
+    kept = all_.where((F.col("_tag") == 2) | (base & ~F.coalesce(F.col("_fate.gone"), F.lit(False))))
+    moved = is_own & F.coalesce("_own.moved", F.lit(False))
+    at = lambda c, else_: F.when(moved, F.col(f"_own.{c}")).when(base, else_).otherwise(F.col(f"_{c}"))
+    top = F.col("_fate.id")
+    anc = F.when(base & (F.col("node_id") == top), F.col("_fate.above")).when(base & top.isNotNull(), F.concat("_fate.above", F.slice("anc_ids", F.array_position("anc_ids", top).cast("int"), F.size("anc_ids")))).otherwise(F.col("anc_ids"))
+    kept = kept.withColumns({"_s": at("s", F.lit(0)), "_i": at("i", F.col("child_index")), "_rel": at("rel", F.array(F.lit(0))), "parent_id": F.when(moved, F.col("_own.to")).otherwise(F.col("parent_id")), "anc_ids": anc})
+    if "fields" in columns:
+        set_ = F.col("_own.set")
+        old = F.coalesce("fields", F.create_map().cast("map<string, string>"))
+        put = F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(set_), k)), set_)
+        kept = kept.withColumn("fields", F.when(is_own & set_.isNotNull(), put).otherwise(F.col("fields")))
+    place = (F.row_number().over(W.partitionBy("_by", "doc_id", "parent_id").orderBy("_s", "_i", "_rel", "node_id")) - 1).cast("int")
+    return kept.withColumn("child_index", F.when(F.col("_changed"), place).otherwise(F.col("child_index"))).select(columns)
 
 
 def copy_subtrees(nodes: DataFrame, roots: DataFrame, copy_id: str, keep_ids: bool = False) -> DataFrame:

@@ -94,3 +94,24 @@ def test_deep_json(spark):
     deep = "[" * 40 + "7" + "]" * 40
     got = J.json_nodes(spark.createDataFrame([(1, deep)], "doc_id long, json string")).collect()
     assert len(got) == 41 and max((r.depth, r.scalar) for r in got) == (40, "7")
+
+
+def test_nodes_below_go_with_the_nearest_named_one(spark):
+    """A node that left a deleted subtree takes what is below it, and what was left of the subtree goes; places beside nodes that move themselves."""
+    edits = [(1, 0, 1, 1, "move", "b", "first_child", "a", None), (1, 1, 1, 1, "insert", "n", "after", "a1", "N"), (1, 2, 1, 1, "insert", "m", "before", "n", "M"), (1, 3, 1, 1, "move", "n", "last_child", "r", None), (1, 4, 1, 1, "move", "a1", "before", "n", None), (1, 5, 1, 1, "insert", "o", "after", "a1", "O"), (1, 6, 1, 1, "move", "b", "after", "c", None), (1, 7, 1, 1, "delete", "a", None, None, None), (1, 8, 1, 1, "insert", "a", "last_child", "b", "again")]
+    got, versions, errors = apply(spark, [*edits, (2, 0, 2, 1, "delete", "b", None, None, None), (2, 1, 2, 1, "delete", "b1", None, None, None)], (1, 2))
+    assert errors == [(2, 1, "UNKNOWN_NODE")] and versions == {1: 2, 2: 1} and shape(got[2]) == WHOLE
+    assert shape(got[1]) == ["/r", "r/c", "r/b", "r/b/b1", "r/b/a", "r/a1", "r/o", "r/n"]
+    bare = trees(spark, 1).drop("ord_path", "depth")
+    n, _ = E.transaction(bare, spark.createDataFrame(edits, SCHEMA), spark.createDataFrame([(1, 1)], "doc_id long, version int"))
+    assert {f"{'/'.join(r.anc_ids)}/{r.node_id}" for r in n.collect()} == set(shape(got[1])) and all(r.parent_id == (r.anc_ids or [None])[-1] for r in n.collect())
+
+
+def test_a_transaction_settles_named_nodes_only(spark, monkeypatch):
+    settled = []
+    keep = E.settle
+    monkeypatch.setattr(E, "settle", lambda df: settled.append(keep(df)) or settled[-1])
+    nodes = trees(spark, 1).drop("ord_path", "depth")
+    _, versions = E.transaction(nodes, spark.createDataFrame([(1, 0, 1, 1, "delete", "a", None, None, None)], SCHEMA), spark.createDataFrame([(1, 1)], "doc_id long, version int"))
+    assert [r.version for r in versions.collect()] == [2]
+    assert not any("content" in t.columns for t in settled)
