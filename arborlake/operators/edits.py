@@ -359,14 +359,18 @@ def copy_subtrees(nodes: DataFrame, roots: DataFrame, copy_id: str, keep_ids: bo
     """The subtrees at (doc_id, node_id), each a tree of its own, with all columns of nodes but their paths.
 
     Ids are fresh, and the same for the same copy_id; with keep_ids they stay. origin_id maps back, root_id names the
-    copied subtree, and short_id counts the nodes of a copy from 1 in preorder. A node below two roots is in both copies.
+    copied subtree and root_index its place among its siblings; origin_parent is the parent's origin_id, null for the
+    root, and short_id counts the nodes of a copy from 1 in preorder. A node below two roots is in both copies.
     """
     top = roots.select("doc_id", F.col("node_id").alias("root_id"))
     sub = nodes.withColumn("root_id", F.explode(F.concat("anc_ids", F.array("node_id")))).join(top, ["doc_id", "root_id"], "left_semi")
     fresh = lambda c: F.col(c) if keep_ids else as_uuid(F.lit(copy_id), F.col("doc_id").cast("string"), F.col("root_id"), F.col(c))
-    short = F.row_number().over(W.partitionBy("doc_id", "root_id").orderBy("ord_path")).cast("long")
+    copy = W.partitionBy("doc_id", "root_id").orderBy("ord_path")
+    short = F.row_number().over(copy).cast("long")
+    is_root = F.col("node_id") == F.col("root_id")
+    at = F.first(F.when(is_root, F.col("child_index")), ignorenulls=True).over(copy.rowsBetween(W.unboundedPreceding, 0))  # a root comes first
     rest = [c for c in plain(nodes).columns if c not in ("doc_id", "node_id", "parent_id", "short_id")]
-    return sub.select("doc_id", fresh("node_id").alias("node_id"), F.when(F.col("node_id") != F.col("root_id"), fresh("parent_id")).alias("parent_id"), F.col("node_id").alias("origin_id"), "root_id", short.alias("short_id"), *rest)
+    return sub.select("doc_id", fresh("node_id").alias("node_id"), F.when(~is_root, fresh("parent_id")).alias("parent_id"), F.col("node_id").alias("origin_id"), F.when(~is_root, F.col("parent_id")).alias("origin_parent"), "root_id", at.alias("root_index"), short.alias("short_id"), *rest)
 
 
 def copied_references(refs: DataFrame, copies: DataFrame) -> DataFrame:
