@@ -377,13 +377,14 @@ def copied_references(refs: DataFrame, copies: DataFrame) -> DataFrame:
     """Of refs(doc, node, target_doc null for local, target_node) those that the copies of copy_subtrees have.
 
     A target in the same copied subtree becomes the copy's own node, a local reference; any other stays as it is and
-    is named with its document, as the copy may go elsewhere.
+    is named with its document, as the copy may go elsewhere. origin_node and origin_target are what node and target_node
+    are called in the original.
     """
     ids = copies.select("doc_id", "root_id", "origin_id", F.col("node_id").alias("_new"))
-    mine = refs.join(ids, (F.col("doc") == F.col("doc_id")) & (F.col("node") == F.col("origin_id"))).select("doc", "root_id", F.col("_new").alias("node"), F.coalesce("target_doc", F.col("doc")).alias("_to"), "target_node")
+    mine = refs.join(ids, (F.col("doc") == F.col("doc_id")) & (F.col("node") == F.col("origin_id"))).select("doc", "root_id", F.col("_new").alias("node"), F.col("node").alias("origin_node"), F.coalesce("target_doc", F.col("doc")).alias("_to"), "target_node")
     there = ids.select(F.col("doc_id").alias("_d"), F.col("root_id").alias("_r"), F.col("origin_id").alias("_o"), F.col("_new").alias("_t"))
     j = mine.join(there, (F.col("_to") == F.col("_d")) & (F.col("doc") == F.col("_d")) & (F.col("root_id") == F.col("_r")) & (F.col("target_node") == F.col("_o")), "left")
-    return j.select("doc", "root_id", "node", F.when(F.col("_t").isNull(), F.col("_to")).alias("target_doc"), F.coalesce("_t", "target_node").alias("target_node"))
+    return j.select("doc", "root_id", "node", F.when(F.col("_t").isNull(), F.col("_to")).alias("target_doc"), F.coalesce("_t", "target_node").alias("target_node"), "origin_node", F.col("target_node").alias("origin_target"))
 
 
 def rewrite_references(refs: DataFrame, moved: DataFrame, source: str, target: str) -> DataFrame:

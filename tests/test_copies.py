@@ -17,3 +17,11 @@ def test_copies_know_their_origins(spark):
     for r in c:
         assert r.parent_id == (fresh[r.root_id, r.origin_parent] if r.origin_parent else None) and r.root_index == {"a": 0, "a1": 0, "b": 1}[r.root_id]
     assert {(r.root_id, r.origin_id, r.origin_parent, r.short_id) for r in c} == {("a", "a", None, 1), ("a", "a1", "a", 2), ("a", "a11", "a1", 3), ("a", "a2", "a", 4), ("a1", "a1", None, 1), ("a1", "a11", "a1", 2), ("b", "b", None, 1)}
+
+
+def test_references_of_copies_know_their_origins(spark):
+    c = E.copy_subtrees(trees(spark), spark.createDataFrame([(1, "a"), (1, "b")], "doc_id long, node_id string"), "x")
+    refs = spark.createDataFrame([(1, "a2", None, "a1"), (1, "a2", None, "b"), (1, "a2", 2, "a1"), (1, "r", None, "a")], "doc long, node string, target_doc long, target_node string")
+    fresh = {(r.root_id, r.origin_id): r.node_id for r in c.collect()}
+    got = {(r.root_id, r.node, r.target_doc, r.target_node, r.origin_node, r.origin_target) for r in E.copied_references(refs, c).collect()}
+    assert got == {("a", fresh["a", "a2"], None, fresh["a", "a1"], "a2", "a1"), ("a", fresh["a", "a2"], 1, "b", "a2", "b"), ("a", fresh["a", "a2"], 2, "a1", "a2", "a1")}
