@@ -5,10 +5,13 @@ seeds; Ma, Tromp and Li, "PatternHunter", 2002), picked by winnowing, so that
 any common run of GUARANTEED words holds one, and words that differ singly leave
 seeds around them. Each seed meets the seed's first occurrence in the
 corpus, which makes one match for an occurrence however often a passage recurs.
-A passage all of whose seeds occur alone in earlier texts is so missed; hence
-windows of LEAST_WORDS + 1 words, which no passage found so far covers and whose
-seeds all recur, then meet their first occurrence themselves. So every common
-run of over LEAST_WORDS words is found.
+A passage whose seeds occur apart in earlier texts is so missed; hence tuples of
+seeds that recur, whose first occurrences are not in order in one text, then
+meet the tuple's first occurrence. A tuple has up to MOST_TUPLE neighbours, or
+two seeds with up to MOST_SKIPPED between, as one text may hold a seed there
+that differs in the other. Windows of
+LEAST_WORDS + 1 words, which no passage found so far covers and whose seeds all
+recur, meet theirs. So every common run of over LEAST_WORDS words is found.
 Between a document and an earlier one matches are chained in both orders, with
 gap costs, by a Fenwick tree over the earlier one's places; chains are then
 aligned word by word on the texts, anew from each of their matches, and every
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import textops
 from .scratch import drop, keep
-from .skew import attach
+from .skew import attach, sift
 
 #: Words from a seed's first to its last, and those that count; k-mers in a winnowing window.
 K, COUNTED, WINDOW = 9, (0, 1, 2, 3, 5, 6, 7, 8), 16
@@ -37,6 +40,8 @@ STRETCH = 4
 LEAST_WORDS, LEAST_SAME = 50, 0.8
 #: Cost of each word of a gap, on either side; words between neighbours of one chain.
 GAP_COST, MOST_GAP = 0.1, 40
+#: Neighbouring seeds that meet their first occurrence together, at most; seeds that two such may have between them.
+MOST_TUPLE, MOST_SKIPPED = 5, 3
 #: Chains of a text that meet one copy of it for their alignment.
 FAN = 128
 #: Stands for a null id, after all others.
@@ -133,21 +138,77 @@ def _open(h: np.ndarray, seeds: np.ndarray, spans: list[tuple[int, int]]) -> tup
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (doc, t, text, seeds, spans) the open windows, as _seeds gives them."""
+    """Of rows (doc, t, text, seeds, spans) the open windows, as _seeds gives them.
+
+    `own`: each seed of the window that recurs occurs here first, so that no other such window equals it.
+    """
     for batch in batches:
         done = 0
         texts, (seeds, sa), (spans, sb) = batch.column("t").to_numpy(), *((c.values, c.offsets.to_numpy()) for c in map(batch.column, ("seeds", "spans")))
-        seeds, lo, hi = seeds.to_numpy(), spans.field(0).to_numpy(), spans.field(1).to_numpy()
+        seeds, here, lo, hi = seeds.field(0).to_numpy(), seeds.field(1).to_numpy(zero_copy_only=False), spans.field(0).to_numpy(), spans.field(1).to_numpy()
         for part in textops.slices(batch.column("text")):
-            rows, at, keys = [], [], []
+            rows, at, keys, own = [], [], [], []
             for i, h in enumerate(_hashes(part), done):
                 p, k = _open(h, seeds[sa[i] : sa[i + 1]], list(zip(lo[sb[i] : sb[i + 1]].tolist(), hi[sb[i] : sb[i + 1]].tolist(), strict=True)))
                 rows.append(np.full(len(p), i))
                 at.append((texts[i] << 32) + p)
                 keys.append(k)
+                met = np.zeros(len(h) + 1, np.int64)
+                met[seeds[sa[i] : sa[i + 1]] + 1] = ~here[sa[i] : sa[i + 1]]
+                met = np.cumsum(met)
+                own.append(met[p + LEAST_WORDS + 1 - K + 1] == met[p])
             done += len(part)
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(np.concatenate(rows), pa.int64())), pa.array(np.concatenate(at)), pa.array(np.concatenate(keys).view(np.int64))], ["doc", "at", "seed"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(np.concatenate(rows), pa.int64())), pa.array(np.concatenate(at)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(own))], ["doc", "at", "seed", "own"])
+
+
+#: Which of a run of seeds a tuple takes: two that may have up to MOST_SKIPPED between them, or up to MOST_TUPLE neighbours.
+_PICKS = [(0, w) for w in range(1, MOST_SKIPPED + 2)] + [tuple(range(n)) for n in range(3, MOST_TUPLE + 1)]
+
+
+def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc, t, seeds, spans) the tuples of seeds (pos, src, sat) whose first occurrences are not in order in one text.
+
+    A seed is known by its first occurrence, so what a tuple's seeds meet is the
+    same in every text that has it, and where that is one text in order they are
+    chained there. `open` is false where a span, a passage found, has it all.
+    """
+    for batch in batches:
+        docs, ts = (batch.column(c).to_numpy() for c in ("doc", "t"))
+        (seeds, sa), (spans, sb) = ((c.values, c.offsets.to_numpy()) for c in map(batch.column, ("seeds", "spans")))
+        a, z = sa[0], sa[-1]
+        row = np.repeat(np.arange(batch.num_rows), np.diff(sa))
+        pos, src, sat = (seeds.field(i).to_numpy()[a:z] for i in range(3))
+        order = np.lexsort((pos, row))
+        row, pos, src, sat = (c[order] for c in (row, pos, src, sat))
+        # The farthest end of spans that begin no later than a seed, by text.
+        lo, hi = spans.field(0).to_numpy(), spans.field(1).to_numpy()
+        reach = np.zeros(len(pos), np.int64)
+        for i in np.flatnonzero(np.diff(sb)).tolist():
+            s, e = sa[i] - a, sa[i + 1] - a
+            by = np.argsort(lo[sb[i] : sb[i + 1]], kind="stable") + sb[i]
+            k = np.searchsorted(lo[by], pos[s:e], "right")
+            reach[s:e] = np.concatenate([[0], np.maximum.accumulate(hi[by])])[k]
+        text = (row << 32) + pos  # texts lie farther apart than MOST_GAP
+        word = textops.mix(textops.mix(src.view(np.uint64)) + sat.view(np.uint64))
+        for picks in _PICKS:
+            n, wide = len(picks), picks[-1]
+            starts = np.arange(max(0, len(pos) - wide))
+            # Longer ones hold a tuple of a passage's length.
+            starts = starts[(text[starts + wide] - text[starts] <= MOST_GAP * wide) & (text[starts + wide - 1] - text[starts] < LEAST_WORDS)]
+            chained, ordered = np.ones(len(starts), bool), np.ones(len(starts), bool)
+            for i, j in zip(picks, picks[1:], strict=False):
+                i, j = starts + i, starts + j
+                chained &= text[j] - text[i] <= MOST_GAP
+                ordered &= (src[j] == src[i]) & (sat[j] > sat[i]) & (sat[j] - sat[i] <= MOST_GAP)
+            at = starts[chained & ~ordered]
+            if len(at):
+                key = np.zeros(len(at), np.uint64)
+                for i in picks:
+                    key = textops.mix(key * np.uint64(0x9FB21C651E98DF25) + word[at + i])
+                places = pos[at[:, None] + np.array(picks)].astype(np.int32).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(places) + 1, n, dtype=np.int32)), pa.array(places))
+                yield pa.RecordBatch.from_arrays([pa.array(docs[row[at]]), pa.array(ts[row[at]]), pa.array(key.view(np.int64)), pa.array(pos[at + wide] + K > reach[at]), lists], ["doc", "t", "key", "open", "places"])
 
 
 def chain(x: np.ndarray, y: np.ndarray, k: int = K) -> list[tuple[int, int, int, int, list[int]]]:
@@ -502,16 +563,34 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     drop(seeds)
     good = _found(src, met.where(ELSEWHERE), "")
 
+    # Tuples of seeds whose first occurrences lie apart: each that no passage covers meets the tuple's first occurrence.
+    held = met.groupBy("doc", F.shiftright("at", 32).alias("t")).agg(F.collect_list(F.struct(F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "src", "sat")).alias("seeds"))  # no more than its text's words
+    over = good.where("same > 0").groupBy("doc", "t").agg(F.collect_set(F.struct("x0", "x1")).alias("spans"))  # starts and ends are places of its text
+    none = F.array().cast("array<struct<x0: bigint, x1: bigint>>")
+    tuples = held.where(F.size("seeds") > 1).join(over, ["doc", "t"], "left").select("doc", "t", "seeds", F.coalesce("spans", none).alias("spans"))
+    tuples = keep(tuples.mapInArrow(_tuples, "doc long, t long, key long, open boolean, places array<int>"), "tuples")
+    first = tuples.groupBy("key").agg(F.min(F.struct("doc", "t", "places")).alias("f"), F.count("*").alias("n"), F.max("open").alias("o")).where("n > 1 and o")
+    first = keep(first.select("key", F.col("f.doc").alias("src"), F.col("f.t").alias("u"), F.col("f.places").alias("splaces")), "first-tuples")
+    tied = tuples.where("open").join(first, "key").where("doc <> src or t <> u or places <> splaces")
+    place = lambda t, c: F.shiftleft(F.col(t), 32) + F.col(c)
+    tied = tied.select("doc", "t", "src", "u", F.explode(F.arrays_zip("places", "splaces")).alias("p")).select("doc", "t", "src", "u", "p.*").distinct()
+    tied = keep(tied.select("doc", place("t", "places").alias("at"), "src", place("u", "splaces").alias("sat")), "met-tuples")
+    drop(tuples)
+    drop(first)
+    good = good.unionByName(_found(src, tied, "tuple-"))
+    drop(tied)
+
     # Windows that may recur and that no exact run covers: the first occurrence of a window is always one.
     half, low = F.shiftright("at", 32).alias("t"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
-    recur = met.select("doc", half, low.alias("pos")).groupBy("doc", "t").agg(F.collect_list("pos").alias("seeds"))  # no more than its text's words
+    here = F.expr(f"not ({ELSEWHERE})").alias("here")
+    recur = met.select("doc", half, F.struct(low.alias("pos"), here).alias("s")).groupBy("doc", "t").agg(F.collect_list("s").alias("seeds"))  # no more than its text's words
     equal = good.where("same = 0 or (same = x1 - x0 and same = y1 - y0)").select("doc", "t", "x0", "x1").distinct()
     equal = equal.groupBy("doc", "t").agg(F.collect_list(F.struct("x0", "x1")).alias("spans"))  # starts and ends are places of its text
-    none = F.array().cast("array<struct<x0: bigint, x1: bigint>>")
     left = src.join(recur, ["doc", "t"]).join(equal, ["doc", "t"], "left").select("doc", "t", "text", "seeds", F.coalesce("spans", none).alias("spans"))
-    windows = keep(left.mapInArrow(_windows, "doc long, at long, seed long"), "open-windows")
+    windows = keep(left.mapInArrow(_windows, "doc long, at long, seed long, own boolean"), "open-windows")
     drop(met)
-    met = _met(windows, "windows")
+    others = windows.where("not own").drop("own")
+    met = _met(others.unionByName(sift(windows.where("own").drop("own"), others, "seed")), "windows")
     drop(windows)
     good = good.unionByName(_found(src, met.where(ELSEWHERE), "window-", LEAST_WORDS + 1)).where("same > 0")
     drop(met)

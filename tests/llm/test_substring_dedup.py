@@ -190,3 +190,47 @@ def test_fuzzy_recall(spark):
     for (size, n, least), hits in kinds.items():
         assert sum(hits) >= least * len(hits), (size, n, sum(hits))
     assert all(10 * x.same >= 8 * max(x.end - x.start, x.src_end - x.src_start) for x in got)
+
+
+def test_fuzzy_passages_whose_parts_occur_apart_before(spark):
+    """Parts of a passage with changed words all occur alone in earlier texts, so that no seed's first occurrence has the passage."""
+    r, rows, pairs = random.Random(8), [], []
+    for i in range(0, 400, 10):
+        p = text(r, 120)
+        q = list(p)
+        for k in (30, 60, 90):
+            q[k] = f"other{r.random()}"
+        for j in range(5):  # parts of 40 words that overlap by 20
+            rows.append((i + j, " ".join(text(r, 30) + p[20 * j : 20 * j + 40] + text(r, 9))))
+        rows += [(i + 6, " ".join(text(r, 20) + p + text(r, 30))), (i + 7, " ".join(text(r, 20) + q + text(r, 30)))]
+        pairs.append((i + 7, i + 6))
+    got = S.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(x.doc_id, x.src_id) for x in got}
+    assert [p for p in pairs if p not in found] == []
+    assert all(10 * x.same >= 8 * max(x.end - x.start, x.src_end - x.src_start) for x in got)
+
+
+def test_tuples_of_seeds_by_brute_force():
+    import pyarrow as pa
+
+    r = random.Random(9)
+    rows = []
+    for d in range(40):
+        pos = sorted(r.sample(range(300), r.randrange(2, 30)))
+        rows.append({"doc": d, "t": 1, "seeds": r.sample(s := [{"pos": p, "src": r.randrange(3), "sat": (1 << 32) + r.randrange(300)} for p in pos], len(s)), "spans": [{"x0": (x := r.randrange(300)), "x1": x + 80} for _ in range(r.randrange(3))]})
+    kind = pa.schema([("doc", pa.int64()), ("t", pa.int64()), ("seeds", pa.list_(pa.struct([(c, pa.int64()) for c in ("pos", "src", "sat")]))), ("spans", pa.list_(pa.struct([(c, pa.int64()) for c in ("x0", "x1")])))])
+    batch = pa.RecordBatch.from_pylist(rows, kind)
+    got = [x for cut in (batch[:15], batch[15:]) for b in S._tuples([cut]) for x in b.to_pylist()]
+    want = []
+    for row in rows:
+        seeds = sorted(row["seeds"], key=lambda s: s["pos"])
+        runs = [seeds[i : i + n] for n in range(2, S.MOST_TUPLE + 1) for i in range(len(seeds) - n + 1)]
+        runs += [[seeds[i], seeds[i + n]] for n in range(2, S.MOST_SKIPPED + 2) for i in range(len(seeds) - n)]
+        for part in runs:
+            last = seeds[seeds.index(part[-1]) - 1]["pos"]
+            near = all(b["pos"] - a["pos"] <= S.MOST_GAP for a, b in zip(part, part[1:], strict=False))
+            ordered = all(a["src"] == b["src"] and 0 < b["sat"] - a["sat"] <= S.MOST_GAP for a, b in zip(part, part[1:], strict=False))
+            if near and not ordered and last - part[0]["pos"] < S.LEAST_WORDS:
+                held = any(s["x0"] <= part[0]["pos"] and part[-1]["pos"] + S.K <= s["x1"] for s in row["spans"])
+                want.append((row["doc"], not held, [s["pos"] for s in part]))
+    assert sorted((x["doc"], x["open"], x["places"]) for x in got) == sorted(want)
