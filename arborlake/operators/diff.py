@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -92,27 +93,45 @@ def align(before: DataFrame, after: DataFrame) -> DataFrame:
     no stretch has a line in common; a document's rounds are few, as each splits
     its stretches.
     """
-    order = W.partitionBy("doc_id", "side").orderBy("line")
     now = settle(_ends(_sides(before, after)))
+    # A stretch is named by the earlier line of the last partners before it, which is the same on both sides; a line is known by its digest.
+    order = W.partitionBy("doc_id", "side").orderBy("line")
+    mine = F.when(F.col("side") == 0, F.when(F.col("met").isNotNull(), F.col("line"))).otherwise(F.col("met"))
+    rest = now.select("doc_id", "side", "line", "met", F.unhex(F.md5("content")).alias("h"), F.coalesce(F.last(mine, True).over(order), F.lit(0)).alias("gap")).where("met is null")
+    rest, found = settle(_shared(rest.drop("met"))), []
     while True:
-        # A stretch is named by the number of partners before it, which is the same on both sides.
-        rest = now.withColumn("gap", F.count("met").over(order)).where("met is null")
-        same = W.partitionBy("doc_id", "gap", "side", "content")
-        rest = rest.withColumn("_nth", F.row_number().over(same.orderBy("line"))).withColumn("_of", F.count("*").over(same))
-        key = ["doc_id", "gap", "content", "_nth"]
-        left, right = (rest.where(F.col("side") == i).select(*key, F.col("line").alias(x), F.col("_of").alias(f"_{x}")) for i, x in enumerate("ab"))
-        pairs = left.join(right, key).withColumn("_once", (F.col("_a") == 1) & (F.col("_b") == 1))
+        same = W.partitionBy("doc_id", "gap", "side", "h")
+        dealt = rest.repartition("doc_id", "gap")
+        nth = dealt.withColumn("_nth", F.row_number().over(same.orderBy("line"))).withColumn("_of", F.count("*").over(same))
+        of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+        pairs = nth.groupBy("doc_id", "gap", "h", "_nth").agg(of(0, "line").alias("a"), of(1, "line").alias("b"), F.max("_of").alias("_of")).where("a is not null and b is not null")
+        pairs = pairs.withColumn("_once", F.col("_of") == 1)
         pairs = pairs.withColumn("_some", F.max("_once").over(W.partitionBy("doc_id", "gap"))).where("_once or not _some")
         stretch = pairs.groupBy("doc_id", "gap").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_p"))
-        kept = stretch.select("doc_id", "_p", F.explode(_rising(F.col("_p.b"))).alias("_i")).select("doc_id", F.col("_p")[F.col("_i")].alias("_p")).select("doc_id", "_p.*")
+        kept = stretch.select("doc_id", "gap", "_p", F.explode(_rising(F.col("_p.b"))).alias("_i")).select("doc_id", "gap", F.col("_p")[F.col("_i")].alias("_p")).select("doc_id", "gap", "_p.*")
         kept = settle(kept)
         if kept.isEmpty():
-            unsettle(kept)
-            return now
-        new = kept.select("doc_id", F.lit(0).alias("side"), F.col("a").alias("line"), F.col("b").alias("_met")).unionByName(kept.select("doc_id", F.lit(1).alias("side"), F.col("b").alias("line"), F.col("a").alias("_met")))
-        after_ = settle(now.join(new, ["doc_id", "side", "line"], "left").select("doc_id", "side", "line", "content", F.coalesce("met", "_met").alias("met")))
-        unsettle(now, kept)
-        now = after_
+            unsettle(kept, rest)
+            break
+        found.append(kept)
+        # Later rounds go over the lines without a partner of which the stretch has an equal one on the other side.
+        new = kept.select("doc_id", "gap", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("line")), F.struct(F.lit(1).alias("side"), F.col("b").alias("line")))).alias("_l"), "a").select("doc_id", "gap", "_l.*", "a")
+        split = rest.join(new, ["doc_id", "gap", "side", "line"], "left").withColumn("_last", F.last("a", True).over(W.partitionBy("doc_id", "gap", "side").orderBy("line")))
+        after_ = settle(_shared(split.where("a is null").select("doc_id", "side", "line", "h", F.coalesce("_last", "gap").alias("gap"))))
+        unsettle(rest)
+        rest = after_
+    if not found:
+        return now
+    pairs = reduce(DataFrame.unionByName, found)
+    both = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("line"), F.col("b").alias("_met")), F.struct(F.lit(1).alias("side"), F.col("b").alias("line"), F.col("a").alias("_met")))
+    new = pairs.select("doc_id", F.explode(both).alias("_l")).select("doc_id", "_l.*")
+    return now.join(new, ["doc_id", "side", "line"], "left").select("doc_id", "side", "line", "content", F.coalesce("met", "_met").alias("met"))
+
+
+def _shared(rest: DataFrame) -> DataFrame:
+    """Lines (doc_id, side, line, h, gap) of which the stretch has an equal one on both sides."""
+    both = W.partitionBy("doc_id", "gap", "h")
+    return rest.withColumn("_0", F.min("side").over(both)).withColumn("_1", F.max("side").over(both)).where("_0 < _1").drop("_0", "_1")
 
 
 def line_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -107,3 +107,22 @@ def test_documents_of_one_version_and_line_ends(spark):
     got = sorted(tuple(r) for r in D.line_diff(a, b).collect())
     assert got == [(2, "added", 1, "new"), (3, "removed", 1, "same"), (4, "added", 1, "only")]
     assert D.line_diff(a.where("false"), b.where("false")).collect() == []
+
+
+def test_rounds_hold_no_texts_and_fewer_lines(spark, monkeypatch):
+    """The lines themselves are written once; rounds go over digests of lines that may still find a partner."""
+    tables = []
+
+    def settle(df, real=D.settle):
+        tables.append((df.columns, (out := real(df)).count()))
+        return out
+
+    monkeypatch.setattr(D, "settle", settle)
+    a = [f"line {i}" for i in range(40)] + ["same", "x", "same", "y"] * 5
+    b = a[1:] + a[:1]
+    of = lambda x: spark.createDataFrame([(1, "\n".join(x))], "doc_id int, text string")
+    got = {(r.side, r.line, r.met) for r in D.align(of(a), of(b)).collect()}
+    assert got == {(0, 1, None), (1, len(a), None)} | {(0, i + 1, i) for i in range(1, len(a))} | {(1, i, i + 1) for i in range(1, len(a))}
+    assert sum("content" in c for c, _ in tables) == 1
+    left = [n for c, n in tables if "h" in c]
+    assert left[0] > 40 and max(left[1:]) <= 40
