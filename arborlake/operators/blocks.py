@@ -1,25 +1,34 @@
-"""Structural blocks of documents by their format: JSON values by pointer, Markdown blocks, lines of plain text.
+r"""Structural blocks of documents by their format: JSON values by pointer, Markdown blocks, lines of plain text.
 
-blocks(doc_id, block_id, node_ref, kind, name, start_line, end_line, text): lines count from 1, both ends inclusive.
+blocks(doc_id, block_id, node_ref, kind, name, start_line, end_line, text): lines count from 1, both ends inclusive;
+text is these lines without the last one's end, other ends as \n.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from operator import methodcaller
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..sources.parsers import Node, ParseError, parsed_rows
 from .lines import bare, line_nodes
 
-_TOKEN = re.compile(r'(?P<space>[ \t\r]+)|(?P<line>\n)|(?P<string>"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*")|(?P<number>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|(?P<word>true|false|null)|(?P<mark>[{}\[\]:,])')
+#: White space and a token; any other character is a token that fits nowhere, and the end an empty one.
+_TOKEN = re.compile(r'([ \t\r\n]*)("(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|[^ \t\r\n]|\Z)')
+_GROUPS = methodcaller("groups")
+#: The kind of a value by its first character, but for single characters that begin one only.
+_KINDS = {'"': "string", "t": "boolean", "f": "boolean", "n": "null", "{": "object", "[": "array"} | dict.fromkeys("-0123456789", "number")
+_HALF = frozenset('"-tfn')
 _ESCAPE = re.compile(r'\\(u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|.)')
 _PLAIN = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
-_BLOCK = ["doc_id", "block_id", "node_ref", "kind", "name", "start_line", "end_line", "text"]
 
 
 def _unescaped(s: str) -> str:
+    if "\\" not in s:
+        return s
+
     def one(m: re.Match) -> str:
         e = m.group(1)
         if e[0] != "u":
@@ -38,92 +47,75 @@ def json_values(text: str) -> Iterable[Node]:
     json_nodes; the content of a scalar is its text. A member's lines begin with its name. A name that an object has
     twice is an error, as its pointer would be too.
     """
-    line, at, end = 1, 0, len(text)
-
-    def token() -> tuple[str, str]:
-        nonlocal line, at
-        while at < end:
-            m = _TOKEN.match(text, at)
-            if not m:
-                raise ParseError(f"line {line}: unexpected {text[at]!r}")
-            at = m.end()
-            if m.lastgroup == "line":
-                line += 1
-            elif m.lastgroup != "space":
-                return m.lastgroup, m.group()
-        return "end", ""
+    tokens = map(_GROUPS, _TOKEN.finditer(text))
+    line, done, names = 1, [], set()
+    around: list[tuple] = []  # what holds the container that the current value is in
+    up, is_object, slot, n = None, False, -1, 0  # that container's key, kind, place in done and values so far
+    key, name, start = "$", "", 0
 
     def wrong(t: str):
         return ParseError(f"line {line}: unexpected {t or 'end'!r}")
 
-    kinds = {"string": "string", "number": "number", "word": "boolean"}
-    open_: list[dict] = []  # containers around the current value
-    done: list[Node] = []
-    names: set[str] = set()
-
-    def begin(kind: str, value: str, key: str, name: str, start: int) -> None:
-        parent = open_[-1]["key"] if open_ else None
-        if kind == "mark":
-            open_.append({"key": key, "close": "}" if value == "{" else "]", "n": 0, "slot": len(done)})
-            done.append(Node(key, parent, "object" if value == "{" else "array", name, "", start, start))
+    space, t = next(tokens)
+    start = line = line + space.count("\n")
+    while True:
+        # t begins the value at `key`.
+        kind = _KINDS.get(t[:1])
+        if kind is None or t in _HALF:
+            raise wrong(t)
+        if kind == "object" or kind == "array":
+            done.append(Node(key, up, kind, name, "", start, start))
+            around.append((up, is_object, slot, n))
+            up, is_object, slot, n = key, kind == "object", len(done) - 1, 0
         else:
-            content = _unescaped(value[1:-1]) if kind == "string" else value
-            done.append(Node(key, parent, "null" if value == "null" else kinds[kind], name, content, start, line))
-
-    kind, t = token()
-    if kind not in kinds and t not in ("{", "["):
-        raise wrong(t)
-    begin(kind, t, "$", "", line)
-    while open_:
-        top = open_[-1]
-        kind, t = token()
-        if t == top["close"] and kind == "mark" and (not top["n"] or top.get("value")):
-            node = done[top["slot"]]
-            done[top["slot"]] = Node(node.key, node.parent, node.kind, node.name, "", node.line_start, line)
-            open_.pop()
-            if open_:
-                open_[-1]["value"] = True
-            continue
-        if top["n"]:
-            if t != "," or not top.get("value"):
+            done.append(Node(key, up, kind, name, _unescaped(t[1:-1]) if kind == "string" else t, start, line))
+        while True:
+            space, t = next(tokens)
+            if space:
+                line += space.count("\n")
+            if up is None or t != ("}" if is_object else "]"):
+                break
+            done[slot] = Node(*done[slot][:6], line)
+            up, is_object, slot, n = around.pop()
+        if up is None:
+            if t:
+                raise ParseError(f"line {line}: text behind the value")
+            break
+        if n:
+            if t != ",":
                 raise wrong(t)
-            kind, t = token()
+            space, t = next(tokens)
+            if space:
+                line += space.count("\n")
         start = line
-        name = str(top["n"])
-        if top["close"] == "}":
-            if kind != "string":
+        if is_object:
+            if t[:1] != '"' or t == '"':
                 raise wrong(t)
             name = _unescaped(t[1:-1])
-            if token()[1] != ":":
+            space, t = next(tokens)
+            line += space.count("\n")
+            if t != ":":
                 raise wrong(t)
-            kind, t = token()
-        if kind not in kinds and t not in ("{", "["):
-            raise wrong(t)
-        key = top["key"] + "/" + name.replace("~", "~0").replace("/", "~1")
-        if key in names:
-            raise ParseError(f"line {line}: {name} stands twice")
-        names.add(key)
-        top["n"] += 1
-        top["value"] = kind != "mark"
-        begin(kind, t, key, name, start)
-    if token()[0] != "end":
-        raise ParseError(f"line {line}: text behind the value")
+            space, t = next(tokens)
+            if space:
+                line += space.count("\n")
+            key = f"{up}/{name.replace('~', '~0').replace('/', '~1')}"
+            if key in names:
+                raise ParseError(f"line {line}: {name} stands twice")
+            names.add(key)
+        else:
+            name = str(n)
+            key = f"{up}/{name}"
+        n += 1
     yield from done
 
 
-def _with_text(blocks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds the lines of each block, without the last one's end."""
-    lines = docs.select("doc_id", F.split(F.regexp_replace("text", "\r\n|\r", "\n"), "\n").alias("_x"))
-    cut = F.array_join(F.slice("_x", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    return blocks.join(lines, "doc_id").withColumn("text", cut).select(_BLOCK)
-
-
 def json_blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks, errors) of JSON texts (doc_id, text): a block a value, named by its pointer; errors(doc_id, code, message) of texts that are none."""
-    rows = parsed_rows(docs, json_values)
+    rows = parsed_rows(docs, json_values, lines=True)
     pointer = F.substring("key", 2, 1 << 30)
-    good = rows.where("code is null").select("doc_id", pointer.alias("block_id"), pointer.alias("node_ref"), "kind", F.nullif("name", F.lit("")).alias("name"), F.col("line_start").alias("start_line"), F.col("line_end").alias("end_line"))
-    return _with_text(good, docs), rows.where("code is not null").select("doc_id", "code", "message")
+    good = rows.where("code is null").select("doc_id", pointer.alias("block_id"), pointer.alias("node_ref"), "kind", F.nullif("name", F.lit("")).alias("name"), F.col("line_start").alias("start_line"), F.col("line_end").alias("end_line"), F.col("lines").alias("text"))
+    return good, rows.where("code is not null").select("doc_id", "code", "message")
 
 
 def markdown_blocks(docs: DataFrame) -> DataFrame:
@@ -151,11 +143,11 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
     head = head | (F.col("_k") != before) & ~(F.col("_k") == "text") | (before == "fence") & (F.col("_k") != "fence")
     head = head | (F.col("_k") == "fence") & ~F.coalesce(F.lag("_fence").over(w).eqNullSafe(F.col("_fence")), F.lit(False))
     rows = rows.withColumn("_b", F.sum(F.coalesce(head, F.lit(True)).cast("int")).over(w)).where("_k <> 'blank'")
-    out = rows.groupBy("doc_id", "_b").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.min_by("_k", "line").alias("_k"), F.min_by("_c", "line").alias("_c"))
+    out = rows.groupBy("doc_id", "_b").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.min_by("_k", "line").alias("_k"), F.min_by("_c", "line").alias("_c"), F.array_sort(F.collect_list(F.struct("line", "_c"))).alias("_lines"))
     kind = F.when(F.col("_k") == "text", "paragraph").otherwise(F.col("_k"))
     title = F.when(kind == "heading", F.trim(F.regexp_replace("_c", r"^ *#+ *|( +#+)? *$", ""))).when(kind == "fence", F.trim(F.regexp_replace("_c", "^ *(`+|~+)", "")))
     own = F.concat(kind, F.lit(":"), F.col("start_line").cast("string"))
-    return _with_text(out.select("doc_id", own.alias("block_id"), own.alias("node_ref"), kind.alias("kind"), F.nullif(title, F.lit("")).alias("name"), "start_line", "end_line"), docs)
+    return out.select("doc_id", own.alias("block_id"), own.alias("node_ref"), kind.alias("kind"), F.nullif(title, F.lit("")).alias("name"), "start_line", "end_line", F.array_join(F.col("_lines")["_c"], "\n").alias("text"))
 
 
 def line_blocks(docs: DataFrame) -> DataFrame:

@@ -65,3 +65,13 @@ def test_markdown(spark):
         (3, "rule", None, 1, 1), (3, "list", None, 2, 4),
     ]
     assert got[1].text == "para\nmore" and got[5].text == "```py\n# no\n\n```"
+
+
+def test_texts_of_blocks_need_no_join_and_no_second_read(spark):
+    text = '{"a":\r\n  [1,\n   {"b": "\\ud800x"}\n  ]\n}'
+    docs = spark.createDataFrame([(1, "json", text), (2, "markdown", "# t\r\n```\n\nx\r\n```\nend"), (3, "json", "[" * 9 + "]" * 9)], "doc_id long, format string, text string")
+    blocks, _ = B.structural_blocks(docs)
+    assert "Join" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.doc_id, r.block_id): r.text for r in blocks.collect()}
+    assert got[1, ""] == text.replace("\r", "") and got[1, "/a"] == text.replace("\r", "")[:-2] and got[1, "/a/1/b"] == '   {"b": "\\ud800x"}'
+    assert got[2, "fence:2"] == "```\n\nx\n```" and got[2, "paragraph:6"] == "end" and len([k for k in got if k[0] == 3]) == 9
