@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.settle import settle
 from ..operators import corpus as K, edits as E, folds, integrity as I, jsonedits as JE, measures as M, tree as T
 from ..sources import jsontree as J
 from ..sources.catalog import SQL, catalog_nodes, table
@@ -32,7 +33,7 @@ def a14_canonical_json(spark, d):
 SELECT doc_id, CAST(sid AS VARCHAR) AS address, sid, doc_id AS doc FROM s WHERE sid = 2 UNION ALL SELECT doc_id, '0x' || lower(to_hex(sid)), sid, doc_id FROM s WHERE sid = 3 UNION ALL SELECT doc_id, '99999', 99999, doc_id FROM s WHERE sid = 1 UNION ALL SELECT doc_id, '0xzz', NULL, doc_id FROM s WHERE sid = 1)
 SELECT a.doc_id, a.address, s.node_id, CASE WHEN a.sid IS NULL THEN 'BAD_ADDRESS' WHEN s.node_id IS NULL THEN 'UNKNOWN_NODE' END AS error FROM a LEFT JOIN s ON s.doc_id = a.doc_id AND s.sid = a.sid""")
 def b9_address_normalization(spark, d):
-    n = T.allocate_short_ids(catalog_nodes(spark, d)).select("doc_id", "node_id", "short_id")
+    n = settle(T.allocate_short_ids(catalog_nodes(spark, d)).select("doc_id", "node_id", "short_id"))  # read five times
     sid = F.col("short_id")
     asked = n.where("short_id = 2").select("doc_id", sid.cast("string").alias("address"))
     asked = asked.union(n.where("short_id = 3").select("doc_id", X.to_hex(sid))).union(n.where("short_id = 1").select("doc_id", F.explode(F.array(F.lit("99999"), F.lit("0xzz")))))
