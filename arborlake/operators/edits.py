@@ -106,10 +106,10 @@ def insert(nodes: DataFrame, edits: DataFrame, hooks: Hooks | None = None) -> Da
 
 
 def below(nodes: DataFrame, tops: DataFrame, itself: bool = True) -> DataFrame:
-    """(doc_id, node_id) of the nodes below those of tops(doc_id, node_id); nodes needs anc_ids."""
+    """(doc_id, node_id) of the nodes below those of tops(doc_id, node_id), once for each that is above; nodes needs anc_ids."""
     up = F.concat("anc_ids", F.array("node_id")) if itself else F.col("anc_ids")
     tops = tops.select("doc_id", F.col("node_id").alias("_a"))
-    return nodes.select("doc_id", "node_id", F.explode(up).alias("_a")).join(tops, ["doc_id", "_a"], "left_semi").select("doc_id", "node_id").distinct()
+    return nodes.select("doc_id", "node_id", F.explode(up).alias("_a")).join(tops, ["doc_id", "_a"], "left_semi").select("doc_id", "node_id")
 
 
 def delete(nodes: DataFrame, edits: DataFrame) -> DataFrame:
