@@ -66,6 +66,12 @@ def build_pointer(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.concat(F.lit("/"), escape_token(t))), "")
 
 
+def pointer_order(p: Column) -> Column:
+    """A key that sorts pointers like the arrays of their tokens, parents first, and is no longer than they are."""
+    low = F.replace(F.replace(p, F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01"))
+    return F.replace(low, F.lit("/"), F.lit("\x00"))
+
+
 def parse_pointer(p: Column) -> Column:
     """The tokens; null where a pointer that is not empty doesn't start with /."""
     return F.when(p == "", F.array().cast("array<string>")).when(p.startswith("/"), F.transform(F.split(F.substring(p, 2, 1 << 30), "/"), unescape_token))

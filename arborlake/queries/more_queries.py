@@ -49,7 +49,7 @@ def b10_address_strings(spark, d):
 
 @query("SELECT o_orderkey AS doc_id, 4 + 3 * (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS last_short_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def b11_identifier_table(spark, d):
-    n = J.with_stable_ids(J.json_nodes(order_json(spark, d))).withColumn("ord_path", F.split("pointer", "/"))
+    n = J.with_stable_ids(J.json_nodes(order_json(spark, d))).withColumn("ord_path", X.pointer_order(F.col("pointer")))
     ids = T.allocate_short_ids(n).select("doc_id", "short_id", "node_id", "pointer")
     return ids.groupBy("doc_id").agg(F.max("short_id").alias("last_short_id"))
 
