@@ -32,8 +32,8 @@ def _kinds(edits: DataFrame, nodes: DataFrame) -> DataFrame:
     kind = lambda to, name: nodes.select("doc_id", F.col("node_id").alias(to), F.col("kind").alias(name))
     given = F.coalesce("kind", F.lit(INSERTED)) if "kind" in edits.columns else F.lit(INSERTED)
     e = edits.withColumn("_given", given).join(kind("node_id", "_own"), ["doc_id", "node_id"], "left")
-    up = nodes.select("doc_id", F.col("node_id").alias("anchor_id"), F.col("parent_id").alias("_up"))
-    e = e.join(kind("anchor_id", "_at"), ["doc_id", "anchor_id"], "left").join(up, ["doc_id", "anchor_id"], "left").join(kind("_up", "_over"), ["doc_id", "_up"], "left")
+    at = nodes.select("doc_id", F.col("node_id").alias("anchor_id"), F.col("kind").alias("_at"), F.col("parent_id").alias("_up"))
+    e = e.join(at, ["doc_id", "anchor_id"], "left").join(kind("_up", "_over"), ["doc_id", "_up"], "left")
     parent = F.when(F.col("position").isin("first_child", "last_child"), F.col("_at")).otherwise(F.col("_over"))
     return e.select("batch_id", "seq", "op", "position", parent.alias("parent_kind"), F.when(F.col("op") == "insert", F.col("_given")).otherwise(F.col("_own")).alias("kind"))
 
