@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import insort
 from collections.abc import Iterator
 
@@ -12,6 +13,8 @@ from ..functions.settle import dealt
 
 #: A line with its end; `unicode` also ends lines at the other breaks of Unicode.
 STRICT = r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+$"
+#: A run of lines that are not blank, or of blank ones, or blanks at the end of a text.
+RUNS = re.compile(rb"((?: *+[^ \r\n][^\r\n]*+(?:\r\n|\n|\r|\Z))++)|(?: *+(?:\r\n|\n|\r))++| ++\Z")
 UNICODE = "[^\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*(?:\r\n|[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|[^\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+$"
 
 
@@ -44,6 +47,40 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     return got.select("doc_id", "index", "line_start", "line_end", F.array_join(F.transform("_r", lambda r: r["content"]), "").alias("text"))
 
 
+def text_paragraphs(docs: DataFrame) -> DataFrame:
+    """paragraphs(line_nodes(docs)) read off each text (doc_id, text), with no line as a row and no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, index, start, end, texts, size = [], [], [], [], [], 0
+
+            def rows() -> pa.RecordBatch:
+                columns = [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(index, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(texts, pa.binary())]
+                return pa.RecordBatch.from_arrays(columns, ["doc_id", "index", "line_start", "line_end", "text"])
+
+            for i, text in enumerate(batch.column("text")):
+                line, k = 0, 0
+                for found in RUNS.finditer(text.as_py() or b""):
+                    part = found[0]
+                    ends = part.count(b"\n") + part.count(b"\r") - part.count(b"\r\n")
+                    if found[1]:
+                        at.append(i)
+                        index.append(k)
+                        start.append(line + 1)
+                        end.append(line + ends + (part[-1] not in b"\r\n"))
+                        texts.append(part)
+                        size, k = size + len(part), k + 1
+                    line += ends
+                if size > 1 << 24:
+                    yield rows()
+                    at, index, start, end, texts, size = [], [], [], [], [], 0
+            yield rows()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, index long, line_start int, line_end int, text binary")
+    return found.withColumn("text", F.col("text").cast("string"))
+
+
 def fixed_blocks(lines: DataFrame, size: int) -> DataFrame:
     """Blocks of `size` lines, and half as large ones nested in them: (doc_id, block_id, start_line, end_line)."""
     out = []

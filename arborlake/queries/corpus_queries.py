@@ -11,7 +11,7 @@ from ..sources import jsontree as J, snapshot as S
 from ..sources.catalog import table
 from ..streaming import jobs
 from .registry import query
-from .text_queries import lines
+from .text_queries import docs
 
 WORDS = ["anan", "thin", "tion"]
 _TF = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{i}, (SELECT count(*) FROM d WHERE list_contains(t, '{w}')) AS df{i}" for i, w in enumerate(WORDS))
@@ -58,7 +58,7 @@ k AS (SELECT grp, count(*) AS shapes, min(len(list_intersect(x.x, y.x)) / (len(x
 o AS (SELECT grp, doc_id, 1 AS line_start, line_end, count(*) OVER (PARTITION BY grp) AS occurrences FROM b JOIN c ON sha256(t) = h)
 SELECT o.grp AS "group", doc_id, line_start, line_end, shapes, occurrences, round(similarity, 6) AS similarity FROM o JOIN k USING (grp) WHERE occurrences > 1""")
 def k3_structural_duplicates(spark, d):
-    found = U.structural_duplicates(L.paragraphs(lines(spark, d)))  # texts have no blank lines: each is a block
+    found = U.structural_duplicates(L.text_paragraphs(docs(spark, d)))  # texts have no blank lines: each is a block
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
