@@ -91,7 +91,8 @@ def align(before: DataFrame, after: DataFrame) -> DataFrame:
     or where there are none the n-th ones of equal lines, and of these pairs the
     longest run that rises on both sides stays (patience sorting). It ends where
     no stretch has a line in common; a document's rounds are few, as each splits
-    its stretches.
+    its stretches. Partners are joined by sorting: as tables they are written in
+    so few bytes that Spark would broadcast millions of them.
     """
     now = settle(_ends(_sides(before, after)))
     # A stretch is named by the earlier line of the last partners before it, which is the same on both sides; a line is known by its digest.
@@ -116,7 +117,7 @@ def align(before: DataFrame, after: DataFrame) -> DataFrame:
         found.append(kept)
         # Later rounds go over the lines without a partner of which the stretch has an equal one on the other side.
         new = kept.select("doc_id", "gap", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("line")), F.struct(F.lit(1).alias("side"), F.col("b").alias("line")))).alias("_l"), "a").select("doc_id", "gap", "_l.*", "a")
-        split = rest.join(new, ["doc_id", "gap", "side", "line"], "left").withColumn("_last", F.last("a", True).over(W.partitionBy("doc_id", "gap", "side").orderBy("line")))
+        split = rest.join(new.hint("merge"), ["doc_id", "gap", "side", "line"], "left").withColumn("_last", F.last("a", True).over(W.partitionBy("doc_id", "gap", "side").orderBy("line")))
         after_ = settle(_shared(split.where("a is null").select("doc_id", "side", "line", "h", F.coalesce("_last", "gap").alias("gap"))))
         unsettle(rest)
         rest = after_
@@ -125,7 +126,8 @@ def align(before: DataFrame, after: DataFrame) -> DataFrame:
     pairs = reduce(DataFrame.unionByName, found)
     both = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("line"), F.col("b").alias("_met")), F.struct(F.lit(1).alias("side"), F.col("b").alias("line"), F.col("a").alias("_met")))
     new = pairs.select("doc_id", F.explode(both).alias("_l")).select("doc_id", "_l.*")
-    return now.join(new, ["doc_id", "side", "line"], "left").select("doc_id", "side", "line", "content", F.coalesce("met", "_met").alias("met"))
+    later = now.where("met is null").drop("met").join(new.hint("merge"), ["doc_id", "side", "line"], "left").withColumnRenamed("_met", "met")
+    return now.where("met is not null").unionByName(later)
 
 
 def _shared(rest: DataFrame) -> DataFrame:
