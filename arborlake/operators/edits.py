@@ -21,6 +21,8 @@ POSITIONS = ("first_child", "last_child", "before", "after")
 INSERTED = "inserted"
 #: Columns that follow from the others: edits leave them out, tree.with_paths makes them.
 PATHS = ("ord_path", "anc_ids", "depth")
+#: Roots of a document that are held in one array, and roots that are broadcast, at most.
+ROOTS, FEW = 64, 100_000
 
 
 def plain(nodes: DataFrame) -> DataFrame:
@@ -112,6 +114,17 @@ def below(nodes: DataFrame, tops: DataFrame, itself: bool = True) -> DataFrame:
     return nodes.select("doc_id", "node_id", F.explode(up).alias("_a")).join(tops, ["doc_id", "_a"], "left_semi").select("doc_id", "node_id")
 
 
+def _roots(tops: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """tops(doc_id, node_id) as (doc_id, _roots), an array a document; and as (doc_id, root_id) where a document has more than ROOTS, or None.
+
+    Nodes meet the arrays by their document, one row a node, in place of one row for each node above.
+    """
+    each = settle(tops.select("doc_id", F.col("node_id").alias("root_id")).withColumn("_n", F.count("*").over(W.partitionBy("doc_id"))))
+    few = each.where(F.col("_n") <= ROOTS).groupBy("doc_id").agg(F.collect_list("root_id").alias("_roots"))
+    many = each.where(F.col("_n") > ROOTS).select("doc_id", "root_id")
+    return F.broadcast(few) if each.count() < FEW else few.hint("shuffle_hash"), None if many.isEmpty() else many
+
+
 def delete(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     """Without the nodes and all below them; nodes needs anc_ids."""
     left = plain(nodes).join(below(nodes, edits.where("op = 'delete'")), ["doc_id", "node_id"], "left_anti")
@@ -362,8 +375,11 @@ def copy_subtrees(nodes: DataFrame, roots: DataFrame, copy_id: str, keep_ids: bo
     copied subtree and root_index its place among its siblings; origin_parent is the parent's origin_id, null for the
     root, and short_id counts the nodes of a copy from 1 in preorder. A node below two roots is in both copies.
     """
-    top = roots.select("doc_id", F.col("node_id").alias("root_id"))
-    sub = nodes.withColumn("root_id", F.explode(F.concat("anc_ids", F.array("node_id")))).join(top, ["doc_id", "root_id"], "left_semi")
+    up = F.concat("anc_ids", F.array("node_id"))
+    few, many = _roots(roots)
+    sub = nodes.join(few, "doc_id").withColumn("root_id", F.explode(F.array_intersect(up, "_roots"))).drop("_roots")
+    if many is not None:
+        sub = sub.unionByName(nodes.withColumn("root_id", F.explode(up)).join(many, ["doc_id", "root_id"], "left_semi"))
     fresh = lambda c: F.col(c) if keep_ids else as_uuid(F.lit(copy_id), F.col("doc_id").cast("string"), F.col("root_id"), F.col(c))
     copy = W.partitionBy("doc_id", "root_id").orderBy("ord_path")
     short = F.row_number().over(copy).cast("long")
