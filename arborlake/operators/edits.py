@@ -205,20 +205,24 @@ def apply_subtrees(nodes: DataFrame, copies: DataFrame) -> tuple[DataFrame, Data
     copies: rows of nodes with `root_id`, the origin's root, which is in the copy and keeps its place. A copy is
     refused if its root isn't in the document or in the copy, or if one of its ids is a node's outside of the origin.
     """
-    tops = copies.select("doc_id", F.col("root_id").alias("node_id")).distinct()
-    at = nodes.join(tops, ["doc_id", "node_id"], "left_semi").select("doc_id", F.col("node_id").alias("root_id"), F.col("parent_id").alias("_p"), F.col("child_index").alias("_i"))
-    known = copies.where("node_id = root_id").select("doc_id", "root_id").join(at, ["doc_id", "root_id"])
-    lost = tops.select("doc_id", F.col("node_id").alias("root_id")).join(known, ["doc_id", "root_id"], "left_anti").withColumn("code", F.lit("UNKNOWN_NODE"))
-    here = nodes.select("doc_id", "node_id", F.concat("anc_ids", F.array("node_id")).alias("_up"))
-    clash = copies.join(here, ["doc_id", "node_id"]).where(~F.array_contains("_up", F.col("root_id"))).select("doc_id", "root_id", F.lit("NODE_ID_CONFLICT").alias("code"))
+    up = F.concat("anc_ids", F.array("node_id"))
+    top = F.col("node_id") == F.col("root_id")
+    here = nodes.select("doc_id", "node_id", F.col("parent_id").alias("_p"), F.col("child_index").alias("_i"), up.alias("_up"))
+    met = copies.select("doc_id", "node_id", "root_id").join(here, ["doc_id", "node_id"]).where(top | ~F.array_contains("_up", F.col("root_id")))
+    met = settle(met.select("doc_id", "root_id", "_p", "_i", top.alias("_top")))
+    known = met.where("_top").drop("_top")
+    lost = copies.select("doc_id", "root_id").distinct().join(known, ["doc_id", "root_id"], "left_anti").withColumn("code", F.lit("UNKNOWN_NODE"))
+    clash = met.where("not _top").select("doc_id", "root_id", F.lit("NODE_ID_CONFLICT").alias("code"))
     bad = lost.unionByName(clash).distinct()
-    good = known.join(bad, ["doc_id", "root_id"], "left_anti")
-    gone = below(nodes, good.select("doc_id", F.col("root_id").alias("node_id")))
+    good = settle(known.join(bad, ["doc_id", "root_id"], "left_anti"))
+    few, many = _roots(good.select("doc_id", F.col("root_id").alias("node_id")))
+    left = nodes.join(few, "doc_id", "left").where(~F.coalesce(F.arrays_overlap(up, "_roots"), F.lit(False)))
+    if many is not None:
+        left = left.join(below(nodes, many.withColumnRenamed("root_id", "node_id")), ["doc_id", "node_id"], "left_anti")
     new = copies.join(good, ["doc_id", "root_id"])
-    top = F.col("node_id") == F.col("root_id")
     new = new.withColumn("parent_id", F.when(top, F.col("_p")).otherwise(F.col("parent_id"))).withColumn("child_index", F.when(top, F.col("_i")).otherwise(F.col("child_index")))
     columns = plain(nodes).columns
-    return plain(nodes).join(gone, ["doc_id", "node_id"], "left_anti").unionByName(new.select([c for c in columns if c in new.columns]), allowMissingColumns=True).select(columns), bad
+    return left.select(columns).unionByName(new.select([c for c in columns if c in new.columns]), allowMissingColumns=True).select(columns), bad
 
 
 def transaction(nodes: DataFrame, edits: DataFrame, versions: DataFrame, key: str = "status") -> tuple[DataFrame, DataFrame]:
